@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import bpe, token_counts
+from gridmill.llm import bpe, langid, token_counts, toxicity
 from gridmill.llm.common import table
 
 #: Vocabulary files; a caller of the operators passes its own paths.
@@ -19,12 +19,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_VOCABULARY))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by the machine fitted on the learning folds."""
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole text and of the text decoded from them."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(CODE_VOCABULARY))
 
 
-_QUERIES = (op1_token_counts, op7_bpe_round_trip)
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by the prototypes of the learning folds."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.prototypes(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+_QUERIES = (op1_token_counts, op3_toxicity, op7_bpe_round_trip, op9_language_id)
 _SQL: dict[str, str] = {}
 
 
