@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import bpe, langid, token_counts, toxicity
+from gridmill.llm import bpe, langid, near_duplicates, token_counts, toxicity
 from gridmill.llm.common import table
 
 #: Vocabulary files; a caller of the operators passes its own paths.
@@ -26,6 +26,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles are similar by 0.85 or more."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, rows=7)
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole text and of the text decoded from them."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(CODE_VOCABULARY))
@@ -37,8 +42,25 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.prototypes(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-_QUERIES = (op1_token_counts, op3_toxicity, op7_bpe_round_trip, op9_language_id)
-_SQL: dict[str, str] = {}
+_QUERIES = (op1_token_counts, op3_toxicity, op4_near_duplicates, op7_bpe_round_trip, op9_language_id)
+_SQL: dict[str, str] = {
+    "op4_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least_id AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN least_id ON least_id.id = d.doc_id
+""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
