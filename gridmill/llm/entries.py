@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import bpe, langid, near_duplicates, token_counts, toxicity
+from gridmill.llm import bpe, langid, near_duplicates, token_counts, topk, toxicity
 from gridmill.llm.common import table
 
 #: Vocabulary files; a caller of the operators passes its own paths.
@@ -42,8 +42,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.prototypes(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-_QUERIES = (op1_token_counts, op3_toxicity, op4_near_duplicates, op7_bpe_round_trip, op9_language_id)
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every fiftieth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+_QUERIES = (op1_token_counts, op3_toxicity, op4_near_duplicates, op7_bpe_round_trip, op9_language_id, op10_top_k)
 _SQL: dict[str, str] = {
+    "op10_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+""",
     "op4_near_duplicates": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
