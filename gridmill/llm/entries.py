@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import bpe, langid, near_duplicates, token_counts, topk, toxicity
+from gridmill.llm import bpe, decontaminate, langid, near_duplicates, token_counts, topk, toxicity, warc
 from gridmill.llm.common import table
 
 #: Vocabulary files; a caller of the operators passes its own paths.
@@ -31,6 +31,16 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, rows=7)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item or an edited copy, with the item and its similarity."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page taken through ARC and WARC files, as read back from the latter."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole text and of the text decoded from them."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(CODE_VOCABULARY))
@@ -47,7 +57,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-_QUERIES = (op1_token_counts, op3_toxicity, op4_near_duplicates, op7_bpe_round_trip, op9_language_id, op10_top_k)
+_QUERIES = (op1_token_counts, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_warc, op7_bpe_round_trip, op9_language_id, op10_top_k)
 _SQL: dict[str, str] = {
     "op10_top_k": """
 WITH v AS (
@@ -58,6 +68,14 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
+""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
 """,
     "op4_near_duplicates": r"""
 WITH RECURSIVE w AS (
