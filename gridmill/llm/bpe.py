@@ -30,6 +30,9 @@ STRETCH = 1 << 16
 #: Symbols of one word from which its ids are emitted while it is still being read.
 WINDOW = 1 << 12
 
+# Fixed value: the published split pattern of the word-end vocabulary.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -146,8 +149,7 @@ class Encoder:
     def __init__(self, merges: Merges):
         self.m, self.known = merges, {}
         self.exact = regex.compile(merges.pattern)
-        self.plain = None if merges.keep_gaps else re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+")
-        # held back at the end of a stretch: what a later character may still lengthen or change
+        self.plain = None if merges.pattern != WORD_PATTERN else re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
         self.special = re.compile("|".join(map(re.escape, sorted(merges.added, key=len, reverse=True)))) if merges.added else None
 
     def _normal(self, text: str) -> str:
@@ -160,8 +162,7 @@ class Encoder:
     def _split(self, text: str) -> list[str]:
         if self.m.keep_gaps:
             return pretoken.split(text)
-        fast = text.isascii() and not _SEPARATORS.search(text)
-        return (self.plain if fast else self.exact).findall(text)
+        return (self.plain if self.plain and pretoken.agrees(text) else self.exact).findall(text)
 
     def _words(self, words: list[str]) -> Iterator[int]:
         known = self.known
@@ -193,7 +194,6 @@ class Encoder:
         return out
 
 
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Between a visible ASCII character and a line's end or blank followed by one: words end before it
 #: in either vocabulary, as a blank belongs to the word behind it.
 _CUT = re.compile(r"[!-~](?=[ \n][!-~])")

@@ -17,13 +17,23 @@ _FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s
 
 
 @lru_cache(1)
-def _odd() -> re.Pattern:
+def _odd() -> frozenset[str]:
     """Characters on which `re` and the pattern's classes disagree: numbers that aren't decimal
     digits, and the separators that only `re` takes for white space."""
-    found = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")]
-    return re.compile("[\x1c-\x1f" + "".join(map(re.escape, found)) + "]")
+    numbers = (chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
+    return frozenset([*_SEPARATORS, *numbers])
+
+
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def agrees(text: str) -> bool:
+    """Whether `re` splits the text as the pattern's own classes would."""
+    if text.isascii():
+        return not any(x in text for x in _SEPARATORS)
+    return _odd().isdisjoint(text)
 
 
 def split(text: str) -> list[str]:
     """The pre-tokens of `text`, in order; their concatenation is the text."""
-    return (_EXACT if _odd().search(text) else _FAST).findall(text)
+    return (_FAST if agrees(text) else _EXACT).findall(text)
