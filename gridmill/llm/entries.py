@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridmill.llm import bpe, decontaminate, langid, near_duplicates, token_counts, topk, toxicity, warc
+from gridmill.llm import bpe, chat, decontaminate, langid, licenses, near_duplicates, token_counts, topk, toxicity, warc
 from gridmill.llm.common import table
 
 #: Vocabulary files; a caller of the operators passes its own paths.
@@ -19,6 +20,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_VOCABULARY))
 
 
+def _spans(mask: str) -> Column:
+    """A mask as text: start:length:learned, joined by ;"""
+    return F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["start"], s["length"], s["learned"].cast("string"))), ";")
+
+
+def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against its version with a worse last reply."""
+    turns = table(spark, sf_dir, "conversations")
+    chosen, rejected = (x.withColumnRenamed("conv_id", "pair_id") for x in (turns, chat.weakened(turns)))
+    got = chat.preferences(chosen, rejected)
+    return got.select(F.col("pair_id").alias("conv_id"), "prompt", "prompt_turns", "chosen", "rejected", _spans("chosen_mask").alias("chosen_mask"), _spans("rejected_mask").alias("rejected_mask"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text by the machine fitted on the learning folds."""
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +60,14 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(CODE_VOCABULARY))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document as a file in a tree of sources, thousands and hundreds of ids."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100) % 10, "doc_id")
+    got = licenses.scan(docs.select(path.alias("path"), "text"))
+    return got.select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "license", "similarity", "origin", "found_in")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text by the prototypes of the learning folds."""
     docs = table(spark, sf_dir, "documents")
@@ -57,7 +79,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-_QUERIES = (op1_token_counts, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_warc, op7_bpe_round_trip, op9_language_id, op10_top_k)
+_QUERIES = (op1_token_counts, op2_chat_preferences, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_warc, op7_bpe_round_trip, op8_licenses, op9_language_id, op10_top_k)
 _SQL: dict[str, str] = {
     "op10_top_k": """
 WITH v AS (
@@ -77,6 +99,50 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f
 """,
+    "op2_chat_preferences": """
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos,
+    row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn DESC, text DESC) AS left_,
+    lag(text) OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn, text) AS before FROM conversations),
+b AS (SELECT conv_id, pos, role, text AS c, CASE WHEN role = 'assistant' AND left_ = 1 THEN coalesce(before, '') ELSE text END AS r FROM t),
+p AS (SELECT *, coalesce(min(CASE WHEN c <> r THEN pos END) OVER (PARTITION BY conv_id) - 1, count(*) OVER (PARTITION BY conv_id)) AS prompt_turns,
+    '<|im_start|>' || role || chr(10) AS head FROM b),
+s AS (SELECT *, pos <= prompt_turns AS same, length(head) AS h, length(c) + 11 AS lc, length(r) + 11 AS lr,
+    sum(length(head) + length(c) + 11) OVER (PARTITION BY conv_id ORDER BY pos) - length(head) - length(c) - 11 AS ac,
+    sum(length(head) + length(r) + 11) OVER (PARTITION BY conv_id ORDER BY pos) - length(head) - length(r) - 11 AS ar FROM p)
+SELECT conv_id, CAST(any_value(prompt_turns) AS INTEGER) AS prompt_turns,
+  coalesce(string_agg(head || c || '<|im_end|>' || chr(10), '' ORDER BY pos) FILTER (same), '') AS prompt,
+  coalesce(string_agg(head || c || '<|im_end|>' || chr(10), '' ORDER BY pos) FILTER (NOT same), '') AS chosen,
+  coalesce(string_agg(head || r || '<|im_end|>' || chr(10), '' ORDER BY pos) FILTER (NOT same), '') AS rejected,
+  coalesce(string_agg(ac || ':' || h || ':false;' || (ac + h) || ':' || lc || ':' || (role = 'assistant'), ';' ORDER BY pos) FILTER (NOT same), '') AS chosen_mask,
+  coalesce(string_agg(ar || ':' || h || ':false;' || (ar + h) || ':' || lr || ':' || (role = 'assistant'), ';' ORDER BY pos) FILTER (NOT same), '') AS rejected_mask
+FROM s GROUP BY conv_id
+""",
+    "op8_licenses": r"""
+WITH template(license, line) AS (VALUES %s),
+tt AS (SELECT license, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS term FROM template),
+tf AS (SELECT license, term, count(*) AS tf FROM tt GROUP BY ALL),
+idf AS (SELECT term, ln(%d.0 / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+raw AS (SELECT license, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+weights AS (SELECT license, term, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS weight FROM raw),
+f AS (SELECT doc_id, coalesce(source, '-') AS s, doc_id // 1000 AS k, doc_id // 100 %% 10 AS h, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM f),
+lt AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS term FROM l
+  WHERE regexp_matches(lower(line), 'licens|released|rights|permission|copyright|public|commons')),
+lw AS (SELECT doc_id, pos, term, count(*) AS tf FROM lt GROUP BY ALL),
+w AS (SELECT doc_id, pos, term, tf, tf * coalesce(idf, ln(%d.0) + 1) AS w FROM lw LEFT JOIN idf USING (term)),
+n AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM w GROUP BY ALL),
+d AS (SELECT doc_id, pos, license, sum(w * weight) AS dot FROM w JOIN weights USING (term) GROUP BY ALL),
+m AS (SELECT doc_id, pos, license, words, round(dot / norm, 6) AS similarity FROM d JOIN n USING (doc_id, pos) WHERE round(dot / norm, 6) >= 0.75
+  QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY similarity DESC, license DESC) = 1),
+own AS (SELECT doc_id, arg_max(license, row(similarity, -pos)) AS license, max(similarity) AS similarity, sum(words) AS notice FROM m GROUP BY doc_id),
+chief AS (SELECT s, k, h, doc_id, license, similarity FROM own JOIN f USING (doc_id) WHERE notice >= 0.1 * len(regexp_split_to_array(trim(text), '\s+'))
+  QUALIFY row_number() OVER (PARTITION BY s, k, h ORDER BY similarity DESC, CAST(doc_id AS VARCHAR)) = 1)
+SELECT f.doc_id, coalesce(own.license, chief.license) AS license, coalesce(own.similarity, chief.similarity) AS similarity,
+  CASE WHEN own.license IS NOT NULL THEN 'own' WHEN chief.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own.license IS NULL AND chief.license IS NOT NULL THEN f.s || '/' || f.k || '/' || f.h END AS found_in
+FROM f LEFT JOIN own USING (doc_id) LEFT JOIN chief ON chief.s = f.s AND chief.k = f.k AND chief.h = f.h
+""" % (", ".join(f"('{a}', '{b}')" for a, b in licenses.TEMPLATES), len(licenses.TEMPLATES) + 1, len(licenses.TEMPLATES) + 1),
     "op4_near_duplicates": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
