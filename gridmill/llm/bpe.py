@@ -168,7 +168,7 @@ class Encoder:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        for w in {*words} - known.keys():
+        for w in {*words}.difference(known):
             known[w] = tuple(self.m.word(w))
         return chain.from_iterable(map(known.__getitem__, words))
 

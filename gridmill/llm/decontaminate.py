@@ -43,7 +43,7 @@ class _Words:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        for w in {*words} - known.keys():
+        for w in {*words}.difference(known):
             known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 

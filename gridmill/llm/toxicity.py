@@ -165,7 +165,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None) -> D
                 words = terms(text.as_py())
                 if len(known) > MEMORY:
                     known.clear()
-                for w in words - known.keys():
+                for w in words.difference(known):
                     known[w] = place.get(bucket(w), -1)
                 at = {known[w] for w in words}
                 at.discard(-1)
