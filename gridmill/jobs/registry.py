@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from gridmill.jobs import field_queries
+
 FLAGSHIP = "transfer_floor"
+_ALL = {**field_queries.QUERIES}
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
