@@ -58,7 +58,7 @@ class Shingler:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        for w in {*words} - known.keys():
+        for w in {*words}.difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = len(h)
@@ -73,7 +73,7 @@ class Shingler:
         return np.unique(mixed)
 
 
-@lru_cache(4)
+@lru_cache(16)
 def _attempts(bins: int, first: int, n: int) -> np.ndarray:
     """Bins that each bin asks in attempts first..first+n."""
     at = np.arange(bins, dtype=np.uint64)[:, None] * np.uint64(0x100000001B3) + np.arange(first, first + n, dtype=np.uint64)[None, :]
