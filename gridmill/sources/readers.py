@@ -72,7 +72,7 @@ def parsed_metrics(lines: DataFrame) -> DataFrame:
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """(run, epoch, ...) of the metrics files under path; a bad row is an error that names its line."""
-    text = spark.read.option("wholetext", True).text(path).select(run_of(F.col("_metadata.file_path")).alias("run"), "value")
+    text = spark.read.text(path, wholetext=True).select(run_of(F.col("_metadata.file_path")).alias("run"), "value")
     lines = text.select("run", F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).where((F.col("at") > 0) & (F.col("value") != ""))
     rows = parsed_metrics(lines.select("run", (F.col("at") + 1).alias("line"), "value"))
     bad = rows.where("bad").orderBy("run", "line").limit(1).collect()
