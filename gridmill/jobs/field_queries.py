@@ -155,15 +155,13 @@ def normalizer_saved(spark, d):
     return got.select("sample", F.posexplode("x").alias("pos", "value")).withColumn("value", F.round("value", 7))
 
 
-@query("""WITH RECURSIVE g AS (SELECT unnest([8, 6]) AS n) SELECT n, CAST(j AS INTEGER) AS j, round(sin(pi() * (2 * j - (n - 1)) / (2 * (n - 1))), 9) AS chebyshev, round(-1 + 2.0 * j / (n - 1), 9) AS uniform,
-  (SELECT count(*) FROM embeddings) AS samples FROM (SELECT n, unnest(range(n)) AS j FROM g)""")
+@query(f"WITH {t.POINTS}, {t.GRID} SELECT label, CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(a.x, 9) AS x, round(b.x, 9) AS y, round(-1 + 2.0 * a.j / 7, 9) AS uniform_x, round(avg(p.x), 8) AS mean FROM p JOIN c a ON a.j = pos // 8 JOIN c b ON b.j = pos % 8 GROUP BY label, a.j, b.j, a.x, b.x")
 def node_tables(spark, d):
-    rows = None
-    for n in (8, 6):
-        part = fields.nodes_table(spark, n).join(fields.uniform_table(spark, n).withColumnRenamed("x", "u"), "j")
-        part = part.select(F.lit(n).alias("n"), "j", F.round("x", 9).alias("chebyshev"), F.round("u", 9).alias("uniform"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.crossJoin(t.fields(spark, d).agg(F.count("*").alias("samples")))
+    """Mean field of each group at its nodes' coordinates."""
+    rows = fields.long_form(t.fields(spark, d), "values", "label", width=N).groupBy("label", "i", "j").agg(F.round(F.avg("value"), 8).alias("mean"))
+    x = fields.nodes_table(spark, N).join(fields.uniform_table(spark, N).withColumnRenamed("x", "u"), "j").select(F.col("j").alias("i"), F.round("x", 9).alias("x"), F.round("u", 9).alias("uniform_x"))
+    y = fields.nodes_table(spark, N).select("j", F.round("x", 9).alias("y"))
+    return rows.join(F.broadcast(x), "i").join(F.broadcast(y), "j").select("label", "i", "j", "x", "y", "uniform_x", "mean")
 
 
 @query(f"WITH {t.POINTS}, {t.GRID} SELECT sample, round(sum(a.w * b.w * x * x), 8) AS norm_sq FROM p JOIN w a ON a.j = pos // 8 JOIN w b ON b.j = pos % 8 GROUP BY sample")
@@ -416,14 +414,11 @@ def solved_labels(spark, d):
 
 @query()
 def generated_split(spark, d):
-    """As many seeds as the table has fields, their errors by group of ten."""
-    count = t.fields(spark, d).count()
-    rows = generate.split(spark, 17, count, 10_000, s=12)
+    """A labelled random field for every sample of the table, errors by group of ten."""
+    rows = generate.labelled(t.fields(spark, d), 17, 10_000, s=12)
     return rows.groupBy(F.floor(F.col("sample") / 10).alias("part")).agg(F.count("*").alias("n"), F.round(F.max("transfer"), 6).alias("transfer"), (F.max("label_error") < 1e-2).alias("near"))
 
 
-_HASH = "WITH s AS (SELECT vec_id AS sample FROM embeddings)"
-
 
 @query()
 def exact_subset(spark, d):

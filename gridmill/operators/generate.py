@@ -75,7 +75,13 @@ _ROW = "sample long, seed long, f array<double>, u array<double>, label_error do
 
 
 def split(spark: SparkSession, n: int, count: int, base: int, k_max: int | None = None, s: int | None = None, parts: int | None = None) -> DataFrame:
-    """A labelled split: sample i has seed base + i. Map-only over seeds, so it spreads freely.
+    """A labelled split of count samples. Map-only over seeds, so it spreads freely."""
+    ids = spark.range(0, count, 1, parts) if parts else spark.range(count)
+    return labelled(ids.withColumnRenamed("id", "sample"), n, base, k_max, s)
+
+
+def labelled(samples: DataFrame, n: int, base: int, k_max: int | None = None, s: int | None = None) -> DataFrame:
+    """Fields of the given samples: sample i has seed base + i.
 
     label_error compares the solved label with the exact series, transfer is the round trip through
     the s x s grid. From 65 nodes a side a label further off than LABEL_GAP, or NaN, is an error."""
@@ -86,7 +92,7 @@ def split(spark: SparkSession, n: int, count: int, base: int, k_max: int | None
         there = grids.to_chebyshev(s, n) @ grids.to_uniform(n, s)
         for b in batches:
             for at in range(0, len(b), 64):
-                part = b["id"].to_numpy()[at : at + 64]
+                part = b["sample"].to_numpy()[at : at + 64]
                 f, exact = series(base + part, n, k_max)
                 u = solver(f)
                 gap = cc_rel(u, exact, w)
@@ -96,8 +102,7 @@ def split(spark: SparkSession, n: int, count: int, base: int, k_max: int | None
                     raise ValueError(f"label of sample {part[i]}, seed {base + part[i]}, is off by {gap[i]}")
                 yield pd.DataFrame({"sample": part, "seed": base + part, "f": [*f.reshape(len(part), -1)], "u": [*u.reshape(len(part), -1)], "label_error": gap, "transfer": cc_rel(there @ u @ there.T, u, w)})
 
-    ids = spark.range(0, count, 1, parts) if parts else spark.range(count)
-    return ids.mapInPandas(run, _ROW)
+    return samples.select("sample").mapInPandas(run, _ROW)
 
 
 def solve(values, n: int):

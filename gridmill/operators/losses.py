@@ -11,6 +11,9 @@ from gridmill.functions import grids
 from gridmill.functions.blocks import stacked
 from gridmill.functions.safe import div
 
+#: Points a side up to which quadrature weights are written into the plan.
+LITERAL_SIDE = 24
+
 
 def _power_sum(values: Column, p: float) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.pow(F.abs(x), F.lit(float(p))))
@@ -52,8 +55,17 @@ def reduced(losses: DataFrame, loss: str, how: str, *group: str) -> DataFrame:
 
 
 def cc_norm_sq(values: Column | str, side: int) -> Column:
-    """Sum of w_i w_j v_ij^2 with Clenshaw-Curtis weights."""
+    """Sum of w_i w_j v_ij^2 with Clenshaw-Curtis weights.
+
+    Built-in functions up to LITERAL_SIDE points a side; the weights of larger grids are no literals."""
     w = grids.clenshaw_curtis(side)
+    if side > LITERAL_SIDE:
+
+        @F.pandas_udf("double")
+        def run(v: pd.Series) -> pd.Series:
+            return pd.Series(np.einsum("kij,i,j->k", stacked(v, (side, side)) ** 2, w, w))
+
+        return run(values)
     weights = F.array(*(F.lit(float(x)) for x in np.outer(w, w).ravel()))
     return F.aggregate(F.zip_with(values, weights, lambda v, x: v * v * x), F.lit(0.0), lambda a, x: a + x)
 

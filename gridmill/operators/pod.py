@@ -80,11 +80,12 @@ def fit(df: DataFrame, values: str, weights: np.ndarray, keep: int | None = None
 
     kind = "row array<double>, energy double"
     rows = df.select(F.col(values).cast("array<double>").alias("x")).mapInArrow(reduce_rows, kind)
-    parts = rows.rdd.getNumPartitions()
+    # a shuffle at each level keeps the levels below spread over all tasks
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while parts > 1:
         parts = max(1, parts // 8)
-        rows = rows.coalesce(parts).mapInArrow(again, kind)
-    got = rows.toPandas()
+        rows = rows.repartition(parts).mapInArrow(again, kind)
+    got = rows.toPandas()  # one triangular factor
     r = np.array([*got["row"]])
     _, sigma, modes = np.linalg.svd(r, full_matrices=False)
     keep = min(keep or len(sigma), points, base.n, len(sigma))
