@@ -17,11 +17,24 @@ def last_epoch(metrics: DataFrame, *columns: str) -> DataFrame:
     return metrics.groupBy("run").agg(F.max_by(F.struct(*rest), "epoch").alias("last")).select("run", *(f"last.{c}" for c in (columns or rest)))
 
 
+def _later_times(first: Column) -> Column:
+    """Sorted epoch times of a run after its first row, from rows collected as `times`."""
+    later = F.filter("times", lambda x: (x["epoch"] > first) & x["epoch_time_s"].isNotNull())
+    return F.array_sort(F.transform(later, lambda x: x["epoch_time_s"]))
+
+
+def finished(metrics: DataFrame) -> DataFrame:
+    """Each run's last epoch with median_time, in one pass over the epochs."""
+    rest = [c for c in metrics.columns if c != "run"]
+    rows = metrics.groupBy("run").agg(F.max_by(F.struct(*rest), "epoch").alias("last"), F.min("epoch").alias("first"), F.collect_list(F.struct("epoch", "epoch_time_s")).alias("times"))
+    rows = rows.withColumn("times", _later_times(F.col("first")))
+    middle = F.try_element_at("times", (F.floor(F.size("times") / 2) + 1).cast("int"))
+    return rows.select("run", *(f"last.{c}" for c in rest), middle.alias("median_time"))
+
+
 def median_epoch_time(metrics: DataFrame) -> DataFrame:
     """(run, median_time): upper median of the epoch times after the run's first row."""
-    first = metrics.groupBy("run").agg(F.min("epoch").alias("first"))
-    later = metrics.join(first, "run").withColumn("t", F.when(F.col("epoch") > F.col("first"), F.col("epoch_time_s")))
-    return later.groupBy("run").agg(upper_median(F.col("t")).alias("median_time"))
+    return finished(metrics.select("run", "epoch", "epoch_time_s")).select("run", "median_time")
 
 
 def optimizer_arm(optimizer: Column, batch: Column, diagonal: Column) -> Column:
@@ -34,16 +47,16 @@ def assembled(data: DataFrame, training: DataFrame, model: DataFrame, metrics: D
     """A row a run from its files; only costs may be missing.
 
     A run without epochs or errors, or whose errors are on another grid than its data, is an error."""
-    runs = data.select("run")
-    for name, table in (("metrics", metrics), ("errors", errors)):
-        lacking = runs.join(table.select("run"), "run", "left_anti").limit(1).collect()
-        if lacking:
-            raise ValueError(f"run {lacking[0].run} has no {name}")
-    wrong = data.select("run", "s").join(errors.select("run", F.col("s").alias("s2")), "run").where("s <> s2").limit(1).collect()
-    if wrong:
-        raise ValueError(f"run {wrong[0].run} has errors at s = {wrong[0].s2} and data at s = {wrong[0].s}")
-    out = data.join(training, "run").join(model, "run").join(last_epoch(metrics), "run").join(median_epoch_time(metrics), "run")
-    out = out.join(errors.drop("s"), "run").join(costs, "run", "left")
+    faults = errors.withColumnRenamed("s", "errors_s").withColumn("has_errors", F.lit(True))
+    out = data.join(training, "run").join(model, "run").join(finished(metrics), "run", "left").join(faults, "run", "left").join(costs, "run", "left")
+    name = F.col("run").cast("string")
+    wrong = (
+        F.when(F.col("epoch").isNull(), F.concat(F.lit("no metrics of run "), name))
+        .when(F.col("has_errors").isNull(), F.concat(F.lit("no errors of run "), name))
+        .when(F.col("errors_s") != F.col("s"), F.concat(F.lit("errors and data on different grids for run "), name))
+    )
+    # the check is part of the key, so no later step can leave it out
+    out = out.withColumn("run", F.when(wrong.isNull(), F.col("run")).otherwise(F.raise_error(wrong).cast(data.schema["run"].dataType))).drop("errors_s", "has_errors")
     steps = F.col("epochs") * F.ceil(F.col("n_train") / F.col("batch_size"))
     return out.withColumn("steps", F.coalesce("optimisation_steps", steps)).withColumn("gap", F.col("test_l2") - F.col("train_l2")).withColumn("passes", F.col("forward_passes") + F.col("backward_passes"))
 

@@ -198,6 +198,21 @@ def test_run_rules(spark):
         runs.assert_alike(spark.createDataFrame([("a",), (None,)], "backend string"), "backend")
 
 
+def test_assembly_needs_all_but_costs(spark):
+    data = spark.createDataFrame([("a", 8, 40), ("b", 8, 40)], "run string, s int, n_train int")
+    training = spark.createDataFrame([("a", 20, 2), ("b", 20, 2)], "run string, batch_size int, epochs int")
+    model = spark.createDataFrame([("a", 0), ("b", 4)], "run string, padding int")
+    metrics = spark.createDataFrame([("a", 0, 0.5, 0.6, 9.0), ("a", 1, 0.4, 0.5, 2.0), ("a", 2, 0.3, 0.5, 3.0), ("b", 0, 0.1, 0.2, None)], "run string, epoch int, train_l2 double, test_l2 double, epoch_time_s double")
+    faults = spark.createDataFrame([("a", 8, 0.1), ("b", 8, 0.2)], "run string, s int, total double")
+    costs = spark.createDataFrame([("a", 7, 1, None)], "run string, optimisation_steps long, forward_passes long, backward_passes long")
+    got = {r.run: r for r in runs.assembled(data, training, model, metrics, faults, costs).collect()}
+    assert (got["a"].median_time, got["a"].steps, got["a"].passes, got["a"].epoch) == (3.0, 7, None, 2)
+    assert (got["b"].median_time, got["b"].steps) == (None, 4)
+    for m, e, said in ((metrics.where("run = 'a'"), faults, "no metrics of run b"), (metrics, faults.where("run = 'a'"), "no errors of run b"), (metrics, faults.withColumn("s", F.lit(9)), "different grids")):
+        with pytest.raises(Exception, match=said):
+            runs.assembled(data, training, model, m, e, costs).select("run").collect()
+
+
 def test_export_rules(spark):
     rows = spark.createDataFrame([("r_5", float("nan")), ("r_5", float("inf")), ("r_5", 1.5)], "run string, x double")
     assert [r[0] for r in rows.select(tracking.as_text(F.col("x"))).collect()] == ["NaN", "Infinity", "1.5"]
