@@ -49,7 +49,7 @@ def subsample_line(spark, d):
     return _points(t.fields(spark, d).withColumn("values", fields.strided("values", 5)), "sample")
 
 
-@query(f"WITH {t.FIELDS}, r AS (SELECT unnest([1, 2, 4, 7]) AS rate) SELECT rate, 8192 // rate AS line_points, 420 // rate + 1 AS plane_points, count(*) FILTER (len(v) <> (7 // rate + 1) * (7 // rate + 1)) AS other FROM r, f GROUP BY rate")
+@query(f"WITH {t.FIELDS}, r AS (SELECT unnest([1, 2, 4, 7]) AS rate) SELECT rate, CAST(8192 // rate AS BIGINT) AS line_points, CAST(420 // rate + 1 AS BIGINT) AS plane_points, count(*) FILTER (len(v) <> (7 // rate + 1) * (7 // rate + 1)) AS other FROM r, f GROUP BY rate")
 def resolution_rule(spark, d):
     rate = F.explode(F.array(*map(F.lit, (1, 2, 4, 7)))).alias("rate")
     rows = t.fields(spark, d).select(rate, F.size("values").alias("size"))
@@ -108,7 +108,7 @@ def pair_check(spark, d):
     return fields.one_sided(rows.where("sample % 10 <> 0"), rows.where("sample % 15 <> 0"))
 
 
-@query(f"WITH {t.FIELDS} SELECT sample, 0.0 AS gap FROM f")
+@query(f"WITH {t.FIELDS} SELECT sample, CAST(0 AS DOUBLE) AS gap FROM f")
 def common_nodes(spark, d):
     rows = t.fields(spark, d).select("sample", "values")
     # a coarse grid made of every seventh node shares all of its nodes
