@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gridmill.jobs import field_queries, run_queries
+from gridmill.jobs import field_queries, run_queries, stream_queries
 
 FLAGSHIP = "transfer_floor"
-_ALL = {**field_queries.QUERIES, **run_queries.QUERIES}
+_ALL = {**field_queries.QUERIES, **run_queries.QUERIES, **stream_queries.QUERIES}
 
 
 def queries() -> dict:
