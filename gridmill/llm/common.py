@@ -1,35 +1,18 @@
-"""What the operators share: table reading, the shared folder, splits and column names."""
+"""What the operators share: table reading, tables between steps and the held-out fold."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmill.sources.shared import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read through Spark from whatever store `sf_dir` names."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where it is unset (tests, a local session) a folder of this machine is taken."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gridmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back.
 
