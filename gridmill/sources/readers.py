@@ -97,6 +97,11 @@ def read_gn_steps(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("run", run_of(F.col("_metadata.file_path")))
 
 
+def append_gn_steps(steps: DataFrame, path: str) -> None:
+    """Adds rows as CSV files with a header each; nulls are empty fields."""
+    steps.write.mode("append").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
 def read_record(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One record file of each run under path, with the run's name; fields a file lacks are null."""
     return spark.read.schema(schema).json(path, multiLine=True).withColumn("run", run_of(F.col("_metadata.file_path")))

@@ -95,6 +95,10 @@ def test_gn_steps(spark, tmp_path):
     (tmp_path / "r_1" / "gn_steps.csv").write_text(",".join(names) + "\n" + ",".join(values) + "\n")
     got = readers.read_gn_steps(spark, str(tmp_path / "*/gn_steps.csv")).first()
     assert (got.accepted_iteration, got.ritz_min, got.forward_passes, got.run) == (None, None, 4, "r_1")
+    steps = readers.read_gn_steps(spark, str(tmp_path / "*/gn_steps.csv"))
+    for _ in range(2):
+        readers.append_gn_steps(steps.drop("run"), str(tmp_path / "more"))
+    assert readers.read_gn_steps(spark, str(tmp_path / "more")).drop("run").collect() == steps.drop("run").collect() * 2
 
 
 def _epochs(spark, path, rows):
