@@ -6,7 +6,7 @@ keys. Documents with equal sets are one node from the start. In a bucket each no
 smallest one only, so the candidates are stars, and every candidate is confirmed on the full sets.
 What a star can miss, a link between two nodes neither of which is the centre, matters only in
 buckets that still hold several components; there the pairs across components are confirmed too,
-but those whose set sizes or distances to the common centre rule a link out."""
+but those whose set sizes, own shingles or distances to the common centre rule a link out."""
 
 from __future__ import annotations
 
@@ -27,6 +27,8 @@ from gridmill.llm.graph import components
 MISS = 1e-8
 #: Ids up to this number (16 bytes each) are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
+#: Parts, a power of two, over which two sets' common shingles are bounded.
+PARTS = 256
 #: Words whose hash a task remembers.
 MEMORY = 400_000
 
@@ -129,7 +131,7 @@ def _sketches(docs: DataFrame, width: int, rows: int, n: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Full shingle sets of the nodes named in ids."""
+    """Full shingle sets of the nodes named in ids, and how many shingles fall to each of PARTS."""
     wanted = nodes.select("doc_id", "digest").join(ids, "doc_id", "left_semi")
     wanted = F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "digest")
@@ -137,16 +139,15 @@ def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, width: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for b in batches:
-            found = [(i, h.view(np.int64)) for i, t, d in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True) if _digest(h := shingles(t.as_py())) == d]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([h for _, h in found], pa.list_(pa.int64()))], ["doc_id", "items"])
+            found = [(i, h) for i, t, d in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True) if _digest(h := shingles(t.as_py())) == d]
+            parts = [np.bincount((h & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for _, h in found]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "items", "parts"])
 
-    return saved(texts.mapInArrow(run, "doc_id long, items array<long>").dropDuplicates(["doc_id"]), "shingles", "none")
+    return saved(texts.mapInArrow(run, "doc_id long, items array<long>, parts array<int>").dropDuplicates(["doc_id"]), "shingles", "none")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) with the size of their common part."""
-    ids = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "named")
-    sets = _sets(docs, nodes, ids, width)
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("of_b")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("of_a")), "a")
     return saved(both.select("a", "b", "na", "nb", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("common")), "confirmed")
@@ -186,7 +187,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     linked = f"100 * common >= {percent} * (na + nb - common)"
     stars = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = saved(sized(stars).where(can_fit), "stars")
-    tested = _confirmed(stars, docs, nodes, width)
+    named = saved(stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct(), "named")
+    tested = _confirmed(stars, _sets(docs, nodes, named, width))
     first = components(tested.where(linked).select("a", "b"))
 
     labelled = members.join(first.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
@@ -194,19 +196,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high and size > 2")
     far = tested.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
     rest = labelled.join(open_.select("bucket"), "bucket").where("doc_id <> centre").join(far, ["centre", "doc_id"], "left")
-    rest = saved(rest.join(nodes.select("doc_id", "n", "bands"), "doc_id"), "rest")
+    open_ids = saved(rest.select("doc_id").distinct(), "open")
+    sets = _sets(docs, nodes, open_ids, width)
+    # shingles that no other of these documents has are common to no pair: an edit's own ones
+    holders = sets.select("doc_id", F.explode("items").alias("item")).groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"))
+    alone = holders.where("docs = 1").groupBy("doc_id", F.col("item").bitwiseAND(PARTS - 1).cast("int").alias("part")).agg(F.count("*").cast("int").alias("n"))
+    alone = alone.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("alone"))
+    shared_parts = F.transform("parts", lambda n, i: n - F.coalesce(F.try_element_at("alone", i), F.lit(0)))
+    parts = sets.select("doc_id", "parts").join(alone, "doc_id", "left").select("doc_id", shared_parts.alias("parts"))
+    parts = parts.withColumn("shared", F.aggregate("parts", F.lit(0), lambda a, x: a + x))
+    about = nodes.join(open_ids, "doc_id", "left_semi").select("doc_id", "n", "bands").join(parts, "doc_id")
+    rest = saved(rest.join(about, "doc_id"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     within = 1 - percent / 100 + 1e-9
     across = x.join(y, F.expr(
         "x.bucket = y.bucket and x.doc_id < y.doc_id and x.label <> y.label"
         f" and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        # what can be common: shared shingles, in all and part by part
+        f" and 100 * least(x.shared, y.shared) >= {percent} * (x.n + y.n - least(x.shared, y.shared))"
         # distances of sets obey the triangle inequality
         f" and (x.far is null or y.far is null or abs(x.far - y.far) <= {within})"
         # a pair is made in the first band that it shares
         " and x.band = array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) - 1"
+        f" and {100 + percent} * aggregate(zip_with(x.parts, y.parts, (p, q) -> least(p, q)), 0, (s, v) -> s + v) >= {percent} * (x.n + y.n)"
     ))
     across = saved(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")), "across")
-    more = _confirmed(across, docs, nodes, width).where(linked).select("a", "b")
+    more = _confirmed(across, sets).where(linked).select("a", "b")
     ties = first.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
     last = components(ties.unionByName(more))
 
