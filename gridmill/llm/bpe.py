@@ -33,6 +33,8 @@ WINDOW = 1 << 12
 # Fixed value: the published split pattern of the word-end vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+_NEVER = 1 << 60
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -66,20 +68,17 @@ class Merges:
         self.lookahead = max((len(t.removesuffix(self.suffix)) for t in self.vocab), default=1)
 
     def merge(self, symbols: list[str]) -> list[str]:
-        """Applies the merge list, lowest rank first and leftmost first among equals."""
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: self.rank.get(p, 1 << 60))
-            if best not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and symbols[i] == best[0] and symbols[i + 1] == best[1]:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+        """Applies the merge list, lowest rank first and leftmost first among equals, in place."""
+        rank = self.rank.get
+        ranks = [rank(pair, _NEVER) for pair in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (best := min(ranks)) < _NEVER:
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), _NEVER)
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), _NEVER)
         return symbols
 
     def ids(self, symbols: Iterable[str]) -> list[int]:
