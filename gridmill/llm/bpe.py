@@ -22,9 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from gridmill.llm import pretoken
+from gridmill.llm.common import per_batch
 
 #: Words whose ids a task remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Characters of text handled at once.
 STRETCH = 1 << 16
 #: Symbols of one word from which its ids are emitted while it is still being read.
@@ -264,4 +265,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, texts: bool = False) -> Data
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return per_batch(docs.select("doc_id", "text"), run, kind)

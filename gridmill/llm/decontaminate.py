@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.llm.common import per_batch
+
 #: Words in a seed; items that may share a seed before it stops being rare.
 SEED, RARE = 4, 8
 #: Items of fewer words are too short to tell a copy from chance and match nothing.
@@ -27,7 +29,7 @@ SHARE = 0.5
 SLACK = 8
 #: Seeds up to this number (16 bytes each) are sent to all tasks; more are joined by shuffle.
 LOCAL_SEEDS = 1 << 20
-MEMORY = 400_000
+MEMORY = 200_000
 
 _WORD = re.compile(r"\w+")
 
@@ -85,7 +87,7 @@ def _seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([h for _, h in found], pa.list_(pa.int64())), pa.array([_grams(h) for _, h in found], pa.list_(pa.int64()))], ["item_id", "words", "grams"])
 
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    hashed = rows.mapInArrow(items, "item_id long, words array<long>, grams array<long>").dropDuplicates(["item_id", "words"])
+    hashed = per_batch(rows, items, "item_id long, words array<long>, grams array<long>").dropDuplicates(["item_id", "words"])
     each = hashed.select("item_id", F.size("words").alias("size"), F.posexplode("grams").alias("at", "gram"))
     shared = each.groupBy("gram").agg(F.countDistinct("item_id").alias("items"))
     each = each.join(shared, "gram")
@@ -141,7 +143,7 @@ def _by_broadcast(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                     found += [(doc_id, i, a, h[a:z]) for i, a, z in _stretches(h, np.repeat(hit, n), item[s], item_at[s], size[s])]
             yield _rows(found)
 
-    return docs.mapInArrow(run, _PASSAGES)
+    return per_batch(docs, run, _PASSAGES)
 
 
 def _by_join(docs: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def _by_join(docs: DataFrame, seeds: DataFrame) -> DataFrame:
             all_ = [_grams(words(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(x) for x in all_])), pa.array(np.concatenate(all_) if all_ else np.zeros(0, np.int64)), pa.array(np.concatenate([np.arange(len(x)) for x in all_]) if all_ else np.zeros(0, np.int64))], ["doc_id", "gram", "at"])
 
-    hits = docs.mapInArrow(grams, "doc_id long, gram long, at long")
+    hits = per_batch(docs, grams, "doc_id long, gram long, at long")
     hits = hits.join(seeds.withColumnRenamed("at", "item_at"), "gram")
     low = F.col("at") - F.col("item_at") - SLACK - F.floor(F.col("size") / 4)
     spans = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct(low.alias("low"), (low + F.col("size") + 2 * (SLACK + F.floor(F.col("size") / 4))).alias("high"))).alias("spans"))
@@ -175,7 +177,7 @@ def _by_join(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                     found.append((doc_id, item, last[0], h[last[0] : last[1]]))
             yield _rows(found)
 
-    return docs.join(spans, "doc_id").select("doc_id", "text", "item_id", "spans").mapInArrow(cut, _PASSAGES)
+    return per_batch(docs.join(spans, "doc_id").select("doc_id", "text", "item_id", "spans"), cut, _PASSAGES)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, local_seeds: int = LOCAL_SEEDS) -> DataFrame:
@@ -200,6 +202,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, lo
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(scores, pa.float64())], ["doc_id", "item_id", "start", "similarity"])
 
     both = passages.join(items, "item_id").select("doc_id", "item_id", "start", "words", "passage")
-    scored = both.mapInArrow(score, "doc_id long, item_id long, start long, similarity double").where(F.col("similarity") >= share)
+    scored = per_batch(both, score, "doc_id long, item_id long, start long, similarity double").where(F.col("similarity") >= share)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.s")).alias("start"))

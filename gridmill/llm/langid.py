@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import held_out
+from gridmill.llm.common import held_out, per_batch
 
 DIM = 1024
 #: Letters are told apart by so many codes; a-z have their own, code 0 is a gap between words.
@@ -95,7 +95,7 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([v.tolist() for v in vectors], pa.list_(pa.float64()))], ["lang", "v"])
 
     fold = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    places = fold.mapInArrow(add, "lang string, v array<double>").select("lang", F.posexplode("v").alias("place", "x"))
+    places = per_batch(fold, add, "lang string, v array<double>").select("lang", F.posexplode("v").alias("place", "x"))
     total = places.groupBy("lang", "place").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("v"))
     return {r.lang: np.array([p.x for p in r.v]) for r in total.collect()}
 
@@ -130,5 +130,5 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], keep: list[str] |
 
     source = docs.select(*names)
     kinds = ", ".join(f"`{x}` {source.schema[x].dataType.simpleString()}" for x in own)
-    out = source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = per_batch(source, run, f"{kinds}, lang_pred string, score double")
     return out.withColumn("held_out", held_out(F.col("doc_id")))

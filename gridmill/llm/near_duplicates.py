@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import saved
+from gridmill.llm.common import per_batch, saved
 from gridmill.llm.graph import components
 
 #: Chance that a pair just at the threshold shares no bucket.
@@ -30,7 +30,7 @@ BROADCAST_IDS = 1 << 20
 #: Parts, a power of two, over which two sets' common shingles are bounded.
 PARTS = 256
 #: Words whose hash a task remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -127,7 +127,7 @@ def _sketches(docs: DataFrame, width: int, rows: int, n: int) -> DataFrame:
                 keys.append(bands(h, rows, n) if len(h) else [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>")
+    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, n long, digest binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, width: int) -> Data
             parts = [np.bincount((h & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) for _, h in found]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "items", "parts"])
 
-    return saved(texts.mapInArrow(run, "doc_id long, items array<long>, parts array<int>").dropDuplicates(["doc_id"]), "shingles", "none")
+    return saved(per_batch(texts, run, "doc_id long, items array<long>, parts array<int>").dropDuplicates(["doc_id"]), "shingles", "none")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

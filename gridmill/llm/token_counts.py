@@ -162,7 +162,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, buckets: i
         if chunk.docs:
             yield from flush(chunk)
 
-    parts = common.saved(docs.select("doc_id", "text").mapInArrow(chunks, _PARTS), "pretokens", "none")
+    parts = common.saved(common.per_batch(docs.select("doc_id", "text"), chunks, _PARTS), "pretokens", "none")
 
     def count(group: pa.Table) -> pa.Table:
         t, known, outs = _tokenizer(vocabulary), {}, []

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmill.llm.common import per_batch
+
 #: Candidates in a block, queries in a slot (about), candidate blocks that meet a slot in one group.
 BLOCK, SLOT, GROUP = 4096, 512, 4
 #: Shares of the lists that are read before the bounds are looked at; the last reads them whole.
@@ -104,7 +106,7 @@ def _pack(vectors: DataFrame) -> DataFrame:
         for dim in [*held]:
             yield out(dim)
 
-    return vectors.mapInArrow(run, _BLOCKS)
+    return per_batch(vectors, run, _BLOCKS)
 
 
 def _whole(vectors: DataFrame) -> DataFrame:
@@ -178,6 +180,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             yield out()
 
     pairs = blocks.join(asked, ["slot", "dim", "salt"]).select("slot", "dim", "qids", "q", "ids", "x")
-    best = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    best = per_batch(pairs, search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

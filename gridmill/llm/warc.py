@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import saved
+from gridmill.llm.common import per_batch, saved
 from gridmill.sources.shared import scratch
 
 #: Bytes of records in a row, and rows in a file, at most besides the last record.
@@ -53,7 +53,7 @@ def _write(rows: DataFrame, records: Callable[[pa.RecordBatch], Iterator[bytes]]
         for image in _runs((r for b in batches for r in records(b)), head, end):
             yield pa.RecordBatch.from_arrays([pa.array([image], pa.binary())], ["value"])
 
-    images = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    images = per_batch(rows, run, "value binary").select(F.col("value").cast("string"))
     images.write.option("lineSep", end.decode()).option("maxRecordsPerFile", RUNS).option("compression", "gzip").text(path)
 
 
@@ -162,7 +162,7 @@ def read_arc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names[: 8 + blocks])
 
     names = [*(x.split(" ")[0] for x in _RECORDS.split(", ")), "block"]
-    return _files(spark, path).select("content").mapInArrow(run, _RECORDS + ", block binary" * blocks)
+    return per_batch(_files(spark, path).select("content"), run, _RECORDS + ", block binary" * blocks)
 
 
 def _record(kind: str, row: dict, refers_to: str | None, target: str | None) -> bytes:
@@ -238,7 +238,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names)
 
     names = [x.split(" ")[0] for x in _PAGES.split(", ")]
-    return _files(spark, path).select("content").mapInArrow(run, _PAGES)
+    return per_batch(_files(spark, path).select("content"), run, _PAGES)
 
 
 def archived(pages: DataFrame) -> DataFrame:
