@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import held_out
+from gridmill.llm.common import held_out, per_batch
 
 #: Hash buckets of terms.
 BUCKETS = 1 << 20
@@ -30,7 +30,7 @@ LEAST_Z, LEAST_TEXTS = 5.0, 8
 #: STEPS: batches at least, however few the texts.
 FACTORS, EPOCHS, STEPS, BATCH, RATE, SHRINK = 8, 12, 2000, 128, 0.02, 1e-4
 #: Words whose bucket a task remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -68,20 +68,20 @@ def _fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     bias = float(np.log(prior / (1 - prior)))
     if not len(y) or y.min() == y.max():
         return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
-    sizes = np.array([len(r) for r in rows])
-    flat, label = np.concatenate(rows), np.repeat(y, sizes)
-    found, at = np.unique(flat, return_inverse=True)
-    n = np.bincount(at, minlength=len(found))
-    pos, total = np.bincount(at, label, len(found)), y.sum()
+    # a row has each bucket once, so counts are added up row by row, without one array of all terms
+    n, pos, total = np.zeros(BUCKETS), np.zeros(BUCKETS), y.sum()
+    for r, label in zip(rows, y, strict=True):
+        n[r] += 1
+        pos[r] += label
     share = (n + 1) / (len(y) + 2)
     z = (pos / total - n / len(y)) / np.sqrt(share * (1 - share) / total)
     good = np.flatnonzero((n >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
     good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")][:TERMS])
-    place = np.full(len(found), -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[good] = np.arange(len(good))
-    kept = place[at]
-    doc = np.repeat(np.arange(len(rows)), sizes)[kept >= 0]
-    kept = kept[kept >= 0]
+    own_terms = [at[at >= 0] for at in (place[r] for r in rows)]
+    doc = np.repeat(np.arange(len(rows)), [len(x) for x in own_terms])
+    kept = np.concatenate(own_terms)
     starts = np.searchsorted(doc, np.arange(len(rows) + 1))
     rng = np.random.default_rng(7)
     params = [np.array([bias]), np.zeros(len(good)), rng.normal(0, 0.02, (len(good), FACTORS))]
@@ -108,7 +108,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    return Machine(found[good], float(params[0][0]), params[1], params[2])
+    return Machine(good, float(params[0][0]), params[1], params[2])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
@@ -131,12 +131,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             keys = [xxhash.xxh64_intdigest(t.as_py().encode("utf-8", "surrogatepass")) - (1 << 63) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["y", "copy", "at"])
 
-    sets = rows.select("y", "text").mapInArrow(hashed, "y double, copy long, at array<int>")
+    sets = per_batch(rows.select("y", "text"), hashed, "y double, copy long, at array<int>")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         y = group.groupby("copy")["y"].mean()
         texts = group.drop_duplicates("copy").set_index("copy")["at"].reindex(y.index)
-        m = _fit([np.asarray(x, np.int64) for x in texts], y.to_numpy())
+        m = _fit([np.asarray(x) for x in texts], y.to_numpy())
         return pd.DataFrame([(m.buckets.tolist(), m.bias, m.weights.tolist(), m.vectors.ravel().tolist())], columns=["buckets", "bias", "weights", "vectors"])
 
     got = sets.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(one, "buckets array<int>, bias double, weights array<double>, vectors array<double>").collect()
@@ -174,5 +174,5 @@ def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None) -> D
 
     source = docs.select(*names)
     kinds = ", ".join(f"`{x}` {source.schema[x].dataType.simpleString()}" for x in own)
-    out = source.mapInArrow(run, f"{kinds}, score double")
+    out = per_batch(source, run, f"{kinds}, score double")
     return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
