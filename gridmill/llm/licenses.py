@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,35 @@ LEAST = 0.75
 FILE_SHARE = 0.1
 
 
+_TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+
+
 def _terms(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(line), F.lit(_TERM), F.lit(0))
+
+
+def _possible(terms: Column, least: float) -> Column:
+    """False only where the terms prove a cosine under `least` to every template.
+
+    No cosine passes the share of the line's length that lies on terms of templates. Each other
+    term of the line adds the square of the largest idf to the rest, at least."""
+    seen = {(name, t) for name, line in TEMPLATES for t in re.findall(_TERM, line.lower())}
+    idf = {t: math.log((1.0 + len(TEMPLATES)) / (1 + n)) + 1 for t, n in Counter(t for _, t in seen).items()}
+    other, share = math.log(1.0 + len(TEMPLATES)) + 1, max(0.0, least - 1e-6) ** 2
+    groups = [(v, [t for t in idf if idf[t] == v]) for v in sorted({*idf.values()})]
+
+    def weight(t: Column) -> Column:
+        return F.coalesce(*(F.when(t.isin(group), F.lit(v)) for v, group in groups))
+
+    def squares(inside: Column) -> Column:
+        tf = lambda t: F.size(F.filter(inside, lambda x: x == t))
+        return F.aggregate(F.array_distinct(inside), F.lit(0.0), lambda sum_, t: sum_ + F.pow(tf(t) * weight(t), F.lit(2.0)))
+
+    def enough(all_: Column) -> Column:
+        # each array is bound to a name once, so that no line is cut into terms twice
+        return F.exists(F.array(F.filter(all_, lambda t: t.isin(list(idf)))), lambda inside: (F.size(inside) > 0) & ((1 - share) * squares(inside) >= share * other**2 * (F.size(all_) - F.size(inside))))
+
+    return F.exists(F.array(terms), enough)
 
 
 def _weighed(spark: SparkSession) -> DataFrame:
@@ -50,9 +79,8 @@ def notices(files: DataFrame, least: float = LEAST) -> DataFrame:
     spark = files.sparkSession
     other = math.log(1.0 + len(TEMPLATES)) + 1
     weights = _weighed(spark)
-    # a line can only be a notice if it has a term that names a licence, so most lines end here
-    cues = "licens|released|rights|permission|copyright|public|commons"
-    lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line")).where(F.lower("line").rlike(cues))
+    # most lines end here: their terms prove that they are no notice
+    lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line")).where(_possible(_terms(F.col("line")), least))
     terms = lines.select("path", "at", F.explode(_terms(F.col("line"))).alias("term")).groupBy("path", "at", "term").agg(F.count("*").alias("tf"))
     idf = weights.select("term", "idf").distinct()
     weighed = terms.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))

@@ -1,3 +1,5 @@
+import random
+
 from gridmill.llm import chat, entries, licenses
 
 
@@ -71,3 +73,18 @@ def test_licenses(spark):
     assert by["d/z.py"] == ("GPL-3.0", "inherited", "") and by["q/three"][1:] == ("inherited", "q") and by[None] == (None, "none", None)
     assert by["r/s"][1] == "inherited" and by["r/t"][1] == "inherited"
     assert licenses.scan(files(spark, [])).count() == 0
+
+
+def test_notices_without_a_naming_word(spark):
+    lines = ["CC BY-NC 4.0", "Redistribution and use in source and binary forms are permitted.", "Apache, Version 2.0"]
+    got = {r.path: r.license for r in licenses.scan(files(spark, [(f"{i}/f", line) for i, line in enumerate(lines)])).collect()}
+    assert got == {"0/f": "CC-BY-NC-4.0", "1/f": "BSD-3-Clause", "2/f": "Apache-2.0"}
+
+
+def test_the_prefilter_loses_no_line(spark):
+    rng = random.Random(5)
+    terms = sorted({w for _, line in licenses.TEMPLATES for w in line.split()}) + ["sea", "wind", "sky"]
+    rows = [(f"{i}/f", " ".join(rng.choices(rng.choice(licenses.TEMPLATES)[1].split(), k=rng.randrange(1, 9)) + rng.choices(terms, k=rng.randrange(4)))) for i in range(600)]
+    kept = [tuple(r) for r in licenses.notices(files(spark, rows)).orderBy("path").collect()]
+    whole = [tuple(r) for r in licenses.notices(files(spark, rows), least=0.0).where(f"similarity >= {licenses.LEAST}").orderBy("path").collect()]
+    assert kept == whole and 50 < len(kept) < 600
