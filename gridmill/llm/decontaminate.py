@@ -1,32 +1,35 @@
 """Finding benchmark items in training documents, edited copies included.
 
-The n-grams of an item that few other items have are its seeds. Where a document holds a seed, the
-stretch around it that could hold the item is cut out, joined to the item, and aligned with it word
-by word (Smith-Waterman)."""
+Seeds are ordered pairs of words that are next to each other or one word apart. A copy that scores
+`share` of an item of n words has 2 * matches - penalties >= 2 * share * n, so at least share * n - 1
+of its matches are followed by the next one with a penalty of one at most: such two matches are a
+seed of the item and of the document. Of the n - 1 places where a seed of the item can begin, the
+rarest are kept, as many as leave every copy HITS of them. Where a document holds these, the stretch
+that could hold the item is cut out, joined to the item, and aligned with it (Smith-Waterman). So no
+copy is lost before it is scored."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.llm.common import per_batch
 
-#: Words in a seed; items that may share a seed before it stops being rare.
-SEED, RARE = 4, 8
+#: Places of an item whose seeds a stretch must hold (fewer if a copy is sure of fewer).
+HITS = 2
 #: Items of fewer words are too short to tell a copy from chance and match nothing.
 LEAST_WORDS = 8
 #: Points of the alignment for a word that agrees, differs, or is left out or put in.
 MATCH, DIFFER, GAP = 2.0, -1.0, -1.0
 #: Least share of an item's full score that a copy has.
 SHARE = 0.5
-#: Words by which a copy may be longer than its item: SLACK and a quarter of the item.
-SLACK = 8
 #: Seeds up to this number (16 bytes each) are sent to all tasks; more are joined by shuffle.
 LOCAL_SEEDS = 1 << 20
 MEMORY = 200_000
@@ -50,15 +53,18 @@ class _Words:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    """Hash of the SEED words from each place on."""
+def _pairs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ordered pairs of words next to each other or one apart, and where each begins."""
     u = h.view(np.uint64)
-    n = max(0, len(u) - SEED + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(SEED):
-        out = (out ^ u[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    first = u * np.uint64(0x9E3779B97F4A7C15)
+    out = np.concatenate([first[:-1] ^ u[1:], first[:-2] ^ u[2:]]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    out ^= out >> np.uint64(29)
+    return out.view(np.int64), np.concatenate([np.arange(max(0, len(u) - 1)), np.arange(max(0, len(u) - 2))])
+
+
+def _sure(size: int, share: float) -> int:
+    """Places of an item at which every copy that scores `share` has a seed."""
+    return math.ceil(share * size - 1e-9) - 1
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
@@ -76,108 +82,123 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def _seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item_id, words) and the rare seeds (gram, item_id, at, size) of each item."""
+def _seeds(benchmark: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(item_id, text_id), (text_id, words) of the distinct texts, and their seeds (gram, text_id, at, size, slack, least).
+
+    slack: words that a copy can hold beside the item's; least: places that its stretch has to hit."""
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
             found = [(i, words(t.as_py())) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
             found = [(i, h) for i, h in found if len(h) >= LEAST_WORDS]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([h for _, h in found], pa.list_(pa.int64())), pa.array([_grams(h) for _, h in found], pa.list_(pa.int64()))], ["item_id", "words", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([h for _, h in found], pa.list_(pa.int64()))], ["item_id", "words"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, h.values.to_numpy()) for i, h in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            rows = [(i, len(h), max(0, int(2 * len(h) * (1 - share))), min(HITS, _sure(len(h), share)), *x) for i, h in found for x in zip(*(y.tolist() for y in _pairs(h)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(6)], ["text_id", "size", "slack", "least", "gram", "at"])
 
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    hashed = per_batch(rows, items, "item_id long, words array<long>, grams array<long>").dropDuplicates(["item_id", "words"])
-    each = hashed.select("item_id", F.size("words").alias("size"), F.posexplode("grams").alias("at", "gram"))
-    shared = each.groupBy("gram").agg(F.countDistinct("item_id").alias("items"))
-    each = each.join(shared, "gram")
-    # an item without a rare seed keeps the rarest it has
-    least = each.groupBy("item_id").agg(F.min("items").alias("least"))
-    rare = each.join(least, "item_id").where((F.col("items") <= RARE) | (F.col("items") == F.col("least")))
-    return hashed.select("item_id", "words"), rare.select("gram", "item_id", "at", "size")
-
-
-def _stretches(h: np.ndarray, at: np.ndarray, item: np.ndarray, item_at: np.ndarray, size: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item, from, to): where in the document each hit's item can lie; overlapping ones merged."""
-    slack = SLACK + size // 4
-    low, high = np.maximum(0, at - item_at - slack), np.minimum(len(h), at - item_at + size + slack)
-    order = np.lexsort((low, item))
-    out: list[list[int]] = []
-    for i, a, z in zip(item[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True):
+    hashed = per_batch(rows, items, "item_id long, words array<long>").withColumn("text_id", F.xxhash64("words"))
+    texts = hashed.select("text_id", "words").dropDuplicates(["text_id"])
+    each = per_batch(texts, places, "text_id long, size long, slack long, least long, gram long, at long")
+    shared = each.groupBy("gram").agg(F.countDistinct("text_id").alias("texts"))
+    cost = each.join(shared, "gram").groupBy("text_id", "at").agg(F.sum("texts").alias("cost"))
+    order = cost.select("text_id", "at", F.row_number().over(Window.partitionBy("text_id").orderBy("cost", "at")).alias("nth"))
+    # a copy is sure of ceil(share * size) - 1 places: of all but that many it can miss every one
+    sure = F.ceil(share * F.col("size") - 1e-9) - 1
+    kept = each.join(order, ["text_id", "at"]).where(F.col("nth") <= F.col("size") - 1 - sure + F.col("least"))
+    return hashed.select("item_id", "text_id").distinct(), texts, kept.select("gram", "text_id", "at", "size", "slack", "least").distinct()
+
+
+def _stretches(at: np.ndarray, end: int, text: np.ndarray, text_at: np.ndarray, size: np.ndarray, slack: np.ndarray, least: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, from, to): where in the document each hit's item can lie; overlapping ones merged.
+
+    Only stretches that hit the item at `least` places; `end` is the document's number of words."""
+    low, high = np.maximum(0, at - text_at - slack), np.minimum(end, at - text_at + size + slack)
+    order = np.lexsort((low, text))
+    out: list[list] = []
+    for i, a, z, place, n in zip(*(x[order].tolist() for x in (text, low, high, text_at, least)), strict=True):
         if out and out[-1][0] == i and a <= out[-1][2]:
             out[-1][2] = max(out[-1][2], z)
+            out[-1][3].add(place)
         else:
-            out.append([i, a, z])
-    return [tuple(x) for x in out]
+            out.append([i, a, z, {place}, n])
+    return [(i, a, z) for i, a, z, places, n in out if len(places) >= n]
 
 
-_PASSAGES = "doc_id long, item_id long, start long, passage array<long>"
+_PASSAGES = "doc_id long, text_id long, start long, passage array<long>"
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], ["doc_id", "item_id", "start", "passage"])
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], ["doc_id", "text_id", "start", "passage"])
 
 
 def _by_broadcast(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Passages by looking the seeds up in each task."""
     got = seeds.orderBy("gram").toPandas()
-    gram, item, item_at, size = (got[x].to_numpy(np.int64) for x in ("gram", "item_id", "at", "size"))
+    gram, *seed = (got[x].to_numpy(np.int64) for x in ("gram", "text_id", "at", "size", "slack", "least"))
     distinct, first, number = np.unique(gram, return_index=True, return_counts=True)
+    # most pairs of a document end at a table over the hashes' highest bits
+    shift = np.uint64(64 - min(24, 12 + int(len(distinct)).bit_length() // 2 * 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
+        held = np.zeros(1 << (64 - int(shift)), bool)
+        held[distinct.view(np.uint64) >> shift] = True
         for b in batches:
             found = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = words(text.as_py())
-                g = _grams(h)
-                if not len(g) or not len(distinct):
+                g, at = _pairs(h)
+                near = np.flatnonzero(held[g.view(np.uint64) >> shift]) if len(distinct) else []
+                if not len(near):
                     continue
+                g = g[near]
                 where = np.minimum(np.searchsorted(distinct, g), len(distinct) - 1)
                 hit = np.flatnonzero(distinct[where] == g)
                 if len(hit):
                     k = where[hit]
                     n = number[k]
                     s = np.repeat(first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    found += [(doc_id, i, a, h[a:z]) for i, a, z in _stretches(h, np.repeat(hit, n), item[s], item_at[s], size[s])]
+                    found += [(doc_id, i, a, h[a:z]) for i, a, z in _stretches(np.repeat(at[near[hit]], n), len(h), *(x[s] for x in seed))]
             yield _rows(found)
 
     return per_batch(docs, run, _PASSAGES)
 
 
 def _by_join(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The same by joining the documents' n-grams with the seeds; only documents with a hit are met again."""
+    """The same by joining the documents' pairs with the seeds; only documents with a hit are met again."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
-            all_ = [_grams(words(t.as_py())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(x) for x in all_])), pa.array(np.concatenate(all_) if all_ else np.zeros(0, np.int64)), pa.array(np.concatenate([np.arange(len(x)) for x in all_]) if all_ else np.zeros(0, np.int64))], ["doc_id", "gram", "at"])
+            all_ = [_pairs(words(t.as_py())) for t in b.column(1)]
+            ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(g) for g, _ in all_])
+            g, at = (np.concatenate([x[i] for x in all_]) if all_ else np.zeros(0, np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(g), pa.array(at)], ["doc_id", "gram", "at"])
 
     hits = per_batch(docs, grams, "doc_id long, gram long, at long")
-    hits = hits.join(seeds.withColumnRenamed("at", "item_at"), "gram")
-    low = F.col("at") - F.col("item_at") - SLACK - F.floor(F.col("size") / 4)
-    spans = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct(low.alias("low"), (low + F.col("size") + 2 * (SLACK + F.floor(F.col("size") / 4))).alias("high"))).alias("spans"))
+    hits = hits.join(seeds.withColumnRenamed("at", "text_at"), "gram")
+    spans = hits.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("at", "text_at", "size", "slack", "least")).alias("spans"), F.countDistinct("text_at").alias("places"), F.max("least").alias("least"))
+    spans = spans.where(F.col("places") >= F.col("least")).select("doc_id", "text_id", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
             found = []
             for doc_id, text, item, spans_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                h, last = words(text.as_py()), None
-                for x in sorted((max(0, x["low"]), min(len(h), x["high"])) for x in spans_):
-                    if last and x[0] <= last[1]:
-                        last[1] = max(last[1], x[1])
-                        continue
-                    if last:
-                        found.append((doc_id, item, last[0], h[last[0] : last[1]]))
-                    last = [*x]
-                if last:
-                    found.append((doc_id, item, last[0], h[last[0] : last[1]]))
+                h = words(text.as_py())
+                at, text_at, size, slack, least = (np.array([x[k] for x in spans_], np.int64) for k in ("at", "text_at", "size", "slack", "least"))
+                # rows may repeat an id with another text, whose hits can lie beyond this one's end
+                inside = np.flatnonzero(at < len(h))
+                found += [(doc_id, i, a, h[a:z]) for i, a, z in _stretches(at[inside], len(h), np.full(len(inside), item), *(x[inside] for x in (text_at, size, slack, least)))]
             yield _rows(found)
 
-    return per_batch(docs.join(spans, "doc_id").select("doc_id", "text", "item_id", "spans"), cut, _PASSAGES)
+    return per_batch(docs.join(spans, "doc_id").select("doc_id", "text", "text_id", "spans"), cut, _PASSAGES)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, local_seeds: int = LOCAL_SEEDS) -> DataFrame:
@@ -186,22 +207,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, lo
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Words are runs of
     letters, digits and underscores, lower-cased. Null ids and null or empty texts match nothing,
     nor do items under LEAST_WORDS words; repeated rows or ids give one row with their best score;
-    either table empty gives none.
+    either table empty gives none. `share` has to be over 1 / LEAST_WORDS.
     Returns doc_id, item_id, similarity (of the item's full score, at least `share`) and start (the
     document's word where the aligned stretch begins)."""
+    if share * LEAST_WORDS <= 1:
+        raise ValueError("a copy of so small a share need not hold a pair of words")
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    items, seeds = _seeds(benchmark)
+    items, texts, seeds = _seeds(benchmark, share)
     passages = _by_broadcast(docs, seeds) if seeds.count() <= local_seeds else _by_join(docs, seeds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores = []
             for words, passage in zip(b.column(3), b.column(4), strict=True):
-                item = words.values.to_numpy()
-                scores.append(align(item, passage.values.to_numpy())[0] / (MATCH * len(item)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(scores, pa.float64())], ["doc_id", "item_id", "start", "similarity"])
-
-    both = passages.join(items, "item_id").select("doc_id", "item_id", "start", "words", "passage")
-    scored = per_batch(both, score, "doc_id long, item_id long, start long, similarity double").where(F.col("similarity") >= share)
+                item, text = words.values.to_numpy(), passage.values.to_numpy()
+                # no score passes that of the item's words which the passage holds at all
+                most = np.isin(item, text).sum() / len(item)
+                scores.append(align(item, text)[0] / (MATCH * len(item)) if most >= share else 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(scores, pa.float64())], ["doc_id", "text_id", "start", "similarity"])
+
+    both = passages.join(texts, "text_id").select("doc_id", "text_id", "start", "words", "passage")
+    scored = per_batch(both, score, "doc_id long, text_id long, start long, similarity double").where(F.col("similarity") >= share).join(items, "text_id")
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.s")).alias("start"))

@@ -148,3 +148,20 @@ def test_given_table_against_full_alignment(spark, sf):
     docs = [(r.doc_id, hashed(r.text)) for r in entries.table(spark, sf, "documents").collect()]
     want = {(d, i) for d, h in docs for i, w in items if len(w) >= decontaminate.LEAST_WORDS and len(np.intersect1d(h, w)) * 2 >= len(np.unique(w)) and decontaminate.align(w, h)[0] >= decontaminate.SHARE * decontaminate.MATCH * len(w)}
     assert {(r.doc_id, r.item_id) for r in entries.op5_decontamination(spark, sf).collect()} == want
+
+
+def aligned(spark, items, docs):
+    """What the operator finds on both paths, and what full alignment of every pair finds."""
+    hashed = decontaminate._Words()
+    want = {(n, i) for n, d in docs for i, t in items if decontaminate.align(hashed(t), hashed(d))[0] >= decontaminate.SHARE * decontaminate.MATCH * len(t.split())}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for local in (1 << 20, 0):
+        yield {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b, local_seeds=local).collect()}, want
+
+
+def test_items_that_share_a_template(spark):
+    words = [f"t{i}" for i in range(40)]
+    of = lambda x: " ".join(words[:20] + [x] + words[21:])
+    items = [(i, of(f"name{i}")) for i in range(12)] + [(100 + i, of("name0")) for i in range(10)]
+    for got, want in aligned(spark, items, [(1, "before " + of("other") + " after"), (2, "nothing of it")]):
+        assert got == want and len(got) == 22
