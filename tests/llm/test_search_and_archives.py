@@ -165,3 +165,22 @@ def test_items_that_share_a_template(spark):
     items = [(i, of(f"name{i}")) for i in range(12)] + [(100 + i, of("name0")) for i in range(10)]
     for got, want in aligned(spark, items, [(1, "before " + of("other") + " after"), (2, "nothing of it")]):
         assert got == want and len(got) == 22
+
+
+def test_edited_short_items_against_full_alignment(spark):
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice((8, 9, 12, 16, 40))))) for i in range(60)]
+    docs = []
+    for n in range(400):
+        copy = items[n % 60][1].split()
+        for at in range(len(copy) - 1, -1, -1):
+            if rng.random() < rng.choice((0.2, 0.3)):
+                copy[at : at + 1] = rng.choice(([rng.choice(words)], [rng.choice(words)], [], [copy[at], rng.choice(words)]))
+        docs.append((n, " ".join(rng.choices(words, k=30) + copy + rng.choices(words, k=30))))
+    for k in range(60):
+        own = items[k][1].split()
+        docs.append((1000 + k, " ".join(x if i % 4 else "new" for i, x in enumerate(own))))
+        docs.append((2000 + k, " new ".join(own)))
+    for got, want in aligned(spark, items, docs):
+        assert got == want and len(got) > 300
