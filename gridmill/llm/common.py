@@ -8,15 +8,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridmill.sources.shared import scratch
 
-#: Rows of whole texts that pass between Spark and Python at once.
-BATCH = 512
 
 
-def per_batch(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(run) in batches of BATCH rows.
+def per_batch(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run); Spark bounds a batch by rows and bytes (spark.sql.execution.arrow.*).
 
     At its end a task gives the memory that it has freed back to the machine, as the worker lives on
     and the next stage's tasks in others need it."""
@@ -27,7 +26,6 @@ def per_batch(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return df.mapInArrow(tidy, schema)
 
 
@@ -50,3 +48,16 @@ def held_out(doc_id: Column) -> Column:
 
     A null id has no fold and counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def named(columns: list[str]) -> list[Column]:
+    """The columns by their names as they are, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to be none of df's columns."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]

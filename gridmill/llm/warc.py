@@ -9,7 +9,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -33,28 +33,34 @@ FIELDS = {
 }
 
 
-def _runs(records: Iterator[bytes], head: bytes = b"", between: bytes = b"") -> Iterator[bytes]:
+class _Runs:
     """Records put together to runs, each run with `head` before it."""
-    held, size = [], 0
-    for r in records:
-        held.append(r)
-        size += len(r)
-        if size >= RUN:
-            yield head + between.join(held)
-            held, size = [], 0
-    if held:
-        yield head + between.join(held)
 
+    def __init__(self, head: bytes = b"", between: bytes = b""):
+        self.head, self.between, self.held, self.size = head, between, [], 0
 
-def _write(rows: DataFrame, records: Callable[[pa.RecordBatch], Iterator[bytes]], path: str, head: bytes, end: bytes) -> None:
-    """Writes the records of each row; `end` follows every record."""
+    def add(self, record: bytes) -> Iterator[bytes]:
+        self.held.append(record)
+        self.size += len(record)
+        if self.size >= RUN:
+            yield from self.rest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for image in _runs((r for b in batches for r in records(b)), head, end):
-            yield pa.RecordBatch.from_arrays([pa.array([image], pa.binary())], ["value"])
+    def rest(self) -> Iterator[bytes]:
+        if self.held:
+            yield self.head + self.between.join(self.held)
+            self.held, self.size = [], 0
+
+
+def _image(run: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([run], pa.binary())], ["value"])
+
+
+def _write(images: DataFrame, path: str, end: bytes) -> None:
+    """Writes runs of records as files; `end` follows the last record of each run.
 
-    images = per_batch(rows, run, "value binary").select(F.col("value").cast("string"))
-    images.write.option("lineSep", end.decode()).option("maxRecordsPerFile", RUNS).option("compression", "gzip").text(path)
+    Archives are written once and read a few times, so they are packed at the fastest level."""
+    rows = images.select(F.col("value").cast("string"))
+    rows.write.option("lineSep", end.decode()).option("maxRecordsPerFile", RUNS).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -78,22 +84,31 @@ def page_block(page_id: int | None, html: str | None) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\nX-Page-Id: {who}\r\n\r\n".encode() + body
 
 
-def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "20240101000000") -> None:
-    """Writes pages (page_id, url, html) as ARC records of the given version.
+def write_arc(pages: DataFrame, path: str, version: int | str = 1, date: str = "20240101000000") -> None:
+    """Writes pages (page_id, url, html) as ARC records.
 
-    Blanks and control characters in an address are percent-encoded; a null or empty one becomes
-    urn:page:<id>; a null page is the empty payload."""
-    note = f"{version} 0 writer\n{FIELDS[version]}\n".encode()
-    head = f"filedesc://pages.arc 0.0.0.0 {date} text/plain {len(note)}\n" if version == 1 else f"filedesc://pages.arc 0.0.0.0 {date} text/plain 200 - - 0 pages.arc {len(note)}\n"
+    version: 1, 2, or a column that holds either; every run of records begins with its version's own
+    block. Blanks and control characters in an address are percent-encoded; a null or empty one
+    becomes urn:page:<id>; a null page is the empty payload."""
 
-    def records(b: pa.RecordBatch) -> Iterator[bytes]:
-        for page_id, url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            block = page_block(page_id, html.as_py())
-            where = quote(url, safe="".join(map(chr, range(33, 127)))) if url else f"urn:page:{page_id}"
-            more = "" if version == 1 else "200 - - 0 pages.arc "
-            yield f"{where} 0.0.0.0 {date} text/html {more}{len(block)}\n".encode() + block
+    def head(v: int) -> bytes:
+        note = f"{v} 0 writer\n{FIELDS[v]}\n".encode()
+        more = "" if v == 1 else "200 - - 0 pages.arc "
+        return f"filedesc://pages.arc 0.0.0.0 {date} text/plain {more}{len(note)}\n".encode() + note + b"\n"
 
-    _write(pages.select("page_id", "url", "html"), records, path, head.encode() + note + b"\n", b"\n")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = {v: _Runs(head(v), b"\n") for v in FIELDS}
+        for b in batches:
+            for page_id, url, html, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                block = page_block(page_id, html.as_py())
+                where = quote(url, safe="".join(map(chr, range(33, 127)))) if url else f"urn:page:{page_id}"
+                more = "" if v == 1 else "200 - - 0 pages.arc "
+                yield from map(_image, runs[v].add(f"{where} 0.0.0.0 {date} text/html {more}{len(block)}\n".encode() + block))
+        for r in runs.values():
+            yield from map(_image, r.rest())
+
+    kind = F.lit(version) if isinstance(version, int) else F.col(version)
+    _write(per_batch(pages.select("page_id", "url", "html", kind.cast("int").alias("version")), run, "value binary"), path, b"\n")
 
 
 _LINE = re.compile(rb"\n*([^\n]*)\n")
@@ -142,32 +157,36 @@ def _identifier(*parts: str) -> str:
 _RECORDS = "record_id string, uri string, date string, mime string, page_id long, digest string, size long, truncated boolean"
 
 
-def read_arc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """Records of all ARC files under path, with the WARC fields that follow from them."""
+def _fields(raw: bytes) -> Iterator[tuple[dict, bytes]]:
+    """The WARC fields that follow from each record of an ARC file, and its block."""
+    for r in arc_records(raw):
+        f = r["fields"]
+        _, http, body = _http(r["block"])
+        day = f["Archive-date"].ljust(14, "0")
+        digest, page = hashlib.sha256(body).hexdigest(), http.get("x-page-id", "-")
+        yield {
+            "record_id": _identifier(f["URL"], day, page, digest), "uri": f["URL"], "date": f"{day[:4]}-{day[4:6]}-{day[6:8]}T{day[8:10]}:{day[10:12]}:{day[12:14]}Z",
+            "mime": f["Content-type"], "page_id": int(page) if page.lstrip("-").isdigit() else None, "digest": digest, "size": len(body), "truncated": r["truncated"],
+        }, r["block"]
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of all ARC files under path: their file and the WARC fields that follow from them."""
+    names = [x.split(" ")[0] for x in _RECORDS.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in b.column(0):
-                rows = []
-                for r in arc_records(_content(raw.as_py())):
-                    f = r["fields"]
-                    _, http, body = _http(r["block"])
-                    day = f["Archive-date"].ljust(14, "0")
-                    digest, page = hashlib.sha256(body).hexdigest(), http.get("x-page-id", "-")
-                    rows.append((
-                        _identifier(f["URL"], day, page, digest), f["URL"], f"{day[:4]}-{day[4:6]}-{day[6:8]}T{day[8:10]}:{day[10:12]}:{day[12:14]}Z",
-                        f["Content-type"], int(page) if page.lstrip("-").isdigit() else None, digest, len(body), r["truncated"], *([r["block"]] if blocks else []),
-                    ))
-                kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary()][: 8 + blocks]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names[: 8 + blocks])
-
-    names = [*(x.split(" ")[0] for x in _RECORDS.split(", ")), "block"]
-    return per_batch(_files(spark, path).select("content"), run, _RECORDS + ", block binary" * blocks)
-
-
-def _record(kind: str, row: dict, refers_to: str | None, target: str | None) -> bytes:
-    head, _, _ = _http(row["block"])
-    block = head if kind == "revisit" else row["block"]
+            for file, raw in zip(b.column(0), b.column(1), strict=True):
+                rows = [r for r, _ in _fields(_content(raw.as_py()))]
+                yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(rows), pa.string()), *(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True))], ["file", *names])
+
+    return per_batch(_files(spark, path), run, "file string, " + _RECORDS)
+
+
+def _record(kind: str, row: dict, block: bytes, refers_to: str | None, target: str | None) -> bytes:
+    head, _, _ = _http(block)
+    block = head if kind == "revisit" else block
     http = bool(head)
     lines = [
         ("WARC-Type", kind if http or kind == "revisit" else "resource"), ("WARC-Record-ID", f"<{row['record_id']}>"), ("WARC-Date", row["date"]), ("WARC-Target-URI", row["uri"]),
@@ -185,22 +204,29 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """Writes the ARC files under arc_path as WARC files.
 
     Of records with equal payloads of LEAST_REVISIT bytes or more, that with the smallest page id
-    is a response and the others revisit it; records without a page id are never revisits."""
-    heads = saved(read_arc(spark, arc_path, blocks=False), "heads")
+    is a response and the others revisit it; records without a page id are never revisits. A file's
+    revisits meet it as one array, no longer than the file has records."""
+    heads = saved(read_arc(spark, arc_path), "heads")
     long_ = heads.where(F.col("page_id").isNotNull() & (F.col("size") >= LEAST_REVISIT))
     first = long_.groupBy("digest").agg(F.min(F.struct("page_id", "record_id", "uri")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    refs = long_.join(first, "digest").where("page_id <> first.page_id").select("record_id", F.col("first.record_id").alias("refers_to"), F.col("first.uri").alias("target")).distinct()
-    refs = saved(refs, "revisits")
-    refs = F.broadcast(refs) if refs.count() <= BROADCAST_REFS else refs
-    rows = read_arc(spark, arc_path).join(refs, "record_id", "left")
-    names = ["record_id", "uri", "date", "mime", "digest", "truncated", "block", "refers_to", "target"]
+    refs = long_.join(first, "digest").where("page_id <> first.page_id").select("file", "record_id", F.col("first.record_id").alias("refers_to"), F.col("first.uri").alias("target")).distinct()
+    by_file = saved(refs.groupBy("file").agg(F.collect_list(F.struct("record_id", "refers_to", "target")).alias("refs"), F.count("*").alias("n")), "revisits")
+    few = (by_file.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_REFS
+    by_file = by_file.select(F.col("file").alias("path"), "refs")
+    files = _files(spark, arc_path).join(F.broadcast(by_file) if few else by_file, "path", "left").select("content", "refs")
 
-    def records(b: pa.RecordBatch) -> Iterator[bytes]:
-        for i in range(b.num_rows):
-            row = {n: b.column(k)[i].as_py() for k, n in enumerate(names)}
-            yield _record("revisit" if row["refers_to"] else "response", row, row["refers_to"], row["target"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _Runs(between=b"\r\n\r\n")
+        for b in batches:
+            for raw, refs_ in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                again = {r["record_id"]: r for r in refs_ or ()}
+                for row, block in _fields(_content(raw.as_py())):
+                    ref = again.get(row["record_id"])
+                    made = _record("revisit", row, block, ref["refers_to"], ref["target"]) if ref else _record("response", row, block, None, None)
+                    yield from map(_image, runs.add(made))
+        yield from map(_image, runs.rest())
 
-    _write(rows.select(*names), records, warc_path, b"", b"\r\n\r\n")
+    _write(per_batch(files, run, "value binary"), warc_path, b"\r\n\r\n")
 
 
 def warc_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -251,9 +277,8 @@ def archived(pages: DataFrame) -> DataFrame:
     that a revisit stands for)."""
     spark = pages.sparkSession
     arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
-    even = F.coalesce(F.col("page_id") % 2 == 0, F.lit(True))
-    write_arc(pages.where(even), f"{arc}/v1", 1)
-    write_arc(pages.where(~even), f"{arc}/v2", 2)
+    version = F.when(F.col("page_id") % 2 != 0, 2).otherwise(1)
+    write_arc(pages.select("page_id", "url", "html", version.alias("version")), arc, "version")
     convert(spark, arc, warc)
     rows = saved(read_warc(spark, warc), "archived")
     named = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")).dropDuplicates(["refers_id"])
