@@ -13,27 +13,23 @@ import codecs
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from gridmill.llm import pretoken
 from gridmill.llm.common import per_batch
 
 #: Words whose ids a task remembers.
-MEMORY = 200_000
-#: Characters of text handled at once.
-STRETCH = 1 << 16
+MEMORY = 400_000
 #: Symbols of one word from which its ids are emitted while it is still being read.
 WINDOW = 1 << 12
 
-# Fixed value: the published split pattern of the word-end vocabulary.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
+#: Symbols from which a word is merged by a heap.
+HEAP = 48
 _NEVER = 1 << 60
 
 
@@ -52,9 +48,11 @@ class Merges:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        self.path = path
         self.vocab: dict[str, int] = dict(model["vocab"])
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.rank = {m: i for i, m in enumerate(pairs)}
+        self.alphabet = byte_alphabet()
         self.suffix = model.get("end_of_word_suffix") or ""
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.normalize = spec.get("normalizer") is not None
@@ -64,12 +62,20 @@ class Merges:
         self.keep_gaps = first["type"] == "ByteLevel"
         self.pattern = pretoken.PATTERN if self.keep_gaps else first["pattern"]["Regex"]
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
-        self.alphabet = byte_alphabet()
+        # the same in numbers: pairs of ids to ranks, ranks to ids, first and last bytes to ids
+        number = lambda t: self.vocab.get(t, -1)
+        self.pair = {number(a) << 20 | number(b): i for (a, b), i in self.rank.items()}
+        self.made = [number(a + b) for a, b in self.rank]
+        self.inner, self.last = [number(c) for c in self.alphabet], [number(c + self.suffix) for c in self.alphabet]
+        # tokens of the vocabulary that were tried, so no more than it has
+        self.known: dict[str, bool] = {}
         # no token covers more symbols: beyond this no later character reaches back
         self.lookahead = max((len(t.removesuffix(self.suffix)) for t in self.vocab), default=1)
 
     def merge(self, symbols: list[str]) -> list[str]:
-        """Applies the merge list, lowest rank first and leftmost first among equals, in place."""
+        """Applies the merge list, lowest rank first and leftmost first among equals."""
+        if len(symbols) >= HEAP:
+            return self._merge_long(symbols)
         rank = self.rank.get
         ranks = [rank(pair, _NEVER) for pair in zip(symbols, symbols[1:], strict=False)]
         while ranks and (best := min(ranks)) < _NEVER:
@@ -82,6 +88,32 @@ class Merges:
                 ranks[i - 1] = rank((symbols[i - 1], symbols[i]), _NEVER)
         return symbols
 
+    def _merge_long(self, symbols: list[str]) -> list[str]:
+        """The same with a heap of the pairs and links between the symbols."""
+        rank, n = self.rank.get, len(symbols)
+        part, after, before = [*symbols], [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := rank((a, b))) is not None]
+        heapify(heap)
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i]
+            if part[i] != a or j >= n or part[j] != b:
+                continue  # one of the two is merged since
+            part[i], part[j], after[i] = a + b, "", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := rank((part[i], part[after[i]]))) is not None:
+                    heappush(heap, (r, i, part[i], part[after[i]]))
+            if before[i] >= 0 and (r := rank((part[before[i]], part[i]))) is not None:
+                heappush(heap, (r, before[i], part[before[i]], part[i]))
+        return [x for x in part if x]
+
+    def whole(self, token: str) -> bool:
+        """Whether the symbols of a token merge to it."""
+        if token not in self.known:
+            self.known[token] = token in self.vocab and self.merge([*token]) == [token]
+        return self.known[token]
+
     def ids(self, symbols: Iterable[str]) -> list[int]:
         """Ids of the tokens; symbols outside the vocabulary have none."""
         return [i for s in symbols if (i := self.vocab.get(s)) is not None]
@@ -91,12 +123,29 @@ class Merges:
 
     def word(self, word: str) -> list[int]:
         """Ids of a complete word."""
+        raw = word.encode("utf-8", "surrogatepass")
+        if 0 < len(raw) < HEAP:
+            return self._merge_ids([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]])
         s = self.symbols(word)
         if len(s) > WINDOW:
             long = LongWord(self)
             return list(chain(*(long.feed(s[i : i + WINDOW]) for i in range(0, len(s), WINDOW)), long.end()))
         return self.ids(self.merge([*s[:-1], s[-1] + self.suffix])) if s else []
 
+    def _merge_ids(self, ids: list[int]) -> list[int]:
+        """merge() of a short word in numbers; -1 is a symbol outside the vocabulary."""
+        rank, made = self.pair.get, self.made
+        ranks = [rank(a << 20 | b, _NEVER) for a, b in pairwise(ids)]
+        while ranks and (best := min(ranks)) < _NEVER:
+            i = ranks.index(best)
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 20 | ids[i + 1], _NEVER)
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 20 | ids[i], _NEVER)
+        return [i for i in ids if i >= 0] if -1 in ids else ids
+
 
 class LongWord:
     """Ids of one word read in parts: holds the symbols behind the last stable boundary only.
@@ -109,6 +158,8 @@ class LongWord:
 
     def _fit(self, a: str, b: str) -> bool:
         """Whether token b can follow token a: merging both together gives them back."""
+        if len(self.fits) > MEMORY:
+            self.fits.clear()
         if (a, b) not in self.fits:
             self.fits[a, b] = self.m.merge(list(a + b)) == [a, b]
         return self.fits[a, b]
@@ -119,7 +170,7 @@ class LongWord:
         for end in range(len(back), len(s)):
             for start in range(max(0, end - m.lookahead), end):
                 t = s[start:end]
-                if (end - start == 1 or t in m.vocab and m.merge(list(t)) == [t]) and back[start] is not None and (start == 0 or self._fit(s[back[start] : start], t)):
+                if (end - start == 1 or t in m.vocab and m.whole(t)) and back[start] is not None and (start == 0 or self._fit(s[back[start] : start], t)):
                     back.append(start)
                     break
             else:
@@ -146,24 +197,11 @@ class LongWord:
 class Encoder:
     """Ids of texts; remembers the words it has met, up to MEMORY of them."""
 
-    def __init__(self, merges: Merges):
+    def __init__(self, merges: Merges, odd: bytes):
         self.m, self.known = merges, {}
-        self.exact = regex.compile(merges.pattern)
-        self.plain = None if merges.pattern != WORD_PATTERN else re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+        self.split = pretoken.Splitter(merges.path, merges.pattern, merges.normalize, odd)
         self.special = re.compile("|".join(map(re.escape, sorted(merges.added, key=len, reverse=True)))) if merges.added else None
 
-    def _normal(self, text: str) -> str:
-        if not self.m.normalize:
-            return text
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()
-
-    def _split(self, text: str) -> list[str]:
-        if self.m.keep_gaps:
-            return pretoken.split(text)
-        return (self.plain if self.plain and pretoken.agrees(text) else self.exact).findall(text)
-
     def _words(self, words: list[str]) -> Iterator[int]:
         known = self.known
         if len(known) > MEMORY:
@@ -172,33 +210,18 @@ class Encoder:
             known[w] = tuple(self.m.word(w))
         return chain.from_iterable(map(known.__getitem__, words))
 
-    def stretches(self, text: str) -> Iterator[str]:
-        """Cuts a text at white space, where no word, composition or special string can span."""
-        at = 0
-        while len(text) - at > STRETCH:
-            found = _CUT.search(text, at + STRETCH)
-            end = found.start() + 1 if found else len(text)
-            yield text[at:end]
-            at = end
-        yield text[at:]
-
     def feed(self, stretch: str) -> list[int]:
         """Ids of a stretch, all of them stable."""
         out: list[int] = []
         at = 0
         for found in self.special.finditer(stretch) if self.special else ():
-            out += self._words(self._split(self._normal(stretch[at : found.start()])))
+            out += self._words(self.split(stretch[at : found.start()]))
             out.append(self.m.added[found.group()])
             at = found.end()
-        out += self._words(self._split(self._normal(stretch[at:])))
+        out += self._words(self.split(stretch[at:]))
         return out
 
 
-#: Between a visible ASCII character and a line's end or blank followed by one: words end before it
-#: in either vocabulary, as a blank belongs to the word behind it.
-_CUT = re.compile(r"[!-~](?=[ \n][!-~])")
-
-
 class Decoder:
     """Text of ids, one id after another.
 
@@ -239,15 +262,17 @@ def encode_decode(docs: DataFrame, vocabulary: str, texts: bool = False) -> Data
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one blank), decoded_sha256
     (of the decoded text in UTF-8); with texts also ids and decoded themselves."""
 
+    odd = pretoken.packed(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges(vocabulary)
-        encoder, shown = Encoder(merges), {i: str(i) for i in merges.tokens}
+        encoder, shown = Encoder(merges, odd), {i: str(i) for i in merges.tokens}
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(merges)
                 every, said = [], []
-                for stretch in encoder.stretches(text.as_py() or ""):
+                for stretch in pretoken.stretches(text.as_py() or ""):
                     ids = encoder.feed(stretch)
                     if ids:
                         of_ids.update(((" " if n else "") + " ".join(map(shown.__getitem__, ids))).encode())

@@ -1,18 +1,18 @@
 """Token counts of whole texts without making ids for them.
 
 Texts are read in chunks of bounded size. A chunk keeps each document's pre-token frequencies as
-packed index/frequency arrays and sends only its distinct pre-tokens, packed by hash bucket, to
-the bucket that counts the pieces of each distinct pre-token once. The counts go back to the chunk
-and are multiplied with the frequencies. Pre-tokens found in a large share of a chunk's documents
-are counted inside the chunk, so that no bucket holds a hot one."""
+packed index/frequency arrays, and its distinct pre-tokens in the order of their hashes. Hash ranges,
+as many as keep the pre-tokens of one under RANGE bytes, bring equal pre-tokens of all chunks
+together: a task goes through one range after another and counts the pieces of each distinct
+pre-token once. The counts go back to their chunks and are multiplied with the frequencies. A
+pre-token of every document is met once a chunk, so no range is hot."""
 
 from __future__ import annotations
 
 import os
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,10 @@ from gridmill.llm import common, pretoken
 
 #: Characters of text that one chunk holds at most, besides its last document.
 CHUNK_CHARS = 24_000_000
-#: A pre-token in so large a share of a chunk's documents is counted in the chunk.
-HOT_SHARE = 1 / 16
+#: Bytes of the pre-tokens of one hash range, all chunks together.
+RANGE = 64 << 20
+#: Pre-tokens in one row.
+TOKENS_A_ROW = 1 << 18
 
 
 def _tokenizer(path: str) -> Tokenizer:
@@ -47,76 +49,63 @@ def _specials(t) -> re.Pattern | None:
 
 def _pieces(t: Tokenizer, tokens: list[str]) -> np.ndarray:
     """How many pieces each of the distinct pre-tokens has."""
-    out = np.zeros(len(tokens), np.int64)
+    out = np.zeros(len(tokens), np.int32)
     for i in range(0, len(tokens), 4096):
         out[i : i + 4096] = [len(e.ids) for e in t.encode_batch_fast(tokens[i : i + 4096], add_special_tokens=False)]
     return out
 
 
-def _pack(tokens: list[str]) -> bytes:
-    raw = [x.encode("utf-8", "surrogatepass") for x in tokens]
-    sizes = np.fromiter(map(len, raw), np.uint32, len(raw))
-    return zstandard.compress(np.uint32(len(raw)).tobytes() + sizes.tobytes() + b"".join(raw), 3)
-
-
-def _unpack(blob: bytes) -> list[str]:
-    raw = zstandard.decompress(blob)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4)) + 4 + 4 * n
-    at, out = 4 + 4 * n, []
-    for e in ends.tolist():
-        out.append(raw[at:e].decode("utf-8", "surrogatepass"))
-        at = e
-    return out
-
-
 class _Chunk:
     """Frequencies of the documents read so far."""
 
-    def __init__(self, specials: re.Pattern | None):
-        self.specials, self.index, self.docs = specials, {}, []
+    def __init__(self, specials: re.Pattern | None, split: pretoken.Splitter):
+        self.specials, self.split, self.index, self.docs = specials, split, {}, []
         self.at, self.freq, self.chars = [], [], 0
 
     def add(self, doc_id: int | None, text: str | None) -> None:
-        text = text or ""
-        parts = self.specials.split(text) if self.specials else [text]
-        counts: Counter = Counter()
-        for x in parts:
-            counts.update(pretoken.split(x))
+        text, counts, special = text or "", Counter(), 0
+        for stretch in pretoken.stretches(text):
+            parts = self.specials.split(stretch) if self.specials else [stretch]
+            special += len(parts) - 1
+            for x in parts:
+                counts.update(self.split(x))
         index = self.index
         self.at.append(np.fromiter((index.setdefault(w, len(index)) for w in counts), np.uint32, len(counts)))
         self.freq.append(np.fromiter(counts.values(), np.uint32, len(counts)))
-        self.docs.append((doc_id, len(text.encode("utf-8", "surrogatepass")), len(parts) - 1))
+        self.docs.append((doc_id, len(text.encode("utf-8", "surrogatepass")), special))
         self.chars += len(text)
 
-    def rows(self, t: Tokenizer, chunk: int, buckets: int) -> Iterator[tuple]:
-        tokens, sizes = list(self.index), np.array([len(x) for x in self.at], np.int64)
-        at = np.concatenate(self.at) if self.at else np.zeros(0, np.uint32)
-        freq = np.concatenate(self.freq) if self.freq else np.zeros(0, np.uint32)
-        spread = np.bincount(at, minlength=len(tokens))
-        hot = spread >= max(32, HOT_SHARE * len(self.docs))
-        known = np.zeros(len(tokens), np.int64)
-        hot_at = np.flatnonzero(hot)
-        known[hot_at] = _pieces(t, [tokens[i] for i in hot_at])
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        base = np.array([x[2] for x in self.docs], np.int64)
-        np.add.at(base, doc, known[at] * freq)
-        # the others are numbered by bucket, so that a bucket's counts are one stretch
-        rest = np.flatnonzero(~hot)
-        own = np.fromiter((xxhash.xxh32_intdigest(tokens[i].encode("utf-8", "surrogatepass")) % buckets for i in rest), np.int64, len(rest))
-        order = np.argsort(own, kind="stable")
-        place = np.full(len(tokens), 0, np.uint32)
-        place[rest[order]] = np.arange(len(rest), dtype=np.uint32)
-        keep = ~hot[at]
-        left = np.bincount(doc[keep], minlength=len(sizes)).astype(np.uint32)
-        blob = np.concatenate([np.array([len(sizes)], np.uint32), left, place[at[keep]], np.minimum(freq[keep], 2**32 - 1).astype(np.uint32)])
-        ids = pa.array([x[0] for x in self.docs], pa.int64())
-        yield chunk, -1, zstandard.compress(_shuffled(blob), 3), ids.to_pylist(), [x[1] for x in self.docs], base.tolist()
-        cuts = np.searchsorted(own[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            mine = rest[order[cuts[b] : cuts[b + 1]]]
-            if len(mine):
-                yield chunk, b, _pack([tokens[i] for i in mine]), None, None, None
+    def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        """The documents' frequencies in one row, then the pre-tokens by their hashes."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in self.index]
+        hashes = np.fromiter(map(xxhash.xxh32_intdigest, raw), np.uint32, len(raw))
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(raw), np.uint32)
+        place[order] = np.arange(len(raw), dtype=np.uint32)
+        sizes = np.array([len(x) for x in self.at], np.uint32)
+        blob = np.concatenate([np.array([len(sizes)], np.uint32), sizes, place[np.concatenate(self.at)], *self.freq])
+        yield _batch(chunk, None, None, _shuffled(blob), zip(*self.docs, strict=True))
+        for i in range(0, len(raw), TOKENS_A_ROW):
+            some = order[i : i + TOKENS_A_ROW]
+            yield _batch(chunk, i, sum(len(raw[k]) for k in some), _pack([raw[k] for k in some], hashes[some]), [None] * 3)
+
+
+def _batch(chunk: int, first: int | None, size: int | None, blob: bytes, lists: Iterable) -> pa.RecordBatch:
+    arrays = [pa.array([chunk], pa.int64()), pa.array([first], pa.int32()), pa.array([size], pa.int64()), pa.array([zstandard.compress(blob, 3)]), *(pa.array([x], pa.list_(pa.int64())) for x in lists)]
+    return pa.RecordBatch.from_arrays(arrays, ["chunk", "first", "size", "blob", "doc_ids", "n_bytes", "special"])
+
+
+def _pack(raw: list[bytes], hashes: np.ndarray) -> bytes:
+    """Sorted hashes and what they are of."""
+    sizes = np.fromiter(map(len, raw), np.uint32, len(raw))
+    return np.uint32(len(raw)).tobytes() + hashes.tobytes() + sizes.tobytes() + b"".join(raw)
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    hashes, sizes = np.frombuffer(raw, np.uint32, 2 * n, 4).reshape(2, n)
+    ends = (np.cumsum(sizes) + 4 + 8 * n).tolist()
+    return hashes, [raw[a:z] for a, z in zip([4 + 8 * n, *ends], ends, strict=False)]
 
 
 def _shuffled(x: np.ndarray) -> bytes:
@@ -128,69 +117,74 @@ def _unshuffled(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
 
 
-_PARTS = "chunk long, bucket int, blob binary, doc_ids array<bigint>, n_bytes array<bigint>, base array<bigint>"
+_PARTS = "chunk long, first int, size long, blob binary, doc_ids array<bigint>, n_bytes array<bigint>, special array<bigint>"
 
 
-def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, buckets: int | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:
     """Tokens of every row's whole text, as the tokenizers library counts them.
 
-    docs: doc_id, text; other columns are ignored. vocabulary: path of the tokenizer file.
+    docs: doc_id, text; other columns are ignored. vocabulary: path of the byte-level tokenizer file.
     A null or empty text has 0 bytes and 0 tokens; repeated rows and ids each give a row, a null
     id stays null; an empty table gives no rows. Special strings inside a text are one token each.
-    buckets: parts of the distinct pre-tokens; the shuffle partitions if not given.
     Returns doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    odd = pretoken.packed(vocabulary)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(vocabulary)
-        specials, part, seq = _specials(t), TaskContext.get().partitionId(), 0
-
-        def flush(c: _Chunk) -> Iterator[pa.RecordBatch]:
-            names = ["chunk", "bucket", "blob", "doc_ids", "n_bytes", "base"]
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            rows = list(zip(*c.rows(t, (part << 32) + seq, buckets), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names)
-
-        chunk = _Chunk(specials)
+        specials, split = _specials(_tokenizer(vocabulary)), pretoken.Splitter(vocabulary, pretoken.PATTERN, False, odd)
+        part, seq, chunk = TaskContext.get().partitionId(), 0, _Chunk(specials, split)
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 chunk.add(doc_id, text.as_py())
                 if chunk.chars >= CHUNK_CHARS:
-                    yield from flush(chunk)
-                    chunk, seq = _Chunk(specials), seq + 1
+                    yield from chunk.rows((part << 32) + seq)
+                    chunk, seq = _Chunk(specials, split), seq + 1
         if chunk.docs:
-            yield from flush(chunk)
+            yield from chunk.rows((part << 32) + seq)
 
-    parts = common.saved(common.per_batch(docs.select("doc_id", "text"), chunks, _PARTS), "pretokens", "none")
+    parts = common.saved(common.per_batch(docs.select("doc_id", "text"), chunks, _PARTS), "pretokens")
 
-    def count(group: pa.Table) -> pa.Table:
-        t, known, outs = _tokenizer(vocabulary), {}, []
-        for blob in group.column("blob"):
-            tokens = _unpack(blob.as_py())
-            new = [x for x in tokens if x not in known]
-            known.update(zip(new, _pieces(t, new).tolist(), strict=True))
-            outs.append(zlib.compress(np.fromiter((known[x] for x in tokens), np.uint32, len(tokens)).tobytes(), 1))
-        return pa.table([group.column("chunk"), group.column("bucket"), pa.array(outs, pa.binary())], names=["chunk", "bucket", "counts"])
+    tokens = parts.where("first is not null")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(spread, -(-(tokens.agg(F.sum("size")).first()[0] or 0) // RANGE))
 
-    counted = (
-        parts.where("bucket >= 0").select("chunk", "bucket", "blob")
-        .groupBy("bucket").applyInArrow(count, "chunk long, bucket int, counts binary")
-    )
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, first, blob in zip(*(b.column(i) for i in range(3)), strict=True):
+                hashes, raw = _unpack(zstandard.decompress(blob.as_py()))
+                own = hashes.astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)
+                edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(raw)]
+                packs = [zstandard.compress(_pack(raw[i:k], hashes[i:k]), 3) for i, k in zip(edges, edges[1:], strict=False)]
+                n = len(packs)
+                arrays = [pa.array([chunk.as_py()] * n, pa.int64()), pa.array([first.as_py()] * n, pa.int32()), pa.array(own[edges[:-1]].astype(np.int64)), pa.array(packs)]
+                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "first", "range", "blob"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, now, known = _tokenizer(vocabulary), None, {}
+        for b in batches:
+            outs = []
+            for own, blob in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+                if own != now:
+                    now, known = own, {}
+                _, raw = _unpack(zstandard.decompress(blob.as_py()))
+                new = [x for x in raw if x not in known]
+                known.update(zip(new, _pieces(t, [x.decode("utf-8", "surrogatepass") for x in new]).tolist(), strict=True))
+                outs.append(zstandard.compress(np.fromiter(map(known.__getitem__, raw), np.uint32, len(raw)).tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(outs, pa.binary())], ["chunk", "first", "range", "counts"])
+
+    cuts = common.per_batch(tokens.select("chunk", "first", "blob"), cut, "chunk long, first int, range long, blob binary")
+    counted = common.per_batch(cuts.repartition("range").sortWithinPartitions("range"), count, "chunk long, first int, range long, counts binary")
 
     def total(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        right = right.sort_by("bucket")
-        pieces = [np.frombuffer(zlib.decompress(x.as_py()), np.uint32) for x in right.column("counts")]
-        pieces = np.concatenate(pieces).astype(np.int64) if pieces else np.zeros(0, np.int64)
+        counts = right.sort_by([("first", "ascending"), ("range", "ascending")]).column("counts")
+        pieces = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in counts), np.uint32).astype(np.int64)
         blob = _unshuffled(zstandard.decompress(row["blob"]))
         n = int(blob[0])
-        sizes = blob[1 : n + 1]
         at, freq = blob[n + 1 :].reshape(2, -1)
-        sums = np.array(row["base"], np.int64)
-        np.add.at(sums, np.repeat(np.arange(n), sizes), pieces[at] * freq)
+        sums = np.array(row["special"], np.int64)
+        np.add.at(sums, np.repeat(np.arange(n), blob[1 : n + 1]), pieces[at] * freq)
         return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_bytes"], pa.int64()), pa.array(sums)], names=["doc_id", "n_bytes", "n_tokens"])
 
-    kept = parts.where("bucket < 0").select("chunk", "blob", "doc_ids", "n_bytes", "base")
+    kept = parts.where("first is null").select("chunk", "blob", "doc_ids", "n_bytes", "special")
     sums = kept.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -25,7 +25,7 @@ def library(name):
 def test_counts_equal_the_library(spark):
     t = library(entries.COUNT_VOCABULARY)
     rows = [*enumerate(ODD), (None, "no id"), (3, "an id again")]
-    got = token_counts.token_counts(frame(spark, rows), public_tokenizers.path(entries.COUNT_VOCABULARY), limit=5, buckets=3).collect()
+    got = token_counts.token_counts(frame(spark, rows), public_tokenizers.path(entries.COUNT_VOCABULARY), limit=5).collect()
     want = sorted((i if i is not None else -1, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 5) for i, x in rows)
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
 
