@@ -1,14 +1,16 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-Vectors are whole numbers. A block of candidates keeps two sorted lists a component, one from
-either end; a query reads those from the end where its component's products are largest, weighted
-by the component's size. After each reading depth a candidate has a lower bound (what was read, and
-the list's least value for the rest) and an upper bound (the value last read for the rest). Reading
-stops when few enough candidates have an upper bound that reaches the k-th best lower bound; those
-are resolved to exact scores. Query blocks and candidate blocks are dealt out by a salted key."""
+Vectors are whole numbers. Vectors near the same pivot are put into the same blocks, and a block
+keeps a sorted list for each component; a query reads it from the end where its component's products
+are largest. What no list has shown yet scores at most the sum of the values last read, so reading
+goes on until that is under the k-th best score known (a query starts with that of its own block).
+Only candidates seen by then can qualify: their upper bounds (the value last read where a list hasn't
+shown them) are held against it, and those that remain are resolved to exact scores. Blocks are
+read by groups of queries; both are dealt out once over a grid of tasks whose size is the session's."""
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -17,102 +19,231 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import per_batch
+from gridmill.llm.common import per_batch, saved
 
-#: Candidates in a block, queries in a slot (about), candidate blocks that meet a slot in one group.
-BLOCK, SLOT, GROUP = 4096, 512, 4
-#: Shares of the lists that are read before the bounds are looked at; the last reads them whole.
-DEPTHS = (0.25, 0.5, 0.75, 1.0)
-#: Share of a block's candidates per query that is few enough to be resolved.
-FEW = 0.05
-#: Components are whole numbers below this in size; double sums of products then stay exact.
-_EXACT = 2.0**53
+#: Candidates in a block, queries in a slot.
+BLOCK, SLOT = 4096, 512
+#: Vectors to whose nearest one a vector is assigned: those with the smallest hashed ids.
+PIVOTS = 256
+#: Shares of the lists at which the bound of what is unseen is looked at.
+DEPTHS = tuple(i / 32 for i in range(1, 33))
+#: Factor by which reading goes on while candidates are left, and their share that is resolved at once.
+DEEPER, FEW = 2, 0.02
+
+_LONG = (-(1 << 63), (1 << 63) - 1)
+
+
+def _limit(dim: int) -> float:
+    """Whole numbers up to this size have products that doubles add up exactly."""
+    return min(2.0**30, math.floor(math.sqrt(2.0**53 / dim)) / 2)
 
 
 class Block:
-    """Sorted lists of one block of candidates."""
+    """Sorted lists of one block of candidates: rank[c, j] is c's place in the falling list of component j."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        n, d = x.shape
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rank: np.ndarray):
+        self.ids, self.x, self.rank = ids, x, rank
+        self.lists = np.empty_like(x)
+        np.put_along_axis(self.lists, rank.astype(np.int64), x, 0)
+
+    @staticmethod
+    def ranks(x: np.ndarray) -> np.ndarray:
         order = np.argsort(-x, axis=0, kind="stable")
-        rank = np.empty((n, d), np.int32)
-        np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], 0)
-        # the second half of the lists holds the negated components: read from the other end
-        self.rank = np.hstack([rank, n - 1 - rank])
-        self.value = np.hstack([x, -x])
-        ordered = np.take_along_axis(x, order, 0)
-        self.lists = np.hstack([ordered, -ordered[::-1]])
-
-    def bounds(self, depth: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds [candidates, queries] after reading `depth` entries of each list."""
-        seen = self.rank < depth
-        least, last = self.lists[-1], self.lists[depth - 1]
-        lower = np.where(seen, self.value - least, 0.0) @ weights.T + weights @ least
-        upper = np.where(seen, self.value - last, 0.0) @ weights.T + weights @ last
+        rank = np.empty(x.shape, np.int16)
+        np.put_along_axis(rank, order, np.arange(len(x), dtype=np.int16)[:, None], 0)
+        return rank
+
+    def unseen(self, depth: int, q: np.ndarray) -> np.ndarray:
+        """For each query, the most that a candidate can score that `depth` entries haven't shown."""
+        return np.maximum(q, 0) @ self.lists[depth - 1] + np.minimum(q, 0) @ self.lists[-depth]
+
+    def bounds(self, depth: int, q: np.ndarray, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds [candidates, queries] after `depth` entries of each list."""
+        x, rank, up, down = self.x[rows], self.rank[rows], np.maximum(q, 0).T, np.minimum(q, 0).T
+        high, low = rank < depth, rank >= len(self.x) - depth
+        lower = np.where(high, x, self.lists[-1]) @ up + np.where(low, x, self.lists[0]) @ down
+        upper = np.where(high, x, self.lists[depth - 1]) @ up + np.where(low, x, self.lists[-depth]) @ down
         return lower, upper
 
-    def best(self, query_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every (query, candidate, score) that can be among the k best; floor: what k others reach."""
-        weights = np.hstack([np.maximum(q, 0), np.maximum(-q, 0)])
-        n = len(self.ids)
-        own = self.ids[:, None] == query_ids[None, :]
-        for share in DEPTHS:
-            depth = max(1, math.ceil(share * n))
-            lower, upper = self.bounds(depth, weights)
-            lower[own], upper[own] = -np.inf, -np.inf
-            need = floor
-            if n > k:
-                need = np.maximum(floor, np.partition(lower, n - k, axis=0)[n - k])
-            alive = (upper >= need) & ~own
-            if depth == n or alive.sum() <= FEW * n * len(query_ids):
-                break
-        c, at = np.nonzero(alive)
-        score = np.einsum("ij,ij->i", self.x[c], q[at])
-        good = score >= need[at]
-        return at[good], self.ids[c[good]], score[good].astype(np.int64)
+    def best(self, query_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Every (query, candidate, score) that can be among the k best, and the share of the lists
+        that was read; floor: what the k-th best of the others scores."""
+        n, m = self.x.shape[0], len(q)
+        depths = sorted({max(1, math.ceil(s * n)) for s in DEPTHS})
+        over = np.stack([self.unseen(d, q) for d in depths]) >= floor  # [depths, queries]
+        # a query is through once nothing unseen can qualify; with all lists read nothing is unseen
+        first = np.where(over.all(0), len(depths) - 1, over.argmin(0))
+        at, ids, score, read = [], [], [], 0
+        # what is unseen at the first entry bounds the block: queries above it need nothing here
+        skip = self.unseen(1, q) < floor
+        for d in np.unique(first[~skip]):
+            mine = np.flatnonzero((first == d) & ~skip)
+            rows, depth, need = np.arange(n), depths[d], floor[mine]
+            while len(rows) and len(mine):
+                own = self.ids[rows, None] == query_ids[mine]
+                if depth >= n:
+                    upper = self.x[rows] @ q[mine].T
+                    alive = (upper >= need) & ~own
+                    c, j = np.nonzero(alive)
+                    at, ids, score, read = [*at, mine[j]], [*ids, self.ids[rows[c]]], [*score, upper[c, j]], read + n * len(mine)
+                    break
+                lower, upper = self.bounds(depth, q[mine], rows)
+                lower[own] = -np.inf
+                if len(rows) > k:
+                    need = np.maximum(need, np.partition(lower, len(rows) - k, 0)[len(rows) - k])
+                alive = (upper >= need) & ~own
+                if alive.sum() <= FEW * n * len(mine):
+                    c, j = np.nonzero(alive)
+                    exact = np.einsum("ij,ij->i", self.x[rows[c]], q[mine[j]])
+                    good = exact >= need[j]
+                    at, ids, score, read = [*at, mine[j[good]]], [*ids, self.ids[rows[c[good]]]], [*score, exact[good]], read + depth * len(mine)
+                    break
+                keep, left = alive.any(1), alive.any(0)
+                read += depth * int((~left).sum())
+                rows, mine, need, depth = rows[keep], mine[left], need[left], min(n, depth * DEEPER)
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
+        return join(at).astype(np.int64), join(ids).astype(np.int64), join(score), read / (n * m)
+
+
+def _whole(x: np.ndarray) -> list[list[int]]:
+    """floor(256 * x) of any finite numbers, exactly."""
+    return [[int(v) * 256 if abs(v) >= 2.0**53 else math.floor(v * 256) for v in row] for row in x.tolist()]
+
+
+def _exact(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query, candidate, score) of each query's k best in whole numbers of any size, query by query."""
+    out, rows = [], _whole(x)
+    for at, (qid, query) in enumerate(zip(query_ids.tolist(), _whole(q), strict=True)):
+        scores = ((-sum(map(int.__mul__, row, query)), i) for i, row in zip(ids.tolist(), rows, strict=True) if i != qid)
+        out += [(at, i, -s) for s, i in heapq.nsmallest(k, scores)]
+    return out
 
 
 def _top(at: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k highest scores of each query, ties to the smaller id."""
     order = np.lexsort((ids, -score, at))
     at, ids, score = at[order], ids[order], score[order]
-    start = np.searchsorted(at, at)
-    keep = np.arange(len(at)) - start < k
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
     return at[keep], ids[keep], score[keep]
 
 
-_BLOCKS = "dim int, ids binary, x binary"
+def _floors(at: np.ndarray, score: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
+    """floor, raised to the k-th score of the queries that have k (sorted as _top returns them)."""
+    last = np.arange(len(at)) - np.searchsorted(at, at) == k - 1
+    out = floor.copy()
+    out[at[last]] = np.maximum(out[at[last]], score[last])
+    return out
 
 
-def _pack(vectors: DataFrame) -> DataFrame:
-    """Blocks of at most BLOCK vectors of one length, within each task."""
+def _key(score: int) -> str:
+    """Orders scores beyond a long among each other; empty for others."""
+    if _LONG[0] <= score <= _LONG[1]:
+        return ""
+    digits = str(abs(score))
+    if score > 0:
+        return f"{len(digits):04}{digits}"
+    return f"{9999 - len(digits):04}" + "".join(str(9 - int(c)) for c in digits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
 
-        def out(dim: int) -> pa.RecordBatch:
-            ids, xs = held.pop(dim)
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.array(xs, np.int64).tobytes()])], ["dim", "ids", "x"])
+_VECTORS = "vec_id long, dim int, huge boolean, code int, x array<double>"
+_BLOCKS = "kind int, dim int, huge boolean, code int, ids binary, x binary, rank binary, vec_id long, q array<double>, floor double"
+
+
+def _coded(vectors: DataFrame) -> DataFrame:
+    """Vectors with their length, whether doubles are too short for their products, and nearest pivot."""
+    good = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where(F.coalesce(good, F.lit(False)))
+    # PIVOTS vectors, whatever the input
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
+    pivots: dict[int, np.ndarray] = {}
+    for d in {len(r.x) for r in chosen}:
+        p = np.array([r.x for r in chosen if len(r.x) == d])
+        pivots[d] = (p / np.maximum(np.abs(p).max(1, keepdims=True), 1e-300)).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, values = b.column(1), b.column(1).flatten().to_numpy()
+            dims = np.diff(lists.offsets.to_numpy())
+            ends = np.cumsum(dims)
+            huge, code = np.zeros(len(dims), bool), np.zeros(len(dims), np.int32)
+            for d in np.unique(dims):
+                mine = np.flatnonzero(dims == d)
+                x = values[(ends[mine] - d)[:, None] + np.arange(d)]
+                most = np.abs(x).max(1, keepdims=True)
+                huge[mine] = most[:, 0] >= _limit(int(d)) / 256 - 1
+                if d in pivots:
+                    code[mine] = (x / np.maximum(most, 1e-300) @ pivots[d]).argmax(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims, pa.int32()), pa.array(huge), pa.array(code), lists], ["vec_id", "dim", "huge", "code", "x"])
+
+    return per_batch(rows, run, _VECTORS)
+
+
+def _packed(coded: DataFrame, k: int, every: int) -> DataFrame:
+    """Blocks (kind 0) of at most BLOCK vectors of one length in the order that they come in, and
+    the queries among their vectors (kind 1) with the k-th best score in their own block."""
+
+    def block(dim: int, huge: bool, code: int, ids: list, xs: list) -> Iterator[pa.RecordBatch]:
+        ids, x = np.array(ids, np.int64), np.array(xs)
+        asked = np.flatnonzero(ids % every == 0)
+        rank, floor, q = b"", np.full(len(asked), -np.inf), x[asked]
+        if not huge:
+            x = np.floor(256 * x)
+            rank, q = Block.ranks(x).tobytes(), x[asked]
+            if len(asked):
+                scores = x @ q.T
+                scores[ids[:, None] == ids[asked]] = -np.inf
+                if len(ids) > k:
+                    floor = np.partition(scores, len(ids) - k, 0)[len(ids) - k]
+        data = x.tobytes() if huge else x.astype(np.int32).tobytes()
+        yield _rows([(0, dim, huge, code, ids.tobytes(), data, rank, None, None, None)])
+        yield _rows([(1, dim, huge, code, None, None, None, int(ids[i]), v.tolist(), float(f)) for i, v, f in zip(asked, q, floor, strict=True)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, xs = None, [], []
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = x.values.to_numpy(zero_copy_only=False)
-                ids, xs = held.setdefault(len(x), ([], []))
+            for i, dim, huge, code, x in zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4), strict=True):
+                if ids and (now[:2] != (dim, huge) or len(ids) == BLOCK):
+                    yield from block(*now, ids, xs)
+                    ids, xs = [], []
+                if not ids:
+                    now = dim, huge, code
                 ids.append(i)
-                xs.append(x)
-                if len(ids) == BLOCK:
-                    yield out(len(x))
-        for dim in [*held]:
-            yield out(dim)
+                xs.append(x.values.to_numpy())
+        if ids:
+            yield from block(*now, ids, xs)
+
+    return per_batch(coded, run, _BLOCKS)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.float64()), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "dim", "huge", "code", "ids", "x", "rank", "vec_id", "q", "floor"])
+
 
-    return per_batch(vectors, run, _BLOCKS)
+_SLOTS = "part int, dim int, q_huge boolean, qids binary, q binary, floors binary"
 
 
-def _whole(vectors: DataFrame) -> DataFrame:
-    x = F.transform("embedding", lambda v: F.floor(v.cast("double") * 256).cast("long"))
-    good = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < 2.0**54))
-    return vectors.select("vec_id", "embedding").where(F.coalesce(good, F.lit(False))).select("vec_id", x.alias("x"))
+def _slots(queries: DataFrame) -> DataFrame:
+    """Queries in slots of at most SLOT, alike ones together."""
+
+    def slot(key: tuple, rows: list) -> pa.RecordBatch:
+        arrays = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([key[2]]), *(pa.array([np.array([r[i] for r in rows], k).tobytes()]) for i, k in ((0, np.int64), (1, float), (2, float)))]
+        return pa.RecordBatch.from_arrays(arrays, ["part", "dim", "q_huge", "qids", "q", "floors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for part, dim, huge, i, f, x in zip(*(b.column(c).to_pylist() for c in range(5)), b.column(5), strict=True):
+                if held and (now != (part, dim, huge) or len(held) == SLOT):
+                    yield slot(now, held)
+                    held = []
+                now = part, dim, huge
+                held.append((i, x.values.to_numpy(), f))
+        if held:
+            yield slot(now, held)
+
+    rows = queries.repartition("part").sortWithinPartitions("part", "dim", "huge", "code")
+    return per_batch(rows.select("part", "dim", "huge", "vec_id", "floor", "q"), run, _SLOTS)
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -120,66 +251,63 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     vectors: vec_id, embedding; other columns are ignored. Each component x counts as floor(256 * x).
     Queries are the rows whose vec_id is divisible by `every`; candidates all rows with another id
-    and as many components. A null id, a null or empty vector, or one with a component that is null,
-    not finite or 2^54 or more in size takes no part. Equal scores go to the smaller vec_id; repeated
-    rows each count as a candidate, and a repeated query id is answered once, for its smallest vector.
-    A query with fewer than k candidates gets all of them, one with none no rows.
+    and as many components. A null id, a null or empty vector, or one with a component that is null
+    or not finite takes no part. Equal scores go to the smaller vec_id; repeated rows each count as
+    a candidate, and a repeated query id is answered once, for its smallest vector. A query with
+    fewer than k candidates gets all of them, one with none no rows. Scores beyond a long are ranked
+    by their true size and shown as the nearest long.
     Returns query_id, rank (from 1), vec_id, score."""
     spark = vectors.sparkSession
-    whole = _whole(vectors)
-    queries = whole.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
-    n_queries, n_all = queries.count(), whole.count()
-    slots = max(1, math.ceil(n_queries / SLOT))
-    # few rows a task rather than few tasks
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salts = max(1, math.ceil(n_all / BLOCK / GROUP), math.ceil(width / slots))
-
-    def pack_slot(group: pa.Table) -> pa.Table:
-        xs = [x.values.to_numpy(zero_copy_only=False) for x in group.column("x")]
-        return pa.table({"slot": group.column("slot")[:1], "dim": group.column("dim")[:1], "qids": pa.array([np.array(group.column("vec_id"), np.int64).tobytes()]), "q": pa.array([np.array(xs, np.int64).tobytes()])})
-
-    slotted = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int").alias("slot"), F.size("x").alias("dim"), "vec_id", "x")
-    asked = slotted.groupBy("slot", "dim").applyInArrow(pack_slot, "slot int, dim int, qids binary, q binary")
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    blocks = _pack(whole).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    blocks = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    coded = _coded(vectors)
+    # a pivot with a third of all vectors is spread over as many tasks as its share asks for
+    salts = max(1, math.ceil(vectors.count() / (PIVOTS * BLOCK)))
+    coded = coded.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).repartition("code", "salt")
+    packed = saved(_packed(coded.sortWithinPartitions("dim", "huge", "code").drop("salt"), k, every), "blocks")
+
+    # a grid of `groups` of blocks by `parts` of queries: each block is sent to every part, each query
+    # to every group, which moves least where the two amounts are alike
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, round(math.sqrt(tasks / every)))
+    groups = max(1, tasks // parts)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = packed.where("kind = 1").groupBy("vec_id", "huge").agg(F.min(F.struct("q", "floor", "code", "dim")).alias("m")).select("vec_id", "huge", "m.*")
+    # of a repeated id the smallest vector, whichever kind it is
+    order = Window.partitionBy("vec_id").orderBy(F.when(F.col("huge"), F.transform("q", lambda v: v * 256)).otherwise(F.col("q")))
+    queries = queries.withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    asked = _slots(queries.withColumn("part", F.pmod(F.col("code"), F.lit(parts)))).withColumn("group", numbers(groups))
+    blocks = packed.where("kind = 0").select("dim", "huge", "ids", "x", "rank", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("group")).withColumn("part", numbers(parts))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found, made = None, None, {}
+        now, qids, q, floor, found = None, None, None, None, None
 
         def out() -> pa.RecordBatch:
-            ids = now[1]
             at, other, score = found
-            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(other), pa.array(score)], ["query_id", "vec_id", "score"])
+            n = len(at)
+            return pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(other), pa.array(score.astype(np.int64)), pa.array([""] * n, pa.string())], ["query_id", "vec_id", "score", "beyond"])
 
         for b in batches:
-            for slot, dim, qids, q, ids, x in zip(*(b.column(i) for i in range(6)), strict=True):
-                key = slot.as_py(), dim.as_py()
-                if now is None or now[0] != key:
-                    if now is not None:
+            for dim, q_huge, qraw, qx, floors, huge, ids, x, rank in zip(*(b.column(i) for i in range(9)), strict=True):
+                dim, raw = dim.as_py(), qraw.as_py()
+                if raw != now:
+                    if found is not None and len(found[0]):
                         yield out()
-                    now = key, np.frombuffer(qids.as_py(), np.int64), np.frombuffer(q.as_py(), np.int64).reshape(-1, key[1])
-                    found = tuple(np.zeros(0, np.int64) for _ in range(3))
-                raw = ids.as_py()
-                if raw not in made:
-                    if len(made) >= GROUP:
-                        made.clear()
-                    made[raw] = np.frombuffer(raw, np.int64), np.frombuffer(x.as_py(), np.int64).reshape(-1, key[1])
-                cid, cx = made[raw]
-                if key[1] * float(np.abs(cx).max()) * float(np.abs(now[2]).max()) >= _EXACT / 4:
-                    c, at = np.nonzero(cid[:, None] != now[1][None, :])  # too large for doubles
-                    new = at, cid[c], np.einsum("ij,ij->i", cx[c], now[2][at])
-                else:
-                    floor = np.full(len(now[1]), -np.inf)
-                    counts = np.bincount(found[0], minlength=len(floor))
-                    full = counts >= k
-                    floor[full] = np.minimum.reduceat(found[2], np.searchsorted(found[0], np.flatnonzero(full))) if full.all() else [found[2][found[0] == i].min() for i in np.flatnonzero(full)]
-                    new = Block(cid, cx.astype(float)).best(now[1], now[2].astype(float), k, floor)
+                    now, qids, q, floor = raw, np.frombuffer(raw, np.int64), np.frombuffer(qx.as_py()).reshape(-1, dim), np.frombuffer(floors.as_py())
+                    found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                cid = np.frombuffer(ids.as_py(), np.int64)
+                if huge.as_py() or q_huge.as_py():
+                    cx = np.frombuffer(x.as_py()) if huge.as_py() else np.frombuffer(x.as_py(), np.int32) / 256
+                    rows = _exact(cid, cx.reshape(-1, dim), qids, q if q_huge.as_py() else q / 256, k)
+                    arrays = [[int(qids[r[0]]) for r in rows], [r[1] for r in rows], [min(max(r[2], _LONG[0]), _LONG[1]) for r in rows]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(a, pa.int64()) for a in arrays), pa.array([_key(r[2]) for r in rows], pa.string())], ["query_id", "vec_id", "score", "beyond"])
+                    continue
+                block = Block(cid, np.frombuffer(x.as_py(), np.int32).astype(float).reshape(-1, dim), np.frombuffer(rank.as_py(), np.int16).reshape(-1, dim))
+                *new, _ = block.best(qids, q, k, floor)
                 found = _top(*(np.concatenate([a, n]) for a, n in zip(found, new, strict=True)), k)
-        if now is not None:
+                floor = _floors(found[0], found[2], k, floor)
+        if found is not None and len(found[0]):
             yield out()
 
-    pairs = blocks.join(asked, ["slot", "dim", "salt"]).select("slot", "dim", "qids", "q", "ids", "x")
-    best = per_batch(pairs, search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    pairs = asked.join(blocks, ["group", "part", "dim"]).select("dim", "q_huge", "qids", "q", "floors", "huge", "ids", "x", "rank")
+    best = per_batch(pairs, search, "query_id long, vec_id long, score long, beyond string")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
