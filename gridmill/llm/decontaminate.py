@@ -3,68 +3,63 @@
 Seeds are ordered pairs of words that are next to each other or one word apart. A copy that scores
 `share` of an item of n words has 2 * matches - penalties >= 2 * share * n, so at least share * n - 1
 of its matches are followed by the next one with a penalty of one at most: such two matches are a
-seed of the item and of the document. Of the n - 1 places where a seed of the item can begin, the
-rarest are kept, as many as leave every copy HITS of them. Where a document holds these, the stretch
-that could hold the item is cut out, joined to the item, and aligned with it (Smith-Waterman). So no
-copy is lost before it is scored."""
+seed of the item and of the document. Of the n - 1 places where a seed of the item can begin, those
+whose seeds the fewest documents hold are kept, as many as leave every copy HITS of them. Where a
+document holds these, the stretch that could hold the item is cut out, joined to the item, and
+aligned with it (Smith-Waterman). So no copy is lost before it is scored. Short items are too easily
+met by chance to count edited: they match word for word, from the rarest of their pairs."""
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import per_batch
+from gridmill.llm import words as text_words
+from gridmill.llm.common import per_batch, saved
 
 #: Places of an item whose seeds a stretch must hold (fewer if a copy is sure of fewer).
 HITS = 2
-#: Items of fewer words are too short to tell a copy from chance and match nothing.
-LEAST_WORDS = 8
+#: Items of fewer words match word for word only.
+SHORT_WORDS = 8
 #: Points of the alignment for a word that agrees, differs, or is left out or put in.
 MATCH, DIFFER, GAP = 2.0, -1.0, -1.0
 #: Least share of an item's full score that a copy has.
 SHARE = 0.5
 #: Seeds up to this number (16 bytes each) are sent to all tasks; more are joined by shuffle.
 LOCAL_SEEDS = 1 << 20
-MEMORY = 200_000
+#: Parts over which a seed's documents are spread in that join.
+SALTS = 16
 
-_WORD = re.compile(r"\w+")
 
-
-class _Words:
+def hashed(text: str | None) -> np.ndarray:
     """Hashes of a text's lower-cased words."""
+    return text_words.of_text(text).view(np.int64)
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = _WORD.findall((text or "").lower())
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        for w in {*words}.difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-
-def _pairs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ordered pairs of words next to each other or one apart, and where each begins."""
+def _grams(h: np.ndarray, singles: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ordered pairs of words next to each other or one apart, and where each begins;
+    with singles also of each word alone."""
     u = h.view(np.uint64)
     first = u * np.uint64(0x9E3779B97F4A7C15)
-    out = np.concatenate([first[:-1] ^ u[1:], first[:-2] ^ u[2:]]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    out ^= out >> np.uint64(29)
-    return out.view(np.int64), np.concatenate([np.arange(max(0, len(u) - 1)), np.arange(max(0, len(u) - 2))])
+    out = [first[:-1] ^ u[1:], first[:-2] ^ u[2:]] + ([u * np.uint64(0xC2B2AE3D27D4EB4F) ^ (u >> np.uint64(7))] if singles else [])
+    gram = np.concatenate(out) * np.uint64(0xC2B2AE3D27D4EB4F)
+    gram ^= gram >> np.uint64(29)
+    return gram.view(np.int64), np.concatenate([np.arange(len(x)) for x in out])
+
+
+def _need(size: int, share: float) -> float:
+    """Share of the full score that a copy of an item of so many words needs."""
+    return share if size >= SHORT_WORDS else 1.0
 
 
 def _sure(size: int, share: float) -> int:
-    """Places of an item at which every copy that scores `share` has a seed."""
-    return math.ceil(share * size - 1e-9) - 1
+    """Places of an item at which every copy that scores enough has a seed."""
+    return math.ceil(_need(size, share) * size - 1e-9) - 1
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
@@ -82,35 +77,92 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def _seeds(benchmark: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(item_id, text_id), (text_id, words) of the distinct texts, and their seeds (gram, text_id, at, size, slack, least).
+def start_of(item: np.ndarray, text: np.ndarray, end: int) -> int:
+    """Where in the text the alignment begins that align() found to end there."""
+    return end - align(item[::-1], text[:end][::-1])[1]
+
+
+_PLACES = "text_id long, size long, slack long, least long, sure long, gram long, at long"
 
-    slack: words that a copy can hold beside the item's; least: places that its stretch has to hit."""
+
+def _items(benchmark: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(item_id, text_id), (text_id, words) of the distinct texts, and every place of them that has a
+    seed; slack: words that a copy can hold beside the item's; least: places that its stretch hits."""
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for b in batches:
-            found = [(i, words(t.as_py())) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
-            found = [(i, h) for i, h in found if len(h) >= LEAST_WORDS]
+            found = [(i, hashed(t.as_py())) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            found = [(i, h) for i, h in found if len(h)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([h for _, h in found], pa.list_(pa.int64()))], ["item_id", "words"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, h.values.to_numpy()) for i, h in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
-            rows = [(i, len(h), max(0, int(2 * len(h) * (1 - share))), min(HITS, _sure(len(h), share)), *x) for i, h in found for x in zip(*(y.tolist() for y in _pairs(h)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(6)], ["text_id", "size", "slack", "least", "gram", "at"])
+            rows = []
+            for i, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = words.values.to_numpy()
+                n, sure = len(h), _sure(len(h), share)
+                about = i, n, max(0, int(2 * n * (1 - _need(n, share)))), max(1, min(HITS if n >= SHORT_WORDS else 1, sure)), sure
+                gram, at = _grams(h, n == 1)
+                if n < SHORT_WORDS:  # all neighbours are in a copy, words one apart need not be asked
+                    gram, at = gram[: max(1, n - 1)], at[: max(1, n - 1)]
+                rows += [(*about, *x) for x in zip(gram.tolist(), at.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(7)], ["text_id", "size", "slack", "least", "sure", "gram", "at"])
 
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    hashed = per_batch(rows, items, "item_id long, words array<long>").withColumn("text_id", F.xxhash64("words"))
-    texts = hashed.select("text_id", "words").dropDuplicates(["text_id"])
-    each = per_batch(texts, places, "text_id long, size long, slack long, least long, gram long, at long")
-    shared = each.groupBy("gram").agg(F.countDistinct("text_id").alias("texts"))
-    cost = each.join(shared, "gram").groupBy("text_id", "at").agg(F.sum("texts").alias("cost"))
-    order = cost.select("text_id", "at", F.row_number().over(Window.partitionBy("text_id").orderBy("cost", "at")).alias("nth"))
-    # a copy is sure of ceil(share * size) - 1 places: of all but that many it can miss every one
-    sure = F.ceil(share * F.col("size") - 1e-9) - 1
-    kept = each.join(order, ["text_id", "at"]).where(F.col("nth") <= F.col("size") - 1 - sure + F.col("least"))
-    return hashed.select("item_id", "text_id").distinct(), texts, kept.select("gram", "text_id", "at", "size", "slack", "least").distinct()
+    each = per_batch(rows, items, "item_id long, words array<long>").withColumn("text_id", F.xxhash64("words"))
+    texts = each.select("text_id", "words").dropDuplicates(["text_id"])
+    return each.select("item_id", "text_id").distinct(), texts, saved(per_batch(texts, places, _PLACES), "places")
+
+
+class _Table:
+    """Sorted grams that texts are looked up in; most of a text's end at a table over the highest bits."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
+        self.shift = np.uint64(64 - min(24, 12 + int(len(grams)).bit_length() // 2 * 2))
+        self.held = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.held[grams.view(np.uint64) >> self.shift] = True
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the given grams are in the table, and where."""
+        near = np.flatnonzero(self.held[gram.view(np.uint64) >> self.shift])
+        if not len(near):
+            return near, near
+        where = np.minimum(np.searchsorted(self.grams, gram[near]), len(self.grams) - 1)
+        hit = self.grams[where] == gram[near]
+        return near[hit], where[hit]
+
+
+def _frequencies(docs: DataFrame, grams: DataFrame, local: bool, singles: bool) -> DataFrame:
+    """(gram, docs): how many of the documents hold each of the grams that any holds."""
+    if not local:
+        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for text in b.column(1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(_grams(hashed(text.as_py()), singles)[0]))], ["gram"])
+
+        return per_batch(docs, every, "gram long").join(grams, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("docs"))
+    known = np.sort(grams.toPandas()["gram"].to_numpy(np.int64))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, n = _Table(known), np.zeros(len(known), np.int64)
+        for b in batches:
+            for text in b.column(1):
+                n[np.unique(table.find(_grams(hashed(text.as_py()), singles)[0])[1])] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(n[some])], ["gram", "docs"])
+
+    return per_batch(docs, count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+
+
+def _seeds(places: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """The places whose seeds the fewest documents hold, as many as no copy can miss."""
+    per_gram = places.groupBy("gram").agg(F.countDistinct("text_id").alias("texts")).join(frequencies, "gram", "left")
+    cost = places.join(per_gram, "gram").groupBy("text_id", "at").agg(F.sum(F.coalesce("docs", F.lit(0))).alias("docs"), F.sum("texts").alias("texts"))
+    order = cost.select("text_id", "at", F.row_number().over(Window.partitionBy("text_id").orderBy("docs", "texts", "at")).alias("nth"))
+    # a copy is sure of `sure` places: of all but that many it can miss every one
+    kept = places.join(order, ["text_id", "at"]).where(F.col("nth") <= F.greatest(F.col("size") - 1, F.lit(1)) - F.least("sure", F.greatest(F.col("size") - 1, F.lit(1))) + F.col("least"))
+    return saved(kept.select("gram", "text_id", "at", "size", "slack", "least").distinct(), "seeds")
 
 
 def _stretches(at: np.ndarray, end: int, text: np.ndarray, text_at: np.ndarray, size: np.ndarray, slack: np.ndarray, least: np.ndarray) -> list[tuple[int, int, int]]:
@@ -137,61 +189,50 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], ["doc_id", "text_id", "start", "passage"])
 
 
-def _by_broadcast(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+def _by_broadcast(docs: DataFrame, seeds: DataFrame, singles: bool) -> DataFrame:
     """Passages by looking the seeds up in each task."""
     got = seeds.orderBy("gram").toPandas()
     gram, *seed = (got[x].to_numpy(np.int64) for x in ("gram", "text_id", "at", "size", "slack", "least"))
     distinct, first, number = np.unique(gram, return_index=True, return_counts=True)
-    # most pairs of a document end at a table over the hashes' highest bits
-    shift = np.uint64(64 - min(24, 12 + int(len(distinct)).bit_length() // 2 * 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        held = np.zeros(1 << (64 - int(shift)), bool)
-        held[distinct.view(np.uint64) >> shift] = True
+        table = _Table(distinct)
         for b in batches:
             found = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = words(text.as_py())
-                g, at = _pairs(h)
-                near = np.flatnonzero(held[g.view(np.uint64) >> shift]) if len(distinct) else []
-                if not len(near):
-                    continue
-                g = g[near]
-                where = np.minimum(np.searchsorted(distinct, g), len(distinct) - 1)
-                hit = np.flatnonzero(distinct[where] == g)
+                h = hashed(text.as_py())
+                g, at = _grams(h, singles)
+                hit, k = table.find(g)
                 if len(hit):
-                    k = where[hit]
                     n = number[k]
                     s = np.repeat(first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    found += [(doc_id, i, a, h[a:z]) for i, a, z in _stretches(np.repeat(at[near[hit]], n), len(h), *(x[s] for x in seed))]
+                    found += [(doc_id, i, a, h[a:z]) for i, a, z in _stretches(np.repeat(at[hit], n), len(h), *(x[s] for x in seed))]
             yield _rows(found)
 
     return per_batch(docs, run, _PASSAGES)
 
 
-def _by_join(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+def _by_join(docs: DataFrame, seeds: DataFrame, singles: bool) -> DataFrame:
     """The same by joining the documents' pairs with the seeds; only documents with a hit are met again."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for b in batches:
-            all_ = [_pairs(words(t.as_py())) for t in b.column(1)]
-            ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(g) for g, _ in all_])
-            g, at = (np.concatenate([x[i] for x in all_]) if all_ else np.zeros(0, np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(g), pa.array(at)], ["doc_id", "gram", "at"])
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                g, at = _grams(hashed(text.as_py()), singles)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), doc_id)), pa.array(g), pa.array(at)], ["doc_id", "gram", "at"])
 
     hits = per_batch(docs, grams, "doc_id long, gram long, at long")
-    hits = hits.join(seeds.withColumnRenamed("at", "text_at"), "gram")
+    # a seed that many documents hold is met in SALTS parts
+    salted = seeds.withColumnRenamed("at", "text_at").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
     spans = hits.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("at", "text_at", "size", "slack", "least")).alias("spans"), F.countDistinct("text_at").alias("places"), F.max("least").alias("least"))
     spans = spans.where(F.col("places") >= F.col("least")).select("doc_id", "text_id", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for b in batches:
             found = []
             for doc_id, text, item, spans_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                h = words(text.as_py())
+                h = hashed(text.as_py())
                 at, text_at, size, slack, least = (np.array([x[k] for x in spans_], np.int64) for k in ("at", "text_at", "size", "slack", "least"))
                 # rows may repeat an id with another text, whose hits can lie beyond this one's end
                 inside = np.flatnonzero(at < len(h))
@@ -205,28 +246,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, lo
     """Documents that hold a benchmark item or an edited copy of one.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Words are runs of
-    letters, digits and underscores, lower-cased. Null ids and null or empty texts match nothing,
-    nor do items under LEAST_WORDS words; repeated rows or ids give one row with their best score;
-    either table empty gives none. `share` has to be over 1 / LEAST_WORDS.
+    letters, digits and underscores, lower-cased. Items under SHORT_WORDS words are found where their
+    words stand in a row as they are. Null ids and texts without words match nothing; repeated rows
+    or ids give one row with their best score; either table empty gives none. `share` has to be over
+    1 / SHORT_WORDS.
     Returns doc_id, item_id, similarity (of the item's full score, at least `share`) and start (the
-    document's word where the aligned stretch begins)."""
-    if share * LEAST_WORDS <= 1:
+    document's word, from 0, where the aligned copy begins; the first of equal ones)."""
+    if share * SHORT_WORDS <= 1:
         raise ValueError("a copy of so small a share need not hold a pair of words")
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    items, texts, seeds = _seeds(benchmark, share)
-    passages = _by_broadcast(docs, seeds) if seeds.count() <= local_seeds else _by_join(docs, seeds)
+    items, texts, places = _items(benchmark, share)
+    grams = places.select("gram").distinct()
+    singles = bool(places.where("size = 1").limit(1).count())
+    seeds = _seeds(places, _frequencies(docs, grams, grams.count() <= local_seeds, singles))
+    passages = (_by_broadcast if seeds.count() <= local_seeds else _by_join)(docs, seeds, singles)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = []
-            for words, passage in zip(b.column(3), b.column(4), strict=True):
+            starts, scores = [], []
+            for start, words, passage in zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
                 item, text = words.values.to_numpy(), passage.values.to_numpy()
+                least, best, end = _need(len(item), share) - 1e-12, 0.0, 0
                 # no score passes that of the item's words which the passage holds at all
-                most = np.isin(item, text).sum() / len(item)
-                scores.append(align(item, text)[0] / (MATCH * len(item)) if most >= share else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(scores, pa.float64())], ["doc_id", "text_id", "start", "similarity"])
+                if np.isin(item, text).sum() / len(item) >= least:
+                    best, end = align(item, text)
+                good = best / (MATCH * len(item)) >= least
+                scores.append(best / (MATCH * len(item)) if good else 0.0)
+                starts.append(start + start_of(item, text, end) if good else start)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "text_id", "start", "similarity"])
 
     both = passages.join(texts, "text_id").select("doc_id", "text_id", "start", "words", "passage")
-    scored = per_batch(both, score, "doc_id long, text_id long, start long, similarity double").where(F.col("similarity") >= share).join(items, "text_id")
+    scored = per_batch(both, score, "doc_id long, text_id long, start long, similarity double").where(F.col("similarity") > 0).join(items, "text_id")
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.s")).alias("start"))
