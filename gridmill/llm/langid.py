@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gridmill.llm.common import held_out, per_batch
+from gridmill.llm.common import held_out, named, per_batch, private
 
 DIM = 1024
 #: Letters are told apart by so many codes; a-z have their own, code 0 is a gap between words.
@@ -100,25 +101,17 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
     return {r.lang: np.array([p.x for p in r.v]) for r in total.collect()}
 
 
-def identify(docs: DataFrame, learned: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
-    """Language of every row's whole text by the learned prototypes.
-
-    docs: doc_id, text and what `keep` names; other columns are ignored. A text that is null or has
-    no letter, and any text where nothing is learned, is 'und' with score 0; repeated rows each give
-    a row; a null id counts as held out; equal cosines go to the first language by name; an empty
-    table gives no rows. Returns the kept columns, doc_id, held_out, lang_pred and score (the
-    cosine, 0 where it is negative)."""
+def marked(docs: DataFrame, learned: dict[str, np.ndarray], lang: str, score: str) -> DataFrame:
+    """docs with the language of every row's whole text and its cosine in two more columns."""
     langs = sorted(learned)
     proto = np.array([learned[x] for x in langs]).reshape(len(langs), DIM)
     proto = proto / np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-300)
-    names = ["doc_id", "text", *[x for x in keep or [] if x not in ("doc_id", "text")]]
-    own = [x for x in ["doc_id", *(keep or [])] if x in names]
-    own = list(dict.fromkeys(own))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, scores = [], []
-            for text in b.column(1):
+            for text in b.column(at):
                 grams, counts = trigrams(text.as_py() or "")
                 v = bundle(grams, counts) if len(grams) and langs else np.zeros(DIM)
                 size = np.linalg.norm(v)
@@ -126,9 +119,23 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], keep: list[str] |
                 best = int(np.argmax(cos)) if len(cos) else -1
                 found.append(langs[best] if best >= 0 else UNKNOWN)
                 scores.append(min(1.0, max(0.0, float(cos[best]))) if best >= 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(x)) for x in own), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang, score])
+
+    return per_batch(docs, run, StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())]))
+
+
+def identify(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
+    """Language of every row's whole text by the learned prototypes.
+
+    docs: doc_id, text; other columns are ignored. A text that is null or has no letter, and any text
+    where nothing is learned, is 'und' with score 0; repeated rows each give a row; a null id counts
+    as held out; equal cosines go to the first language by name; an empty table gives no rows.
+    Returns doc_id, held_out, lang_pred and score (the cosine, 0 where it is negative)."""
+    out = marked(docs.select("doc_id", "text"), learned, "lang_pred", "score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
 
-    source = docs.select(*names)
-    kinds = ", ".join(f"`{x}` {source.schema[x].dataType.simpleString()}" for x in own)
-    out = per_batch(source, run, f"{kinds}, lang_pred string, score double")
-    return out.withColumn("held_out", held_out(F.col("doc_id")))
+def with_language(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
+    """The rows, with all their columns, whose text is in some language."""
+    lang, score = private(docs, "lang", "score")
+    return marked(docs, learned, lang, score).where(F.col(lang) != UNKNOWN).select(*named(docs.columns))

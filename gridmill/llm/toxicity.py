@@ -1,12 +1,12 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-A text is the set of its hashed lower-cased words. Besides a weight, every term has a short vector;
-the products of two terms' vectors are the weights of their pairs, so that a pair such as an insult
-with the mention of a group can count for more than both terms alone."""
+A text is the set of its hashed lower-cased words. Besides a weight, every bucket of terms has a
+short vector; the products of two buckets' vectors are the weights of their pairs, so that a pair
+such as an insult with the mention of a group can count for more than both terms alone. No term is
+left out for being uneven on its own: every bucket of the training sample has both."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,31 +16,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from gridmill.llm.common import held_out, per_batch
+from gridmill.llm import words as text_words
+from gridmill.llm.common import held_out, named, per_batch, private
 
-#: Hash buckets of terms.
-BUCKETS = 1 << 20
+#: Hash buckets of terms: this bounds the machine (36 bytes each), its fit and what is broadcast.
+BUCKETS = 1 << 18
 #: Labelled rows that the machine is fitted on at most: those with the smallest hashed ids.
 SAMPLE = 20_000
-#: Buckets that get weights at most: those most unevenly spread over the labels.
-TERMS = 4096
-#: Standard errors by which a bucket's share among toxic texts must differ, and texts it must be in.
-LEAST_Z, LEAST_TEXTS = 5.0, 8
-#: STEPS: batches at least, however few the texts.
-FACTORS, EPOCHS, STEPS, BATCH, RATE, SHRINK = 8, 12, 2000, 128, 0.02, 1e-4
-#: Words whose bucket a task remembers.
-MEMORY = 200_000
+#: STEPS: batches at least, however few the texts; HOLD: share of texts that choose when to stop.
+FACTORS, EPOCHS, STEPS, BATCH, RATE, HOLD = 8, 14, 1500, 128, 0.08, 0.1
+#: Pull to zero of weights and vectors at each step that meets them.
+SHRINK = 1e-4
 
-_WORD = re.compile(r"[^\W\d_]+")
 
-
-def terms(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
-
-
-def bucket(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS
+def terms(text: str | None) -> np.ndarray:
+    """The text's distinct buckets, ascending."""
+    return np.unique(text_words.of_text(text, digits=False) % np.uint64(BUCKETS)).astype(np.int32)
 
 
 @dataclass
@@ -52,71 +45,103 @@ class Machine:
     weights: np.ndarray
     vectors: np.ndarray
 
-    def score(self, at: list[int]) -> float:
-        v = self.vectors[at]
-        pairs = ((v.sum(0) ** 2).sum() - (v**2).sum()) / 2
-        return float(_sigmoid(self.bias + self.weights[at].sum() + pairs))
+    def places(self, at: np.ndarray) -> np.ndarray:
+        """Where the buckets that it knows have their weights."""
+        if not len(self.buckets):
+            return np.zeros(0, np.int64)
+        where = np.minimum(np.searchsorted(self.buckets, at), len(self.buckets) - 1)
+        return where[self.buckets[where] == at]
+
+    def score(self, at: np.ndarray) -> float:
+        """Of a text's buckets."""
+        where = self.places(at)
+        v = self.vectors[where]
+        pairs = ((v.sum(0, dtype=float) ** 2).sum() - (v.astype(float) ** 2).sum()) / 2
+        return float(_sigmoid(self.bias + self.weights[where].sum(dtype=float) + pairs))
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+class _Sets:
+    """Bucket sets one after the other."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+
+    def take(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number among docs, and bucket, of each of their terms."""
+        n = self.sizes[docs]
+        own = np.repeat(np.arange(len(docs)), n)
+        return own, self.flat[np.arange(n.sum()) + np.repeat(self.ends[docs] - np.cumsum(n), n)]
+
+
+def _outputs(bias: float, w: np.ndarray, v: np.ndarray, own: np.ndarray, f: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores before the sigmoid, and sums of vectors, of n texts."""
+    rows = v[f]
+    s = np.stack([np.bincount(own, rows[:, k], n) for k in range(FACTORS)], 1)
+    q = np.bincount(own, (rows**2).sum(1), n)
+    return bias + np.bincount(own, w[f], n) + ((s**2).sum(1) - q) / 2, s
+
+
+def _loss(out: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(_sigmoid(out), 1e-7, 1 - 1e-7)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
 def _fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
-    """Machine of the texts given as bucket sets, by stochastic gradients of the log loss (Adam)."""
+    """Machine of the texts given as bucket sets, by stochastic gradients of the log loss.
+
+    Step sizes fall with each bucket's own gradients, so a step touches the batch's buckets only. Of
+    all epochs the one with the least loss on the share HOLD of the texts is returned."""
     prior = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(prior / (1 - prior)))
     if not len(y) or y.min() == y.max():
-        return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
-    # a row has each bucket once, so counts are added up row by row, without one array of all terms
-    n, pos, total = np.zeros(BUCKETS), np.zeros(BUCKETS), y.sum()
-    for r, label in zip(rows, y, strict=True):
-        n[r] += 1
-        pos[r] += label
-    share = (n + 1) / (len(y) + 2)
-    z = (pos / total - n / len(y)) / np.sqrt(share * (1 - share) / total)
-    good = np.flatnonzero((n >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
-    good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")][:TERMS])
-    place = np.full(BUCKETS, -1, np.int32)
-    place[good] = np.arange(len(good))
-    own_terms = [at[at >= 0] for at in (place[r] for r in rows)]
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in own_terms])
-    kept = np.concatenate(own_terms)
-    starts = np.searchsorted(doc, np.arange(len(rows) + 1))
+        return Machine(np.zeros(0, np.int32), bias, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
+    flat = np.unique(np.concatenate(rows))
+    sets = _Sets([np.searchsorted(flat, r) for r in rows])
     rng = np.random.default_rng(7)
-    params = [np.array([bias]), np.zeros(len(good)), rng.normal(0, 0.02, (len(good), FACTORS))]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(rows)))):
-        order = rng.permutation(len(rows))
-        for i in range(0, len(order), BATCH):
-            docs = order[i : i + BATCH]
-            lengths = starts[docs + 1] - starts[docs]
-            own = np.repeat(np.arange(len(docs)), lengths)
-            f = kept[np.repeat(starts[docs] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())]
-            v = params[2][f]
-            s = np.zeros((len(docs), FACTORS))
-            np.add.at(s, own, v)
-            q = np.bincount(own, (v**2).sum(1), len(docs))
-            out = params[0][0] + np.bincount(own, params[1][f], len(docs)) + ((s**2).sum(1) - q) / 2
-            e = (_sigmoid(out) - y[docs]) / len(docs)
-            grads = [np.array([e.sum()]), np.bincount(f, e[own], len(good)) + SHRINK * params[1] / 100, np.zeros_like(params[2])]
-            np.add.at(grads[2], f, e[own, None] * (s[own] - v))
-            grads[2] += SHRINK * params[2]
-            step += 1
-            for p, g, a, b in zip(params, grads, first, second, strict=True):
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    return Machine(good, float(params[0][0]), params[1], params[2])
+    order = rng.permutation(len(rows))
+    hold, learn = order[: int(HOLD * len(rows))], order[int(HOLD * len(rows)) :]
+    w, v = np.zeros(len(flat)), rng.normal(0, 0.03, (len(flat), FACTORS))
+    seen_w, seen_v, seen_b = np.full(len(flat), 1e-4), np.full((len(flat), FACTORS), 1e-4), 1e-4
+    best = None
+    for epoch in range(max(EPOCHS, -(-STEPS * BATCH // len(learn)))):
+        rng.shuffle(learn)
+        for i in range(0, len(learn), BATCH):
+            docs = learn[i : i + BATCH]
+            own, f = sets.take(docs)
+            out, s = _outputs(bias, w, v, own, f, len(docs))
+            e = _sigmoid(out) - y[docs]
+            some, where = np.unique(f, return_inverse=True)
+            mine = e[own]
+            gw = np.bincount(where, mine, len(some)) / BATCH + SHRINK * w[some]
+            pull = mine[:, None] * (s[own] - v[f])
+            gv = np.stack([np.bincount(where, pull[:, k], len(some)) for k in range(FACTORS)], 1) / BATCH + SHRINK * v[some]
+            gb = e.sum() / BATCH
+            seen_b += gb**2
+            seen_w[some] += gw**2
+            seen_v[some] += gv**2
+            bias -= RATE * gb / np.sqrt(seen_b)
+            w[some] -= RATE * gw / np.sqrt(seen_w[some])
+            v[some] -= RATE * gv / np.sqrt(seen_v[some])
+        test = hold if len(hold) else learn
+        loss = np.mean([_loss(_outputs(bias, w, v, *sets.take(d), len(d))[0], y[d]) for d in np.array_split(test, -(-len(test) // 1024))])
+        if best is None or loss < best[0]:
+            best = loss, bias, w.astype(np.float32), v.astype(np.float32)
+    return Machine(flat.astype(np.int32), *best[1:])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Machine from labelled rows of the learning folds.
 
-    It is fitted in one task on at most `sample` labelled rows. Copies of a text count once, with
-    the mean of their labels. Null ids, labels and texts are left out; with no labels, or only one
-    kind, every text scores the smoothed share of toxic ones."""
+    It is fitted in one task on at most `sample` labelled rows, each a set of at most BUCKETS
+    numbers. Copies of a text count once, with the mean of their labels. Null ids, labels and texts
+    are left out; with no labels, or only one kind, every text scores the smoothed share of toxic
+    ones."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("y"))
@@ -127,52 +152,47 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [sorted({bucket(w) for w in terms(t.as_py())}) for t in b.column(1)]
             keys = [xxhash.xxh64_intdigest(t.as_py().encode("utf-8", "surrogatepass")) - (1 << 63) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["y", "copy", "at"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array([terms(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["y", "copy", "at"])
 
-    sets = per_batch(rows.select("y", "text"), hashed, "y double, copy long, at array<int>")
+    sets = per_batch(rows.select("y", "text"), hashed, "y double, copy long, at binary").groupBy("copy").agg(F.avg("y").alias("y"), F.first("at").alias("at"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        y = group.groupby("copy")["y"].mean()
-        texts = group.drop_duplicates("copy").set_index("copy")["at"].reindex(y.index)
-        m = _fit([np.asarray(x) for x in texts], y.to_numpy())
-        return pd.DataFrame([(m.buckets.tolist(), m.bias, m.weights.tolist(), m.vectors.ravel().tolist())], columns=["buckets", "bias", "weights", "vectors"])
+        group = group.sort_values("copy")
+        m = _fit([np.frombuffer(x, np.int32) for x in group["at"]], group["y"].to_numpy())
+        return pd.DataFrame([(m.buckets.tobytes(), m.bias, m.weights.tobytes(), m.vectors.tobytes())], columns=["buckets", "bias", "weights", "vectors"])
 
-    got = sets.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(one, "buckets array<int>, bias double, weights array<double>, vectors array<double>").collect()
+    # `sample` texts at most meet in one task
+    got = sets.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(one, "buckets binary, bias double, weights binary, vectors binary").collect()
     if not got:
         return _fit([], np.zeros(0))
     m = got[0]
-    return Machine(np.array(m.buckets, np.int64), m.bias, np.array(m.weights), np.array(m.vectors).reshape(-1, FACTORS))
-
+    return Machine(np.frombuffer(m.buckets, np.int32), m.bias, np.frombuffer(m.weights, np.float32), np.frombuffer(m.vectors, np.float32).reshape(-1, FACTORS))
 
-def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None) -> DataFrame:
-    """Score of every row's whole text.
 
-    docs: doc_id, text and what `keep` names; other columns are ignored. A null or empty text has no
-    terms and gets the score of the bias alone; repeated rows each give a row; a null id counts as
-    held out; an empty table gives no rows. Returns the kept columns, doc_id, held_out, score and
-    predicted (1 from 0.5 on)."""
-    names = list(dict.fromkeys(["doc_id", "text", *(keep or [])]))
-    own = list(dict.fromkeys(["doc_id", *(keep or [])]))
+def scored(docs: DataFrame, machine: Machine, name: str) -> DataFrame:
+    """docs with the score of every row's whole text in one more column."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {b: i for i, b in enumerate(machine.buckets.tolist())}
-        known: dict[str, int] = {}
         for b in batches:
-            scores = []
-            for text in b.column(1):
-                words = terms(text.as_py())
-                if len(known) > MEMORY:
-                    known.clear()
-                for w in words.difference(known):
-                    known[w] = place.get(bucket(w), -1)
-                at = {known[w] for w in words}
-                at.discard(-1)
-                scores.append(machine.score(sorted(at)))
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(x)) for x in own), pa.array(scores, pa.float64())], [*own, "score"])
-
-    source = docs.select(*names)
-    kinds = ", ".join(f"`{x}` {source.schema[x].dataType.simpleString()}" for x in own)
-    out = per_batch(source, run, f"{kinds}, score double")
-    return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+            scores = [machine.score(terms(t.as_py())) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
+
+    return per_batch(docs, run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def score(docs: DataFrame, machine: Machine) -> DataFrame:
+    """Score of every row's whole text.
+
+    docs: doc_id, text; other columns are ignored. A null or empty text has no terms and gets the
+    score of the bias alone; repeated rows each give a row; a null id counts as held out; an empty
+    table gives no rows. Returns doc_id, held_out, score and predicted (1 from 0.5 on)."""
+    out = scored(docs.select("doc_id", "text"), machine, "score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast(IntegerType()).alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The rows, with all their columns, whose text scores under 0.5."""
+    (mark,) = private(docs, "score")
+    return scored(docs, machine, mark).where(F.col(mark) < 0.5).select(*named(docs.columns))

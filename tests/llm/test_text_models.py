@@ -62,6 +62,14 @@ def test_long_texts_are_read_whole(spark):
     assert langid.identify(docs, langid.prototypes(docs)).count() == 2
 
 
+def accuracy(rows, y):
+    """Of a machine fitted on five sixths of the texts, on the rest."""
+    cut = len(rows) * 5 // 6
+    m = toxicity._fit(rows[:cut], np.array(y[:cut]))
+    got = np.array([m.score(r) >= 0.5 for r in rows[cut:]])
+    return m, (got == (np.array(y[cut:]) == 1)).mean()
+
+
 def test_pairs_beyond_additive_weights():
     """Two words that are harmless alone and toxic together, as is another pair."""
     rng = np.random.default_rng(0)
@@ -73,16 +81,26 @@ def test_pairs_beyond_additive_weights():
                 words.add(w)
         y.append(float({0, 1} <= words or {2, 3} <= words))
         rows.append(np.array(sorted(words)))
-    m = toxicity._fit(rows[:5000], np.array(y[:5000]))
-    place = {b: i for i, b in enumerate(m.buckets.tolist())}
-    got = np.array([m.score([place[w] for w in r if w in place]) >= 0.5 for r in rows[5000:]])
-    truth = np.array(y[5000:]) == 1
-    assert (got == truth).mean() > 0.97
-    assert np.abs(m.vectors).max() > 0.3
+    m, share = accuracy(rows, y)
+    assert share > 0.97 and np.abs(m.vectors).max() > 0.3
     # the closed form of the pair sum
-    at = list(range(min(6, len(m.weights))))
-    pairs = sum(m.vectors[i] @ m.vectors[j] for i in at for j in at if i < j)
-    assert np.isclose(m.score(at), toxicity._sigmoid(m.bias + m.weights[at].sum() + pairs))
+    at = m.places(rows[0])
+    pairs = sum(m.vectors[i].astype(float) @ m.vectors[j] for i in at for j in at if i < j)
+    assert np.isclose(m.score(rows[0]), toxicity._sigmoid(m.bias + m.weights[at].sum() + pairs))
+
+
+def test_pairs_of_words_that_are_even_alone():
+    """Toxic where two words are both there or both missing: neither says anything alone."""
+    rng = np.random.default_rng(1)
+    rows, y = [], []
+    for _ in range(9600):
+        words = {int(w) for w in rng.integers(100, 400, 10)}
+        two = rng.random(2) < 0.5
+        words |= {w for w in range(2) if two[w]}
+        y.append(float(two[0] == two[1]))
+        rows.append(np.array(sorted(words)))
+    assert abs(np.mean(y) - np.mean([t for r, t in zip(rows, y, strict=True) if 0 in r])) < 0.03
+    assert accuracy(rows, y)[1] > 0.9
 
 
 def test_toxicity_of_the_given_table(spark, sf):
