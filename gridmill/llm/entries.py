@@ -61,9 +61,13 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of every document as a file in a tree of sources, thousands and hundreds of ids."""
+    """Licence of every document as a file in a tree of sources, thousands and hundreds of ids.
+
+    One in ten lies right under its source, two in ten under the thousand, the others in the hundred."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100) % 10, "doc_id")
+    last = F.col("doc_id") % 10
+    thousand, hundred = F.floor(F.col("doc_id") / 1000).cast("string"), (F.floor(F.col("doc_id") / 100) % 10).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.when(last > 0, thousand), F.when(last > 2, hundred), F.col("doc_id").cast("string"))
     got = licenses.scan(docs.select(path.alias("path"), "text"))
     return got.select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "license", "similarity", "origin", "found_in")
 
@@ -119,30 +123,41 @@ SELECT conv_id, CAST(any_value(prompt_turns) AS INTEGER) AS prompt_turns,
 FROM s GROUP BY conv_id
 """,
     "op8_licenses": r"""
-WITH template(license, line) AS (VALUES %s),
-tt AS (SELECT license, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS term FROM template),
-tf AS (SELECT license, term, count(*) AS tf FROM tt GROUP BY ALL),
-idf AS (SELECT term, ln(%d.0 / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
-raw AS (SELECT license, term, tf * idf AS w FROM tf JOIN idf USING (term)),
-weights AS (SELECT license, term, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS weight FROM raw),
-f AS (SELECT doc_id, coalesce(source, '-') AS s, doc_id // 1000 AS k, doc_id // 100 %% 10 AS h, coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM f),
-lt AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS term FROM l
-  WHERE regexp_matches(lower(line), 'licens|released|rights|permission|copyright|public|commons')),
-lw AS (SELECT doc_id, pos, term, count(*) AS tf FROM lt GROUP BY ALL),
-w AS (SELECT doc_id, pos, term, tf, tf * coalesce(idf, ln(%d.0) + 1) AS w FROM lw LEFT JOIN idf USING (term)),
-n AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM w GROUP BY ALL),
-d AS (SELECT doc_id, pos, license, sum(w * weight) AS dot FROM w JOIN weights USING (term) GROUP BY ALL),
-m AS (SELECT doc_id, pos, license, words, round(dot / norm, 6) AS similarity FROM d JOIN n USING (doc_id, pos) WHERE round(dot / norm, 6) >= 0.75
-  QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY similarity DESC, license DESC) = 1),
-own AS (SELECT doc_id, arg_max(license, row(similarity, -pos)) AS license, max(similarity) AS similarity, sum(words) AS notice FROM m GROUP BY doc_id),
-chief AS (SELECT s, k, h, doc_id, license, similarity FROM own JOIN f USING (doc_id) WHERE notice >= 0.1 * len(regexp_split_to_array(trim(text), '\s+'))
-  QUALIFY row_number() OVER (PARTITION BY s, k, h ORDER BY similarity DESC, CAST(doc_id AS VARCHAR)) = 1)
-SELECT f.doc_id, coalesce(own.license, chief.license) AS license, coalesce(own.similarity, chief.similarity) AS similarity,
-  CASE WHEN own.license IS NOT NULL THEN 'own' WHEN chief.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-  CASE WHEN own.license IS NULL AND chief.license IS NOT NULL THEN f.s || '/' || f.k || '/' || f.h END AS found_in
-FROM f LEFT JOIN own USING (doc_id) LEFT JOIN chief ON chief.s = f.s AND chief.k = f.k AND chief.h = f.h
-""" % (", ".join(f"('{a}', '{b}')" for a, b in licenses.TEMPLATES), len(licenses.TEMPLATES) + 1, len(licenses.TEMPLATES) + 1),
+WITH template AS (SELECT * FROM (VALUES %s) AS t(template, license, text)),
+tt AS (SELECT DISTINCT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS term FROM template),
+n AS (SELECT count(*) AS n FROM template),
+idf AS (SELECT term, ln((1.0 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tt, n GROUP BY term),
+weights AS (SELECT template, license, term, idf / sqrt(sum(idf * idf) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
+f AS (SELECT doc_id, lower(coalesce(text, '')) AS text, coalesce(source, '-') AS s, coalesce(source, '-') || '/' || (doc_id // 1000) AS k,
+  coalesce(source, '-') || '/' || (doc_id // 1000) || '/' || (doc_id // 100 %% 10) AS h, doc_id %% 10 AS last FROM documents),
+g AS (SELECT *, CASE WHEN last = 0 THEN s WHEN last <= 2 THEN k ELSE h END AS folder FROM f),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM f),
+lt AS (SELECT doc_id, pos, regexp_extract_all(line, '[a-z0-9]+(?:[.-][a-z0-9]+)*') AS terms FROM l),
+r AS (SELECT *, sum(CASE WHEN len(terms) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM lt),
+full_ AS (SELECT * FROM r WHERE len(terms) > 0),
+runs AS (SELECT doc_id, run, min(pos) AS at, count(*) AS lines, flatten(list(terms)) AS terms FROM full_ GROUP BY ALL),
+units AS (
+  SELECT doc_id, 0 AS level, pos AS at, terms FROM full_
+  UNION ALL SELECT doc_id, 1, at, terms FROM runs WHERE lines > 1
+  UNION ALL SELECT doc_id, 2, 0, flatten(list(terms)) FROM runs GROUP BY doc_id HAVING count(*) > 1),
+ut AS (SELECT DISTINCT doc_id, level, at, unnest(terms) AS term FROM units),
+w AS (SELECT doc_id, level, at, term, coalesce(idf, ln(1.0 + (SELECT n FROM n)) + 1) AS w FROM ut LEFT JOIN idf USING (term)),
+norm AS (SELECT doc_id, level, at, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+d AS (SELECT doc_id, level, at, template, license, sum(w * weight) AS dot FROM w JOIN weights USING (term) GROUP BY ALL),
+m AS (SELECT doc_id, level, at, license, round(dot / norm, 6) AS similarity FROM d JOIN norm USING (doc_id, level, at) WHERE round(dot / norm, 6) >= 0.75
+  QUALIFY row_number() OVER (PARTITION BY doc_id, level, at ORDER BY round(dot / norm, 6) DESC, license DESC) = 1),
+own AS (SELECT doc_id, arg_max(license, row(similarity, -level, -at, license)) AS license, max(similarity) AS similarity FROM m GROUP BY doc_id),
+notice AS (SELECT doc_id, max(words) AS notice FROM (SELECT doc_id, level, sum(len(terms)) AS words FROM m JOIN units USING (doc_id, level, at) GROUP BY ALL) GROUP BY doc_id),
+whole AS (SELECT doc_id, sum(len(terms)) AS words FROM full_ GROUP BY doc_id),
+chief AS (SELECT folder, license, similarity FROM own JOIN g USING (doc_id) JOIN notice USING (doc_id) JOIN whole USING (doc_id) WHERE notice >= 0.1 * words
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY similarity DESC, folder || '/' || doc_id) = 1),
+up AS (SELECT doc_id, s AS folder, 0 AS depth FROM g UNION ALL SELECT doc_id, k, 1 FROM g WHERE last > 0 UNION ALL SELECT doc_id, h, 2 FROM g WHERE last > 2),
+near AS (SELECT doc_id, arg_max(chief, depth) AS near FROM up JOIN chief USING (folder) GROUP BY doc_id)
+SELECT g.doc_id, coalesce(own.license, near.license) AS license, coalesce(own.similarity, near.similarity) AS similarity,
+  CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own.license IS NULL THEN near.folder END AS found_in
+FROM g LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)
+""" % ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(licenses.templates())),
     "op4_near_duplicates": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words

@@ -58,12 +58,16 @@ def files(spark, rows):
     return spark.createDataFrame([(p, t, "x", 3) for p, t in rows], "path string, text string, license string, similarity int")
 
 
+def notice(name, k):
+    return [text for n, text in licenses.NOTICES if n == name][k]
+
+
 def test_licenses(spark):
     prose = "some words about the weather and the sea " * 40
-    mit, gpl = dict(licenses.TEMPLATES)["MIT"], dict(licenses.TEMPLATES)["GPL-3.0"]
+    mit, gpl = notice("MIT", 0), notice("GPL-3.0", 0)
     rows = [
         ("LICENSE", gpl), ("a/LICENSE", f"Copyright\n{mit}"), ("a/b/c/x.py", prose), ("a/b/y.py", f"{prose}\nReleased under the MIT license!\n{prose}"), ("z.py", prose), ("d/z.py", None), ("d/e.py", ""),
-        (None, prose), (None, None), ("q/one", mit), ("q/two", gpl), ("q/three", prose), ("a/b/c/x.py", prose), ("r/s", "Licensed " * 100_000), ("ab/x", prose), ("r/t", f"this is not released under any license that we know of {mit}"),
+        (None, prose), (None, mit), (None, None), ("q/one", mit), ("q/two", gpl), ("q/three", prose), ("a/b/c/x.py", prose), ("r/s", "Licensed " * 100_000), ("ab/x", prose), ("r/t", f"this is not released under any license that we know of {mit}"),
     ]
     got = [tuple(r) for r in licenses.scan(files(spark, rows)).collect()]
     assert len(got) == len(rows)
@@ -75,16 +79,30 @@ def test_licenses(spark):
     assert licenses.scan(files(spark, [])).count() == 0
 
 
-def test_notices_without_a_naming_word(spark):
-    lines = ["CC BY-NC 4.0", "Redistribution and use in source and binary forms are permitted.", "Apache, Version 2.0"]
-    got = {r.path: r.license for r in licenses.scan(files(spark, [(f"{i}/f", line) for i, line in enumerate(lines)])).collect()}
-    assert got == {"0/f": "CC-BY-NC-4.0", "1/f": "BSD-3-Clause", "2/f": "Apache-2.0"}
+def test_short_wrapped_and_commented_notices(spark):
+    def wrapped(text, mark, width=9):
+        words = text.split()
+        return "\n".join(f"{mark} " + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+    paragraphs = lambda name: [t for n, t in licenses.NOTICES if n == name and len(t.split()) >= licenses.PARAGRAPH]
+    code = "\nimport os\n\ndef f(x):\n    return os.path.join(x, 'y')\n" * 30
+    rows = {
+        "1": ("CC BY-NC 4.0", "CC-BY-NC-4.0"), "2": ("Redistribution and use in source and binary forms are permitted.", "BSD-3-Clause"), "3": ("Apache, Version 2.0", "Apache-2.0"),
+        "4": ("All rights reserved.", "Proprietary"), "5": ("Licensed under the MIT License.", "MIT"), "6": ("No part may be reproduced without", "Proprietary"),
+        "7": ("This Source Code Form is subject to the terms of the Mozilla", "MPL-2.0"), "8": ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"), "9": ("Creative CC BY 4.0 Attribution 4.0 International", "CC-BY-4.0"),
+        "10": ("/*\n" + wrapped(paragraphs("MPL-2.0")[0], " *") + "\n */" + code, "MPL-2.0"),
+        "11": ("\n#\n".join(wrapped(t, "#") for t in paragraphs("Apache-2.0")) + "\n" + code, "Apache-2.0"),
+        "12": ("Copyright 2020 Some One\n\n" + "\n\n".join(wrapped(t, "") for t in paragraphs("MIT")), "MIT"),
+        "13": ("\n\n".join(wrapped(t, "//", 5) for t in paragraphs("GPL-3.0")) + code, "GPL-3.0"), "14": (code, None), "15": ("the sea and the software of the wind", None),
+    }
+    got = {r.path: r.license for r in licenses.notices(files(spark, [(p, t) for p, (t, _) in rows.items()])).collect()}
+    assert got == {p: name for p, (_, name) in rows.items() if name}
 
 
-def test_the_prefilter_loses_no_line(spark):
+def test_the_prefilter_loses_no_unit(spark):
     rng = random.Random(5)
-    terms = sorted({w for _, line in licenses.TEMPLATES for w in line.split()}) + ["sea", "wind", "sky"]
-    rows = [(f"{i}/f", " ".join(rng.choices(rng.choice(licenses.TEMPLATES)[1].split(), k=rng.randrange(1, 9)) + rng.choices(terms, k=rng.randrange(4)))) for i in range(600)]
-    kept = [tuple(r) for r in licenses.notices(files(spark, rows)).orderBy("path").collect()]
-    whole = [tuple(r) for r in licenses.notices(files(spark, rows), least=0.0).where(f"similarity >= {licenses.LEAST}").orderBy("path").collect()]
-    assert kept == whole and 50 < len(kept) < 600
+    terms = sorted({w for _, line in licenses.NOTICES for w in line.split()}) + ["sea", "wind", "sky"]
+    rows = [(f"{i}/f", "\n".join(" ".join(rng.choices(rng.choice(licenses.NOTICES)[1].split(), k=rng.randrange(1, 9)) + rng.choices(terms, k=rng.randrange(4))) for _ in range(rng.randrange(1, 3)))) for i in range(400)]
+    kept = [tuple(r) for r in licenses.notices(files(spark, rows)).select("path", "license", "similarity").orderBy("path").collect()]
+    whole = [tuple(r) for r in licenses.notices(files(spark, rows), least=0.0).where(f"similarity >= {licenses.LEAST}").select("path", "license", "similarity").orderBy("path").collect()]
+    assert kept == whole and 50 < len(kept) < 400
