@@ -5,8 +5,9 @@ bin picked by a hash of the bin and the attempt (optimal densification). Bands o
 keys. Documents with equal sets are one node from the start. In a bucket each node is tied to the
 smallest one only, so the candidates are stars, and every candidate is confirmed on the full sets.
 What a star can miss, a link between two nodes neither of which is the centre, matters only in
-buckets that still hold several components; there the pairs across components are confirmed too,
-but those whose set sizes, own shingles or distances to the common centre rule a link out."""
+buckets that still hold several components; there the nodes outside a bucket's largest component are
+held against the others, but for those whose set sizes, own shingles or distances to the common
+centre rule a link out. The nodes of such a bucket are dealt out over tasks."""
 
 from __future__ import annotations
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from gridmill.llm.common import per_batch, saved
 from gridmill.llm.graph import components
+from gridmill.llm.words import mix, of_bytes
 
 #: Chance that a pair just at the threshold shares no bucket.
 MISS = 1e-8
@@ -29,8 +31,8 @@ MISS = 1e-8
 BROADCAST_IDS = 1 << 20
 #: Parts, a power of two, over which two sets' common shingles are bounded.
 PARTS = 256
-#: Words whose hash a task remembers.
-MEMORY = 200_000
+#: Nodes of one bucket that one task holds against the bucket's other nodes.
+SPLIT = 1024
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -40,29 +42,16 @@ def bands_for(percent: int, rows: int) -> int:
     return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows)))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Scrambles 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
     def __init__(self, width: int):
-        self.width, self.known = width, {}
+        self.width = width
         self.odd = np.array([int(_ODD[i % len(_ODD)]) + 2 * (i // len(_ODD)) & (1 << 64) - 1 for i in range(width)], np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
         # ASCII letters are lowered and ASCII blanks cut, other characters stay
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        for w in {*words}.difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = of_bytes(text)
         n = len(h)
         if not n:
             return h
@@ -70,8 +59,8 @@ class Shingler:
             return np.array([xxhash.xxh64_intdigest(h.tobytes(), n)], np.uint64)
         mixed = np.zeros(n - self.width + 1, np.uint64)
         for i in range(self.width):
-            mixed += _mix(h[i : n - self.width + 1 + i] * self.odd[i])
-            mixed = _mix(mixed)
+            mixed += mix(h * self.odd[i])[i : n - self.width + 1 + i]
+            mixed = mix(mixed)
         return np.unique(mixed)
 
 
@@ -79,13 +68,13 @@ class Shingler:
 def _attempts(bins: int, first: int, n: int) -> np.ndarray:
     """Bins that each bin asks in attempts first..first+n."""
     at = np.arange(bins, dtype=np.uint64)[:, None] * np.uint64(0x100000001B3) + np.arange(first, first + n, dtype=np.uint64)[None, :]
-    return (_mix(at * _ODD[0] + np.uint64(1)) % np.uint64(bins)).astype(np.int64)
+    return (mix(at * _ODD[0] + np.uint64(1)) % np.uint64(bins)).astype(np.int64)
 
 
 def signature(h: np.ndarray, bins: int) -> np.ndarray:
     """Least value in each bin; empty bins densified."""
-    where = _mix(h ^ _ODD[5])
-    value = _mix(h * _ODD[6]) >> np.uint64(11)
+    where = mix(h ^ _ODD[5])
+    value = mix(h * _ODD[6]) >> np.uint64(11)
     own = (where % np.uint64(bins)).astype(np.int64)
     order = np.lexsort((value, own))
     own, value = own[order], value[order]
@@ -107,7 +96,7 @@ def bands(h: np.ndarray, rows: int, n: int) -> np.ndarray:
     parts = signature(h, rows * n).reshape(n, rows)
     key = np.arange(n, dtype=np.uint64) * _ODD[1]
     for i in range(rows):
-        key = _mix(key ^ (parts[:, i] * _ODD[i % len(_ODD)]))
+        key = mix(key ^ (parts[:, i] * _ODD[i % len(_ODD)]))
     return key.view(np.int64)
 
 
@@ -193,9 +182,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
 
     labelled = members.join(first.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     labelled = saved(labelled, "labelled")
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high and size > 2")
+    by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    open_ = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("size")).where("labels > 1 and size > 2")
     far = tested.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
-    rest = labelled.join(open_.select("bucket"), "bucket").where("doc_id <> centre").join(far, ["centre", "doc_id"], "left")
+    rest = labelled.join(open_.select("bucket", "main", F.ceil(F.col("size") / SPLIT).cast("int").alias("salts")), "bucket").where("doc_id <> centre").join(far, ["centre", "doc_id"], "left")
     open_ids = saved(rest.select("doc_id").distinct(), "open")
     sets = _sets(docs, nodes, open_ids, width)
     # shingles that no other of these documents has are common to no pair: an edit's own ones
@@ -207,10 +197,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     parts = parts.withColumn("shared", F.aggregate("parts", F.lit(0), lambda a, x: a + x))
     about = nodes.join(open_ids, "doc_id", "left_semi").select("doc_id", "n", "bands").join(parts, "doc_id")
     rest = saved(rest.join(about, "doc_id"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    # all nodes on one side, dealt out; those outside the largest component on the other, in every part
+    x = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("x")
+    y = rest.where("label <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     within = 1 - percent / 100 + 1e-9
     across = x.join(y, F.expr(
-        "x.bucket = y.bucket and x.doc_id < y.doc_id and x.label <> y.label"
+        "x.bucket = y.bucket and x.salt = y.salt and x.label <> y.label and (x.label = x.main or x.doc_id < y.doc_id)"
         f" and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
         # what can be common: shared shingles, in all and part by part
         f" and 100 * least(x.shared, y.shared) >= {percent} * (x.n + y.n - least(x.shared, y.shared))"
@@ -220,7 +212,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         " and x.band = array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) - 1"
         f" and {100 + percent} * aggregate(zip_with(x.parts, y.parts, (p, q) -> least(p, q)), 0, (s, v) -> s + v) >= {percent} * (x.n + y.n)"
     ))
-    across = saved(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")), "across")
+    across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    # a pair can be made in buckets with different largest components: once either way round
+    across = saved(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")), "across")
     more = _confirmed(across, sets).where(linked).select("a", "b")
     ties = first.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
     last = components(ties.unionByName(more))

@@ -55,8 +55,9 @@ def families(seed, groups, copies, words):
     return [*enumerate(out)]
 
 
-@pytest.mark.parametrize(("width", "percent", "rows"), [(3, 85, 7), (5, 80, 6)])
-def test_groups_equal_brute_force(spark, width, percent, rows):
+@pytest.mark.parametrize(("width", "percent", "rows", "split"), [(3, 85, 7, 1024), (5, 80, 6, 8)])
+def test_groups_equal_brute_force(spark, monkeypatch, width, percent, rows, split):
+    monkeypatch.setattr(near_duplicates, "SPLIT", split)
     docs = families(width, 4, 40, 110)
     want, sizes = brute(docs, width, percent)
     assert len({*want.values()}) > 8

@@ -43,18 +43,54 @@ def test_large_components_stay_exact(spark):
     assert got[0, 1] == 256 * 10**7 * 256 * (10**7 + 29) + (256 * 3 * 10**6) ** 2
 
 
-def test_bounds_hold_and_reading_stops():
+def test_components_of_any_size_take_part(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)]
+    rows += [(60, [1e17, 0.0, 0.0]), (61, [1e-3, 1e17, 0.0]), (62, [1e300, 0.0, 0.0]), (63, [1.7e308, 1.0, 0.0]), (64, [-1e17, 0.0, 1.0]), (70, [1e17, -1e17, 2.0]), (80, [2.0**53, 1.0, 0.0]), (81, [2.0**53 + 2, -1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, 5, 10).select("query_id", "rank", "vec_id", "score").collect())
+    whole = {i: [int(x) * 256 if abs(x) >= 2**53 else math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for qid in sorted(i for i in whole if i % 10 == 0):
+        found = sorted((-sum(a * b for a, b in zip(whole[qid], w, strict=True)), i) for i, w in whole.items() if i != qid)[:5]
+        want += [(qid, n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(found)]
+    assert got == want
+
+
+def test_bounds_hold():
     rng = np.random.default_rng(1)
     x = np.floor(rng.normal(size=(300, 6)) * 50)
     q = np.floor(rng.normal(size=(4, 6)) * 50)
-    b = topk.Block(np.arange(300), x)
+    b = topk.Block(np.arange(300), x, topk.Block.ranks(x))
     exact = x @ q.T
-    weights = np.hstack([np.maximum(q, 0), np.maximum(-q, 0)])
     for depth in (1, 40, 299, 300):
-        low, high = b.bounds(depth, weights)
-        assert (low <= exact + 1e-9).all() and (exact <= high + 1e-9).all()
-    assert np.array_equal(b.bounds(300, weights)[0], exact)
-    assert topk.DEPTHS[0] < 1
+        low, high = b.bounds(depth, q)
+        assert (low <= exact).all() and (exact <= high).all()
+    assert np.array_equal(b.bounds(300, q)[0], exact)
+
+
+def test_reading_stops_on_clustered_vectors():
+    """Queries of 8 clusters against blocks of one cluster each, as alike vectors share a block."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(8, 32)) * 100
+    blocks = []
+    for c in range(8):
+        x = np.floor(centres[c] + rng.normal(size=(500, 32)) * 20)
+        blocks.append(topk.Block(np.arange(500) + 1000 * c, x, topk.Block.ranks(x)))
+    ids, q = np.array([1000 * c + i for c in range(8) for i in range(5)]), np.concatenate([b.x[:5] for b in blocks])
+    every = np.concatenate([b.x for b in blocks]) @ q.T
+    every[np.searchsorted(np.concatenate([b.ids for b in blocks]), ids), np.arange(40)] = -np.inf
+    kth = np.sort(every, 0)[-5]
+    # a query starts with the k-th best score of its own block
+    floor = np.array([np.sort(np.delete(blocks[i // 5].x @ q[i], i % 5))[-5] for i in range(40)])
+    read, found = [], set()
+    for b in blocks:
+        at, other, score, share = b.best(ids, q, 5, floor)
+        read.append(share)
+        found |= {(int(a), int(o)) for a, o, s in zip(at, other, score, strict=True) if s >= kth[a]}
+    assert np.mean(read) < 0.2 and max(read) < 0.9
+    row = np.concatenate([b.ids for b in blocks])
+    assert found == {(j, int(row[c])) for c, j in zip(*np.nonzero(every >= kth), strict=True)}
 
 
 def arc_frame(spark, rows):
@@ -90,8 +126,8 @@ def test_arc_layouts_and_faults():
     assert [*warc.arc_records(v2[:-5])][0]["truncated"]
     with pytest.raises(ValueError, match="version 1 at byte"):
         list(warc.arc_records(v1 + b"no header\n"))
-    row = {"record_id": "urn:uuid:1", "uri": "u", "date": "d", "mime": "text/plain", "digest": "0", "truncated": True, "block": b"hello"}
-    fields, block = next(warc.warc_records(warc._record("response", row, None, None) + b"\r\n\r\n"))
+    row = {"record_id": "urn:uuid:1", "uri": "u", "date": "d", "mime": "text/plain", "digest": "0", "truncated": True}
+    fields, block = next(warc.warc_records(warc._record("response", row, b"hello", None, None) + b"\r\n\r\n"))
     assert fields["warc-type"] == "resource" and fields["warc-truncated"] == "length" and block == b"hello"
     assert warc._identifier("a", "b") == warc._identifier("a", "b") != warc._identifier("a", "c")
 
@@ -116,7 +152,7 @@ def test_edited_copies_are_found(spark):
     rng = random.Random(2)
     words = [f"v{i}" for i in range(4000)]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12, 60)))) for i in range(30)]
-    items += [(90, "too short an item"), (91, None), (None, items[0][1]), (92, ""), (93, items[1][1])]
+    items += [(90, "quite a short item"), (94, "alone"), (95, "two words"), (91, None), (None, items[0][1]), (92, ""), (93, items[1][1])]
     docs, want = [], set()
     for n in range(120):
         body = [rng.choice(words) for _ in range(rng.randrange(30, 400))]
@@ -131,7 +167,8 @@ def test_edited_copies_are_found(spark):
             want.add((n, i))
         docs.append((n, " ".join(body).upper() if n % 2 else " ".join(body)))
     docs += [(500, None), (501, ""), (None, items[3][1]), (502, items[4][1]), (502, items[4][1]), (503, " ".join(words * 20) + " " + items[5][1])]
-    want |= {(502, 4), (503, 5)}
+    docs += [(504, "x Quite a short, item y"), (505, "quite a very short item"), (506, "it is Alone. so two  words"), (507, "words two"), (508, "two other words")]
+    want |= {(502, 4), (503, 5), (504, 90), (506, 94), (506, 95)}
     want |= {(n, 93) for n, i in want if i == 1}
     d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
@@ -141,24 +178,39 @@ def test_edited_copies_are_found(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def found_by_alignment(item, text):
+    need = decontaminate.SHARE if len(item) >= decontaminate.SHORT_WORDS else 1.0
+    return decontaminate.align(item, text)[0] >= need * decontaminate.MATCH * len(item)
+
+
 def test_given_table_against_full_alignment(spark, sf):
     """Every document is aligned with every item, without seeds."""
-    hashed = decontaminate._Words()
-    items = [(r.item_id, hashed(r.text)) for r in entries.table(spark, sf, "benchmark").collect()]
-    docs = [(r.doc_id, hashed(r.text)) for r in entries.table(spark, sf, "documents").collect()]
-    want = {(d, i) for d, h in docs for i, w in items if len(w) >= decontaminate.LEAST_WORDS and len(np.intersect1d(h, w)) * 2 >= len(np.unique(w)) and decontaminate.align(w, h)[0] >= decontaminate.SHARE * decontaminate.MATCH * len(w)}
+    items = [(r.item_id, decontaminate.hashed(r.text)) for r in entries.table(spark, sf, "benchmark").collect()]
+    docs = [(r.doc_id, decontaminate.hashed(r.text)) for r in entries.table(spark, sf, "documents").collect()]
+    # an item can't score more than its words that the document holds
+    want = {(d, i) for d, h in docs for i, w in items if 2 * np.isin(w, h).sum() >= len(w) and found_by_alignment(w, h)}
     assert {(r.doc_id, r.item_id) for r in entries.op5_decontamination(spark, sf).collect()} == want
 
 
 def aligned(spark, items, docs):
     """What the operator finds on both paths, and what full alignment of every pair finds."""
-    hashed = decontaminate._Words()
-    want = {(n, i) for n, d in docs for i, t in items if decontaminate.align(hashed(t), hashed(d))[0] >= decontaminate.SHARE * decontaminate.MATCH * len(t.split())}
+    want = {(n, i) for n, d in docs for i, t in items if found_by_alignment(decontaminate.hashed(t), decontaminate.hashed(d))}
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for local in (1 << 20, 0):
         yield {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b, local_seeds=local).collect()}, want
 
 
+def test_where_a_copy_begins(spark):
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(500)]
+    item, body = rng.sample(words, 20), [f"other{i}" for i in range(200)]
+    edited = [*item[:5], "new", *item[6:]]
+    docs = [(n, " ".join(body[:at] + copy + body[at:])) for n, (at, copy) in enumerate([(50, item), (0, edited), (200, item), (7, item[:2])])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:2]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.start for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {(0, 1): 50, (1, 1): 0, (2, 1): 200, (0, 2): 50, (1, 2): 0, (2, 2): 200, (3, 2): 7}
+
+
 def test_items_that_share_a_template(spark):
     words = [f"t{i}" for i in range(40)]
     of = lambda x: " ".join(words[:20] + [x] + words[21:])
