@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from gridmill.llm import bpe, decontaminate, langid, near_duplicates, toxicity
-from gridmill.llm.common import saved, table
+from gridmill.llm.common import named, private, saved, table
 
 #: Ids up to this number (8 bytes each) are broadcast to drop rows; more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
@@ -17,19 +18,23 @@ VOCABULARY = "word_bpe_49k.json"
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is not among ids; null ids stay."""
     ids = saved(ids.select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*named(docs.columns))
+
+
+def _order(docs: DataFrame) -> list[Column]:
+    """All columns, those that have no order of their own as text."""
+    plain = (ArrayType, MapType, StructType, VariantType)
+    return [c.cast("string") if isinstance(docs.schema[n].dataType, plain) else c for n, c in zip(docs.columns, named(docs.columns), strict=True)]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null texts and those without a letter."""
-    found = langid.identify(docs, langid.prototypes(docs), keep=docs.columns)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return langid.with_language(docs, langid.prototypes(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the factorization machine takes for toxic."""
-    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, machine, keep=docs.columns).where(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +45,9 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = saved(groups.where("doc_id is not null and kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     dropped = groups.where(~F.col("kept")).select("doc_id")
     rest = _without(docs, dropped.unionByName(repeated))
-    one = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return rest.unionByName(one.select("row.*").select(*docs.columns))
+    (place,) = private(docs, "place")
+    one = docs.join(repeated, "doc_id", "left_semi").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(*_order(docs))))
+    return rest.unionByName(one.where(F.col(place) == 1).select(*named(docs.columns)))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
