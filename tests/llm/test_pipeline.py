@@ -39,5 +39,31 @@ def test_odd_rows(spark, sf):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_extra_columns_of_any_name_and_type(spark, sf):
+    docs = table(spark, sf, "documents").limit(120)
+    names = ["score", "lang_pred", "held_out", "predicted", "_score", "_lang", "place", "_place", "kept", "n", "node", "digest", "a.b", "file_words"]
+    rows = docs.unionByName(docs.limit(3)).unionByName(docs.limit(3).withColumn("n_chars", docs["n_chars"] + 1))
+    for i, n in enumerate(names):
+        rows = rows.withColumn(n, rows["doc_id"] + i)
+    rows = rows.selectExpr("*", "map('k', doc_id) as m", "array(named_struct('x', text)) as s")
+    out = reduce(lambda d, s: s[1](spark, d, sf), corpus_pipeline.STAGES[:-1], rows)
+    assert out.columns == rows.columns
+    kept = out.collect()
+    assert len(kept) > 60 and len({r.doc_id for r in kept}) == len(kept)
+    for r in kept:
+        assert all(r[n] == r.doc_id + i for i, n in enumerate(names)) and r.m == {"k": r.doc_id} and r.s[0].x == r.text
+    assert corpus_pipeline.codes(spark, out, sf).count() == len(kept)
+
+
+def test_long_texts_and_the_session(spark, sf):
+    docs = table(spark, sf, "documents").limit(20)
+    words = "the sea and the wind are on the way to a land "
+    long_ = spark.createDataFrame([(i, None, "en", "s", 1) for i in range(80_001, 80_013)], docs.schema).selectExpr("doc_id", f"concat(repeat('{words}', 230000), doc_id) as text", "lang", "source", "n_chars")
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = reduce(lambda d, s: s[1](spark, d, sf), corpus_pipeline.STAGES, docs.unionByName(long_))
+    assert [r.doc_id for r in out.where("doc_id > 80000").collect()] == [80_001]
+    assert (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == before
+
+
 def test_models_are_those_of_the_queries():
     assert corpus_pipeline.langid is langid and corpus_pipeline.VOCABULARY == entries.CODE_VOCABULARY
