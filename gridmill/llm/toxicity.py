@@ -25,10 +25,11 @@ from gridmill.llm.common import held_out, named, per_batch, private
 BUCKETS = 1 << 18
 #: Labelled rows that the machine is fitted on at most: those with the smallest hashed ids.
 SAMPLE = 20_000
-#: STEPS: batches at least, however few the texts; HOLD: share of texts that choose when to stop.
-FACTORS, EPOCHS, STEPS, BATCH, RATE, HOLD = 8, 14, 1500, 128, 0.08, 0.1
-#: Pull to zero of weights and vectors at each step that meets them.
-SHRINK = 1e-4
+#: STEPS: batches at least, however few the texts; RATE, PAIR_RATE: step sizes of weights and
+#: vectors; SPREAD: first size of the vectors.
+FACTORS, EPOCHS, STEPS, BATCH, RATE, PAIR_RATE, SPREAD = 4, 12, 1200, 64, 0.3, 0.02, 0.003
+#: Standard errors that a bucket's weight, and a pair's vectors, must explain to leave zero.
+LEAST, PAIR_LEAST = 3.0, 3.0
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -64,75 +65,81 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-class _Sets:
-    """Bucket sets one after the other."""
+class _Batch:
+    """Some texts' terms in the order of texts and, by `turn`, in the order of buckets."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray):
+        sizes = np.array([len(r) for r in rows])
+        f = np.concatenate(rows)
+        self.y, self.own, self.starts = y, np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.cumsum(sizes) - sizes
+        self.turn = np.argsort(f, kind="stable").astype(np.int32)
+        self.some, self.firsts = np.unique(f[self.turn], return_index=True)
+        self.f = f
 
-    def take(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number among docs, and bucket, of each of their terms."""
-        n = self.sizes[docs]
-        own = np.repeat(np.arange(len(docs)), n)
-        return own, self.flat[np.arange(n.sum()) + np.repeat(self.ends[docs] - np.cumsum(n), n)]
+    def outputs(self, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores before the sigmoid, the terms' vectors, and their sums by text."""
+        rows = v[self.f]
+        s = np.add.reduceat(rows, self.starts)
+        q = np.add.reduceat((rows**2).sum(1), self.starts)
+        return bias + np.add.reduceat(w[self.f], self.starts) + ((s**2).sum(1) - q) / 2, rows, s
 
-
-def _outputs(bias: float, w: np.ndarray, v: np.ndarray, own: np.ndarray, f: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores before the sigmoid, and sums of vectors, of n texts."""
-    rows = v[f]
-    s = np.stack([np.bincount(own, rows[:, k], n) for k in range(FACTORS)], 1)
-    q = np.bincount(own, (rows**2).sum(1), n)
-    return bias + np.bincount(own, w[f], n) + ((s**2).sum(1) - q) / 2, s
-
-
-def _loss(out: np.ndarray, y: np.ndarray) -> float:
-    p = np.clip(_sigmoid(out), 1e-7, 1 - 1e-7)
-    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    def by_bucket(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[self.turn], self.firsts)
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     """Machine of the texts given as bucket sets, by stochastic gradients of the log loss.
 
-    Step sizes fall with each bucket's own gradients, so a step touches the batch's buckets only. Of
-    all epochs the one with the least loss on the share HOLD of the texts is returned."""
+    A step touches the batch's buckets only, and step sizes fall with a bucket's own gradients. In
+    the first half of the epochs weights are pulled to zero by LEAST standard errors of what the
+    labels of their texts would add up to by chance, given all other terms; those that have left zero
+    then go on without it. In the second half the vectors of all buckets learn what is left over,
+    pulled by PAIR_LEAST of what the random vectors of a text's other terms would do. So rare terms
+    don't learn their few texts by heart, and a pair grows from nothing if it explains enough."""
     prior = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(prior / (1 - prior)))
-    if not len(y) or y.min() == y.max():
+    some = [i for i, r in enumerate(rows) if len(r)]
+    if not some or y.min() == y.max():
         return Machine(np.zeros(0, np.int32), bias, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
-    flat = np.unique(np.concatenate(rows))
-    sets = _Sets([np.searchsorted(flat, r) for r in rows])
+    flat = np.unique(np.concatenate([rows[i] for i in some]))
     rng = np.random.default_rng(7)
-    order = rng.permutation(len(rows))
-    hold, learn = order[: int(HOLD * len(rows))], order[int(HOLD * len(rows)) :]
-    w, v = np.zeros(len(flat)), rng.normal(0, 0.03, (len(flat), FACTORS))
-    seen_w, seen_v, seen_b = np.full(len(flat), 1e-4), np.full((len(flat), FACTORS), 1e-4), 1e-4
-    best = None
-    for epoch in range(max(EPOCHS, -(-STEPS * BATCH // len(learn)))):
-        rng.shuffle(learn)
-        for i in range(0, len(learn), BATCH):
-            docs = learn[i : i + BATCH]
-            own, f = sets.take(docs)
-            out, s = _outputs(bias, w, v, own, f, len(docs))
-            e = _sigmoid(out) - y[docs]
-            some, where = np.unique(f, return_inverse=True)
-            mine = e[own]
-            gw = np.bincount(where, mine, len(some)) / BATCH + SHRINK * w[some]
-            pull = mine[:, None] * (s[own] - v[f])
-            gv = np.stack([np.bincount(where, pull[:, k], len(some)) for k in range(FACTORS)], 1) / BATCH + SHRINK * v[some]
-            gb = e.sum() / BATCH
-            seen_b += gb**2
-            seen_w[some] += gw**2
-            seen_v[some] += gv**2
-            bias -= RATE * gb / np.sqrt(seen_b)
-            w[some] -= RATE * gw / np.sqrt(seen_w[some])
-            v[some] -= RATE * gv / np.sqrt(seen_v[some])
-        test = hold if len(hold) else learn
-        loss = np.mean([_loss(_outputs(bias, w, v, *sets.take(d), len(d))[0], y[d]) for d in np.array_split(test, -(-len(test) // 1024))])
-        if best is None or loss < best[0]:
-            best = loss, bias, w.astype(np.float32), v.astype(np.float32)
-    return Machine(flat.astype(np.int32), *best[1:])
+    order = rng.permutation(some)
+    batches = [_Batch([np.searchsorted(flat, rows[i]).astype(np.int32) for i in part], y[part]) for part in np.array_split(order, -(-len(order) // BATCH))]
+    w, v = np.zeros(len(flat)), rng.normal(0, SPREAD, (len(flat), FACTORS))
+    seen_w, seen_v, seen_b = np.ones(len(flat)), np.ones(len(flat)), 1.0
+    texts = np.bincount(np.concatenate([b.f for b in batches]), minlength=len(flat))
+    touched = np.bincount(np.concatenate([b.some for b in batches]), minlength=len(flat))
+    pull = np.sqrt(texts * prior * (1 - prior)) / touched
+    # what the random vectors of a text's other terms add up to by chance
+    hold = PAIR_LEAST * SPREAD * np.sqrt(texts.sum() / len(order))
+    epochs = max(EPOCHS, -(-STEPS // len(batches)))
+    for epoch in range(epochs):
+        # pairs are for what single terms leave over
+        pairs = epoch >= epochs // 2
+        for k in rng.permutation(len(batches)):
+            b = batches[k]
+            out, vectors, s = b.outputs(bias, w, v if pairs else np.zeros_like(v))
+            e = _sigmoid(out) - b.y
+            mine, at = e[b.own], b.some
+            g = b.by_bucket(mine)
+            seen_w[at] += g**2
+            step = RATE / np.sqrt(seen_w[at])
+            new = w[at] - step * g
+            if pairs:  # weights that have left zero are pulled no more
+                w[at] = np.where(w[at] != 0, new, 0.0)
+            else:
+                w[at] = np.sign(new) * np.maximum(0.0, np.abs(new) - step * LEAST * pull[at])
+            seen_b += e.sum() ** 2
+            bias -= RATE * e.sum() / np.sqrt(seen_b)
+            if not pairs:
+                continue
+            gv = b.by_bucket(mine[:, None] * (s[b.own] - vectors))
+            seen_v[at] += (gv**2).mean(1)
+            step = PAIR_RATE / np.sqrt(seen_v[at])
+            new = v[at] - step[:, None] * gv
+            v[at] = new * np.maximum(0.0, 1 - step * hold * pull[at] / np.maximum(np.sqrt((new**2).sum(1)), 1e-12))[:, None]
+    there = np.flatnonzero((np.abs(w) > 1e-6) | ((v**2).sum(1) > 1e-8))
+    return Machine(flat[there].astype(np.int32), float(bias), w[there].astype(np.float32), v[there].astype(np.float32))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
