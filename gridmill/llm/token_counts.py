@@ -78,8 +78,7 @@ class _Chunk:
     def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
         """The documents' frequencies in one row, then the pre-tokens by their hashes."""
         raw = [w.encode("utf-8", "surrogatepass") for w in self.index]
-        hashes = np.fromiter(map(xxhash.xxh32_intdigest, raw), np.uint32, len(raw))
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(_hashes(raw), kind="stable")
         place = np.empty(len(raw), np.uint32)
         place[order] = np.arange(len(raw), dtype=np.uint32)
         sizes = np.array([len(x) for x in self.at], np.uint32)
@@ -87,7 +86,7 @@ class _Chunk:
         yield _batch(chunk, None, None, _shuffled(blob), zip(*self.docs, strict=True))
         for i in range(0, len(raw), TOKENS_A_ROW):
             some = order[i : i + TOKENS_A_ROW]
-            yield _batch(chunk, i, sum(len(raw[k]) for k in some), _pack([raw[k] for k in some], hashes[some]), [None] * 3)
+            yield _batch(chunk, i, sum(len(raw[k]) for k in some), _pack([raw[k] for k in some]), [None] * 3)
 
 
 def _batch(chunk: int, first: int | None, size: int | None, blob: bytes, lists: Iterable) -> pa.RecordBatch:
@@ -95,17 +94,19 @@ def _batch(chunk: int, first: int | None, size: int | None, blob: bytes, lists:
     return pa.RecordBatch.from_arrays(arrays, ["chunk", "first", "size", "blob", "doc_ids", "n_bytes", "special"])
 
 
-def _pack(raw: list[bytes], hashes: np.ndarray) -> bytes:
-    """Sorted hashes and what they are of."""
+def _hashes(raw: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh32_intdigest, raw), np.uint32, len(raw))
+
+
+def _pack(raw: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, raw), np.uint32, len(raw))
-    return np.uint32(len(raw)).tobytes() + hashes.tobytes() + sizes.tobytes() + b"".join(raw)
+    return np.uint32(len(raw)).tobytes() + _shuffled(sizes) + b"".join(raw)
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
+def _unpack(raw: bytes) -> list[bytes]:
     n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    hashes, sizes = np.frombuffer(raw, np.uint32, 2 * n, 4).reshape(2, n)
-    ends = (np.cumsum(sizes) + 4 + 8 * n).tolist()
-    return hashes, [raw[a:z] for a, z in zip([4 + 8 * n, *ends], ends, strict=False)]
+    ends = (np.cumsum(_unshuffled(raw[4 : 4 + 4 * n])) + 4 + 4 * n).tolist()
+    return [raw[a:z] for a, z in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
 def _shuffled(x: np.ndarray) -> bytes:
@@ -150,10 +151,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, first, blob in zip(*(b.column(i) for i in range(3)), strict=True):
-                hashes, raw = _unpack(zstandard.decompress(blob.as_py()))
-                own = hashes.astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)
+                raw = _unpack(zstandard.decompress(blob.as_py()))
+                own = _hashes(raw).astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)
                 edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(raw)]
-                packs = [zstandard.compress(_pack(raw[i:k], hashes[i:k]), 3) for i, k in zip(edges, edges[1:], strict=False)]
+                packs = [zstandard.compress(_pack(raw[i:k]), 3) for i, k in zip(edges, edges[1:], strict=False)]
                 n = len(packs)
                 arrays = [pa.array([chunk.as_py()] * n, pa.int64()), pa.array([first.as_py()] * n, pa.int32()), pa.array(own[edges[:-1]].astype(np.int64)), pa.array(packs)]
                 yield pa.RecordBatch.from_arrays(arrays, ["chunk", "first", "range", "blob"])
@@ -165,7 +166,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
             for own, blob in zip(b.column(2).to_pylist(), b.column(3), strict=True):
                 if own != now:
                     now, known = own, {}
-                _, raw = _unpack(zstandard.decompress(blob.as_py()))
+                raw = _unpack(zstandard.decompress(blob.as_py()))
                 new = [x for x in raw if x not in known]
                 known.update(zip(new, _pieces(t, [x.decode("utf-8", "surrogatepass") for x in new]).tolist(), strict=True))
                 outs.append(zstandard.compress(np.fromiter(map(known.__getitem__, raw), np.uint32, len(raw)).tobytes(), 1))
