@@ -26,7 +26,8 @@ def per_batch(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)
 
-    return df.mapInArrow(tidy, schema)
+    # the columns are met by their place, whatever their names
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(tidy, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -106,7 +106,7 @@ def marked(docs: DataFrame, learned: dict[str, np.ndarray], lang: str, score: st
     langs = sorted(learned)
     proto = np.array([learned[x] for x in langs]).reshape(len(langs), DIM)
     proto = proto / np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-300)
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,7 +119,7 @@ def marked(docs: DataFrame, learned: dict[str, np.ndarray], lang: str, score: st
                 best = int(np.argmax(cos)) if len(cos) else -1
                 found.append(langs[best] if best >= 0 else UNKNOWN)
                 scores.append(min(1.0, max(0.0, float(cos[best]))) if best >= 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang, score])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names, lang, score])
 
     return per_batch(docs, run, StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())]))
 

@@ -179,12 +179,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
 def scored(docs: DataFrame, machine: Machine, name: str) -> DataFrame:
     """docs with the score of every row's whole text in one more column."""
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores = [machine.score(terms(t.as_py())) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, name])
 
     return per_batch(docs, run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
