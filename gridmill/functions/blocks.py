@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def stacked(values: pd.Series, shape: tuple[int, int]) -> np.ndarray:
-    """[rows, h, w] of rows that hold h * w numbers each."""
-    wrong = {len(v) for v in values if len(v) != shape[0] * shape[1]}
+def stacked(values: pa.Array, shape: tuple[int, ...]) -> np.ndarray:
+    """[rows, *shape] of the rows that aren't null, which hold that many numbers each, uncopied."""
+    there = values.drop_null() if values.null_count else values
+    sizes = np.diff(there.offsets.to_numpy())
+    wrong = sorted({*sizes[sizes != math.prod(shape)].tolist()})
     if wrong:
-        raise ValueError(f"fields of {sorted(wrong)} values where {shape[0]} x {shape[1]} are expected")
-    return np.array([*values], float).reshape(-1, *shape)
+        raise ValueError(f"fields of {wrong} values where {' x '.join(map(str, shape))} are expected")
+    flat = there.flatten()
+    if flat.null_count:
+        raise ValueError("a field with a null value")
+    return flat.to_numpy().reshape(-1, *shape)
+
+
+def listed(rows: np.ndarray, like: pa.Array | None = None) -> pa.Array:
+    """Rows as an array of lists; null where `like` is, if given."""
+    flat = np.ascontiguousarray(rows, float).reshape(len(rows), -1)
+    size = flat.shape[1] if len(flat) else 0
+    if like is None or not like.null_count:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * size), pa.array(flat.ravel()))
+    there = like.is_valid().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(there)]).astype(np.int32) * size
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()), mask=pa.array(~there))
+
+
+def numbers(x: np.ndarray, like: pa.Array) -> pa.Array:
+    """A number a row; null where `like` is."""
+    out = np.full(len(like), np.nan)
+    there = like.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = x
+    return pa.array(out, pa.float64(), mask=~there)
 
 
 def mapped(col: Column | str, shape: tuple[int, int], f: Callable[[np.ndarray], np.ndarray]) -> Column:
     """Column of f applied to whole batches of fields; a null field stays null."""
 
-    @F.pandas_udf("array<double>")
-    def run(values: pd.Series) -> pd.Series:
-        there = values.notna().to_numpy()
-        got = f(stacked(values[there], shape)) if there.any() else np.zeros((0, 1))
-        rows = iter(got.reshape(len(got), -1))
-        return pd.Series([next(rows) if x else None for x in there], dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(values: pa.Array) -> pa.Array:
+        a = stacked(values, shape)
+        return listed(f(a) if len(a) else np.zeros((0, 1)), values)
 
     return run(col)
 

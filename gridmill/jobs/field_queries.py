@@ -53,9 +53,10 @@ def subsample_line(spark, d):
 def resolution_rule(spark, d):
     rate = F.explode(F.array(*map(F.lit, (1, 2, 4, 7)))).alias("rate")
     rows = t.fields(spark, d).select(rate, F.size("values").alias("size"))
-    side = F.floor((N - 1) / F.col("rate")) + 1
+    rule = lambda f, *a: F.element_at(F.create_map(*(F.lit(x).cast("long") for r in (1, 2, 4, 7) for x in (r, f(r, *a)))), F.col("rate").cast("long"))
+    side = rule(fields.plane_points, N)
     return rows.groupBy("rate").agg(
-        F.first(F.floor(8192 / F.col("rate"))).alias("line_points"), F.first(F.floor(420 / F.col("rate")) + 1).alias("plane_points"),
+        F.first(rule(fields.line_points)).alias("line_points"), F.first(rule(fields.plane_points)).alias("plane_points"),
         F.count_if(F.col("size") != side * side).alias("other"),
     )
 
@@ -86,8 +87,7 @@ def shape_check(spark, d):
 
 @query(f"WITH {t.FIELDS}, c AS (SELECT j, sin(pi() * (2 * j - 63) / 126) AS x FROM (SELECT unnest(range(64)) AS j)), p AS (SELECT sample, unnest(range(64)) AS j, unnest(v) AS v FROM f) SELECT sample, round(max(abs(v - x)), 8) AS gap FROM p JOIN c USING (j) GROUP BY sample")
 def node_check(spark, d):
-    stored = t.fields(spark, d).select("sample", F.posexplode("values").alias("j", "v"))
-    return stored.join(F.broadcast(fields.nodes_table(spark, N * N)), "j").groupBy("sample").agg(F.round(F.max(F.abs(F.col("v") - F.col("x"))), 8).alias("gap"))
+    return fields.node_gap(t.fields(spark, d), "values", N * N, "sample").select("sample", F.round("gap", 8).alias("gap"))
 
 
 @query(f"WITH {t.FIELDS} SELECT sample, 3 AS rank, CAST(CAST(v[5] AS FLOAT) AS DOUBLE) AS fifth FROM f")
@@ -108,11 +108,13 @@ def pair_check(spark, d):
     return fields.one_sided(rows.where("sample % 10 <> 0"), rows.where("sample % 15 <> 0"))
 
 
-@query(f"WITH {t.FIELDS} SELECT sample, CAST(0 AS DOUBLE) AS gap FROM f")
+@query(f"WITH {t.FIELDS}, g AS (SELECT a.sample, a.v AS coarse, b.v AS fine FROM f a JOIN f b ON b.sample = a.sample // 2 * 2) SELECT sample, round(greatest(abs(coarse[1] - fine[1]), abs(coarse[8] - fine[8]), abs(coarse[57] - fine[57]), abs(coarse[64] - fine[64])), 8) AS gap FROM g")
 def common_nodes(spark, d):
+    """Corners of every field against those of the even sample before it, on the grid of both ends."""
     rows = t.fields(spark, d).select("sample", "values")
-    # a coarse grid made of every seventh node shares all of its nodes
-    return fields.common_nodes(rows.withColumn("values", fields.strided("values", 7, N)), rows, 2, 7)
+    even = (F.floor(F.col("sample") / 2) * 2).alias("even")
+    fine = rows.select("sample", even).join(rows.withColumnRenamed("sample", "even"), "even").select("sample", "values")
+    return fields.common_nodes(rows.withColumn("values", fields.strided("values", 7, N)), fine, 2, 7).withColumn("gap", F.round("gap", 8))
 
 
 @query(f"WITH {t.POINTS} SELECT CAST(pos AS INTEGER) AS pos, count(*) AS n, round(avg(x), 8) AS mean, round(stddev_samp(x), 8) AS std FROM p GROUP BY pos")
@@ -206,29 +208,50 @@ def transfer_floor(spark, d):
     return got.withColumn("mean", F.round("mean", 8)).withColumn("worst", F.round("worst", 8))
 
 
-@query()
+def _matrix_sql(m: np.ndarray) -> str:
+    return "(VALUES " + ", ".join(f"({i}, {k}, {float(m[i, k])!r}::DOUBLE)" for i in range(m.shape[0]) for k in range(m.shape[1])) + ") AS m(i, k, c)"
+
+
+def _sweep_sql(cases) -> str:
+    """Round trips of every case through its matrix, both axes one after the other."""
+    trips = [grids.to_chebyshev(s, N, d) @ grids.restriction(r, N, s) for r, s, d in cases]
+    named = ", ".join(f"({k}, '{r}', {s}, {d})" for k, (r, s, d) in enumerate(cases))
+    entries = ", ".join(f"({k}, {i}, {j}, {float(m[i, j])!r}::DOUBLE)" for k, m in enumerate(trips) for i in range(N) for j in range(N))
+    return f"""{t.POINTS}, {t.GRID}, cases(k, restriction, s, degree) AS (VALUES {named}), m(k, i, j, c) AS (VALUES {entries}),
+t1 AS (SELECT m.k, sample, m.i, pos % 8 AS col, sum(c * x) AS x FROM p JOIN m ON m.j = pos // 8 GROUP BY ALL),
+t2 AS (SELECT t1.k, sample, t1.i, m.i AS j, sum(c * x) AS y FROM t1 JOIN m ON m.k = t1.k AND m.j = t1.col GROUP BY ALL),
+e AS (SELECT k, p.sample, sqrt(sum(a.w * b.w * (y - x) * (y - x)) / sum(a.w * b.w * x * x)) AS e FROM t2 JOIN p ON p.sample = t2.sample AND p.pos = t2.i * 8 + t2.j JOIN w a ON a.j = t2.i JOIN w b ON b.j = t2.j GROUP BY ALL),
+sweep AS (SELECT restriction, CAST(s AS INTEGER) AS s, CAST(degree AS INTEGER) AS degree, avg(e) AS mean, max(e) AS worst FROM e JOIN cases USING (k) GROUP BY ALL)"""
+
+
+_SWEEP = [(r, s, g) for r in grids.RESTRICTIONS for s in (4, 5, 6, 7) for g in (1, 2, 3)]
+_CHOICE = [(r, s, 2) for r in grids.RESTRICTIONS for s in (5, 6, 7)]
+_ORDER = ", ".join(f"('{r}', {i})" for i, r in enumerate(grids.RESTRICTIONS))
+
+
+@query(f"WITH {_sweep_sql(_SWEEP)} SELECT restriction, s, degree, round(mean, 7) AS mean, round(worst, 7) AS worst FROM sweep")
 def transfer_sweep(spark, d):
-    cases = [(r, s, g) for r in grids.RESTRICTIONS for s in (4, 5, 6, 7) for g in (1, 2, 3)]
-    got = transfer.floor_sweep(t.fields(spark, d), "values", N, cases)
-    return got.withColumn("mean", F.round("mean", 8)).withColumn("worst", F.round("worst", 8))
+    got = transfer.floor_sweep(t.fields(spark, d), "values", N, _SWEEP)
+    return got.withColumn("mean", F.round("mean", 7)).withColumn("worst", F.round("worst", 7))
 
 
-@query()
+@query(f"WITH {_sweep_sql(_CHOICE)}, o(restriction, nth) AS (VALUES {_ORDER}), near AS (SELECT *, mean <= 1.1 * min(mean) OVER (PARTITION BY degree, s) AS near FROM sweep) SELECT degree, s, arg_min(restriction, nth) AS restriction FROM near JOIN o USING (restriction) WHERE near GROUP BY degree, s")
 def restriction_choice(spark, d):
-    cases = [(r, s, 2) for r in grids.RESTRICTIONS for s in (5, 6, 7)]
-    return transfer.best_restriction(transfer.floor_sweep(t.fields(spark, d), "values", N, cases))
+    return transfer.best_restriction(transfer.floor_sweep(t.fields(spark, d), "values", N, _CHOICE))
 
 
-@query()
+_FILTER = transfer.filter_matrix(N, "smooth s-2", S)
+
+
+@query(f"""WITH {t.POINTS}, {t.GRID}, fm AS (SELECT * FROM {_matrix_sql(_FILTER)}),
+t1 AS (SELECT sample, label, fm.i, pos % 8 AS col, sum(c * x) AS x FROM p JOIN fm ON fm.k = pos // 8 GROUP BY ALL), t2 AS (SELECT sample, label, t1.i, fm.i AS j, sum(c * x) AS y FROM t1 JOIN fm ON fm.k = t1.col GROUP BY ALL),
+e AS (SELECT p.sample, p.label, sum(a.w * b.w * (y - x) * (y - x)) / sum(a.w * b.w * x * x) AS e FROM t2 JOIN p ON p.sample = t2.sample AND p.pos = t2.i * 8 + t2.j JOIN w a ON a.j = t2.i JOIN w b ON b.j = t2.j GROUP BY ALL)
+SELECT label, round(avg(e), 8) AS mean, round(max(e), 8) AS worst FROM e GROUP BY label""")
 def filtered_energy(spark, d):
     share = transfer.filtered_energy("values", N, "smooth s-2", S)
     return t.fields(spark, d).select("label", share.alias("e")).groupBy("label").agg(F.round(F.avg("e"), 8).alias("mean"), F.round(F.max("e"), 8).alias("worst"))
 
 
-def _matrix_sql(m: np.ndarray) -> str:
-    return "(VALUES " + ", ".join(f"({i}, {k}, {float(m[i, k])!r}::DOUBLE)" for i in range(m.shape[0]) for k in range(m.shape[1])) + ") AS m(i, k, c)"
-
-
 @query(f"WITH {t.POINTS}, d AS (SELECT * FROM {_matrix_sql(grids.derivative(N))}) SELECT sample, CAST(d.i * 8 + pos % 8 AS INTEGER) AS pos, round(sum(c * x), 7) AS value FROM p JOIN d ON d.k = pos // 8 GROUP BY ALL")
 def derivative_rows(spark, d):
     return fields.long_form(t.fields(spark, d).withColumn("values", transfer.derivative("values", N, 0)), "values", "sample").withColumn("value", F.round("value", 7))
@@ -273,7 +296,7 @@ def residual_loss(spark, d):
     rows = t.predictions(spark, d).withColumn("batch", F.floor(F.col("sample") / 32))
     sizes = rows.groupBy("batch").agg(F.count("*").alias("size"))
     r = losses.residual("pred", "values", F.col("size"))
-    both = rows.join(F.broadcast(sizes), "batch").select("batch", F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x).alias("half"))
+    both = rows.join(sizes, "batch").select("batch", F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x).alias("half"))
     return both.groupBy("batch").agg(F.round(F.sum("half") / 2, 9).alias("loss"))
 
 
@@ -307,11 +330,31 @@ def evaluation(spark, d):
 
 
 @query(f"WITH {_SCORED} SELECT label, round(avg(model), 8) AS model_mean, round(max(model), 8) AS model_worst, round(avg(total), 8) AS total_mean, round(max(total), 8) AS total_worst FROM er GROUP BY label")
-def resolution_study(spark, d):
+def errors_by_group(spark, d):
     got = errors.by_group(_scored(spark, d), "label").drop("transfer_mean", "transfer_worst")
     return got.select("label", *(F.round(c, 8).alias(c) for c in got.columns if c != "label"))
 
 
+@query(f"""WITH {t.POINTS}, s AS (SELECT unnest([1, 2, 3, 7]) AS step),
+g AS (SELECT 7 // step + 1 AS n, sample, sample % 5 <> 0 AS train, pos, x, x * x + 0.25 * x AS y FROM p, s WHERE pos // 8 % step = 0 AND pos % 8 % step = 0),
+z AS (SELECT n, pos, avg(x) AS xm, stddev_samp(x) AS xs, avg(y) AS ym, stddev_samp(y) AS ys FROM g WHERE train GROUP BY n, pos),
+q AS (SELECT n, sample, y, (0.9 * (x - xm) / (xs + 1e-5) + 0.05) * (ys + 1e-5) + ym AS pred FROM g JOIN z USING (n, pos) WHERE NOT train),
+e AS (SELECT n, sample, sqrt(sum((pred - y) * (pred - y))) / sqrt(sum(y * y)) AS e FROM q GROUP BY n, sample),
+m AS (SELECT n, count(*) AS n_test, avg(e) AS mean, max(e) AS worst FROM e GROUP BY n)
+SELECT CAST(n AS INTEGER) AS n, n_test, round(mean, 7) AS mean, round(worst, 7) AS worst, round(mean / (SELECT mean FROM m WHERE n = 8), 7) AS ratio, CASE WHEN n = 8 THEN true END AS agrees FROM m""")
+def resolution_study(spark, d):
+    """One map between encoded fields, scored on four grids whose statistics are fitted anew."""
+    rows = t.fields(spark, d).select("sample", F.when(F.col("sample") % 5 != 0, "train").otherwise("test").alias("split"), F.col("values").alias("x"))
+    rows = rows.withColumn("y", F.transform("x", lambda x: x * x + 0.25 * x))
+    grids_ = F.explode(F.array(*(F.struct(F.lit(fields.plane_points(s, N)).alias("n"), fields.strided("x", s, N).alias("x"), fields.strided("y", s, N).alias("y")) for s in (1, 2, 3, 7))))
+    study = rows.select("sample", "split", grids_.alias("g")).select("sample", "split", "g.*")
+    model = lambda x: F.transform(x, lambda v: 0.9 * v + 0.05)
+    # the run's last loss is that of the same data as it was trained on
+    last = errors.resolution_study(study.where(F.col("n") == N), model, N).select(F.col("mean").alias("test_l2"))
+    got = errors.resolution_study(study, model, N, last)
+    return got.select("n", "n_test", *(F.round(c, 7).alias(c) for c in ("mean", "worst", "ratio")), "agrees")
+
+
 @query(f"WITH {t.PREDICTED}, r AS (SELECT unnest([1, 2, 4]) AS rate), q AS (SELECT rate, sample, {_REL} AS l2 FROM e, r WHERE pos // 8 % rate = 0 AND pos % 8 % rate = 0 GROUP BY ALL), m AS (SELECT rate, avg(l2) AS l2 FROM q GROUP BY rate) SELECT rate, round(l2, 8) AS l2, round(l2 / (SELECT l2 FROM m WHERE rate = 1), 8) AS ratio FROM m")
 def resolution_ratio(spark, d):
     rows, parts = t.predictions(spark, d), None
@@ -381,16 +424,16 @@ def cumulative_energy(spark, d):
 def trace_check(spark, d):
     rows = _variances(spark, d)
     base = rows.where("label = 0").drop("label")
-    parts = pod.trace_check(rows.withColumn("one", F.lit(1)), base.withColumn("one", F.lit(1)), 50, "one").select("population", "scatter")
-    trace = rows.groupBy("label").agg(F.sum("eigenvalue").alias("trace")).crossJoin(F.broadcast(parts))
-    return trace.select("label", *(F.round(c, 8).alias(n) for n, c in (("trace", F.col("trace")), ("population", F.col("population")), ("ratio", F.col("trace") / F.col("population")), ("scatter", F.col("scatter")))))
+    labels = rows.select("label").distinct()
+    got = pod.trace_check(rows, base.crossJoin(F.broadcast(labels)), 50, "label")
+    return got.select("label", *(F.round(n, 8).alias(n) for n in ("trace", "population", "ratio", "scatter")))
 
 
-@query(f"WITH {_VARS}, b AS (SELECT i, i // 4 AS q, eigenvalue FROM g WHERE label = 0), s AS (SELECT q, count(*) AS g, sum(a.eigenvalue) AS own, sum(b.eigenvalue) AS whole FROM g a JOIN b USING (i) WHERE a.label = 1 GROUP BY q) SELECT q, g, round(own / whole, 8) AS ratio, abs(own / whole - 1) > 3 * sqrt(2.0 / (50 * g)) AS off FROM s")
+@query(f"WITH {_VARS}, b AS (SELECT i, i // 4 AS q, eigenvalue FROM g WHERE label = 0), s AS (SELECT label, q, count(*) AS g, sum(a.eigenvalue) AS own, sum(b.eigenvalue) AS whole FROM g a JOIN b USING (i) GROUP BY label, q) SELECT label, q, g, round(own / whole, 8) AS ratio, abs(own / whole - 1) > 3 * sqrt(2.0 / (50 * g)) AS off FROM s")
 def equal_groups(spark, d):
     rows = _variances(spark, d)
     base = rows.where("label = 0").withColumn("q", F.floor(F.col("i") / 4))
-    return pod.equal_groups(rows.where("label = 1"), base, 50).select("q", "g", F.round("ratio", 8).alias("ratio"), "off")
+    return pod.equal_groups(rows, base, 50, "label").select("label", "q", "g", F.round("ratio", 8).alias("ratio"), "off")
 
 
 @query(f"WITH {_VARS} SELECT a.label AS grid, CAST(i AS INTEGER) AS i, round(a.eigenvalue / b.eigenvalue, 8) AS ratio FROM g a JOIN g b USING (i) WHERE b.label = 0")
@@ -399,17 +442,20 @@ def grid_comparison(spark, d):
     return pod.against_grid(rows, 0, ).select("grid", "i", F.round("ratio", 8).alias("ratio"))
 
 
-@query(f"WITH {_VARS} SELECT CAST(a.i AS INTEGER) AS i, round(a.eigenvalue, 8) AS eigenvalue, round(b.eigenvalue, 8) AS population FROM g a JOIN g b ON a.i = b.i AND b.label = 0 WHERE a.label = 1 AND a.i < 20")
+@query(f"WITH {_VARS} SELECT a.label, CAST(a.i AS INTEGER) AS i, round(a.eigenvalue, 8) AS eigenvalue, round(b.eigenvalue, 8) AS population FROM g a JOIN g b ON a.i = b.i AND b.label = 0 WHERE a.i < 20")
 def leading_eigenvalues(spark, d):
     rows = _variances(spark, d)
-    got = pod.leading(rows.where("label = 1"), rows.where("label = 0"))
-    return got.select("i", F.round("eigenvalue", 8).alias("eigenvalue"), F.round("population", 8).alias("population"))
+    got = pod.leading(rows, rows.where("label = 0"), 20, "label")
+    return got.select("label", "i", F.round("eigenvalue", 8).alias("eigenvalue"), F.round("population", 8).alias("population"))
 
 
-@query()
+_SOLVED = grids.Poisson(N, N)(np.eye(N * N).reshape(-1, N, N)).reshape(N * N, N * N).T
+
+
+@query(f"WITH {t.POINTS}, a AS (SELECT * FROM {_matrix_sql(_SOLVED)}), u AS (SELECT sample, a.i, sum(c * x) AS u FROM p JOIN a ON a.k = pos GROUP BY ALL) SELECT sample, round(sqrt(sum(u * u)), 7) AS u_norm FROM u GROUP BY sample")
 def solved_labels(spark, d):
     rows = t.fields(spark, d).withColumn("u", generate.solve("values", N))
-    return rows.select("sample", F.round(losses.norm(F.col("u")), 8).alias("u_norm"))
+    return rows.select("sample", F.round(losses.norm(F.col("u")), 7).alias("u_norm"))
 
 
 @query()

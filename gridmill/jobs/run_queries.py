@@ -48,9 +48,9 @@ def optimizer_arms(spark, d):
     return _armed(spark, d).select("run", "arm")
 
 
-@query(f"WITH {t.RUNS}, l AS (SELECT run, list(epoch_time_s ORDER BY epoch_time_s) FILTER (epoch > 1 AND epoch_time_s IS NOT NULL) AS v FROM m GROUP BY run) SELECT r.run, r.epoch, s, n, round(test_l2 - train_l2, 9) AS gap, v[len(v) // 2 + 1] AS median_time, CASE WHEN r.run % 3 <> 0 THEN CAST(num_params AS BIGINT) ELSE CAST(epoch * ceil(n / batch_size) AS BIGINT) END AS steps, CASE WHEN r.run % 3 <> 0 THEN r.run + 2 * r.run END AS passes FROM r JOIN l USING (run) WHERE num_params IS NOT NULL")
+@query(f"WITH {t.RUNS}, l AS (SELECT run, list(epoch_time_s ORDER BY epoch_time_s) FILTER (epoch > 1 AND epoch_time_s IS NOT NULL) AS v FROM m GROUP BY run) SELECT r.run, r.epoch, s, n, round(test_l2 - train_l2, 9) AS gap, v[len(v) // 2 + 1] AS median_time, coalesce(CASE WHEN r.run % 3 <> 0 THEN CAST(num_params AS BIGINT) END, CAST(epoch * ceil(n / batch_size) AS BIGINT)) AS steps, CASE WHEN r.run % 3 <> 0 THEN r.run + 2 * r.run END AS passes FROM r JOIN l USING (run)")
 def run_assembly(spark, d):
-    rows = t.runs(spark, d).where("num_params is not null")
+    rows = t.runs(spark, d)
     data = rows.select("run", "s", "n", F.col("n").alias("n_train"))
     training = rows.select("run", "batch_size", F.col("epoch").alias("epochs"))
     model = rows.select("run", "padding")
@@ -64,11 +64,8 @@ def run_assembly(spark, d):
 @query(f"WITH {t.RUNS} SELECT padding, s, count(*) AS runs, CAST(max(seed) AS BIGINT) AS last_seed, round(avg(test_l2), 9) AS mean, min(test_l2) AS low, max(test_l2) AS high, string_agg(DISTINCT peak, ',' ORDER BY peak) AS peaks, arg_min(num_params, row(seed, num_params)) FILTER (num_params IS NOT NULL) AS num_params FROM r GROUP BY padding, s")
 def cells(spark, d):
     rows = t.runs(spark, d)
-    # the first known costs by seed; of equal seeds the smaller
-    got = runs.cells(rows.withColumn("seed", F.col("seed")), "test_l2")
-    first = rows.where("num_params is not null").groupBy("padding", "s").agg(F.min(F.struct("seed", "num_params")).alias("m"))
-    got = got.drop("num_params").join(first, ["padding", "s"], "left")
-    return got.select("padding", "s", "runs", F.element_at("seeds", -1).alias("last_seed"), F.round("test_l2.mean", 9).alias("mean"), "test_l2.low", "test_l2.high", F.array_join("peaks", ",").alias("peaks"), F.col("m.num_params").alias("num_params"))
+    got = runs.cells(rows, "test_l2")
+    return got.select("padding", "s", "runs", F.element_at("seeds", -1).alias("last_seed"), F.round("test_l2.mean", 9).alias("mean"), "test_l2.low", "test_l2.high", F.array_join("peaks", ",").alias("peaks"), "num_params")
 
 
 _SIZES = f"{t.RUNS}, z AS (SELECT n, count(*) AS runs, avg(value / 1000) AS mean, min(value / 1000) AS low, max(value / 1000) AS high, avg(value / 1000) <= 0.05 AS mean_meets, bool_and(value / 1000 <= 0.05) AS all_meet, avg(CASE WHEN n < 200 THEN value END) AS time FROM r GROUP BY n)"
@@ -113,9 +110,9 @@ def runs_by_arm(spark, d):
     return got.select("arm", "runs", F.size("seeds").cast("long").alias("seeds"), F.round("gap.mean", 9).alias("gap"), F.round("value.mean", 8).alias("value"))
 
 
-@query("WITH s AS (SELECT l_orderkey AS run, sum(l_linenumber) AS forward, sum(l_linenumber * 2) AS backward, count(*) AS steps FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey) SELECT o_orderkey AS run, CAST(forward AS BIGINT) AS forward, CAST(backward AS BIGINT) AS backward, steps, CAST(forward + steps AS BIGINT) AS training_forward FROM orders LEFT JOIN s ON run = o_orderkey")
+@query("WITH s AS (SELECT l_orderkey AS run, sum(l_linenumber) AS forward, sum(l_linenumber * 2) AS backward, count(*) AS steps FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey AS run, CAST(forward AS BIGINT) AS forward, CAST(backward AS BIGINT) AS backward, steps, CAST(forward + steps AS BIGINT) AS training_forward FROM orders LEFT JOIN s ON run = o_orderkey")
 def pass_totals(spark, d):
-    lines = t.read(spark, d, "lineitem").where("l_linenumber > 1")
+    lines = t.read(spark, d, "lineitem")
     steps = lines.select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").cast("long").alias("forward_passes"), (F.col("l_linenumber") * 2).cast("long").alias("backward_passes"))
     return runs.pass_totals(steps, t.read(spark, d, "orders").select(F.col("o_orderkey").alias("run")))
 
@@ -135,9 +132,9 @@ def resume_truncation(spark, d):
     return runs.truncated(rows.select("run", "epoch", "value"), resume)
 
 
-@query(f"WITH {t.RUNS} SELECT run, padding, value FROM r WHERE value > 0 AND value <= 1.02 * (SELECT min(value) FROM r WHERE value > 0) ORDER BY padding, value LIMIT 1")
+@query(f"WITH {t.RUNS} SELECT run, padding, value FROM r WHERE value <= 1.02 * (SELECT min(value) FROM r) ORDER BY padding, value LIMIT 1")
 def sweep_winner(spark, d):
-    return runs.sweep_winner(t.runs(spark, d).where("value > 0"), "value").select("run", "padding", "value")
+    return runs.sweep_winner(t.runs(spark, d), "value").select("run", "padding", "value")
 
 
 @query(f"WITH {t.RUNS}, g AS (SELECT s, avg(value) AS mean FROM r GROUP BY s) SELECT s, round(mean, 8) AS mean FROM g WHERE mean <= 1.10 * (SELECT mean FROM g WHERE s = 128) ORDER BY s LIMIT 1")
@@ -167,9 +164,9 @@ def step_counts(spark, d):
     return sampling.step_counts(rows).select("run", "steps_per_epoch", "total_steps", "schedule_steps", "spent")
 
 
-@query(f"WITH {t.EPOCHS} SELECT event_type, round(corr(ln(value), ln(k)), 7) AS correlation FROM m WHERE value > 0 AND k > 0 GROUP BY event_type")
+@query(f"WITH {t.EPOCHS} SELECT event_type, round(corr(ln(value + 1), ln(k + 1)), 7) AS correlation FROM m GROUP BY event_type")
 def log_correlation(spark, d):
-    rows = t.epochs(spark, d).where("value > 0 and k > 0")
+    rows = t.epochs(spark, d).select("event_type", (F.col("value") + 1).alias("value"), (F.col("k") + 1).alias("k"))
     return rows.groupBy("event_type").agg(F.round(errors.log_correlation(F.col("value"), F.col("k").cast("double")), 7).alias("correlation"))
 
 
@@ -180,17 +177,17 @@ def error_summary(spark, d):
     return got.select("run", F.round("e.mean", 8).alias("mean"), "e.worst", F.col("worst_sample").alias("worst_epoch"))
 
 
-@query(f"WITH {t.RUNS} SELECT run, s = 64 AND n = 100 AS compared, CASE WHEN s = 64 AND n = 100 THEN run % 2 = 0 ELSE true END AS agrees FROM r WHERE value > 0")
+@query(f"WITH {t.RUNS} SELECT run, s = 64 AND n = 100 AS compared, CASE WHEN s = 64 AND n = 100 THEN run % 2 = 0 AND value <> 0 ELSE true END AS agrees FROM r")
 def sidecar_check(spark, d):
-    rows = t.runs(spark, d).where("value > 0")
+    rows = t.runs(spark, d)
     checked = rows.select("run", F.col("run").alias("set"), "s", F.col("n").alias("count"), F.col("value").alias("mean"), F.col("value").alias("worst"))
     side = rows.select(F.col("run").alias("set"), F.lit(64).alias("s"), F.lit(100).alias("count"), F.col("value").alias("mean"), (F.col("value") * (1 + F.col("run") % 2 * 1e-9)).alias("max"))
     return errors.check_sidecar(checked, side).select("run", "compared", "agrees")
 
 
-@query(f"WITH {t.RUNS} SELECT run, run % 3 <> 0 AND abs(test_l2 * (1 + run % 2 * 1e-3) - test_l2) / abs(test_l2) <= 1e-5 AS agrees FROM r WHERE test_l2 > 0")
+@query(f"WITH {t.RUNS} SELECT run, run % 3 <> 0 AND test_l2 <> 0 AND abs(test_l2 * (1 + run % 2 * 1e-3) - test_l2) / abs(test_l2) <= 1e-5 AS agrees FROM r")
 def last_epoch_check(spark, d):
-    rows = t.runs(spark, d).where("test_l2 > 0")
+    rows = t.runs(spark, d)
     means = rows.select("run", (F.col("test_l2") * (1 + F.col("run") % 2 * 1e-3)).alias("model_mean"))
     return errors.check_last_epoch(means, rows.where("run % 3 <> 0")).select("run", "agrees")
 

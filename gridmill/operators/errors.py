@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions import grids
-from gridmill.functions.blocks import stacked
+from gridmill.functions.blocks import listed, stacked
 from gridmill.functions.safe import correlation, div, ln, nan_if_null
-from gridmill.operators.losses import cc_rel
+from gridmill.operators.losses import cc_rel, relative
+from gridmill.operators.normalize import decode, encode, moments
 
 ERRORS = "transfer double, model double, total double, u_norm double, boundary_ratio double, boundary_rms double"
 
@@ -28,20 +32,26 @@ def boundary(u_hat: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
 
 
 def sample_errors(pred: Column | str, u: Column | str, s: int, n: int, degree: int = grids.DEGREE) -> Column:
-    """All errors of a prediction on the s x s uniform grid against u on n x n nodes, as one struct."""
+    """All errors of a prediction on the s x s uniform grid against u on n x n nodes, as one struct.
+
+    Null where either field is."""
+    names = [x.split(" ")[0] for x in ERRORS.split(", ")]
     down, up = grids.to_uniform(n, s), grids.to_chebyshev(s, n, degree)
 
-    @F.pandas_udf(ERRORS)
-    def run(p: pd.Series, v: pd.Series) -> pd.DataFrame:
-        p, v, w = stacked(p, (s, s)), stacked(v, (n, n)), grids.clenshaw_curtis(n)
+    @F.arrow_udf(ERRORS)
+    def run(p: pa.Array, v: pa.Array) -> pa.Array:
+        both = pc.and_(p.is_valid(), v.is_valid())
+        p, v, w = stacked(p.filter(both), (s, s)), stacked(v.filter(both), (n, n)), grids.clenshaw_curtis(n)
         coarse, u_hat = down @ v @ down.T, up @ p @ up.T
         with np.errstate(all="ignore"):
             model = np.sqrt(((p - coarse) ** 2).sum((1, 2))) / np.sqrt((coarse**2).sum((1, 2)))
-        ratio, rms = boundary(u_hat, v, w)
-        return pd.DataFrame({
-            "transfer": cc_rel(up @ coarse @ up.T, v, w), "model": model, "total": cc_rel(u_hat, v, w),
-            "u_norm": np.sqrt(np.einsum("kij,i,j->k", v**2, w, w)), "boundary_ratio": ratio, "boundary_rms": rms,
-        })
+        found = cc_rel(up @ coarse @ up.T, v, w), model, cc_rel(u_hat, v, w), np.sqrt(np.einsum("kij,i,j->k", v**2, w, w)), *boundary(u_hat, v, w)
+        out = []
+        for x in found:
+            spread = np.full(len(both), np.nan)
+            spread[both.to_numpy(zero_copy_only=False)] = x
+            out.append(pa.array(spread))
+        return pa.StructArray.from_arrays(out, names, mask=pc.invert(both))
 
     return run(pred, u)
 
@@ -79,7 +89,7 @@ def check_sidecar(evaluations: DataFrame, sidecars: DataFrame, within: float = 1
 
     Another s or count isn't compared and passes."""
     side = sidecars.select("set", F.col("s").alias("s2"), F.col("count").alias("count2"), F.col("mean").alias("mean2"), F.col("max").alias("max2"))
-    both = evaluations.join(F.broadcast(side), "set", "left")
+    both = evaluations.join(side, "set", "left")
     compared = F.coalesce((F.col("s") == F.col("s2")) & (F.col("count") == F.col("count2")), F.lit(False))
     near = (relative_gap(F.col("mean"), F.col("mean2")) <= within) & (relative_gap(F.col("worst"), F.col("max2")) <= within)
     return both.withColumn("compared", compared).withColumn("agrees", F.when(compared, near).otherwise(True)).drop("s2", "count2", "mean2", "max2")
@@ -116,6 +126,27 @@ def by_group(errors: DataFrame, *group: str) -> DataFrame:
     return errors.groupBy(*group).agg(*(f(x).alias(f"{x}_{n}") for x in names for f, n in ((F.avg, "mean"), (F.max, "worst"))))
 
 
+def resolution_study(rows: DataFrame, model: Callable[[Column], Column], trained: int, last: DataFrame | None = None) -> DataFrame:
+    """Model error at each resolution with the weights unchanged and the statistics fitted anew.
+
+    rows: (n, split, sample, x, y). For each n, inputs are encoded by the statistics of its training
+    split, given to `model`, and decoded by the target's; the error is the relative norm over its test
+    split. All n are fitted in one job; the statistics are a row for each n, broadcast.
+    Returns n, n_test, mean, worst, ratio (of the means, to the trained n's) and, where `last` is given
+    (a row with test_l2, the run's last loss), agrees: at the trained n the mean is that loss."""
+    train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
+    named = lambda v: moments(train.withColumnRenamed("n", "side"), v, "side").select(F.col("side").alias("n"), F.col("mean").alias(f"{v}_mean"), F.col("std").alias(f"{v}_std"))
+    both = test.join(F.broadcast(named("x")), "n").join(F.broadcast(named("y")), "n")
+    pred = decode(model(encode("x", "x_mean", "x_std")), "y_mean", "y_std")
+    errors = both.select("n", "y", pred.alias("pred")).select("n", relative("pred", "y").alias("e"))
+    out = to_trained(errors.groupBy("n").agg(F.count("*").alias("n_test"), nan_if_null(F.avg("e")).alias("mean"), nan_if_null(F.max("e")).alias("worst")), "n", "mean", trained)
+    if last is None:
+        return out
+    runs = out.withColumn("run", F.lit(0)).withColumnRenamed("mean", "model_mean")
+    checked = check_last_epoch(runs, last.select(F.lit(0).alias("run"), "test_l2")).withColumn("agrees", F.when(F.col("n") == trained, F.col("agrees")))
+    return checked.withColumnRenamed("model_mean", "mean").drop("run", "test_l2")
+
+
 def to_trained(rows: DataFrame, rate: str, loss: str, trained: int, *group: str) -> DataFrame:
     """Ratio of each rate's loss to the trained rate's."""
     base = rows.where(F.col(rate) == trained).select(*group, F.col(loss).alias("base"))
@@ -126,32 +157,41 @@ def to_trained(rows: DataFrame, rate: str, loss: str, trained: int, *group: str)
 class FourierModel:
     """Weights of a scoring model: lift, layers of (modes, 1 x 1 mix), projection.
 
-    lift: (w [in, hidden], b); layers: list of (spectral [2, m, m, hidden, hidden] complex, w, b);
-    project: list of (w, b); all arrays NumPy. padding: rows and columns put on and cut off again."""
+    lift: (w [in, hidden], b); layers: list of (spectral complex, w, b); project: list of (w, b); all
+    arrays NumPy. Of planes spectral is [2, m, m, hidden, hidden] and the inputs are the value and
+    both coordinates; of lines it is [m, hidden, hidden] and they are the value and the coordinate.
+    padding: points put behind each axis and cut off again."""
 
     def __init__(self, lift: tuple, layers: list[tuple], project: list[tuple], padding: int = 0):
         self.lift, self.layers, self.project, self.padding = lift, layers, project, padding
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        """[samples, h, w] inputs to [samples, h, w] outputs."""
-        k, h, w = x.shape
-        gx = np.broadcast_to((np.arange(h) / (h - 1) if h > 1 else np.zeros(1))[:, None], (h, w))
-        gy = np.broadcast_to((np.arange(w) / (w - 1) if w > 1 else np.zeros(1))[None, :], (h, w))
-        a = np.stack([x, np.broadcast_to(gy, x.shape), np.broadcast_to(gx, x.shape)], -1) @ self.lift[0] + self.lift[1]
-        p = self.padding
-        a = np.pad(a, ((0, 0), (0, p), (0, p), (0, 0)))
-        for i, (spectral, mix, b) in enumerate(self.layers):
-            m = spectral.shape[1]
-            if 2 * m > a.shape[1] or m > a.shape[2] // 2 + 1:
-                raise ValueError(f"{m} modes on a grid of {a.shape[1]} x {a.shape[2]}")
-            f = np.fft.rfft2(a, axes=(1, 2))
-            g = np.zeros_like(f)
+    def _modes(self, a: np.ndarray, spectral: np.ndarray) -> np.ndarray:
+        """The lowest modes of each channel, mixed."""
+        axes = tuple(range(1, a.ndim - 1))
+        m = spectral.shape[-3]
+        if m > a.shape[-2] // 2 + 1 or len(axes) == 2 and 2 * m > a.shape[1]:
+            raise ValueError(f"{m} modes on a grid of {' x '.join(map(str, a.shape[1:-1]))}")
+        f = np.fft.rfftn(a, axes=axes)
+        g = np.zeros_like(f)
+        if len(axes) == 1:
+            g[:, :m] = np.einsum("kxi,xio->kxo", f[:, :m], spectral)
+        else:
             g[:, :m, :m] = np.einsum("kxyi,xyio->kxyo", f[:, :m, :m], spectral[0])
             g[:, -m:, :m] = np.einsum("kxyi,xyio->kxyo", f[:, -m:, :m], spectral[1])
-            a = np.fft.irfft2(g, s=a.shape[1:3], axes=(1, 2)) + a @ mix + b
+        return np.fft.irfftn(g, s=a.shape[1:-1], axes=axes)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """[samples, h, w] or [samples, points] inputs to outputs of the same shape."""
+        sides = x.shape[1:]
+        at = np.meshgrid(*(np.arange(n) / (n - 1) if n > 1 else np.zeros(1) for n in sides), indexing="ij")
+        # the last axis' coordinate comes first
+        a = np.stack([x, *(np.broadcast_to(c, x.shape) for c in reversed(at))], -1) @ self.lift[0] + self.lift[1]
+        a = np.pad(a, ((0, 0), *[(0, self.padding)] * len(sides), (0, 0)))
+        for i, (spectral, mix, b) in enumerate(self.layers):
+            a = self._modes(a, spectral) + a @ mix + b
             if i < len(self.layers) - 1:
                 a = np.maximum(a, 0)
-        a = a[:, :h, :w]
+        a = a[(slice(None), *(slice(n) for n in sides))]
         for i, (v, b) in enumerate(self.project):
             a = a @ v + b
             if i < len(self.project) - 1:
@@ -159,14 +199,15 @@ class FourierModel:
         return a[..., 0]
 
 
-def scored(df: DataFrame, values: str, shape: tuple[int, int], model: FourierModel, out: str = "pred") -> DataFrame:
-    """Predictions of each row's field; the weights are broadcast once."""
+def scored(df: DataFrame, values: str, shape: tuple[int, ...], model: FourierModel, out: str = "pred") -> DataFrame:
+    """Predictions of each row's field, one- or two-dimensional as shape is; null for a null field.
+    The weights are broadcast once."""
     weights = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def run(col: pd.Series) -> pd.Series:
-        got = weights.value(stacked(col, shape))
-        return pd.Series([*got.reshape(len(got), -1)])
+    @F.arrow_udf("array<double>")
+    def run(col: pa.Array) -> pa.Array:
+        fields = stacked(col, shape)
+        return listed(weights.value(fields) if len(fields) else np.zeros((0, 1)), col)
 
     return df.withColumn(out, run(values))
 

@@ -81,11 +81,14 @@ def check_shape(df: DataFrame, values: str, side: int, count: int) -> DataFrame:
     return df
 
 
-def node_gap(nodes: DataFrame, axis: str, n: int) -> DataFrame:
-    """Largest distance of stored nodes from the Chebyshev nodes; NaN if a stored one is NaN."""
-    stored = nodes.select(F.posexplode(axis).alias("j", "x"))
-    grid = nodes_table(nodes.sparkSession, n)
-    return stored.join(F.broadcast(grid), "j", "full").agg(F.max(F.abs(F.coalesce(stored["x"], F.lit(float("nan"))) - F.coalesce(grid["x"], F.lit(float("nan"))))).alias("gap"))
+def node_gap(nodes: DataFrame, axis: str, n: int, *keys: str) -> DataFrame:
+    """(keys, gap): largest distance of each row's stored nodes from the n Chebyshev nodes, over rows
+    of equal keys; NaN if one is NaN, missing or beyond the n."""
+    grid = nodes_table(nodes.sparkSession, n).agg(F.array_sort(F.collect_list("x")).alias("_grid"))
+    nan = F.lit(float("nan"))
+    gaps = F.zip_with(axis, "_grid", lambda v, x: F.abs(F.coalesce(v, nan) - F.coalesce(x, nan)))
+    each = nodes.crossJoin(F.broadcast(grid)).select(*keys, F.coalesce(F.array_max(gaps), nan).alias("gap"))
+    return each.groupBy(*keys).agg(F.max("gap").alias("gap"))
 
 
 def check_nodes(nodes: DataFrame, axis: str, n: int, within: float = 1e-14) -> DataFrame:

@@ -134,3 +134,29 @@ def manufactured(spark: SparkSession, n: int) -> DataFrame:
 def point_moments(split_: DataFrame, values: str = "f") -> DataFrame:
     """(pos, mean_square): mean square over samples at each point."""
     return split_.select(F.posexplode(values).alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x") * F.col("x")).alias("mean_square"))
+
+
+def covariance(x: np.ndarray, y: np.ndarray, k_max: int) -> float:
+    """Covariance of the field at two points (a pair of coordinates each) that the spectrum implies."""
+    k = np.arange(1, k_max + 1, dtype=float)
+    lam = (mu(k[:, None], k[None, :]) + TAU_SQ) ** -ALPHA
+    lam = lam / (lam.sum() / 4)
+    first, second = (_sines(np.array([x[i], y[i]]), k_max).prod(0) for i in (0, 1))
+    return float(first @ lam @ second)
+
+
+def covariance_check(split_: DataFrame, n: int, pairs: list[tuple[tuple[int, int], tuple[int, int]]], k_max: int, values: str = "f") -> DataFrame:
+    """(pair, n, covariance, expected, scatter): mean products of the field at pairs of nodes, beside
+    those that the spectrum implies, with the standard error of so many samples.
+
+    pairs: nodes (i, j) of the n x n grid. A column of products a pair, one pass, no points exploded."""
+    at = grids.chebyshev(n)
+    value = lambda p: F.element_at(values, p[0] * n + p[1] + 1)
+    sums = split_.agg(F.count("*").alias("n"), *(F.avg(value(a) * value(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    point = lambda p: (at[p[0]], at[p[1]])
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        own, first, second = (covariance(np.array(point(p)), np.array(point(q)), k_max) for p, q in ((a, b), (a, a), (b, b)))
+        # a product of two joint normals
+        rows.append(F.struct(F.lit(i).alias("pair"), F.col(f"c{i}").alias("covariance"), F.lit(own).alias("expected"), (F.sqrt(F.lit(first * second + own**2)) / F.sqrt("n")).alias("scatter")))
+    return sums.select("n", F.explode(F.array(*rows)).alias("r")).select("r.pair", "n", "r.covariance", "r.expected", "r.scatter")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions import grids
-from gridmill.functions.blocks import stacked
+from gridmill.functions.blocks import numbers, stacked
 from gridmill.functions.safe import div
 
 #: Points a side up to which quadrature weights are written into the plan.
@@ -61,9 +62,9 @@ def cc_norm_sq(values: Column | str, side: int) -> Column:
     w = grids.clenshaw_curtis(side)
     if side > LITERAL_SIDE:
 
-        @F.pandas_udf("double")
-        def run(v: pd.Series) -> pd.Series:
-            return pd.Series(np.einsum("kij,i,j->k", stacked(v, (side, side)) ** 2, w, w))
+        @F.arrow_udf("double")
+        def run(v: pa.Array) -> pa.Array:
+            return numbers(np.einsum("kij,i,j->k", stacked(v, (side, side)) ** 2, w, w), v)
 
         return run(values)
     weights = F.array(*(F.lit(float(x)) for x in np.outer(w, w).ravel()))
@@ -87,9 +88,11 @@ def cc_rel(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
 def cc_relative(pred: Column | str, target: Column | str, side: int) -> Column:
     """Weighted relative error as a column, safe for very large and very small fields."""
 
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(cc_rel(stacked(a, (side, side)), stacked(b, (side, side)), grids.clenshaw_curtis(side)))
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        both = pc.and_(a.is_valid(), b.is_valid())
+        got = cc_rel(stacked(a.filter(both), (side, side)), stacked(b.filter(both), (side, side)), grids.clenshaw_curtis(side))
+        return numbers(got, pc.if_else(both, 1, pa.scalar(None, pa.int64())))
 
     return run(pred, target)
 

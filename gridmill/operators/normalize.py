@@ -25,7 +25,7 @@ def moments(df: DataFrame, values: str, *group: str) -> DataFrame:
     """The same as arrays, without a row a point: (group, n, mean[], std[]).
 
     Each task keeps a count, means and squared deviations for a group; those few rows are merged
-    pairwise by their counts. Null fields are left out; under two samples are an error."""
+    pairwise by their counts, in a tree over tasks. Null fields are left out; under two samples are an error."""
     keys = list(group)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,21 +42,27 @@ def moments(df: DataFrame, values: str, *group: str) -> DataFrame:
                 held[key] = _merge(held[key], new) if key in held else new
         yield _table(keys, kinds, held)
 
-    def whole(key: tuple[pa.Scalar, ...], group_: pa.Table) -> pa.Table:
-        total = None
-        for n, mean, m2 in zip(group_.column("n").to_pylist(), group_.column("mean"), group_.column("m2"), strict=True):
-            new = [n, mean.values.to_numpy(), m2.values.to_numpy()]
-            total = _merge(total, new) if total else new
-        names = [k.as_py() for k in key][: len(keys)]
-        return pa.Table.from_batches([_table(keys, kinds, {tuple(names): total})])
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for b in batches:
+            names = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * b.num_rows
+            for key, n, mean, m2 in zip(names, b.column("n").to_pylist(), b.column("mean"), b.column("m2"), strict=True):
+                new = [n, mean.values.to_numpy(), m2.values.to_numpy()]
+                held[key] = _merge(held[key], new) if key in held else new
+        yield _table(keys, kinds, held)
 
     source = df.select(*keys, F.col(values).cast("array<double>").alias("x"))
     types = [source.schema[k].dataType.simpleString() for k in keys]
     kinds = [to_arrow_type(source.schema[k].dataType) for k in keys]
     kind = ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, types, strict=True)), "n long, mean array<double>, m2 array<double>"])
-    parts = source.mapInArrow(part, kind).withColumn("all", F.lit(0))
-    merged = parts.groupBy(*keys, "all").applyInArrow(whole, kind)
-    return merged.select(*keys, "n", "mean", F.when(F.col("n") > 1, F.transform("m2", lambda x: F.sqrt(x / (F.greatest(F.col("n"), F.lit(2)) - 1)))).otherwise(F.raise_error("a fit needs two samples at least")).alias("std"))
+    rows = source.mapInArrow(part, kind)
+    # a tree over tasks: each level meets an eighth of the rows in as many tasks, one row at a time
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 8:
+        parts //= 8
+        rows = rows.repartition(parts).mapInArrow(merged, kind)
+    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).mapInArrow(merged, kind)
+    return rows.select(*keys, "n", "mean", F.when(F.col("n") > 1, F.transform("m2", lambda x: F.sqrt(x / (F.greatest(F.col("n"), F.lit(2)) - 1)))).otherwise(F.raise_error("a fit needs two samples at least")).alias("std"))
 
 
 def _merge(a: list, b: list) -> list:

@@ -5,18 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions import grids
-from gridmill.functions.blocks import stacked
+from gridmill.functions.blocks import listed, stacked
 from gridmill.functions.safe import div
 from gridmill.operators.normalize import moments
 
-#: Points of a field up to which a fit holds triangular factors of points x points numbers.
-MOST_POINTS = 4225
+#: Numbers of the largest factor that a fit holds: the smaller of samples and points, times points.
+MOST_NUMBERS = 1 << 26
 
 
 def grid_weights(side: int, kind: str) -> np.ndarray:
@@ -39,20 +38,27 @@ def fit(df: DataFrame, values: str, weights: np.ndarray, keep: int | None = None
     """Decomposition of the centred, weighted fields without forming their Gram matrix.
 
     Every task reduces its rows to a triangular factor; factors are stacked and reduced again in a
-    tree, so that no task holds more than a few of them; the last one is decomposed."""
+    tree, so that no task holds more than a few of them; the last one is decomposed. A factor has no
+    more rows than samples or than points, so a large grid is fitted as long as the samples are few:
+    1,000 of 129 x 129 take 133 MB, and any number of 65 x 65 take 143 MB."""
     points = len(weights)
-    if points > MOST_POINTS:
-        raise ValueError(f"{points} points: restrict the fields to a coarser grid first")
     if not np.isfinite(weights).all() or (weights < 0).any():
         raise ValueError("weights must be finite and not negative")
     base = moments(df, values).select("n", "mean").first()
     if base is None or base.n < 2:
         raise ValueError("a decomposition needs two samples at least")
+    if min(base.n, points) * points > MOST_NUMBERS:
+        raise ValueError(f"{base.n} samples of {points} points: restrict the fields to a coarser grid first")
     mean, root = np.array(base["mean"]), np.sqrt(weights)
 
     def factor(rows: list[np.ndarray]) -> list[np.ndarray]:
         return [*np.linalg.qr(np.array(rows), mode="r")] if len(rows) > points else rows
 
+    def sent(rows: list[np.ndarray], total: float) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rows), 256):
+            some = np.array(rows[i : i + 256])
+            yield pa.RecordBatch.from_arrays([listed(some), pa.array([0.0 if i or k else total for k in range(len(some))], pa.float64())], ["row", "energy"])
+
     def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         total = 0.0
@@ -65,7 +71,7 @@ def fit(df: DataFrame, values: str, weights: np.ndarray, keep: int | None = None
                     if len(held) >= 2 * points + 64:
                         held = factor(held)
         held = factor(held)
-        yield pa.RecordBatch.from_arrays([pa.array([*held], pa.list_(pa.float64())), pa.array([total] + [0.0] * (len(held) - 1) if held else [], pa.float64())], ["row", "energy"])
+        yield from sent(held, total)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0.0
@@ -76,7 +82,7 @@ def fit(df: DataFrame, values: str, weights: np.ndarray, keep: int | None = None
                 if len(held) >= 2 * points + 64:
                     held = factor(held)
         held = factor(held)
-        yield pa.RecordBatch.from_arrays([pa.array([*held], pa.list_(pa.float64())), pa.array([total] + [0.0] * (len(held) - 1) if held else [], pa.float64())], ["row", "energy"])
+        yield from sent(held, total)
 
     kind = "row array<double>, energy double"
     rows = df.select(F.col(values).cast("array<double>").alias("x")).mapInArrow(reduce_rows, kind)
@@ -130,15 +136,15 @@ def reconstruction(values: Column | str, pod: Pod, side: int, ranks: list[int])
     """Relative error of each field's reconstruction by so many modes; NaN for a zero field."""
     root, mean, modes = np.sqrt(pod.weights), pod.mean, pod.modes
 
-    @F.pandas_udf("array<double>")
-    def run(col: pd.Series) -> pd.Series:
-        flat = stacked(col, (side, side)).reshape(len(col), -1)
+    @F.arrow_udf("array<double>")
+    def run(col: pa.Array) -> pa.Array:
+        flat = stacked(col, (side, side)).reshape(-1, side * side)
         centred = (flat - mean) * root
         part = centred @ modes.T
         size = np.sqrt((flat**2 * pod.weights).sum(1))
         with np.errstate(all="ignore"):
             out = [np.sqrt(((centred - part[:, :r] @ modes[:r]) ** 2).sum(1)) / size for r in ranks]
-        return pd.Series([*np.array(out).T])
+        return listed(np.array(out).T, col)
 
     return run(values)
 
@@ -158,12 +164,12 @@ def trace_check(rows: DataFrame, population: DataFrame, samples: int, *group: st
     return both.withColumn("ratio", div(F.col("trace"), F.col("population"))).withColumn("scatter", div(F.sqrt(2 * F.col("squares") / (samples - 1)), F.col("population"))).drop("squares")
 
 
-def equal_groups(rows: DataFrame, population: DataFrame, samples: int) -> DataFrame:
+def equal_groups(rows: DataFrame, population: DataFrame, samples: int, *group: str) -> DataFrame:
     """Sums of eigenvalues over positions that share a q, with their ratio and a flag.
 
     population: (i, q, eigenvalue). A group of g is off beyond three times sqrt(2 / (samples g))."""
-    both = rows.select("i", F.col("eigenvalue").alias("own")).join(population.select("i", "q", F.col("eigenvalue").alias("whole")), "i")
-    sums = both.groupBy("q").agg(F.count("*").alias("g"), F.sum("own").alias("own"), F.sum("whole").alias("whole"))
+    both = rows.select(*group, "i", F.col("eigenvalue").alias("own")).join(population.select("i", "q", F.col("eigenvalue").alias("whole")), "i")
+    sums = both.groupBy(*group, "q").agg(F.count("*").alias("g"), F.sum("own").alias("own"), F.sum("whole").alias("whole"))
     ratio = div(F.col("own"), F.col("whole"))
     return sums.withColumn("ratio", ratio).withColumn("off", F.abs(ratio - 1) > 3 * F.sqrt(F.lit(2.0) / (samples * F.col("g"))))
 
@@ -174,6 +180,6 @@ def against_grid(rows: DataFrame, base: str, *group: str) -> DataFrame:
     return rows.join(ref, [*group, "i"]).withColumn("ratio", div(F.col("eigenvalue"), F.col("base"))).drop("base")
 
 
-def leading(rows: DataFrame, population: DataFrame, k: int = 20) -> DataFrame:
+def leading(rows: DataFrame, population: DataFrame, k: int = 20, *group: str) -> DataFrame:
     """The first eigenvalues beside the population's."""
-    return rows.where(F.col("i") < k).select("i", "eigenvalue").join(population.select("i", F.col("eigenvalue").alias("population")), "i", "left")
+    return rows.where(F.col("i") < k).select(*group, "i", "eigenvalue").join(population.select("i", F.col("eigenvalue").alias("population")), "i", "left")

@@ -67,12 +67,13 @@ def spread(values: Column) -> Column:
 
 
 def cells(runs: DataFrame, *values: str) -> DataFrame:
-    """A row for each (padding, s): runs, seeds in order, spreads, peaks and the first known costs."""
+    """A row for each (padding, s): runs, seeds in order, spreads, peaks and the first known costs by
+    seed; of equal seeds the smaller."""
     return runs.groupBy("padding", "s").agg(
         F.count("*").alias("runs"), F.array_sort(F.collect_list("seed")).alias("seeds"),
         *(spread(F.col(v)).alias(v) for v in values),
         F.array_sort(F.collect_set("peak")).alias("peaks"),
-        F.min_by("num_params", F.when(F.col("num_params").isNotNull(), F.col("seed"))).alias("num_params"),
+        F.min_by("num_params", F.when(F.col("num_params").isNotNull(), F.struct("seed", "num_params"))).alias("num_params"),
     )
 
 

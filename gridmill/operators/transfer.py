@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions import grids
-from gridmill.functions.blocks import both_sides, stacked
+from gridmill.functions.blocks import both_sides, listed, numbers, stacked
 from gridmill.operators.losses import cc_rel
 
 
@@ -47,14 +47,12 @@ def round_trips(values: Column | str, n: int, cases: list[tuple[str, int, int]])
 
     cases: (restriction, s, degree). All are taken in one pass over a batch of fields."""
 
-    @F.pandas_udf("array<double>")
-    def run(col: pd.Series) -> pd.Series:
+    trips = [grids.to_chebyshev(s, n, d) @ grids.restriction(name, n, s) for name, s, d in cases]
+
+    @F.arrow_udf("array<double>")
+    def run(col: pa.Array) -> pa.Array:
         a, w = stacked(col, (n, n)), grids.clenshaw_curtis(n)
-        out = []
-        for name, s, d in cases:
-            m = grids.to_chebyshev(s, n, d) @ grids.restriction(name, n, s)
-            out.append(cc_rel(m @ a @ m.T, a, w))
-        return pd.Series([*np.array(out).T])
+        return listed(np.stack([cc_rel(m @ a @ m.T, a, w) for m in trips], 1), col)
 
     return run(values)
 
@@ -67,19 +65,23 @@ def floor_sweep(df: DataFrame, values: str, n: int, cases: list[tuple[str, int,
     return each.groupBy(*group, "restriction", "s", "degree").agg(F.avg("error").alias("mean"), F.max("error").alias("worst"))
 
 
-def filtered_energy(values: Column | str, n: int, name: str, s: int) -> Column:
-    """Share of a field's energy that a coefficient filter takes away."""
+def filter_matrix(n: int, name: str, s: int) -> np.ndarray:
+    """[n, n]: nodal values to those of the filtered polynomial."""
     c, k = np.linalg.inv(grids._modes(np.arange(n), grids.chebyshev(n))), np.arange(n)
     taper, cut = name.split(" ")
     last = {"s-2": s - 2, "s*pi/2": min(int((s - 2) * np.pi / 2), n - 1), "n-1": n - 1}[cut]
     gain = np.where(k <= last, 1.0 if taper == "sharp" else np.exp(-36.0 * (k / last) ** 8), 0.0)
-    m = grids._modes(k, grids.chebyshev(n)) * gain @ c
+    return grids._modes(k, grids.chebyshev(n)) * gain @ c
+
+
+def filtered_energy(values: Column | str, n: int, name: str, s: int) -> Column:
+    """Share of a field's energy that a coefficient filter takes away."""
+    m = filter_matrix(n, name, s)
 
-    @F.pandas_udf("double")
-    def run(col: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def run(col: pa.Array) -> pa.Array:
         a = stacked(col, (n, n))
-        w = grids.clenshaw_curtis(n)
-        return pd.Series(cc_rel(m @ a @ m.T, a, w) ** 2)
+        return numbers(cc_rel(m @ a @ m.T, a, grids.clenshaw_curtis(n)) ** 2, col)
 
     return run(values)
 

@@ -229,3 +229,65 @@ def test_restriction_choice(spark):
     assert got == {5: "plain", 6: "cell mean"}
     rows = spark.createDataFrame([(65, 2, 0.1), (129, 2, 0.3), (65, 3, 0.1), (129, 3, 0.2), (33, 3, 9.0)], "n int, degree int, worst double")
     assert transfer.best_degree(rows, 0.2).first().degree == 3
+
+
+def test_decomposition_of_a_large_grid_with_few_samples(spark):
+    from gridmill.operators import pod
+
+    n, k = 129, 12
+    a = np.random.default_rng(0).normal(size=(k, n * n))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(a)], "sample long, values array<double>").repartition(3)
+    w = pod.grid_weights(n, "chebyshev")
+    fitted = pod.fit(df, "values", w)
+    pod.check(fitted)
+    centred = (a - a.mean(0)) * np.sqrt(w)
+    want = np.linalg.svd(centred, compute_uv=False)
+    assert fitted.samples == k and np.allclose(fitted.sigma[: k - 1], want[: k - 1], rtol=1e-10) and fitted.modes.shape[1] == n * n
+
+
+def test_covariance_of_generated_fields(spark):
+    from gridmill.operators import generate
+
+    rows = generate.split(spark, 17, 600, 5_000, k_max=8)
+    pairs = [((8, 8), (8, 8)), ((8, 8), (4, 8)), ((4, 4), (12, 12)), ((0, 3), (8, 8))]
+    got = generate.covariance_check(rows, 17, pairs, 8).orderBy("pair").collect()
+    assert [r.n for r in got] == [600] * 4
+    assert all(abs(r.covariance - r.expected) <= 4 * r.scatter + 1e-12 for r in got)
+    assert got[0].expected > got[1].expected > 0 and abs(got[3].expected) < 1e-12
+
+
+def test_line_model_and_null_fields(spark):
+    from gridmill.operators import errors
+
+    rng = np.random.default_rng(2)
+    h, m, n = 3, 4, 16
+    layers = [(rng.normal(size=(m, h, h)) + 1j * rng.normal(size=(m, h, h)), rng.normal(size=(h, h)), rng.normal(size=h)) for _ in range(2)]
+    model = errors.FourierModel((rng.normal(size=(2, h)), rng.normal(size=h)), layers, [(rng.normal(size=(h, 1)), rng.normal(size=1))], padding=2)
+    x = rng.normal(size=(5, n))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5, None)]
+    got = {r.sample: r.pred for r in errors.scored(spark.createDataFrame(rows, "sample long, values array<double>"), "values", (n,), model).collect()}
+    assert got[5] is None
+    # the same model layer by layer, with sums in place of transforms
+    k = np.arange(n + 2)
+    a = np.stack([x, np.broadcast_to(np.arange(n) / (n - 1), x.shape)], -1) @ model.lift[0] + model.lift[1]
+    a = np.pad(a, ((0, 0), (0, 2), (0, 0)))
+    for i, (s, mix, b) in enumerate(layers):
+        f = np.einsum("kxi,px->kpi", a, np.exp(-2j * np.pi * np.outer(np.arange(m), k) / (n + 2)))
+        g = np.einsum("kpi,pio->kpo", f, s)
+        back = np.exp(2j * np.pi * np.outer(k, np.arange(m)) / (n + 2)) * np.where(np.arange(m) == 0, 1, 2) / (n + 2)
+        a = np.real(np.einsum("kpo,xp->kxo", np.concatenate([np.real(g[:, :1]), g[:, 1:]], 1), back)) + a @ mix + b
+        a = np.maximum(a, 0) if i == 0 else a
+    want = (a[:, :n] @ model.project[0][0] + model.project[0][1])[..., 0]
+    assert np.allclose([got[i] for i in range(5)], want)
+
+
+def test_moments_of_many_tasks(spark):
+    from gridmill.operators import normalize
+
+    a = np.random.default_rng(3).normal(size=(400, 5))
+    df = spark.createDataFrame([(i % 3, x.tolist()) for i, x in enumerate(a)] + [(1, None)], "g int, values array<double>").repartition(40)
+    whole = normalize.moments(df, "values").first()
+    assert whole.n == 400 and np.allclose(whole["mean"], a.mean(0)) and np.allclose(whole["std"], a.std(0, ddof=1))
+    for r in normalize.moments(df, "values", "g").collect():
+        own = a[np.arange(400) % 3 == r.g]
+        assert r.n == len(own) and np.allclose(r["mean"], own.mean(0)) and np.allclose(r["std"], own.std(0, ddof=1))
