@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridmill.functions.blocks import listed
+
 
 class FieldError(ValueError):
     """A file, member or type that the source can't give."""
@@ -26,6 +28,12 @@ class FieldError(ValueError):
 ROWS = 256
 
 
+def _header(f) -> tuple[tuple[int, ...], bool, np.dtype]:
+    """Shape, order and type from the start of a member, of either version of the header."""
+    version = np.lib.format.read_magic(f)
+    return (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+
+
 def member(path: str, name: str) -> tuple[tuple[int, ...], np.dtype, int | None]:
     """Shape, type and, if stored uncompressed, the file offset of a member's data."""
     if not os.path.exists(path):
@@ -36,9 +44,7 @@ def member(path: str, name: str) -> tuple[tuple[int, ...], np.dtype, int | None]
                 raise FieldError(f"{path} has no field {name}")
             info = z.getinfo(f"{name}.npy")
             with z.open(info) as f:
-                version = np.lib.format.read_magic(f)
-                read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-                shape, fortran, kind = read(f)
+                shape, fortran, kind = _header(f)
                 head = f.tell()
     except zipfile.BadZipFile as e:
         raise FieldError(f"{path} is no archive") from e
@@ -55,19 +61,29 @@ def member(path: str, name: str) -> tuple[tuple[int, ...], np.dtype, int | None]
     return shape, kind, at
 
 
-def rows(path: str, name: str, start: int, stop: int) -> np.ndarray:
-    """Samples start..stop of a member, in double precision, a row each."""
+def blocks(path: str, name: str, start: int, stop: int, step: int = ROWS) -> Iterator[np.ndarray]:
+    """Samples start..stop of a member in double precision, a row each, in blocks of `step`.
+
+    A compressed member is unpacked once, from its beginning, holding one block."""
     shape, kind, at = member(path, name)
     size = int(np.prod(shape[1:], dtype=np.int64))
+    sizes = [min(step, stop - i) for i in range(start, stop, step)]
     if at is not None:
-        part = np.fromfile(path, kind, (stop - start) * size, offset=at + start * size * kind.itemsize)
-    else:
-        with zipfile.ZipFile(path) as z, z.open(f"{name}.npy") as f:
-            np.lib.format.read_magic(f)
-            np.lib.format.read_array_header_1_0(f)
-            f.read(start * size * kind.itemsize)
-            part = np.frombuffer(f.read((stop - start) * size * kind.itemsize), kind)
-    return part.astype(float).reshape(stop - start, size)
+        for i, n in zip(range(start, stop, step), sizes, strict=True):
+            yield np.fromfile(path, kind, n * size, offset=at + i * size * kind.itemsize).astype(float).reshape(n, size)
+        return
+    with zipfile.ZipFile(path) as z, z.open(f"{name}.npy") as f:
+        _header(f)
+        left = start * size * kind.itemsize
+        while left:
+            left -= len(f.read(min(left, 1 << 22)))
+        for n in sizes:
+            yield np.frombuffer(f.read(n * size * kind.itemsize), kind).astype(float).reshape(n, size)
+
+
+def rows(path: str, name: str, start: int, stop: int) -> np.ndarray:
+    """Samples start..stop of a member, in double precision, a row each."""
+    return next(blocks(path, name, start, stop, max(1, stop - start)), np.zeros((0, 1)))
 
 
 class Range(InputPartition):
@@ -90,10 +106,12 @@ class NpzReader(DataSourceReader):
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         shapes = [list(member(self.path, f)[0][1:]) for f in self.fields]
-        for i in range(part.start, part.stop, ROWS):
-            z = min(part.stop, i + ROWS)
-            columns = [pa.array([*rows(self.path, f, i, z)], pa.list_(pa.float64())) for f in self.fields]
+        i = part.start
+        for found in zip(*(blocks(self.path, f, part.start, part.stop) for f in self.fields), strict=True):
+            z = i + len(found[0])
+            columns = [listed(x) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(range(i, z), pa.int64()), pa.array([shapes[0]] * (z - i), pa.list_(pa.int32())), *columns], ["sample", "shape", *self.fields])
+            i = z
 
 
 class NpzSource(DataSource):

@@ -72,7 +72,9 @@ def parsed_metrics(lines: DataFrame) -> DataFrame:
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """(run, epoch, ...) of the metrics files under path; a bad row is an error that names its line."""
-    text = spark.read.text(path, wholetext=True).select(run_of(F.col("_metadata.file_path")).alias("run"), "value")
+    folder = run_of(F.col("_metadata.file_path"))
+    run = F.when(folder.startswith("run="), F.url_decode(F.substr(folder, F.lit(5)))).otherwise(folder)
+    text = spark.read.text(path, wholetext=True).select(run.alias("run"), "value")
     lines = text.select("run", F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).where((F.col("at") > 0) & (F.col("value") != ""))
     rows = parsed_metrics(lines.select("run", (F.col("at") + 1).alias("line"), "value"))
     bad = rows.where("bad").orderBy("run", "line").limit(1).collect()
@@ -88,7 +90,13 @@ def metrics_lines(metrics: DataFrame) -> DataFrame:
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("append").parquet(path)
+    """Adds rows to the metrics of their runs: a folder run=<run> each under path, whose files begin
+    with the header and hold the lines of metrics_lines in the order of epochs; read_metrics reads
+    them back. A run's new rows are one file, as one log is appended by one writer."""
+    lines = metrics_lines(metrics).select("run", "epoch", "value")
+    head = metrics.select("run").distinct().select("run", F.lit(-1).alias("epoch"), F.lit(",".join(METRICS)).alias("value"))
+    rows = head.unionByName(lines.select("run", F.col("epoch").cast("int").alias("epoch"), "value"))
+    rows.repartition("run").sortWithinPartitions("run", "epoch").select("run", "value").write.mode("append").partitionBy("run").text(path)
 
 
 def read_gn_steps(spark: SparkSession, path: str) -> DataFrame:

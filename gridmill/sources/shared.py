@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests, a local session) a folder of this machine."""
+    """spark.checkpoint.dir; where it is unset a folder of this machine, for a local session only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share: the master is {master!r}")
         base = "file://" + tempfile.mkdtemp(prefix="gridmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base

@@ -56,6 +56,10 @@ def test_metrics_files(spark, tmp_path):
         (tmp_path / run / "metrics.csv").write_text("epoch,train_mse,train_l2,test_l2,current_lr,epoch_time_s\n" + rows)
     got = readers.read_metrics(spark, str(tmp_path / "*/metrics.csv")).orderBy("run", "epoch").collect()
     assert [(r.run, r.epoch, r.epoch_time_s) for r in got] == [("a_17", 0, None), ("a_17", 1, 4.5), ("b_18", 0, None)]
+    for _ in range(2):  # appended lines are read back, header and all
+        readers.append_metrics(spark.createDataFrame(got), str(tmp_path / "appended"))
+    back = readers.read_metrics(spark, str(tmp_path / "appended")).orderBy("run", "epoch").collect()
+    assert [tuple(r) for r in back] == [tuple(r) for r in got for _ in range(2)]
     (tmp_path / "b_18" / "metrics.csv").write_text("head\n0,1,2,3,0.1\n1,x,2,3,0.1\n")
     with pytest.raises(ValueError, match="line 3 of run b_18"):
         readers.read_metrics(spark, str(tmp_path / "*/metrics.csv"))
@@ -130,3 +134,39 @@ def test_streams(spark, tmp_path):
     q = epochs.without_repeats(stream.unionByName(epochs.epochs(spark, path))).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c6")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == 5
+
+
+def test_compressed_members_of_either_header(spark, tmp_path):
+    import io
+    import zipfile
+
+    import numpy as np
+
+    from gridmill.sources import npz
+
+    a = np.arange(700 * 6, dtype=float).reshape(700, 2, 3)
+    path = str(tmp_path / "x.npz")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, version in (("f", (1, 0)), ("u", (2, 0))):
+            out = io.BytesIO()
+            np.lib.format.write_array(out, a * (1 if name == "f" else -2), version)
+            z.writestr(f"{name}.npy", out.getvalue())
+    spark.dataSource.register(npz.NpzSource)
+    got = spark.read.format("npz").option("rows", 300).load(path).orderBy("sample").collect()
+    assert np.array_equal([r.f for r in got], a.reshape(700, 6)) and np.array_equal([r.u for r in got], -2 * a.reshape(700, 6))
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    import pytest
+
+    from gridmill.sources import shared
+
+    class Conf:
+        def get(self, key, default=None):
+            return "spark://host:7077" if key == "spark.master" else default
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="share"):
+        shared.shared_dir(Session())
