@@ -45,6 +45,13 @@ def test_languages_against_plain_vectors(spark):
         assert np.array_equal(total, learned[lang])
     got = langid.identify(docs, learned).collect()
     assert len(got) == len(rows)
+    # every language and cosine again, one trigram after the other
+    for r, (_, t, _) in zip(sorted(got, key=lambda r: (r.doc_id or -1, r.lang_pred)), sorted(rows, key=lambda r: r[0] or -1), strict=True):
+        s = [0, *(codes[ord(ch)] for ch in t or ""), 0]
+        s = [s[0]] + [y for x_, y in zip(s, s[1:], strict=False) if y or x_]
+        v = sum((a[p].astype(int) * b[q] * c[x] for p, q, x in zip(s, s[1:], s[2:], strict=False)), np.zeros(langid.DIM))
+        cos = {x: v @ y / (np.linalg.norm(v) * np.linalg.norm(y)) for x, y in learned.items()} if np.any(v) else {}
+        assert r.lang_pred == (max(cos, key=cos.get) if cos else "und") and np.isclose(r.score, max(0.0, max(cos.values(), default=0.0)))
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
@@ -114,6 +121,17 @@ def test_toxicity_of_the_given_table(spark, sf):
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 and r.held_out == held_out(i) for i, r in got.items())
 
 
+def test_scores_are_those_of_the_machine_term_by_term(spark, sf):
+    docs, labels = entries.table(spark, sf, "documents"), entries.table(spark, sf, "labels")
+    m = toxicity.fit(docs, labels)
+    place = {int(b): i for i, b in enumerate(m.buckets)}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, m).collect():
+        at = [place[b] for b in toxicity.terms(texts[r.doc_id]).tolist() if b in place]
+        total = m.bias + sum(float(m.weights[i]) for i in at) + sum(float(m.vectors[i].astype(float) @ m.vectors[j]) for k, i in enumerate(at) for j in at[:k])
+        assert np.isclose(r.score, toxicity._sigmoid(total), atol=1e-6) and r.predicted == (r.score >= 0.5)
+
+
 def test_toxicity_edge_cases(spark):
     docs = frame(spark, [(i, f"plain text {i}", "en") for i in range(30)] + [(30, None, None), (31, "", None), (None, "x", None), (5, "again", None), (32, "word " * 300_000, None)])
     labels = spark.createDataFrame([(i, i % 2, 1, "x") for i in range(30)] + [(None, 1, 1, "x"), (3, None, 1, "x")], "doc_id long, toxic int, quality int, text string")

@@ -1,10 +1,11 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gridmill.llm import bpe, entries, token_counts
+from gridmill.llm import bpe, entries, pretoken, token_counts
 
 ODD = [
     None, "", " ", "a", "ΑΣ ΣΟΦΟΣ", "İstanbul", "x²½ Ⅷ 12", "a\x1cb \x1f c", "é café  ñ", "<|endoftext|>a<|startoftext|> b <|endoftext|>",
@@ -53,6 +54,46 @@ def test_codes_equal_the_library(spark, name):
         assert r.decoded_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
+def every_character():
+    """Texts that hold every code point: alone between blanks, within words, beside numbers and marks."""
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    for i in range(0, len(points), 256):
+        some = points[i : i + 256]
+        yield " ".join(some)
+        yield "".join(f"a{c}b1{c}2 !{c}" for c in some)
+
+
+@pytest.mark.parametrize("name", [entries.CODE_VOCABULARY, entries.COUNT_VOCABULARY])
+def test_every_code_point_is_split_and_encoded_as_by_the_library(name):
+    t, path = library(name), public_tokenizers.path(name)
+    m = bpe.Merges(path)
+    encoder, texts = bpe.Encoder(m, pretoken.packed(path)), [*every_character()]
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert [i for s in pretoken.stretches(text) for i in encoder.feed(s)] == want.ids, ascii(text[:40])
+
+
+def test_the_code_query_equals_the_library(spark, sf):
+    t = library(entries.CODE_VOCABULARY)
+    texts = {r.doc_id: r.text or "" for r in entries.table(spark, sf, "documents").collect()}
+    got = entries.op7_bpe_round_trip(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        said = t.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_merging_by_heap_equals_merging_by_scan(monkeypatch):
+    m = bpe.Merges(public_tokenizers.path(entries.CODE_VOCABULARY))
+    rng = random.Random(6)
+    for _ in range(300):
+        word = [*rng.choices("thequickandbrs", k=rng.randrange(2, 90))]
+        monkeypatch.setattr(bpe, "HEAP", 1)
+        by_heap = m.merge([*word])
+        monkeypatch.setattr(bpe, "HEAP", 1000)
+        assert by_heap == m.merge([*word])
+
+
 def test_byte_level_round_trip(spark, sf):
     docs = entries.table(spark, sf, "documents")
     got = bpe.encode_decode(docs, public_tokenizers.path(entries.COUNT_VOCABULARY), texts=True)
