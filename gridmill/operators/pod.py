@@ -91,11 +91,21 @@ def fit(df: DataFrame, values: str, weights: np.ndarray, keep: int | None = None
     while parts > 1:
         parts = max(1, parts // 8)
         rows = rows.repartition(parts).mapInArrow(again, kind)
-    got = rows.toPandas()  # one triangular factor
-    r = np.array([*got["row"]])
-    _, sigma, modes = np.linalg.svd(r, full_matrices=False)
+    got = rows.toArrow()  # one factor
+    r = got.column("row").combine_chunks().flatten().to_numpy().reshape(-1, points)
+    sigma, modes = _decomposed(r)
     keep = min(keep or len(sigma), points, base.n, len(sigma))
-    return Pod(mean, weights, sigma, modes[:keep], int(base.n), float(got["energy"].sum()))
+    return Pod(mean, weights, sigma, modes[:keep], int(base.n), float(np.sum(got.column("energy").to_numpy())))
+
+
+def _decomposed(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and right vectors; of a wide factor by a triangular one of its few rows."""
+    if len(r) < r.shape[1]:
+        q, low = np.linalg.qr(r.T)
+        _, sigma, small = np.linalg.svd(low.T)
+        return sigma, small @ q.T
+    _, sigma, modes = np.linalg.svd(r, full_matrices=False)
+    return sigma, modes
 
 
 def check(pod: Pod, within: float = 1e-10) -> None:

@@ -56,11 +56,17 @@ def batches(samples: DataFrame, epochs: int, size: int, seed: int, shuffle: bool
     return numbered(rows.withColumn("key", key), ["epoch"], ["key", "sample"]).select("epoch", F.floor(F.col("place") / size).alias("batch"), "place", "sample")
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str], parts: int = 64) -> DataFrame:
+#: Rows of one range that are numbered by one task, about.
+RANGE_ROWS = 1 << 20
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """Place (from 0) of each row in its group's order, without one task per group.
 
-    The leading order column, a number, is cut into even ranges of its extent; ranges are counted,
+    The leading order column, a number, is cut into even ranges of its extent, as many as leave
+    RANGE_ROWS rows in each if they lie evenly (as hashes and row numbers do); ranges are counted,
     and rows are numbered inside their range behind those before it."""
+    parts = parts or max(64, -(-rows.count() // RANGE_ROWS))
     lead = order[0]
     extent = rows.groupBy(*group).agg(F.min(lead).cast("double").alias("low"), F.max(lead).cast("double").alias("high"))
     width = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
