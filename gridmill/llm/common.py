@@ -14,14 +14,21 @@ from gridmill.sources.shared import scratch
 
 
 
+#: Rows of whole texts that an operator takes, and gives back, at once.
+SLICE = 512
+
+
 def per_batch(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow(run); Spark bounds a batch by rows and bytes (spark.sql.execution.arrow.*).
+    """df.mapInArrow(run) in slices of SLICE rows.
+
+    Spark bounds a batch by rows and bytes (spark.sql.execution.arrow.*, left as they are); the
+    slices keep what operators make of it small.
 
     At its end a task gives the memory that it has freed back to the machine, as the worker lives on
     and the next stage's tasks in others need it."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)
