@@ -135,19 +135,19 @@ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subsc
 lt AS (SELECT doc_id, pos, regexp_extract_all(line, '[a-z0-9]+(?:[.-][a-z0-9]+)*') AS terms FROM l),
 r AS (SELECT *, sum(CASE WHEN len(terms) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM lt),
 full_ AS (SELECT * FROM r WHERE len(terms) > 0),
-runs AS (SELECT doc_id, run, min(pos) AS at, count(*) AS lines, flatten(list(terms)) AS terms FROM full_ GROUP BY ALL),
+runs AS (SELECT doc_id, run, min(pos) AS place, count(*) AS lines, flatten(list(terms)) AS terms FROM full_ GROUP BY ALL),
 units AS (
-  SELECT doc_id, 0 AS level, pos AS at, terms FROM full_
-  UNION ALL SELECT doc_id, 1, at, terms FROM runs WHERE lines > 1
+  SELECT doc_id, 0 AS level, pos AS place, terms FROM full_
+  UNION ALL SELECT doc_id, 1, place, terms FROM runs WHERE lines > 1
   UNION ALL SELECT doc_id, 2, 0, flatten(list(terms)) FROM runs GROUP BY doc_id HAVING count(*) > 1),
-ut AS (SELECT DISTINCT doc_id, level, at, unnest(terms) AS term FROM units),
-w AS (SELECT doc_id, level, at, term, coalesce(idf, ln(1.0 + (SELECT n FROM n)) + 1) AS w FROM ut LEFT JOIN idf USING (term)),
-norm AS (SELECT doc_id, level, at, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-d AS (SELECT doc_id, level, at, template, license, sum(w * weight) AS dot FROM w JOIN weights USING (term) GROUP BY ALL),
-m AS (SELECT doc_id, level, at, license, round(dot / norm, 6) AS similarity FROM d JOIN norm USING (doc_id, level, at) WHERE round(dot / norm, 6) >= 0.75
-  QUALIFY row_number() OVER (PARTITION BY doc_id, level, at ORDER BY round(dot / norm, 6) DESC, license DESC) = 1),
-own AS (SELECT doc_id, arg_max(license, row(similarity, -level, -at, license)) AS license, max(similarity) AS similarity FROM m GROUP BY doc_id),
-notice AS (SELECT doc_id, max(words) AS notice FROM (SELECT doc_id, level, sum(len(terms)) AS words FROM m JOIN units USING (doc_id, level, at) GROUP BY ALL) GROUP BY doc_id),
+ut AS (SELECT DISTINCT doc_id, level, place, unnest(terms) AS term FROM units),
+w AS (SELECT doc_id, level, place, term, coalesce(idf, ln(1.0 + (SELECT n FROM n)) + 1) AS w FROM ut LEFT JOIN idf USING (term)),
+norm AS (SELECT doc_id, level, place, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+d AS (SELECT doc_id, level, place, template, license, sum(w * weight) AS dot FROM w JOIN weights USING (term) GROUP BY ALL),
+m AS (SELECT doc_id, level, place, license, round(dot / norm, 6) AS similarity FROM d JOIN norm USING (doc_id, level, place) WHERE round(dot / norm, 6) >= 0.75
+  QUALIFY row_number() OVER (PARTITION BY doc_id, level, place ORDER BY round(dot / norm, 6) DESC, license DESC) = 1),
+own AS (SELECT doc_id, arg_max(license, row(similarity, -level, -place, license)) AS license, max(similarity) AS similarity FROM m GROUP BY doc_id),
+notice AS (SELECT doc_id, max(words) AS notice FROM (SELECT doc_id, level, sum(len(terms)) AS words FROM m JOIN units USING (doc_id, level, place) GROUP BY ALL) GROUP BY doc_id),
 whole AS (SELECT doc_id, sum(len(terms)) AS words FROM full_ GROUP BY doc_id),
 chief AS (SELECT folder, license, similarity FROM own JOIN g USING (doc_id) JOIN notice USING (doc_id) JOIN whole USING (doc_id) WHERE notice >= 0.1 * words
   QUALIFY row_number() OVER (PARTITION BY folder ORDER BY similarity DESC, folder || '/' || doc_id) = 1),
