@@ -50,19 +50,26 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def keep_latest(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes a table with the later row of every (run, epoch), by version folders under path.
+    """Keeps the later row of every (run, epoch): each batch adds its own as a folder batch=<number>.
 
-    Each batch merges with the last version it follows, so a batch that is run twice gives the same
-    table."""
-    spark = rows.sparkSession
+    What was written before is neither read nor rewritten, and a batch that is run twice replaces its
+    own folder. latest_table() reads the table, compact() writes it anew in one part."""
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        merged = batch
-        if number:
-            merged = batch.unionByName(spark.read.parquet(f"{path}/v{number - 1}"))
-        latest(merged).write.mode("overwrite").parquet(f"{path}/v{number}")
+    def add(batch: DataFrame, number: int) -> None:
+        latest(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that keep_latest has written so far: of all batches' rows the later ones."""
+    return latest(spark.read.parquet(path).drop("batch"))
+
+
+def compact(spark: SparkSession, path: str, into: str) -> DataFrame:
+    """The table in a new folder of its own, in which later batches can go on."""
+    latest_table(spark, path).write.parquet(f"{into}/batch=-1")
+    return latest_table(spark, into)
 
 
 def on_epoch(rows: DataFrame, call: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
