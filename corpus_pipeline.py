@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +16,29 @@ from gridmill.llm.common import named, private, saved, table
 #: Ids up to this number (8 bytes each) are broadcast to drop rows; more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
+#: Rows that pass between Spark and Python at once while a stage runs, and the setting that bounds them.
+BATCH, BATCH_ROWS = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _whole(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that writes its result in batches of BATCH rows and returns the table written.
+
+    All stages run in one session, whose executors would otherwise keep the memory of large batches
+    for good. The session's own setting is as before once the stage is done."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = spark.conf.getAll.get(BATCH_ROWS)
+        spark.conf.set(BATCH_ROWS, str(BATCH))
+        try:
+            return saved(stage(spark, docs, sf_dir), stage.__name__)
+        finally:
+            if own is None:
+                spark.conf.unset(BATCH_ROWS)
+            else:
+                spark.conf.set(BATCH_ROWS, own)
+
+    return run
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -27,16 +53,19 @@ def _order(docs: DataFrame) -> list[Column]:
     return [c.cast("string") if isinstance(docs.schema[n].dataType, plain) else c for n, c in zip(docs.columns, named(docs.columns), strict=True)]
 
 
+@_whole
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null texts and those without a letter."""
     return langid.with_language(docs, langid.prototypes(docs))
 
 
+@_whole
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the factorization machine takes for toxic."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@_whole
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: five-word shingles, similarity 0.8 or more.
 
@@ -50,11 +79,13 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rest.unionByName(one.where(F.col(place) == 1).select(*named(docs.columns)))
 
 
+@_whole
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item or an edited copy of one."""
     return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
+@_whole
 def codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the text decoded from them."""
     return bpe.encode_decode(docs, public_tokenizers.path(VOCABULARY))
@@ -67,8 +98,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each reads what the one before has written."""
+    """All stages over documents; each writes its result and reads what the one before has written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
