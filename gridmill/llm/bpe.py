@@ -24,7 +24,7 @@ from gridmill.llm import pretoken
 from gridmill.llm.common import per_batch
 
 #: Words whose ids a task remembers.
-MEMORY = 150_000
+MEMORY = 50_000
 #: Symbols of one word from which its ids are emitted while it is still being read.
 WINDOW = 1 << 12
 
