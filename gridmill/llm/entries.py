@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import bpe, chat, decontaminate, langid, licenses, near_duplicates, token_counts, topk, toxicity, warc
+from gridmill.llm import bpe, chat, decontaminate, langid, lexical, licenses, near_duplicates, quantize, sharding, token_counts, topk, toxicity, warc
 from gridmill.llm.common import table
 
 #: Vocabulary files; a caller of the operators passes its own paths.
@@ -83,8 +83,62 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-_QUERIES = (op1_token_counts, op2_chat_preferences, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_warc, op7_bpe_round_trip, op8_licenses, op9_language_id, op10_top_k)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as 16 entries of codebooks of 64, fitted in two rounds."""
+    return quantize.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 contiguous shards of near equal bytes."""
+    return sharding.assigned(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents that score highest for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_QUERIES = (op1_token_counts, op2_chat_preferences, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_warc, op7_bpe_round_trip, op8_licenses, op9_language_id, op10_top_k, op11_vector_codes, op12_shards, op13_lexical_search)
+#: A round of the vector codes: assignment to the entries of bNOW, and the entries moved.
+_ROUND = """
+aNOW AS (SELECT r, part, arg_min(entry, row(d, entry)) AS entry FROM (SELECT r, part, entry, sum((x.c - b.c) * (x.c - b.c)) AS d FROM x JOIN bNOW b USING (part, pos) GROUP BY ALL) GROUP BY r, part),
+mNOW AS (SELECT part, entry, pos, CAST(sum(c) AS BIGINT) AS t, count(*) AS n FROM x JOIN aNOW USING (r, part) GROUP BY ALL),
+bNEXT AS MATERIALIZED (SELECT part, entry, pos, coalesce((t - ((t % n) + n) % n) // n, c) AS c FROM bNOW LEFT JOIN mNOW USING (part, entry, pos)),"""
 _SQL: dict[str, str] = {
+    "op11_vector_codes": """
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT r, unnest(range(len(e))) AS i, len(e) // 16 AS w, unnest(e) AS c FROM v),
+x AS MATERIALIZED (SELECT r, i // w AS part, i % w AS pos, CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) AS c FROM u),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, c FROM x WHERE r <= 64),
+ROUNDS
+a AS MATERIALIZED (SELECT r, part, min(d) AS d, arg_min(entry, row(d, entry)) AS entry FROM (SELECT r, part, entry, CAST(sum((x.c - b.c) * (x.c - b.c)) AS BIGINT) AS d FROM x JOIN b2 b USING (part, pos) GROUP BY ALL) GROUP BY r, part),
+s AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b2),
+t AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN t USING (r), s
+""".replace("ROUNDS", "".join(_ROUND.replace("NEXT", str(i + 1)).replace("NOW", str(i)) for i in range(2))),
+    "op12_shards": """
+WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i)) AS k),
+h AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, n + 16 AS size, xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT)), lambda c, b: xor(c // 256, k[xor(c, b) % 256 + 1]), 4294967295), 4294967295) AS text_crc32 FROM h, k),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS whole FROM c),
+s AS (SELECT *, CAST((2 * before + size) * 40 // (2 * whole) AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard,
+  row_number() OVER (ORDER BY before) - 1 AS place
+FROM s
+""",
+    "op13_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+tf AS (SELECT r, doc_id, len(t) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, t, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY term),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term), g GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+""",
     "op10_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
