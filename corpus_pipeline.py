@@ -16,27 +16,14 @@ from gridmill.llm.common import named, private, saved, table
 #: Ids up to this number (8 bytes each) are broadcast to drop rows; more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
-#: Rows that pass between Spark and Python at once while a stage runs, and the setting that bounds them.
-BATCH, BATCH_ROWS = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _whole(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that writes its result in batches of BATCH rows and returns the table written.
-
-    All stages run in one session, whose executors would otherwise keep the memory of large batches
-    for good. The session's own setting is as before once the stage is done."""
+    """A stage that writes its result and returns the table written."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        own = spark.conf.getAll.get(BATCH_ROWS)
-        spark.conf.set(BATCH_ROWS, str(BATCH))
-        try:
-            return saved(stage(spark, docs, sf_dir), stage.__name__)
-        finally:
-            if own is None:
-                spark.conf.unset(BATCH_ROWS)
-            else:
-                spark.conf.set(BATCH_ROWS, own)
+        return saved(stage(spark, docs, sf_dir), stage.__name__)
 
     return run
 
