@@ -382,8 +382,8 @@ def _pod(spark, d):
 
 @query(f"WITH {t.POINTS}, {t.GRID}, z AS (SELECT pos, avg(x) AS mean FROM p GROUP BY pos) SELECT count(DISTINCT sample) AS samples, round(sum(a.w * b.w * (x - mean) * (x - mean)), 6) AS energy FROM p JOIN z USING (pos) JOIN w a ON a.j = pos // 8 JOIN w b ON b.j = pos % 8")
 def pod_energy(spark, d):
-    fitted = _pod(spark, d)
-    pod.check(fitted)
+    rows, fitted = t.fields(spark, d), _pod(spark, d)
+    pod.check(fitted, rows, "values")
     return pod.spectrum(spark, fitted).agg(F.lit(fitted.samples).cast("long").alias("samples"), F.round(F.sum(F.col("sigma") * F.col("sigma")), 6).alias("energy"))
 
 
@@ -398,6 +398,33 @@ def pod_reconstruction(spark, d):
     return got.select("rank", F.round("mean", 7).alias("mean"), F.round("worst", 7).alias("worst"))
 
 
+# covariances of the weighted fields on the Chebyshev grid and on two learning grids; traces of their
+# powers are sums of powers of the eigenvalues
+_GRIDS = (6, 4)
+_COVARIANCES = ", ".join([
+    f"{t.POINTS}, {t.GRID}, r0 AS (SELECT 'cgl' AS grid, sample, pos, x * sqrt(a.w * b.w) AS x FROM p JOIN w a ON a.j = pos // 8 JOIN w b ON b.j = pos % 8)",
+    *(f"g{s} AS (SELECT * FROM {_matrix_sql(grids.to_uniform(N, s))}), r{s} AS (SELECT 's={s}' AS grid, sample, a.i * {s} + b.i AS pos, sum(a.c * b.c * x) * {2 / (s - 1)!r} AS x FROM p JOIN g{s} a ON a.k = pos // 8 JOIN g{s} b ON b.k = pos % 8 GROUP BY ALL)" for s in _GRIDS),
+    "r AS (" + " UNION ALL ".join(f"SELECT * FROM r{s}" for s in (0, *_GRIDS)) + ")",
+    "z AS MATERIALIZED (SELECT grid, sample, pos, x - avg(x) OVER (PARTITION BY grid, pos) AS x FROM r)",
+    "cov AS MATERIALIZED (SELECT a.grid, a.pos AS i, b.pos AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM z a JOIN z b ON a.grid = b.grid AND a.sample = b.sample GROUP BY ALL)",
+    "mom AS (SELECT grid, sum(CASE WHEN i = j THEN c END) AS trace, sum(c * c) AS squares FROM cov GROUP BY grid)",
+    "q AS (SELECT a.grid, sum(a.c * b.c * d.c) AS cubes FROM cov a JOIN cov b ON b.grid = a.grid AND b.i = a.j JOIN cov d ON d.grid = a.grid AND d.i = b.j AND d.j = a.i GROUP BY a.grid)",
+])
+
+
+@query(f"WITH {_COVARIANCES} SELECT grid, round(trace, 7) AS trace, round(squares, 7) AS squares, round(cubes, 7) AS cubes, round(trace / (SELECT trace FROM mom WHERE grid = 'cgl'), 8) AS ratio FROM mom JOIN q USING (grid)")
+def pod_by_grid(spark, d):
+    """Spectra of fits on the Chebyshev grid and on learning grids: their power sums and trace ratios."""
+    rows = t.fields(spark, d)
+    fits = pod.grid_fits(rows, "values", N, list(_GRIDS))
+    for fitted in fits.values():
+        pod.check(fitted)
+    spectra = pod.grid_spectra(spark, fits)
+    powers = spectra.groupBy("grid").agg(F.sum(F.pow("eigenvalue", F.lit(2))).alias("squares"), F.sum(F.pow("eigenvalue", F.lit(3))).alias("cubes"))
+    got = pod.grid_summary(spectra, "cgl", fits["cgl"].samples).join(powers, "grid")
+    return got.select("grid", F.round("trace", 7).alias("trace"), F.round("squares", 7).alias("squares"), F.round("cubes", 7).alias("cubes"), F.round("ratio", 8).alias("ratio"))
+
+
 # eigenvalue tables of the labels: variances of the points, in falling order
 _VARS = f"{t.POINTS}, v AS (SELECT label, pos, var_samp(x) AS eigenvalue FROM p GROUP BY label, pos), g AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY eigenvalue DESC, pos) - 1 AS i, eigenvalue FROM v)"
 

@@ -2,138 +2,310 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions import grids
 from gridmill.functions.blocks import listed, stacked
 from gridmill.functions.safe import div
+from gridmill.operators import transfer
 from gridmill.operators.normalize import moments
 
-#: Numbers of the largest factor that a fit holds: the smaller of samples and points, times points.
-MOST_NUMBERS = 1 << 26
+#: Numbers that the driver holds of one complete decomposition at most: its factor, or the samples
+#: themselves where they are fewer than points. Larger sets are decomposed to their leading modes.
+MOST_NUMBERS = 1 << 25
+#: Modes sought beside those asked for, blocks that a search holds, and passes that it takes at most.
+MORE, BLOCKS, PASSES = 16, 6, 40
+#: Points whose sums travel in one row.
+POINTS = 2048
 
 
 def grid_weights(side: int, kind: str) -> np.ndarray:
-    """Quadrature weights a point of a square grid, flattened."""
+    """Quadrature weights a point of a square grid, flattened; of a uniform one the cell's area."""
     w = grids.clenshaw_curtis(side) if kind == "chebyshev" else np.full(side, 2 / (side - 1))
     return np.outer(w, w).ravel()
 
 
 class Pod:
-    """mean [points], weights [points], singular values [r], modes [r, points], number of samples."""
+    """mean [points], weights [points], singular values [r], modes [r, points], number of samples.
 
-    def __init__(self, mean: np.ndarray, weights: np.ndarray, sigma: np.ndarray, modes: np.ndarray, samples: int, energy: float):
-        self.mean, self.weights, self.sigma, self.modes, self.samples, self.energy = mean, weights, sigma, modes, samples, energy
+    energy: of the centred fields, from their moments. residual: the largest gap of A^T A v - sigma^2 v
+    over the modes, as a share of the first sigma^2, where only the leading modes were sought; None for
+    a complete decomposition, whose singular values are all there."""
+
+    def __init__(self, mean: np.ndarray, weights: np.ndarray, sigma: np.ndarray, modes: np.ndarray, samples: int, energy: float, residual: float | None = None):
+        self.mean, self.weights, self.sigma, self.modes, self.samples, self.energy, self.residual = mean, weights, sigma, modes, samples, energy, residual
 
     def eigenvalues(self) -> np.ndarray:
         return self.sigma**2 / (self.samples - 1)
 
 
-def fit(df: DataFrame, values: str, weights: np.ndarray, keep: int | None = None) -> Pod:
+def fit(df: DataFrame, values: str, weights: np.ndarray, keep: int | None = None, within: float = 1e-10) -> Pod:
     """Decomposition of the centred, weighted fields without forming their Gram matrix.
 
-    Every task reduces its rows to a triangular factor; factors are stacked and reduced again in a
-    tree, so that no task holds more than a few of them; the last one is decomposed. A factor has no
-    more rows than samples or than points, so a large grid is fitted as long as the samples are few:
-    1,000 of 129 x 129 take 133 MB, and any number of 65 x 65 take 143 MB."""
-    points = len(weights)
-    if not np.isfinite(weights).all() or (weights < 0).any():
-        raise ValueError("weights must be finite and not negative")
-    base = moments(df, values).select("n", "mean").first()
-    if base is None or base.n < 2:
-        raise ValueError("a decomposition needs two samples at least")
-    if min(base.n, points) * points > MOST_NUMBERS:
-        raise ValueError(f"{base.n} samples of {points} points: restrict the fields to a coarser grid first")
-    mean, root = np.array(base["mean"]), np.sqrt(weights)
-
-    def factor(rows: list[np.ndarray]) -> list[np.ndarray]:
-        return [*np.linalg.qr(np.array(rows), mode="r")] if len(rows) > points else rows
-
-    def sent(rows: list[np.ndarray], total: float) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(rows), 256):
-            some = np.array(rows[i : i + 256])
-            yield pa.RecordBatch.from_arrays([listed(some), pa.array([0.0 if i or k else total for k in range(len(some))], pa.float64())], ["row", "energy"])
-
-    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        total = 0.0
+    Where samples or points are few (MOST_NUMBERS) it is complete: tasks reduce their rows to
+    triangular factors that meet in a tree, or the few samples come to the driver as they are. Else
+    the `keep` leading modes are sought by a blocked Krylov method begun at random: each pass over the
+    fields costs two products with a block of keep + MORE vectors, its sums meet in a tree, and the
+    search ends once the residuals are within `within` of the first eigenvalue. Singular values then
+    come from a triangular factor of the fields' coefficients. The driver holds
+    2 * BLOCKS * (keep + MORE) vectors of the grid, whatever the number of samples."""
+    (one,) = fit_by(df.withColumn("_all", F.lit("")), values, "_all", {"": weights}, keep, within).values()
+    return one
+
+
+def fit_by(df: DataFrame, values: str, key: str, weights: dict[str, np.ndarray], keep: int | None = None, within: float = 1e-10) -> dict[str, Pod]:
+    """A decomposition for each key, a text such as a grid's name; weights: of each key's grid.
+
+    The complete ones take one pass over all rows together, however many keys there are."""
+    for w in weights.values():
+        if not np.isfinite(w).all() or (w < 0).any():
+            raise ValueError("weights must be finite and not negative")
+    rows = df.where(F.col(values).isNotNull()).select(F.col(key).alias("key"), F.col(values).cast("array<double>").alias("x"))
+    rows = rows.where(F.col("key").isin(*weights))
+    # a row a key
+    base = {r["key"]: (int(r.n), np.array(r["mean"]), np.array(r["std"])) for r in moments(rows, "x", "key").select("key", "n", "mean", F.when(F.col("n") > 1, F.col("std")).alias("std")).where("n > 1").collect()}
+    for k, w in weights.items():
+        if k not in base:
+            raise ValueError("a decomposition needs two samples at least")
+        if len(base[k][1]) != len(w):
+            raise ValueError(f"fields of {len(base[k][1])} points with {len(w)} weights")
+    small = {k for k, w in weights.items() if min(base[k][0], len(w)) * len(w) <= MOST_NUMBERS}
+    if keep is None and len(small) < len(weights):
+        raise ValueError("the complete decomposition is too large: say how many modes to keep")
+    out: dict[str, Pod] = {}
+    centre = {k: (base[k][1], np.sqrt(w)) for k, w in weights.items()}
+    factors = _factors(rows.where(F.col("key").isin(*small)), {k: centre[k] for k in small}) if small else {}
+    for k, w in weights.items():
+        n, mean, std = base[k]
+        energy = float((w * std**2).sum() * (n - 1))
+        if k in small:
+            sigma, modes = _decomposed(factors[k], min(keep or n, len(w), n))
+            out[k] = Pod(mean, w, sigma, modes, n, energy)
+        else:
+            sigma, modes, residual = _leading(rows.where(F.col("key") == k).select("x"), *centre[k], min(keep, len(w), n), within)
+            out[k] = Pod(mean, w, sigma, modes, n, energy, residual)
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], mean: np.ndarray, root: np.ndarray, at: int = 0) -> Iterator[np.ndarray]:
+    """Centred, weighted fields [rows, points] of a column, some at a time."""
+    size = max(1, (1 << 21) // len(mean))
+    for b in batches:
+        for i in range(0, b.num_rows, size):
+            x = stacked(b.column(at).slice(i, size), (len(mean),))
+            yield (x - mean) * root
+
+
+def _factors(rows: DataFrame, centre: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """A matrix for each key with the singular values and right vectors of its centred fields."""
+
+    def reduced(held: list[np.ndarray], points: int) -> np.ndarray:
+        a = np.concatenate(held)
+        return np.linalg.qr(a, mode="r") if len(a) > points else a
+
+    def reduce_rows(pairs: Iterator[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        for k, x in pairs:
+            mine, points = held.setdefault(k, []), x.shape[1]
+            mine.append(x)
+            if sum(map(len, mine)) >= 2 * points + 64:
+                held[k] = [reduced(mine, points)]
+        for k, mine in held.items():
+            a = reduced(mine, mine[0].shape[1])
+            for i in range(0, len(a), 256):
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(a[i : i + 256]), pa.string()), listed(a[i : i + 256])], ["key", "row"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
         for b in batches:
-            for x in b.column(0):
-                if x.is_valid:
-                    row = (x.values.to_numpy(zero_copy_only=False) - mean) * root
-                    total += float(row @ row)
-                    held.append(row)
-                    if len(held) >= 2 * points + 64:
-                        held = factor(held)
-        held = factor(held)
-        yield from sent(held, total)
+            names = np.array(b.column(0).to_pylist(), object)
+            for k in dict.fromkeys(names):
+                yield k, b.column(1).filter(pa.array(names == k))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from reduce_rows((k, (stacked(x, (len(centre[k][0]),)) - centre[k][0]) * centre[k][1]) for k, x in cut(batches))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0.0
+        yield from reduce_rows((k, stacked(x, (len(centre[k][0]),))) for k, x in cut(batches))
+
+    kind = "key string, row array<double>"
+    got = rows.select("key", "x").mapInArrow(first, kind)
+    # what a key's few samples are is not reduced further on the way
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 8:
+        parts //= 8
+        got = got.repartition(parts).mapInArrow(again, kind)
+    table = got.repartition("key").mapInArrow(again, kind).toArrow() if parts > 1 else got.toArrow()
+    keys, column = table.column("key").to_pylist(), table.column("row").combine_chunks()
+    names = np.array(keys, object)
+    return {k: reduced([stacked(column.filter(pa.array(names == k)), (len(centre[k][0]),))], len(centre[k][0])) for k in dict.fromkeys(keys)}
+
+
+def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """Sum of all tasks' matrices, which come in rows (block, salt, data); only the sum is collected."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            total += sum(b.column(1).to_pylist())
-            for x in b.column(0):
-                held.append(x.values.to_numpy(zero_copy_only=False))
-                if len(held) >= 2 * points + 64:
-                    held = factor(held)
-        held = factor(held)
-        yield from sent(held, total)
-
-    kind = "row array<double>, energy double"
-    rows = df.select(F.col(values).cast("array<double>").alias("x")).mapInArrow(reduce_rows, kind)
-    # a shuffle at each level keeps the levels below spread over all tasks
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while parts > 1:
-        parts = max(1, parts // 8)
-        rows = rows.repartition(parts).mapInArrow(again, kind)
-    got = rows.toArrow()  # one factor
-    r = got.column("row").combine_chunks().flatten().to_numpy().reshape(-1, points)
-    sigma, modes = _decomposed(r)
-    keep = min(keep or len(sigma), points, base.n, len(sigma))
-    return Pod(mean, weights, sigma, modes[:keep], int(base.n), float(np.sum(got.column("energy").to_numpy())))
-
-
-def _decomposed(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Singular values and right vectors; of a wide factor by a triangular one of its few rows."""
+            for block, salt, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                a = np.frombuffer(data.as_buffer())
+                held[block, salt] = held[block, salt] + a if (block, salt) in held else a
+        for (block, salt), a in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([a.tobytes()], pa.binary())], ["block", "salt", "data"])
+
+    kind = "block int, salt int, data binary"
+    rows = parts.repartition("block", "salt").mapInArrow(add, kind).withColumn("salt", F.lit(0)).repartition("block").mapInArrow(add, kind)
+    out = np.zeros(shape)
+    for r in rows.collect():  # the matrix, in blocks
+        a = np.frombuffer(r.data).reshape(-1, shape[1])
+        out[r.block * POINTS : r.block * POINTS + len(a)] = a
+    return out
+
+
+def _sent(a: np.ndarray, salts: int) -> Iterator[pa.RecordBatch]:
+    salt = TaskContext.get().partitionId() % salts
+    for block, i in enumerate(range(0, len(a), POINTS)):
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([a[i : i + POINTS].tobytes()], pa.binary())], ["block", "salt", "data"])
+
+
+def _leading(rows: DataFrame, mean: np.ndarray, root: np.ndarray, keep: int, within: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Leading singular values, modes and the largest residual of the fields `x`."""
+    spark, points = rows.sparkSession, len(mean)
+    salts = max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def acted(w: np.ndarray) -> np.ndarray:
+        """A^T A w."""
+        sent = spark.sparkContext.broadcast(w)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(sent.value.shape)
+            for x in _blocks(batches, mean, root):
+                total += x.T @ (x @ sent.value)
+            yield from _sent(total, salts)
+
+        try:
+            return _summed(rows.mapInArrow(run, "block int, salt int, data binary"), w.shape)
+        finally:
+            sent.unpersist()
+
+    wide = min(keep + MORE, points)
+    basis = np.zeros((points, 0))
+    image = basis
+    new = np.random.default_rng(0).normal(size=(points, wide)) * (root > 0)[:, None]
+    residual = np.inf
+    for _ in range(PASSES):
+        for _ in range(2):
+            new = new - basis @ (basis.T @ new)
+            new, r = np.linalg.qr(new)
+        basis, image = np.hstack([basis, new]), np.hstack([image, acted(new)])
+        small = basis.T @ image
+        value, vector = np.linalg.eigh((small + small.T) / 2)
+        value, vector = value[::-1], vector[:, ::-1]
+        ritz, moved = basis @ vector[:, :wide], image @ vector[:, :wide]
+        gap = moved - ritz * value[:wide]
+        size = np.linalg.norm(gap, axis=0)
+        residual = float(size[:keep].max() / max(value[0], 1e-300))
+        if residual <= within or basis.shape[1] >= points:
+            break
+        if basis.shape[1] + wide > min(BLOCKS * wide, points):
+            # go on from the best of what was found
+            held = vector[:, : 2 * wide]
+            basis, image = basis @ held, image @ held
+        wanted = np.flatnonzero(size > 1e-14 * value[0])[:wide]
+        wanted = wanted[: points - basis.shape[1]]
+        if not len(wanted):
+            break
+        new = gap[:, wanted] / size[wanted]
+    modes = ritz[:, :keep]
+    # singular values of the fields' coefficients, not of their squares
+    sent = spark.sparkContext.broadcast(modes)
+
+    def coefficients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, sent.value.shape[1]))
+        for x in _blocks(batches, mean, root):
+            held = np.linalg.qr(np.concatenate([held, x @ sent.value]), mode="r")
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array([""] * len(held), pa.string()), listed(held)], ["key", "x"])
+
+    flat = {"": (np.zeros(keep), np.ones(keep))}
+    (factor,) = _factors(rows.mapInArrow(coefficients, "key string, x array<double>"), flat).values()
+    _, sigma, turn = np.linalg.svd(factor, full_matrices=False)
+    return sigma, turn @ modes.T, residual
+
+
+def _decomposed(r: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and the first right vectors; of a wide factor by a triangular one of its few rows."""
     if len(r) < r.shape[1]:
         q, low = np.linalg.qr(r.T)
         _, sigma, small = np.linalg.svd(low.T)
-        return sigma, small @ q.T
+        return sigma, small[:keep] @ q.T
     _, sigma, modes = np.linalg.svd(r, full_matrices=False)
-    return sigma, modes
+    return sigma, modes[:keep]
+
+
+def projected(pod: Pod, df: DataFrame, values: str) -> np.ndarray:
+    """Energy of the centred fields along each mode, by a pass over them."""
+    mean, root, modes = pod.mean, np.sqrt(pod.weights), pod.modes
+    sent = df.sparkSession.sparkContext.broadcast(modes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(sent.value), 1))
+        for x in _blocks(batches, mean, root):
+            total[:, 0] += ((x @ sent.value.T) ** 2).sum(0)
+        yield from _sent(total, 1)
 
+    rows = df.where(F.col(values).isNotNull()).select(F.col(values).cast("array<double>").alias("x"))
+    return _summed(rows.mapInArrow(run, "block int, salt int, data binary"), (len(modes), 1))[:, 0]
 
-def check(pod: Pod, within: float = 1e-10) -> None:
-    """Error unless the squared singular values add up to the energy of the centred fields."""
-    gap = abs((pod.sigma**2).sum() - pod.energy) / max(pod.energy, 1e-300)
-    if not gap <= within:
-        raise ValueError(f"the decomposition misses the energy by {gap}")
+
+def check(pod: Pod, df: DataFrame | None = None, values: str | None = None, within: float = 1e-10) -> None:
+    """Error unless the decomposition is one of the fields.
+
+    The squared singular values of a complete one add up to the energy of the centred fields; the
+    residuals of a leading one are small. Where the fields are given, the modes are at right angles,
+    and the fields' energy along each is its squared singular value. All within a share of the energy."""
+    scale = max(pod.energy, 1e-300)
+    gap = (pod.sigma**2).sum() - pod.energy
+    if pod.residual is None and not abs(gap) <= within * scale or not gap <= within * scale:
+        raise ValueError(f"the singular values miss the energy by {gap / scale}")
+    if pod.residual is not None and not pod.residual <= within:
+        raise ValueError(f"the modes were sought to a residual of {pod.residual} only")
+    if df is None:
+        return
+    turned = np.abs(pod.modes @ pod.modes.T - np.eye(len(pod.modes))).max(initial=0.0)
+    off = np.abs(projected(pod, df, values) - pod.sigma[: len(pod.modes)] ** 2).max(initial=0.0)
+    if not turned <= 1e-9 or not off <= within * scale:
+        raise ValueError(f"the modes miss their energy by {off / scale} and right angles by {turned}")
 
 
 def spectrum(spark, pod: Pod, **keys) -> DataFrame:
-    """(keys, i, sigma, eigenvalue): a row a mode."""
+    """(keys, i, sigma, eigenvalue): a row a mode. Of leading modes alone also trace, the sum of all eigenvalues."""
     lam = pod.eigenvalues()
-    rows = [(*keys.values(), i, float(s), float(e)) for i, (s, e) in enumerate(zip(pod.sigma, lam, strict=True))]
+    rest = () if pod.residual is None else (pod.energy / (pod.samples - 1),)
+    rows = [(*keys.values(), i, float(s), float(e), *rest) for i, (s, e) in enumerate(zip(pod.sigma, lam, strict=True))]
     kinds = ", ".join(f"{k} {'string' if isinstance(v, str) else 'int'}" for k, v in keys.items())
-    return spark.createDataFrame(rows, (kinds + ", " if kinds else "") + "i int, sigma double, eigenvalue double")
+    return spark.createDataFrame(rows, (kinds + ", " if kinds else "") + "i int, sigma double, eigenvalue double" + (", trace double" if rest else ""))
 
 
 def cumulative(rows: DataFrame, *group: str) -> DataFrame:
     """Adds share: the running part of each group's eigenvalues; a row a mode, some thousands."""
     run = Window.partitionBy(*group).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*group)
-    return rows.withColumn("share", div(F.sum("eigenvalue").over(run), F.sum("eigenvalue").over(all_)))
+    whole = F.col("trace") if "trace" in rows.columns else F.sum("eigenvalue").over(Window.partitionBy(*group))
+    return rows.withColumn("share", div(F.sum("eigenvalue").over(run), whole))
 
 
 def energy_ranks(rows: DataFrame, fractions: list[float], *group: str) -> DataFrame:
-    """(group, fraction, rank): modes that reach each share; all of them if none does."""
+    """(group, fraction, rank): modes that reach each share; all of them if none does, but null where
+    the rows are leading modes alone (they have a trace)."""
     each = cumulative(rows, *group).withColumn("fraction", F.explode(F.array(*map(F.lit, fractions))))
-    return each.groupBy(*group, "fraction").agg(F.coalesce(F.min(F.when(F.col("share") >= F.col("fraction"), F.col("i") + 1)), F.count("*")).alias("rank"))
+    reached = F.min(F.when(F.col("share") >= F.col("fraction"), F.col("i") + 1))
+    return each.groupBy(*group, "fraction").agg((reached if "trace" in rows.columns else F.coalesce(reached, F.count("*"))).alias("rank"))
 
 
 def flagged_ranks(ranks: DataFrame, population: DataFrame, samples: int, *group: str) -> DataFrame:
@@ -193,3 +365,36 @@ def against_grid(rows: DataFrame, base: str, *group: str) -> DataFrame:
 def leading(rows: DataFrame, population: DataFrame, k: int = 20, *group: str) -> DataFrame:
     """The first eigenvalues beside the population's."""
     return rows.where(F.col("i") < k).select(*group, "i", "eigenvalue").join(population.select("i", F.col("eigenvalue").alias("population")), "i", "left")
+
+
+def grid_fits(df: DataFrame, values: str, side: int, sizes: list[int], keep: int | None = None) -> dict[str, Pod]:
+    """Fits of fields on `side` Chebyshev nodes a side and of the same on uniform learning grids.
+
+    Restriction by interpolation; uniform grids are weighted by their cells' area, so that eigenvalues
+    compare. Every field is read once for the means and once for all complete fits. Keys: cgl and s=<size>."""
+    x = F.col(values).cast("array<double>")
+    each = [F.struct(F.lit("cgl").alias("grid"), x.alias("x"))]
+    each += [F.struct(F.lit(f"s={s}").alias("grid"), transfer.to_uniform(x, side, s).alias("x")) for s in sizes]
+    rows = df.where(F.col(values).isNotNull()).select(F.explode(F.array(*each)).alias("g")).select("g.*")
+    weights = {"cgl": grid_weights(side, "chebyshev")} | {f"s={s}": grid_weights(s, "uniform") for s in sizes}
+    return fit_by(rows, "x", "grid", weights, keep)
+
+
+def grid_spectra(spark, fits: dict[str, Pod], **keys) -> DataFrame:
+    """(keys, grid, i, sigma, eigenvalue) of all fits, as against_grid() and energy_ranks() take them."""
+    out = None
+    for grid, pod in fits.items():
+        rows = spectrum(spark, pod, **keys, grid=grid)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def grid_summary(rows: DataFrame, base: str, samples: int, *group: str) -> DataFrame:
+    """(group, grid, trace, ratio, directions): each grid's trace over the base grid's, and how many
+    eigenvalues are beyond rounding (1e-12 of the first)."""
+    first = F.max("eigenvalue").over(Window.partitionBy(*group, "grid"))
+    real = F.col("eigenvalue") > 1e-12 * F.col("first")
+    sums = rows.withColumn("first", first).groupBy(*group, "grid").agg(F.sum("eigenvalue").alias("trace"), F.least(F.count_if(real), F.lit(samples - 1)).alias("directions"))
+    ref = sums.where(F.col("grid") == base).select(*group, F.col("trace").alias("whole"))
+    both = sums.join(ref, [*group]) if group else sums.crossJoin(F.broadcast(ref))
+    return both.withColumn("ratio", div(F.col("trace"), F.col("whole"))).drop("whole")
