@@ -84,12 +84,17 @@ def page_block(page_id: int | None, html: str | None) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\nX-Page-Id: {who}\r\n\r\n".encode() + body
 
 
+#: The address of a version block.
+_RESERVED = re.compile("^(filedesc):", re.IGNORECASE)
+
+
 def write_arc(pages: DataFrame, path: str, version: int | str = 1, date: str = "20240101000000") -> None:
     """Writes pages (page_id, url, html) as ARC records.
 
     version: 1, 2, or a column that holds either; every run of records begins with its version's own
-    block. Blanks and control characters in an address are percent-encoded; a null or empty one
-    becomes urn:page:<id>; a null page is the empty payload."""
+    block. Blanks and control characters in an address are percent-encoded, and so is the colon after
+    filedesc, which is the name of version blocks; a null or empty address becomes urn:page:<id>; a
+    null page is the empty payload."""
 
     def head(v: int) -> bytes:
         note = f"{v} 0 writer\n{FIELDS[v]}\n".encode()
@@ -102,6 +107,7 @@ def write_arc(pages: DataFrame, path: str, version: int | str = 1, date: str = "
             for page_id, url, html, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 block = page_block(page_id, html.as_py())
                 where = quote(url, safe="".join(map(chr, range(33, 127)))) if url else f"urn:page:{page_id}"
+                where = _RESERVED.sub(r"\1%3A", where)
                 more = "" if v == 1 else "200 - - 0 pages.arc "
                 yield from map(_image, runs[v].add(f"{where} 0.0.0.0 {date} text/html {more}{len(block)}\n".encode() + block))
         for r in runs.values():
@@ -112,30 +118,32 @@ def write_arc(pages: DataFrame, path: str, version: int | str = 1, date: str = "
 
 
 _LINE = re.compile(rb"\n*([^\n]*)\n")
+#: How the block of a version block begins: with its version, a number, and who wrote it.
+_VERSION = re.compile(rb"([12]) \d+ [^\n]*\n")
 
 
 def arc_records(raw: bytes) -> Iterator[dict]:
-    """Records of an ARC file by their declared lengths; the version block sets the field layout.
+    """Records of an ARC file by their declared lengths; version blocks set the field layout.
 
-    A record cut off by the file's end comes with truncated set; a line that fits no layout is an
-    error that names its place."""
+    A version block has a filedesc: address, the type text/plain, and begins with its version; any
+    other record of such an address is one like all others. A record cut off by the file's end comes
+    with truncated set; a line that fits no layout is an error that names its place."""
     version, at = 1, 0
     while found := _LINE.match(raw, at):
         line = found[1].rstrip(b"\r").split(b" ")
         if line == [b""]:
             break
-        if line[0].startswith(b"filedesc:"):
-            version = 1 if len(line) == 5 else 2
-        names = FIELDS[version].split(" ")
+        reserved = line[0].startswith(b"filedesc:")
+        layout = (1 if len(line) == 5 else 2) if reserved else version
+        names = FIELDS[layout].split(" ")
         if len(line) != len(names) or not line[-1].isdigit():
-            raise ValueError(f"no ARC header line of version {version} at byte {found.start(1)}")
+            raise ValueError(f"no ARC header line of version {layout} at byte {found.start(1)}")
         fields = dict(zip(names, (x.decode("utf-8", "replace") for x in line), strict=True))
         start = found.end()
         block = raw[start : start + int(line[-1])]
         at = start + len(block)
-        if line[0].startswith(b"filedesc:"):
-            declared = block.split(b"\n")[0].split(b" ")[0]
-            version = int(declared) if declared in (b"1", b"2") else version
+        if reserved and fields["Content-type"] == "text/plain" and (declared := _VERSION.match(block)):
+            version = int(declared[1])
             continue
         yield {"fields": fields, "block": block, "truncated": len(block) < int(line[-1])}
 
