@@ -181,7 +181,8 @@ WITH template AS (SELECT * FROM (VALUES %s) AS t(template, license, text)),
 tt AS (SELECT DISTINCT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS term FROM template),
 n AS (SELECT count(*) AS n FROM template),
 idf AS (SELECT term, ln((1.0 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tt, n GROUP BY term),
-weights AS (SELECT template, license, term, idf / sqrt(sum(idf * idf) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
+weights AS (SELECT template, license, term, idf / sqrt(sum(idf * idf) OVER (PARTITION BY template)) AS weight, regexp_matches(term, 'VERSION') AS numbered FROM tt JOIN idf USING (term)),
+versions AS (SELECT template, count(*) FILTER (numbered) AS versions FROM weights GROUP BY template),
 f AS (SELECT doc_id, lower(coalesce(text, '')) AS text, coalesce(source, '-') AS s, coalesce(source, '-') || '/' || (doc_id // 1000) AS k,
   coalesce(source, '-') || '/' || (doc_id // 1000) || '/' || (doc_id // 100 %% 10) AS h, doc_id %% 10 AS last FROM documents),
 g AS (SELECT *, CASE WHEN last = 0 THEN s WHEN last <= 2 THEN k ELSE h END AS folder FROM f),
@@ -190,17 +191,20 @@ lt AS (SELECT doc_id, pos, regexp_extract_all(line, '[a-z0-9]+(?:[.-][a-z0-9]+)*
 r AS (SELECT *, sum(CASE WHEN len(terms) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM lt),
 full_ AS (SELECT * FROM r WHERE len(terms) > 0),
 runs AS (SELECT doc_id, run, min(pos) AS place, count(*) AS lines, flatten(list(terms)) AS terms FROM full_ GROUP BY ALL),
-units AS (
+every AS (
   SELECT doc_id, 0 AS level, pos AS place, terms FROM full_
   UNION ALL SELECT doc_id, 1, place, terms FROM runs WHERE lines > 1
   UNION ALL SELECT doc_id, 2, 0, flatten(list(terms)) FROM runs GROUP BY doc_id HAVING count(*) > 1),
+units AS (SELECT * FROM every WHERE NOT regexp_matches(array_to_string(terms, ' '), 'DENIED')),
 ut AS (SELECT DISTINCT doc_id, level, place, unnest(terms) AS term FROM units),
 w AS (SELECT doc_id, level, place, term, coalesce(idf, ln(1.0 + (SELECT n FROM n)) + 1) AS w FROM ut LEFT JOIN idf USING (term)),
-norm AS (SELECT doc_id, level, place, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-d AS (SELECT doc_id, level, place, template, license, sum(w * weight) AS dot FROM w JOIN weights USING (term) GROUP BY ALL),
-m AS (SELECT doc_id, level, place, license, round(dot / norm, 6) AS similarity FROM d JOIN norm USING (doc_id, level, place) WHERE round(dot / norm, 6) >= 0.75
-  QUALIFY row_number() OVER (PARTITION BY doc_id, level, place ORDER BY round(dot / norm, 6) DESC, license DESC) = 1),
-own AS (SELECT doc_id, arg_max(license, row(similarity, -level, -place, license)) AS license, max(similarity) AS similarity FROM m GROUP BY doc_id),
+norm AS (SELECT doc_id, level, place, sqrt(sum(w * w)) AS norm, count(*) FILTER (regexp_matches(term, 'VERSION')) AS own_versions FROM w GROUP BY ALL),
+d AS (SELECT doc_id, level, place, template, license, sum(w * weight) AS dot, count(*) FILTER (numbered) AS met FROM w JOIN weights USING (term) GROUP BY ALL),
+e AS (SELECT doc_id, level, place, license, round(dot / norm, 6) AS similarity FROM d JOIN norm USING (doc_id, level, place) JOIN versions USING (template)
+  WHERE round(dot / norm, 6) >= 0.75 AND (met = versions OR met = own_versions)),
+m AS (SELECT doc_id, level, place, min(license) AS license, any_value(similarity) AS similarity, any_value(similarity) - CASE WHEN count(DISTINCT license) > 1 THEN 0.15 ELSE 0 END AS counted
+  FROM (SELECT * FROM e QUALIFY similarity = max(similarity) OVER (PARTITION BY doc_id, level, place)) GROUP BY doc_id, level, place),
+own AS (SELECT doc_id, arg_max(license, row(counted, -level, -place, license)) AS license, arg_max(similarity, row(counted, -level, -place, license)) AS similarity FROM m GROUP BY doc_id),
 notice AS (SELECT doc_id, max(words) AS notice FROM (SELECT doc_id, level, sum(len(terms)) AS words FROM m JOIN units USING (doc_id, level, place) GROUP BY ALL) GROUP BY doc_id),
 whole AS (SELECT doc_id, sum(len(terms)) AS words FROM full_ GROUP BY doc_id),
 chief AS (SELECT folder, license, similarity FROM own JOIN g USING (doc_id) JOIN notice USING (doc_id) JOIN whole USING (doc_id) WHERE notice >= 0.1 * words
@@ -211,7 +215,8 @@ SELECT g.doc_id, coalesce(own.license, near.license) AS license, coalesce(own.si
   CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
   CASE WHEN own.license IS NULL THEN near.folder END AS found_in
 FROM g LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)
-""" % ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(licenses.templates())),
+""".replace("VERSION", r"^[0-9]{1,2}(\.[0-9]+)*$").replace("DENIED", "(^| )(not|never|longer)( [^ ]+){0,2} (licensed|released|available|covered|subject|permitted|granted|under)( |$)")
+    .replace("%s", ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(licenses.templates()))).replace("%%", "%"),
     "op4_near_duplicates": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
