@@ -28,6 +28,16 @@ def run_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
 
+def _plain(text: Column) -> Column:
+    """A percent-encoded name as it is; a plus sign stays one."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def _own_run() -> Column:
+    """Name of the folder of the file that a row comes from, whose path Spark gives percent-encoded."""
+    return run_of(_plain(F.col("_metadata.file_path")))
+
+
 def stem(n: Column, k: Column, split: Column) -> Column:
     return F.format_string("poisson_n%d_K%d_%s", n.cast("int"), k.cast("int"), split)
 
@@ -59,21 +69,23 @@ def write_split(rows: DataFrame, record: DataFrame, path: str) -> None:
     record.write.partitionBy("n", "k", "split").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{path}/records")
 
 
-def parsed_metrics(lines: DataFrame) -> DataFrame:
-    """(run, line, epoch.., bad) from (run, line, value): rows of five or six fields; an empty sixth is null."""
+def parsed_metrics(lines: DataFrame, *keep: str) -> DataFrame:
+    """(run, line, epoch.., bad) from (run, line, value): rows of five or six fields; an empty sixth is null.
+
+    keep: further columns that stay."""
     f = F.split("value", ",", -1)
     size = F.size(f)
     kinds = ("int", "float", "float", "float", "double", "double")
     casts = [F.try_element_at(f, F.lit(i + 1)).try_cast(k).alias(c) for i, (c, k) in enumerate(zip(METRICS, kinds, strict=True))]
-    out = lines.select("run", "line", "value", size.alias("fields"), F.try_element_at(f, F.lit(6)).alias("sixth"), *casts)
+    out = lines.select("run", "line", "value", *keep, size.alias("fields"), F.try_element_at(f, F.lit(6)).alias("sixth"), *casts)
     unread = ~F.col("fields").isin(5, 6) | F.greatest(*(F.col(c).isNull() for c in METRICS[:5])) | ((F.col("fields") == 6) & (F.col("sixth") != "") & F.col("epoch_time_s").isNull())
     return out.withColumn("bad", F.coalesce(unread, F.lit(True)))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """(run, epoch, ...) of the metrics files under path; a bad row is an error that names its line."""
-    folder = run_of(F.col("_metadata.file_path"))
-    run = F.when(folder.startswith("run="), F.url_decode(F.substr(folder, F.lit(5)))).otherwise(folder)
+    folder = _own_run()
+    run = F.when(folder.startswith("run="), _plain(F.substr(folder, F.lit(5)))).otherwise(folder)
     text = spark.read.text(path, wholetext=True).select(run.alias("run"), "value")
     lines = text.select("run", F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).where((F.col("at") > 0) & (F.col("value") != ""))
     rows = parsed_metrics(lines.select("run", (F.col("at") + 1).alias("line"), "value"))
@@ -102,7 +114,7 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
 def read_gn_steps(spark: SparkSession, path: str) -> DataFrame:
     """Second-order step logs; empty fields are null."""
     rows = spark.read.schema(GN_STEPS).csv(path, header=True, nullValue="", enforceSchema=False)
-    return rows.withColumn("run", run_of(F.col("_metadata.file_path")))
+    return rows.withColumn("run", _own_run())
 
 
 def append_gn_steps(steps: DataFrame, path: str) -> None:
@@ -112,7 +124,7 @@ def append_gn_steps(steps: DataFrame, path: str) -> None:
 
 def read_record(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One record file of each run under path, with the run's name; fields a file lacks are null."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("run", run_of(F.col("_metadata.file_path")))
+    return spark.read.schema(schema).json(path, multiLine=True).withColumn("run", _own_run())
 
 
 def run_data(records: DataFrame) -> DataFrame:
