@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridmill.jobs.tables import read
 from gridmill.sources.shared import scratch
-from gridmill.streaming import epochs
+from gridmill.streaming import epochs, open_runs
+from gridmill.streaming.open_runs import state_session
 
 #: Registered by `query`: name -> (function, SQL or None).
 QUERIES: dict = {}
@@ -32,9 +33,8 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _written(rows: DataFrame, name: str) -> DataFrame:
-    """The stream's rows once all files that are there have been read."""
-    spark = rows.sparkSession
+def _written(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """The stream's rows, in the given session, once all files that are there have been read."""
     path = scratch(spark, name)
     q = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, name)).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -46,14 +46,26 @@ _E = "e AS (SELECT user_id AS run, event_id AS epoch, value AS train_l2, value +
 
 @query(f"WITH {_E}, l AS (SELECT run, 'train_l2' AS key, epoch AS step, train_l2 AS value FROM e UNION ALL SELECT run, 'test_l2', epoch, test_l2 FROM e UNION ALL SELECT run, 'epoch_time_s', epoch, epoch_time_s FROM e) SELECT run, key, step, round(value, 8) AS value FROM l WHERE value IS NOT NULL")
 def stream_feed(spark, d):
-    got = _written(epochs.feed(_stream(spark, d), "train_l2", "test_l2", "epoch_time_s"), "feed")
+    got = _written(spark, epochs.feed(_stream(spark, d), "train_l2", "test_l2", "epoch_time_s"), "feed")
     return got.withColumn("value", F.round("value", 8))
 
 
 @query(f"WITH {_E} SELECT DISTINCT run, 'create' AS kind FROM e WHERE run % 3 <> 0")
 def stream_new_runs(spark, d):
-    known = read(spark, d, "events").select(F.col("user_id").alias("run")).where("run % 3 = 0").distinct()
-    return _written(epochs.new_runs(_stream(spark, d), known, "3650 days"), "new-runs")
+    """Runs that are created: those that no table knows, by their state."""
+    own = state_session(spark)
+    known = read(own, d, "events").where("user_id % 3 = 0").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("epochs"), F.max("ts").alias("seen"))
+    known = known.select("*", *(F.lit(None).cast("double").alias(c) for c in ("best", "last", "seconds")), F.lit(None).cast("int").alias("last_epoch"))
+    got = _written(spark, open_runs.followed(_stream(own, d), known), "new-runs")
+    return got.where("kind = 'create'").select("run", "kind")
+
+
+@query(f"WITH {_E} SELECT run, count(*) AS epochs, min(test_l2) AS best, arg_max(test_l2, epoch) AS last, max(epoch) AS last_epoch, round(sum(epoch_time_s), 7) AS seconds FROM e GROUP BY run")
+def stream_followed(spark, d):
+    """Totals of every run as its state has them after its last rows."""
+    got = _written(spark, open_runs.followed(_stream(state_session(spark), d)), "followed").where("kind = 'totals'")
+    last = got.groupBy("run").agg(F.max_by(F.struct("epochs", "best", "last", "last_epoch", "seconds"), "epochs").alias("s")).select("run", "s.*")
+    return last.withColumn("last_epoch", F.col("last_epoch").cast("long")).withColumn("seconds", F.round("seconds", 7))
 
 
 @query(f"WITH {_E} SELECT run, count(*) AS epochs, min(test_l2) AS best, arg_max(test_l2, epoch) AS last, round(sum(epoch_time_s), 7) AS seconds FROM e GROUP BY run")
