@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmill.functions.safe import greatest_number, upper_median
+from gridmill.functions.safe import greatest_number
+from gridmill.operators.selection import upper_medians
 
 #: Mean error that a training size is to reach.
 BAR = 2e-2
@@ -158,9 +159,14 @@ def baseline_grid(rows: DataFrame, error: str, reference: int = 128, within: flo
 
 
 def device_scaling(epochs: DataFrame, first: int = 5, last: int = 50) -> DataFrame:
-    """(load, devices, median, low, high, speedup, efficiency) of epoch times over a range of epochs."""
+    """(load, devices, median, low, high, speedup, efficiency) of epoch times over a range of epochs.
+
+    A pair of load and devices holds the epochs of any number of runs; its median is found by counts."""
     used = epochs.where(F.col("epoch").between(first, last))
-    rows = used.groupBy("load", "devices").agg(upper_median(F.col("epoch_time_s")).alias("median"), F.min("epoch_time_s").alias("low"), F.max("epoch_time_s").alias("high"))
+    medians = upper_medians(used, "epoch_time_s", "load", "devices").drop("n").withColumnsRenamed({"load": "of_load", "devices": "of_devices"})
+    rows = used.groupBy("load", "devices").agg(F.min("epoch_time_s").alias("low"), F.max("epoch_time_s").alias("high"))
+    same = F.col("load").eqNullSafe(F.col("of_load")) & F.col("devices").eqNullSafe(F.col("of_devices"))
+    rows = rows.join(medians, same).select("load", "devices", "median", "low", "high")
     one = rows.where("devices = 1").select("load", F.col("median").alias("single"))
     speedup = F.col("single") / F.col("median")
     return rows.join(one, "load", "left").withColumn("speedup", speedup).withColumn("efficiency", speedup / F.col("devices")).drop("single")
