@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 _MASK32, _MASK64 = (1 << 32) - 1, (1 << 64) - 1
 # The stream cipher's constant words, the generator that spreads a seed over the key,
@@ -28,61 +24,112 @@ def _key(seed: int) -> list[int]:
     return out
 
 
-def _block(key: list[int], counter: int) -> list[int]:
-    """Sixteen words of the eight-round stream."""
-    start = [*SIGMA, *key, counter & _MASK32, counter >> 32, 0, 0]
-    w = list(start)
+def _blocks(key: list[int], counter: int, n: int) -> np.ndarray:
+    """Words [n, 16] of n blocks of the eight-round stream, from a counter on."""
+    count = np.arange(counter, counter + n, dtype=np.uint64)
+    start = [np.full(n, w, np.uint32) for w in (*SIGMA, *key)] + [(count & np.uint64(_MASK32)).astype(np.uint32), (count >> np.uint64(32)).astype(np.uint32)] + [np.zeros(n, np.uint32)] * 2
+    w = [x.copy() for x in start]
 
     def quarter(a: int, b: int, c: int, d: int) -> None:
         for p, q, r, turn in ((a, b, d, 16), (c, d, b, 12), (a, b, d, 8), (c, d, b, 7)):
-            w[p] = (w[p] + w[q]) & _MASK32
-            w[r] ^= w[p]
-            w[r] = (w[r] << turn | w[r] >> 32 - turn) & _MASK32
+            w[p] += w[q]
+            x = w[r] ^ w[p]
+            w[r] = x << np.uint32(turn) | x >> np.uint32(32 - turn)
 
     for _ in range(4):
         for i in range(4):
             quarter(i, 4 + i, 8 + i, 12 + i)
         for i in range(4):
             quarter(i, 4 + (i + 1) % 4, 8 + (i + 2) % 4, 12 + (i + 3) % 4)
-    return [(a + b) & _MASK32 for a, b in zip(w, start, strict=True)]
+    return np.stack([a + b for a, b in zip(w, start, strict=True)], 1)
 
 
-def _draws(seed: int) -> Iterator[int]:
+def _draws(seed: int, at_once: int) -> Iterator[int]:
+    """The stream's 64-bit numbers, made so many blocks of eight at once."""
     key, counter = _key(seed), 0
     while True:
-        words = _block(key, counter)
-        yield from (words[i] | words[i + 1] << 32 for i in range(0, 16, 2))
-        counter += 1
+        words = _blocks(key, counter, at_once).astype(np.uint64)
+        yield from (words[:, ::2] | words[:, 1::2] << np.uint64(32)).ravel().tolist()
+        counter += at_once
 
 
 def subset(population: int, n: int, seed: int) -> list[int]:
     """First n of the seeded permutation of range(population), ascending.
 
-    For one seed a smaller subset lies in every larger one."""
+    For one seed a smaller subset lies in every larger one. Only the places that the shuffle has moved
+    are held, at most two for each of the n, so a population of any size takes no memory."""
     if n > population:
         raise ValueError(f"{n} of {population} rows")
-    draws, order = _draws(seed), list(range(population))
-    for i in range(min(n, population - 1)):
+    moved: dict[int, int] = {}
+    out = np.empty(n, np.int64)
+    draws = _draws(seed, min(1024, n // 8 + 1))
+    for i in range(n):
         left = population - i
-        limit = _MASK64 - _MASK64 % left
-        r = next(x for x in draws if x < limit)
-        order[i], order[i + r % left] = order[i + r % left], order[i]
-    return sorted(order[:n])
+        if left > 1:
+            limit = _MASK64 - _MASK64 % left
+            r = next(draws)
+            while r >= limit:
+                r = next(draws)
+            at = i + r % left
+        else:
+            at = i
+        own = moved.pop(i, i)
+        if at == i:
+            out[i] = own
+        else:
+            out[i], moved[at] = moved.get(at, at), own
+    out.sort()
+    return out.tolist()
+
+
+#: Stretches that a block of row numbers is cut into, which are hashed side by side.
+LANES = 64
+
+
+class Fnv:
+    """FNV-1a of some bytes as a map of the state before them to that after.
+
+    A step xors a byte into the state's low byte and multiplies, so its effect on the other bytes is a
+    factor alone. A stretch of bytes is thus a power of the prime and, for each low byte that the state
+    can have before it, the state after it if the other bytes are zero."""
+
+    def __init__(self, size: int = 0, after: np.ndarray | None = None):
+        """size: bytes; after: by low byte."""
+        self.size, self.after = size, np.arange(256, dtype=np.uint64) if after is None else after
+
+    @staticmethod
+    def of(rows: np.ndarray) -> Fnv:
+        """Of row numbers as little-endian 64-bit words."""
+        words = np.ascontiguousarray(rows, np.dtype("<i8")).view(np.uint8).reshape(-1, 8)
+        each = len(words) // LANES
+        lanes = Fnv._run(words[: each * LANES].reshape(LANES, each * 8)) if each else []
+        rest = Fnv._run(words[each * LANES :].reshape(1, -1))
+        out = Fnv()
+        for part in (*lanes, *rest):
+            out = out.then(part)
+        return out
+
+    @staticmethod
+    def _run(bytes_: np.ndarray) -> list[Fnv]:
+        state = np.tile(np.arange(256, dtype=np.uint64), (len(bytes_), 1))
+        prime = np.uint64(FNV_PRIME)
+        for column in bytes_.T.astype(np.uint64):
+            state ^= column[:, None]
+            state *= prime
+        return [Fnv(bytes_.shape[1], row) for row in state]
+
+    def then(self, other: Fnv) -> Fnv:
+        """Of these bytes and then the other's."""
+        low = self.after & np.uint64(255)
+        factor = np.uint64(pow(FNV_PRIME, other.size, 1 << 64))
+        return Fnv(self.size + other.size, (self.after - low) * factor + other.after[low.astype(np.int64)])
+
+    def digest(self) -> str:
+        low = FNV_BASIS & 255
+        h = ((FNV_BASIS - low) * pow(FNV_PRIME, self.size, 1 << 64) + int(self.after[low])) & _MASK64
+        return f"{h:016x}"
 
 
 def fingerprint(rows: list[int] | np.ndarray) -> str:
     """FNV-1a of the row numbers as little-endian 64-bit words, as 16 hex digits."""
-    h = FNV_BASIS
-    for byte in b"".join(struct.pack("<Q", int(i)) for i in rows):
-        h = (h ^ byte) * FNV_PRIME & _MASK64
-    return f"{h:016x}"
-
-
-def fingerprint_of(rows: Column | str) -> Column:
-    """The fingerprint of each array of row numbers, taken in ascending order."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else fingerprint(x))
-
-    return run(F.array_sort(rows))
+    return Fnv.of(np.asarray(rows, np.int64)).digest()

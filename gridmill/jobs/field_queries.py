@@ -505,11 +505,10 @@ def hashed_subset(spark, d):
     return sampling.hashed_subset(t.fields(spark, d), 100, 7)
 
 
-@query()
+@query("""WITH g AS (SELECT label, count(*) AS n, flatten(list(list_transform(range(8), lambda i: CAST((vec_id >> CAST(8 * i AS BIGINT)) & 255 AS HUGEINT)) ORDER BY vec_id)) AS bytes FROM embeddings GROUP BY label)
+SELECT label, n, lpad(lower(hex(CAST(list_reduce(bytes, lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) AS UBIGINT))), 16, '0') AS hash FROM g""")
 def subset_fingerprints(spark, d):
-    from gridmill.functions.seeded import fingerprint_of
-
-    return t.fields(spark, d).groupBy("label").agg(F.collect_list("sample").alias("rows")).select("label", F.size("rows").alias("n"), fingerprint_of("rows").alias("hash"))
+    return sampling.fingerprints(t.fields(spark, d), "sample", "label")
 
 
 @query("SELECT e AS epoch, (row_number() OVER (PARTITION BY e ORDER BY vec_id) - 1) // 20 AS batch, row_number() OVER (PARTITION BY e ORDER BY vec_id) - 1 AS place, vec_id AS sample FROM embeddings, (SELECT unnest(range(3)) AS e)")

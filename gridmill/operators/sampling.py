@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from gridmill.functions import seeded
 
 
+def _numbers(spark: SparkSession, rows: list[int]) -> DataFrame:
+    return spark.createDataFrame(pa.table({"sample": pa.array(rows, pa.int64())}))
+
+
 def exact_subset(spark: SparkSession, population: int, n: int, seed: int) -> DataFrame:
-    """(sample): the permutation rule's subset, in order. A table of n row numbers."""
-    rows = seeded.subset(population, n, seed)
-    return spark.createDataFrame([(i,) for i in rows], "sample long")
+    """(sample): the permutation rule's subset, in order.
+
+    The rule draws one number after the other, so the driver makes the n row numbers (8 bytes each, and
+    some 200 while they are drawn), whatever the population; hashed_subset() has no such part."""
+    return _numbers(spark, seeded.subset(population, n, seed))
 
 
 def subset_record(population: int, n: int, seed: int) -> dict:
@@ -26,7 +39,66 @@ def verified_subset(spark: SparkSession, record: dict, n: int, available: int) -
     rows = seeded.subset(record["population"], n, record["seed"])
     if (got := seeded.fingerprint(rows)) != record["hash"]:
         raise ValueError(f"the subset's hash is {got}, not {record['hash']}")
-    return spark.createDataFrame([(i,) for i in rows], "sample long")
+    return _numbers(spark, rows)
+
+
+def fingerprints(rows: DataFrame, number: str, *group: str) -> DataFrame:
+    """(group, n, hash): the fingerprint of each group's row numbers in ascending order.
+
+    Rows are range-partitioned by group and number. Each part leaves one block for a group, a map of the
+    hash before its numbers to that after, and a group's blocks are joined in order, 2 KB each; so a
+    group of any size is spread over all tasks. Null numbers are left out; a null key is a key of its
+    own; repeated numbers count as often as they come."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*group, "number", "read"]
+    source = rows.where(F.col(number).isNotNull()).select(*group, F.col(number).cast("long").alias("number"), F.monotonically_increasing_id().alias("read"))
+    ordered = source.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("read")
+    kinds = [to_arrow_type(source.schema[g].dataType) for g in group]
+    keys = StructType([source.schema[g] for g in group])
+    schema = StructType([*keys.fields, StructField("part", LongType()), StructField("n", LongType()), StructField("after", BinaryType())])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        """(key, rows of it that follow each other)."""
+        for b in batches:
+            names = list(zip(*(b.column(i).to_pylist() for i in range(len(group))), strict=True)) if group else [()] * b.num_rows
+            start = 0
+            for i in range(1, b.num_rows + 1):
+                if i == b.num_rows or names[i] != names[start]:
+                    yield names[start], b.slice(start, i - start)
+                    start = i
+
+    def emitted(key: tuple, part: int, held: seeded.Fnv, last: bool) -> pa.RecordBatch:
+        own = [pa.array([k], t) for k, t in zip(key, kinds, strict=True)]
+        rest = [pa.array([held.size // 8], pa.int64()), pa.array([held.digest()], pa.string())] if last else [pa.array([part], pa.int64()), pa.array([held.size // 8], pa.int64()), pa.array([held.after.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays([*own, *rest], [*group, *(("n", "hash") if last else ("part", "n", "after"))])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, held = TaskContext.get().partitionId(), None, None
+        for key, b in runs(batches):
+            new = seeded.Fnv.of(b.column(len(group)).to_numpy())
+            if held is not None and key != now:
+                yield emitted(now, part, held, False)
+                held = None
+            now, held = key, new if held is None else held.then(new)
+        if held is not None:
+            yield emitted(now, part, held, False)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for key, b in runs(batches):
+            if held is not None and key != now:
+                yield emitted(now, 0, held, True)
+                held = None
+            now = key
+            for n, after in zip(b.column(len(group) + 1).to_pylist(), b.column(len(group) + 2).to_pylist(), strict=True):
+                new = seeded.Fnv(8 * n, np.frombuffer(after, np.uint64))
+                held = new if held is None else held.then(new)
+        if held is not None:
+            yield emitted(now, 0, held, True)
+
+    made = ordered.mapInArrow(blocks, schema)
+    made = made.repartition(*(group or [F.lit(0)])).sortWithinPartitions(*group, "part")
+    return made.mapInArrow(joined, StructType([*keys.fields, StructField("n", LongType()), StructField("hash", StringType())]))
 
 
 def chosen(df: DataFrame, rows: DataFrame) -> DataFrame:
