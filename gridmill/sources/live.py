@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from gridmill.sources.readers import METRICS, parsed_metrics
+from gridmill.sources.store import opened
 
 #: Bytes before an offset whose checksum tells whether a file was only appended to.
 TAIL = 256
@@ -37,10 +38,6 @@ BACK = 1 << 12
 _SCHEMA = "run string, file string, at long, value string, changed timestamp"
 
 
-def _opened(root: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
-
-
 def _run(path: str) -> str:
     """Name of the folder that a file lies in; run=<name> gives the name."""
     folder = path.rsplit("/", 2)[-2] if path.count("/") else ""
@@ -85,7 +82,7 @@ def lines(f, start: int, stop: int) -> Iterator[tuple[int, str]]:
 class LiveReader(DataSourceStreamReader):
     def __init__(self, root: str, name: str):
         self.root, self.name = root, name
-        self.store, self.path = _opened(root)
+        self.store, self.path = opened(root)
         self.last: dict[str, str] = {}
 
     def initialOffset(self) -> dict:

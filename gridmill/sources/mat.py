@@ -4,15 +4,17 @@ Only plain numeric arrays are read; columns-first data is laid out row by row.""
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from gridmill.functions.blocks import listed
 from gridmill.sources.npz import FieldError
+from gridmill.sources.store import found, opened
 
 # Element and class codes of the format that hold real numbers of up to 32 bits.
 ELEMENTS = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8"}
@@ -32,12 +34,14 @@ def _elements(raw: bytes, order: str) -> Iterator[tuple[int, bytes]]:
             at += 8 + (size if kind == COMPRESSED else -(-size // 8) * 8)
 
 
-def arrays(path: str) -> Iterator[tuple[str, np.ndarray]]:
-    """(name, array) of each variable; a kind that can't be read is an error when it is met."""
-    if not os.path.exists(path):
-        raise FieldError(f"no file {path}")
-    with open(path, "rb") as f:
-        raw = f.read()
+def arrays(path: str, names: list[str] | None = None) -> Iterator[tuple[str, np.ndarray]]:
+    """(name, array) of each variable, or of the named ones; a kind that can't be read is an error when it is met."""
+    store, at = opened(path)
+    try:
+        with store.open_input_file(at) as f:
+            raw = f.read()
+    except FileNotFoundError as e:
+        raise FieldError(f"no file {path}") from e
     order = {b"IM": "<", b"MI": ">"}.get(raw[126:128])
     if order is None:
         raise FieldError(f"{path} is no level-5 MAT file")
@@ -49,6 +53,8 @@ def arrays(path: str) -> Iterator[tuple[str, np.ndarray]]:
         parts = list(_elements(data, order))
         flags = struct.unpack(order + "I", parts[0][1][:4])[0]
         shape, name = np.frombuffer(parts[1][1], order + "i4"), parts[2][1].decode()
+        if names is not None and name not in names:
+            continue
         if flags & 0xFF not in CLASSES or flags & COMPLEX or parts[3][0] not in ELEMENTS:
             raise FieldError(f"variable {name} of {path} is no real array of up to 32-bit integers or floats")
         yield name, np.frombuffer(parts[3][1], order + ELEMENTS[parts[3][0]]).astype(float).reshape(shape, order="F")
@@ -62,25 +68,29 @@ def field(path: str, name: str) -> np.ndarray:
 
 
 def ingest(spark: SparkSession, paths: list[str], fields: list[str], out: str) -> DataFrame:
-    """Writes the named fields of each file as Parquet, a row a sample; one task reads a file.
-
-    The files must be where tasks can open them; they are gone after this."""
+    """Writes the named fields of files, or of all .mat files in folders, as Parquet, a row a sample.
 
-    def rows(batches) -> Iterator:
-        import pandas as pd
+    One task reads a file, whose variables it holds one after the other: the format's numbers lie by
+    columns, so a sample's are spread over all of a variable. Paths are those of a store that tasks open."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b["path"]:
-                data = {f: field(path, f) for f in fields}
+            for path in b.column(0).to_pylist():
+                data = {}
+                for name, a in arrays(path, fields):
+                    data.setdefault(name, np.ascontiguousarray(a))
+                if missing := [f for f in fields if f not in data]:
+                    raise FieldError(f"{path} has no field {missing[0]}")
                 if len({len(a) for a in data.values()}) != 1:
                     raise FieldError(f"fields of {path} with different numbers of samples")
                 first = data[fields[0]]
                 for at in range(0, len(first), 64):
-                    part = {f: [*a[at : at + 64].reshape(len(a[at : at + 64]), -1)] for f, a in data.items()}
-                    n = len(part[fields[0]])
-                    yield pd.DataFrame({"path": [path] * n, "sample": range(at, at + n), "shape": [list(first.shape[1:])] * n, **part})
+                    n = len(first[at : at + 64])
+                    columns = [pa.array([path] * n), pa.array(range(at, at + n), pa.int64()), pa.array([list(first.shape[1:])] * n, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*columns, *(listed(data[f][at : at + n].reshape(n, -1)) for f in fields)], ["path", "sample", "shape", *fields])
 
     kind = "path string, sample long, shape array<int>, " + ", ".join(f"`{f}` array<double>" for f in fields)
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
-    files.mapInPandas(rows, kind).write.mode("overwrite").parquet(out)
+    every = [f for p in paths for f in (found(p, ".mat") or [p])]
+    files = spark.createDataFrame([(p,) for p in every], "path string").repartition(len(every))
+    files.mapInArrow(rows, kind).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
