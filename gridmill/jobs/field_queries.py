@@ -355,6 +355,36 @@ def resolution_study(spark, d):
     return got.select("n", "n_test", *(F.round(c, 7).alias(c) for c in ("mean", "worst", "ratio")), "agrees")
 
 
+_SIDES = (8, 6, 4)
+
+
+def _sided_sql(name: str, m) -> str:
+    """A matrix for each number of nodes as a table (n, i, k, c)."""
+    return f"{name} AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {i}, {k}, {float(c)!r}::DOUBLE)" for n in _SIDES for i, row in enumerate(m(n)) for k, c in enumerate(row)) + ") AS m(n, i, k, c))"
+
+
+@query(f"""WITH {t.POINTS}, {_sided_sql("down_", lambda n: grids.to_uniform(n, n - 1))}, {_sided_sql("up_", lambda n: grids.to_chebyshev(n - 1, n))}, {_sided_sql("weight", lambda n: [grids.clenshaw_curtis(n)])},
+g AS (SELECT n, sample, sample % 5 <> 0 AS train, pos // 8 AS i, pos % 8 AS j, x, x * x + 0.25 * x AS u FROM p, (SELECT unnest([8, 6, 4]) AS n) WHERE pos // 8 < n AND pos % 8 < n),
+r AS MATERIALIZED (SELECT g.n, sample, train, a.i AS i, b.i AS j, sum(a.c * b.c * x) AS x, sum(a.c * b.c * u) AS y FROM g JOIN down_ a ON a.n = g.n AND a.k = g.i JOIN down_ b ON b.n = g.n AND b.k = g.j GROUP BY ALL),
+z AS (SELECT n, i, j, avg(x) AS xm, stddev_samp(x) AS xs, avg(y) AS ym, stddev_samp(y) AS ys FROM r WHERE train GROUP BY ALL),
+q AS MATERIALIZED (SELECT n, sample, i, j, y, (0.9 * (x - xm) / (xs + 1e-5) + 0.05) * (ys + 1e-5) + ym AS pred FROM r JOIN z USING (n, i, j) WHERE NOT train),
+e3 AS (SELECT n, sample, sqrt(sum((pred - y) * (pred - y))) / sqrt(sum(y * y)) AS model FROM q GROUP BY ALL),
+h AS (SELECT q.n, sample, a.i AS i, b.i AS j, sum(a.c * b.c * pred) AS uh, sum(a.c * b.c * y) AS back FROM q JOIN up_ a ON a.n = q.n AND a.k = q.i JOIN up_ b ON b.n = q.n AND b.k = q.j GROUP BY ALL),
+e24 AS (SELECT g.n, sample, sqrt(sum(a.c * b.c * (back - u) * (back - u))) / sqrt(sum(a.c * b.c * u * u)) AS transfer, sqrt(sum(a.c * b.c * (uh - u) * (uh - u))) / sqrt(sum(a.c * b.c * u * u)) AS total
+  FROM h JOIN g USING (n, sample, i, j) JOIN weight a ON a.n = g.n AND a.k = g.i JOIN weight b ON b.n = g.n AND b.k = g.j GROUP BY ALL),
+m AS (SELECT n, count(*) AS n_test, avg(transfer) AS e2, max(transfer) AS w2, avg(model) AS e3, max(model) AS w3, avg(total) AS e4, max(total) AS w4 FROM e3 JOIN e24 USING (n, sample) GROUP BY n)
+SELECT CAST(n AS INTEGER) AS n, CAST(n - 1 AS INTEGER) AS s, n_test, round(e2, 7) AS transfer_mean, round(w2, 7) AS transfer_worst, round(e3, 7) AS model_mean, round(w3, 7) AS model_worst, round(e4, 7) AS total_mean, round(w4, 7) AS total_worst,
+  round(e3 / (SELECT e3 FROM m WHERE n = 8), 7) AS ratio FROM m""")
+def resolution_errors(spark, d):
+    """Transfer, model and total error of one map on three grids of Chebyshev nodes."""
+    rows = t.fields(spark, d).select("sample", F.when(F.col("sample") % 5 != 0, "train").otherwise("test").alias("split"), F.col("values").alias("f"))
+    part = lambda n: F.filter("f", lambda x, i: (F.floor(i / N) < n) & (i % N < n))
+    rows = rows.select("sample", "split", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), part(n).alias("f")) for n in _SIDES))).alias("g")).select("sample", "split", "g.*")
+    rows = rows.withColumn("u", F.transform("f", lambda x: x * x + 0.25 * x))
+    got = errors.resolution_errors(rows, lambda x: F.transform(x, lambda v: 0.9 * v + 0.05), N)
+    return got.select("n", "s", "n_test", *(F.round(c, 7).alias(c) for c in got.columns if c.endswith(("_mean", "_worst"))), F.round("ratio", 7).alias("ratio"))
+
+
 @query(f"WITH {t.PREDICTED}, r AS (SELECT unnest([1, 2, 4]) AS rate), q AS (SELECT rate, sample, {_REL} AS l2 FROM e, r WHERE pos // 8 % rate = 0 AND pos % 8 % rate = 0 GROUP BY ALL), m AS (SELECT rate, avg(l2) AS l2 FROM q GROUP BY rate) SELECT rate, round(l2, 8) AS l2, round(l2 / (SELECT l2 FROM m WHERE rate = 1), 8) AS ratio FROM m")
 def resolution_ratio(spark, d):
     rows, parts = t.predictions(spark, d), None

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,80 @@ def resolution_study(rows: DataFrame, model: Callable[[Column], Column], trained
     return checked.withColumnRenamed("model_mean", "mean").drop("run", "test_l2")
 
 
+@lru_cache(64)
+def _transfers(n: int, s: int, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Down and up matrices and the weights of n nodes."""
+    return grids.to_uniform(n, s), grids.to_chebyshev(s, n, degree), grids.clenshaw_curtis(n)
+
+
+def restricted(values: Column | str, n: Column | str) -> Column:
+    """Fields on n x n nodes to (n - 1) x (n - 1) uniform ones; n may differ from row to row."""
+
+    @F.arrow_udf("array<double>")
+    def run(v: pa.Array, side: pa.Array) -> pa.Array:
+        out: list[np.ndarray | None] = [None] * len(v)
+        for m, at in _by_side(side, v):
+            down = _transfers(m, m - 1, grids.DEGREE)[0]
+            for i, x in zip(at, (down @ stacked(v.take(pa.array(at)), (m, m)) @ down.T).reshape(len(at), -1), strict=True):
+                out[i] = x
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return run(values, n)
+
+
+def _by_side(side: pa.Array, *fields: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Each size with the places of its rows whose fields are there."""
+    there = np.logical_and.reduce([x.is_valid().to_numpy(zero_copy_only=False) for x in (side, *fields)])
+    sides = side.fill_null(0).to_numpy()
+    for m in np.unique(sides[there]):
+        yield int(m), np.flatnonzero(there & (sides == m))
+
+
+def errors_by_side(pred: Column | str, u: Column | str, n: Column | str, degree: int = grids.DEGREE) -> Column:
+    """(transfer, model, total) of predictions on (n - 1) x (n - 1) uniform nodes against u on n x n ones.
+
+    n may differ from row to row; its matrices are made once a task. Null where either field is."""
+
+    @F.arrow_udf("transfer double, model double, total double")
+    def run(p: pa.Array, v: pa.Array, side: pa.Array) -> pa.Array:
+        out, none = np.full((3, len(p)), np.nan), np.ones(len(p), bool)
+        for m, at in _by_side(side, p, v):
+            down, up, w = _transfers(m, m - 1, degree)
+            a, b = stacked(p.take(pa.array(at)), (m - 1, m - 1)), stacked(v.take(pa.array(at)), (m, m))
+            coarse = down @ b @ down.T
+            with np.errstate(all="ignore"):
+                model = np.sqrt(((a - coarse) ** 2).sum((1, 2))) / np.sqrt((coarse**2).sum((1, 2)))
+            out[:, at], none[at] = (cc_rel(up @ coarse @ up.T, b, w), model, cc_rel(up @ a @ up.T, b, w)), False
+        return pa.StructArray.from_arrays([pa.array(x) for x in out], ["transfer", "model", "total"], mask=pa.array(none))
+
+    return run(pred, u, n)
+
+
+def resolution_errors(rows: DataFrame, model: Callable[[Column], Column], trained: int, last: DataFrame | None = None) -> DataFrame:
+    """Errors 2, 3 and 4 of one model at each resolution, its statistics fitted anew for each.
+
+    rows: (n, split, sample, f, u), fields on n x n Chebyshev nodes; rows without either are left out. For each n both fields of the
+    training split are restricted to n - 1 uniform nodes and their statistics fitted; inputs of the test
+    split are restricted, encoded, given to `model` and decoded; its output is scored on the uniform grid
+    (model) and, taken back to the nodes, against u (total), beside what the round trip costs (transfer).
+    All n share their passes; the statistics are a row for each n, broadcast.
+    Returns n, s, n_test, mean and worst of each error, ratio (of the mean model errors, to the trained
+    n's) and, where `last` is given (a row with test_l2), agrees at the trained n."""
+    rows = rows.where(F.col("f").isNotNull() & F.col("u").isNotNull()).withColumn("x", restricted("f", "n"))
+    train, test = rows.where(F.col("split") == "train").withColumn("y", restricted("u", "n")), rows.where(F.col("split") == "test")
+    named = lambda v: moments(train.select(F.col("n").alias("side"), v), v, "side").select(F.col("side").alias("n"), F.col("mean").alias(f"{v}_mean"), F.col("std").alias(f"{v}_std"))
+    both = test.join(F.broadcast(named("x")), "n").join(F.broadcast(named("y")), "n")
+    pred = decode(model(encode("x", "x_mean", "x_std")), "y_mean", "y_std")
+    scored_ = both.select("n", "sample", "u", pred.alias("pred")).select("n", "sample", errors_by_side("pred", "u", "n").alias("e")).select("n", "sample", "e.*")
+    names = ["transfer", "model", "total"]
+    out = scored_.groupBy("n").agg(F.count("*").alias("n_test"), *(f.alias(f"{x}_{k}") for x in names for k, f in (("mean", nan_if_null(F.avg(x))), ("worst", nan_if_null(F.max(x))))))
+    out = to_trained(out.withColumn("s", F.col("n") - 1), "n", "model_mean", trained)
+    if last is None:
+        return out
+    checked = check_last_epoch(out.withColumn("run", F.lit(0)), last.select(F.lit(0).alias("run"), "test_l2"))
+    return checked.withColumn("agrees", F.when(F.col("n") == trained, F.col("agrees"))).drop("run", "test_l2")
+
+
 def to_trained(rows: DataFrame, rate: str, loss: str, trained: int, *group: str) -> DataFrame:
     """Ratio of each rate's loss to the trained rate's."""
     base = rows.where(F.col(rate) == trained).select(*group, F.col(loss).alias("base"))

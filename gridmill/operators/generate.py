@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.functions import grids
+from gridmill.functions import blocks, grids
 from gridmill.operators.losses import cc_rel
 
 # The covariance's decay and shift, the full series' expected energy, the largest
@@ -71,28 +71,27 @@ def series(seeds: np.ndarray, n: int, k_max: int) -> tuple[np.ndarray, np.ndarra
     return basis @ c @ basis.T, basis @ (c / m) @ basis.T
 
 
-_ROW = "sample long, seed long, f array<double>, u array<double>, label_error double, transfer double"
-
-
 def split(spark: SparkSession, n: int, count: int, base: int, k_max: int | None = None, s: int | None = None, parts: int | None = None) -> DataFrame:
     """A labelled split of count samples. Map-only over seeds, so it spreads freely."""
     ids = spark.range(0, count, 1, parts) if parts else spark.range(count)
     return labelled(ids.withColumnRenamed("id", "sample"), n, base, k_max, s)
 
 
-def labelled(samples: DataFrame, n: int, base: int, k_max: int | None = None, s: int | None = None) -> DataFrame:
+def labelled(samples: DataFrame, n: int, base: int, k_max: int | None = None, s: int | None = None, packed: bool = False) -> DataFrame:
     """Fields of the given samples: sample i has seed base + i.
 
     label_error compares the solved label with the exact series, transfer is the round trip through
-    the s x s grid. From 65 nodes a side a label further off than LABEL_GAP, or NaN, is an error."""
+    the s x s grid. From 65 nodes a side a label further off than LABEL_GAP, or NaN, is an error.
+    packed: f and u are packed fields (blocks.packed), which large grids are written and read as fastest."""
     k_max, s = k_max or default_truncation(n), s or n - 1
+    field, kind = (blocks.packed, "binary") if packed else (blocks.listed, "array<double>")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solver, w = grids.Poisson(n, n), grids.clenshaw_curtis(n)
         there = grids.to_chebyshev(s, n) @ grids.to_uniform(n, s)
         for b in batches:
-            for at in range(0, len(b), 64):
-                part = b["sample"].to_numpy()[at : at + 64]
+            for at in range(0, b.num_rows, 64):
+                part = b.column(0).slice(at, 64).to_numpy()
                 f, exact = series(base + part, n, k_max)
                 u = solver(f)
                 gap = cc_rel(u, exact, w)
@@ -100,17 +99,16 @@ def labelled(samples: DataFrame, n: int, base: int, k_max: int | None = None, s:
                 if n >= LABEL_FROM and bad.any():
                     i = int(np.argmax(bad))
                     raise ValueError(f"label of sample {part[i]}, seed {base + part[i]}, is off by {gap[i]}")
-                yield pd.DataFrame({"sample": part, "seed": base + part, "f": [*f.reshape(len(part), -1)], "u": [*u.reshape(len(part), -1)], "label_error": gap, "transfer": cc_rel(there @ u @ there.T, u, w)})
+                numbers = [pa.array(part), pa.array(base + part), field(f), field(u), pa.array(gap), pa.array(cc_rel(there @ u @ there.T, u, w))]
+                yield pa.RecordBatch.from_arrays(numbers, ["sample", "seed", "f", "u", "label_error", "transfer"])
 
-    return samples.select("sample").mapInPandas(run, _ROW)
+    return samples.select(F.col("sample").cast("long").alias("sample")).mapInArrow(run, f"sample long, seed long, f {kind}, u {kind}, label_error double, transfer double")
 
 
 def solve(values, n: int):
     """Column of labels u for a column of forcings f on n x n nodes."""
-    from gridmill.functions.blocks import mapped
-
     solver = grids.Poisson(n, n)
-    return mapped(values, (n, n), solver)
+    return blocks.mapped(values, (n, n), solver)
 
 
 def manufactured(spark: SparkSession, n: int) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType
+
+from gridmill.functions.blocks import listed, stacked
+from gridmill.functions.exact import Moments
 
 EPS = 1e-5
 
@@ -24,57 +27,71 @@ def fit_points(df: DataFrame, values: str, *group: str) -> DataFrame:
 def moments(df: DataFrame, values: str, *group: str) -> DataFrame:
     """The same as arrays, without a row a point: (group, n, mean[], std[]).
 
-    Each task keeps a count, means and squared deviations for a group; those few rows are merged
-    pairwise by their counts, in a tree over tasks. Null fields are left out; under two samples are an error."""
+    Each task keeps exact sums for a group; those few rows are merged in a tree over tasks and rounded
+    once, so the statistics have the same bits whatever the order of rows and the number of tasks. A
+    point with an infinite or undefined number has an undefined deviation. Fields are arrays or packed;
+    null ones are left out; under two samples are an error."""
     keys = list(group)
 
+    def named(b: pa.RecordBatch) -> list[tuple]:
+        return list(zip(*(b.column(k).to_pylist() for k in range(len(keys))), strict=True)) if keys else [()] * b.num_rows
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
+        held: dict[tuple, Moments] = {}
+        for b in batches:
+            names, column = named(b), b.column(len(keys))
+            places: dict[tuple, list[int]] = {}
+            for i, (key, there) in enumerate(zip(names, column.is_valid().to_pylist(), strict=True)):
+                if there:
+                    places.setdefault(key, []).append(i)
+            for key, at in places.items():
+                mine = column if len(at) == len(column) else column.take(pa.array(at))
+                size = len(mine[0].as_buffer()) // 8 if pa.types.is_binary(mine.type) else len(mine[0])
+                held.setdefault(key, Moments(size)).add(stacked(mine, (size,)))
+        yield from sent(held)
+
+    def sent(held: dict[tuple, Moments]) -> Iterator[pa.RecordBatch]:
+        for key, m in held.items():
+            n, names, data = m.dump()
+            own = [pa.array([k], kind) for k, kind in zip(key, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([n], pa.int64()), pa.array([m.x.columns], pa.int32()), pa.array([names], pa.list_(pa.int32())), pa.array([data], pa.binary())], [*keys, "n", "size", "names", "data"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> dict[tuple, Moments]:
+        held: dict[tuple, Moments] = {}
         for b in batches:
-            names = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * b.num_rows
-            rows: dict[tuple, list] = {}
-            for key, x in zip(names, b.column(len(keys)), strict=True):
-                if x.is_valid:
-                    rows.setdefault(key, []).append(x.values.to_numpy(zero_copy_only=False))
-            for key, xs in rows.items():
-                a = np.array(xs, float)
-                new = [len(a), a.mean(0), ((a - a.mean(0)) ** 2).sum(0)]
-                held[key] = _merge(held[key], new) if key in held else new
-        yield _table(keys, kinds, held)
+            for key, *state in zip(named(b), *(b.column(len(keys) + i).to_pylist() for i in range(4)), strict=True):
+                n, size, names, data = state
+                new = Moments.load(n, names, data, size)
+                if key not in held:
+                    held[key] = new
+                elif held[key].x.columns != size:
+                    raise ValueError(f"fields of {sorted({held[key].x.columns, size})} values in one group")
+                else:
+                    held[key].merge(new)
+        return held
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-        for b in batches:
-            names = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * b.num_rows
-            for key, n, mean, m2 in zip(names, b.column("n").to_pylist(), b.column("mean"), b.column("m2"), strict=True):
-                new = [n, mean.values.to_numpy(), m2.values.to_numpy()]
-                held[key] = _merge(held[key], new) if key in held else new
-        yield _table(keys, kinds, held)
-
-    source = df.select(*keys, F.col(values).cast("array<double>").alias("x"))
-    types = [source.schema[k].dataType.simpleString() for k in keys]
+        yield from sent(gathered(batches))
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, m in gathered(batches).items():
+            mean, std = m.mean_and_std()
+            own = [pa.array([k], kind) for k, kind in zip(key, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([m.n], pa.int64()), listed(mean[None]), pa.array([std if std is None else std.tolist()], pa.list_(pa.float64()))], [*keys, "n", "mean", "std"])
+
+    x = F.col(values)
+    source = df.select(*keys, (x if df.select(x).schema[0].dataType == BinaryType() else x.cast("array<double>")).alias("x"))
     kinds = [to_arrow_type(source.schema[k].dataType) for k in keys]
-    kind = ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, types, strict=True)), "n long, mean array<double>, m2 array<double>"])
+    head = "".join(f"`{k}` {source.schema[k].dataType.simpleString()}, " for k in keys)
+    kind = head + "n long, size int, names array<int>, data binary"
     rows = source.mapInArrow(part, kind)
     # a tree over tasks: each level meets an eighth of the rows in as many tasks, one row at a time
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while parts > 8:
         parts //= 8
         rows = rows.repartition(parts).mapInArrow(merged, kind)
-    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).mapInArrow(merged, kind)
-    return rows.select(*keys, "n", "mean", F.when(F.col("n") > 1, F.transform("m2", lambda x: F.sqrt(x / (F.greatest(F.col("n"), F.lit(2)) - 1)))).otherwise(F.raise_error("a fit needs two samples at least")).alias("std"))
-
-
-def _merge(a: list, b: list) -> list:
-    n = a[0] + b[0]
-    gap = b[1] - a[1]
-    return [n, a[1] + gap * (b[0] / n), a[2] + b[2] + gap**2 * (a[0] * b[0] / n)]
-
-
-def _table(keys: list[str], kinds: list, held: dict) -> pa.RecordBatch:
-    own = [pa.array([k[i] for k in held], kinds[i]) for i in range(len(keys))]
-    rest = [pa.array([v[0] for v in held.values()], pa.int64()), *(pa.array([v[i] for v in held.values()], pa.list_(pa.float64())) for i in (1, 2))]
-    return pa.RecordBatch.from_arrays([*own, *rest], [*keys, "n", "mean", "m2"])
+    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).mapInArrow(done, head + "n long, mean array<double>, std array<double>")
+    return rows.select(*keys, "n", "mean", F.when(F.col("n") > 1, F.col("std")).otherwise(F.raise_error("a fit needs two samples at least")).alias("std"))
 
 
 def encode(values: Column | str, mean: Column | str, std: Column | str, eps: float = EPS) -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from gridmill.functions import grids
 from gridmill.functions.blocks import listed, stacked
@@ -63,11 +64,12 @@ def fit(df: DataFrame, values: str, weights: np.ndarray, keep: int | None = None
 def fit_by(df: DataFrame, values: str, key: str, weights: dict[str, np.ndarray], keep: int | None = None, within: float = 1e-10) -> dict[str, Pod]:
     """A decomposition for each key, a text such as a grid's name; weights: of each key's grid.
 
-    The complete ones take one pass over all rows together, however many keys there are."""
+    Fields are arrays or packed. The complete ones take one pass over all rows together, however many
+    keys there are."""
     for w in weights.values():
         if not np.isfinite(w).all() or (w < 0).any():
             raise ValueError("weights must be finite and not negative")
-    rows = df.where(F.col(values).isNotNull()).select(F.col(key).alias("key"), F.col(values).cast("array<double>").alias("x"))
+    rows = df.where(F.col(values).isNotNull()).select(F.col(key).alias("key"), _numbers(df, values).alias("x"))
     rows = rows.where(F.col("key").isin(*weights))
     # a row a key
     base = {r["key"]: (int(r.n), np.array(r["mean"]), np.array(r["std"])) for r in moments(rows, "x", "key").select("key", "n", "mean", F.when(F.col("n") > 1, F.col("std")).alias("std")).where("n > 1").collect()}
@@ -94,6 +96,11 @@ def fit_by(df: DataFrame, values: str, key: str, weights: dict[str, np.ndarray],
     return out
 
 
+def _numbers(df: DataFrame, values: str) -> Column:
+    """Fields as they are if packed, else as arrays of doubles."""
+    return F.col(values) if df.select(values).schema[0].dataType == BinaryType() else F.col(values).cast("array<double>")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], mean: np.ndarray, root: np.ndarray, at: int = 0) -> Iterator[np.ndarray]:
     """Centred, weighted fields [rows, points] of a column, some at a time."""
     size = max(1, (1 << 21) // len(mean))
@@ -260,7 +267,7 @@ def projected(pod: Pod, df: DataFrame, values: str) -> np.ndarray:
             total[:, 0] += ((x @ sent.value.T) ** 2).sum(0)
         yield from _sent(total, 1)
 
-    rows = df.where(F.col(values).isNotNull()).select(F.col(values).cast("array<double>").alias("x"))
+    rows = df.where(F.col(values).isNotNull()).select(_numbers(df, values).alias("x"))
     return _summed(rows.mapInArrow(run, "block int, salt int, data binary"), (len(modes), 1))[:, 0]
 
 

@@ -12,16 +12,18 @@ from gridmill.functions.blocks import both_sides, listed, numbers, stacked
 from gridmill.operators.losses import cc_rel
 
 
-def to_uniform(values: Column | str, n: int, s: int) -> Column:
-    """Fields on n x n Chebyshev nodes to s x s uniform ones."""
+def to_uniform(values: Column | str, n: int, s: int, packed: bool = False) -> Column:
+    """Fields on n x n Chebyshev nodes to s x s uniform ones; packed: gives packed fields.
+
+    Fields come as arrays or packed (blocks.pack), which is many times faster on large grids."""
     m = grids.to_uniform(n, s)
-    return both_sides(values, (n, n), m, m)
+    return both_sides(values, (n, n), m, m, packed)
 
 
-def to_chebyshev(values: Column | str, s: int, n: int, degree: int = grids.DEGREE) -> Column:
-    """Fields on s x s uniform nodes to n x n Chebyshev ones."""
+def to_chebyshev(values: Column | str, s: int, n: int, degree: int = grids.DEGREE, packed: bool = False) -> Column:
+    """Fields on s x s uniform nodes to n x n Chebyshev ones; packed: gives packed fields."""
     m = grids.to_chebyshev(s, n, degree)
-    return both_sides(values, (s, s), m, m)
+    return both_sides(values, (s, s), m, m, packed)
 
 
 def derivative(values: Column | str, n: int, axis: int, order: int = 1) -> Column:
