@@ -23,8 +23,11 @@ from pyspark.sql import DataFrame
 from gridmill.llm import pretoken
 from gridmill.llm.common import per_batch
 
-#: Words whose ids a task remembers.
-MEMORY = 50_000
+#: Words, shorter than HEAP bytes, whose ids a task remembers since it last put older ones aside; those
+#: it keeps, as many again, until the next time.
+MEMORY = 150_000
+#: Pairs of tokens whose fit is remembered.
+FITS = 50_000
 #: Symbols of one word from which its ids are emitted while it is still being read.
 WINDOW = 1 << 12
 
@@ -158,7 +161,7 @@ class LongWord:
 
     def _fit(self, a: str, b: str) -> bool:
         """Whether token b can follow token a: merging both together gives them back."""
-        if len(self.fits) > MEMORY:
+        if len(self.fits) > FITS:
             self.fits.clear()
         if (a, b) not in self.fits:
             self.fits[a, b] = self.m.merge(list(a + b)) == [a, b]
@@ -195,20 +198,25 @@ class LongWord:
 
 
 class Encoder:
-    """Ids of texts; remembers the words it has met, up to MEMORY of them."""
+    """Ids of texts; remembers the short words it has met lately."""
 
     def __init__(self, merges: Merges, odd: bytes):
-        self.m, self.known = merges, {}
+        self.m, self.known, self.old = merges, {}, {}
         self.split = pretoken.Splitter(merges.path, merges.pattern, merges.normalize, odd)
         self.special = re.compile("|".join(map(re.escape, sorted(merges.added, key=len, reverse=True)))) if merges.added else None
 
-    def _words(self, words: list[str]) -> Iterator[int]:
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        for w in {*words}.difference(known):
-            known[w] = tuple(self.m.word(w))
-        return chain.from_iterable(map(known.__getitem__, words))
+    def _words(self, words: list[str]) -> list[int]:
+        missing = {*words}.difference(self.known)
+        if len(self.known) > MEMORY:
+            self.known, self.old, missing = {}, self.known, {*words}
+        known, old = self.known, self.old
+        for w in missing:
+            known[w] = old.get(w) or tuple(self.m.word(w))
+        out = [*chain.from_iterable(map(known.__getitem__, words))]
+        for w in missing:
+            if len(w) >= HEAP:
+                del known[w]
+        return out
 
     def feed(self, stretch: str) -> list[int]:
         """Ids of a stretch, all of them stable."""
