@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridmill.functions import grids
+from gridmill.functions import grids, shuffle
 from gridmill.jobs import tables as t
 from gridmill.operators import errors, fields, generate, losses, normalize, pod, sampling, transfer
 
@@ -546,7 +546,14 @@ def sequential_batches(spark, d):
     return sampling.batches(t.fields(spark, d), 3, 20, 0, shuffle=False).withColumn("epoch", F.col("epoch").cast("long"))
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS root FROM embeddings),
+c AS (SELECT n, unnest(range(root, root + least(2048, root))) AS a FROM n),
+s AS (SELECT any_value(n) AS n, arg_min(a, row(a * ((n + a - 1) // a) - n, a)) AS a FROM c),
+k AS (SELECT n, a, (n + a - 1) // a AS b FROM s),
+o AS (SELECT vec_id AS sample, row_number() OVER (ORDER BY vec_id) - 1 AS x FROM embeddings), i AS (SELECT *, e AS epoch FROM o, (SELECT unnest(range(2)) AS e)),
+w AS (SELECT sample, epoch, y, n, a, b FROM {shuffle.sql("(SELECT * FROM i, k)", 11)}
+  UNION ALL SELECT sample, epoch, y, n, a, b FROM {shuffle.sql("(SELECT sample, epoch, n, a, b, y AS x FROM w WHERE y >= n)", 11)})
+SELECT CAST(epoch AS INTEGER) AS epoch, y // 20 AS batch, y AS place, sample FROM w WHERE y < n""")
 def shuffled_batches(spark, d):
     return sampling.batches(t.fields(spark, d), 2, 20, 11)
 

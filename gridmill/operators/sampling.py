@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from gridmill.functions import seeded
+from gridmill.functions.shuffle import Permutation
 
 
 def _numbers(spark: SparkSession, rows: list[int]) -> DataFrame:
@@ -121,11 +122,19 @@ def hashed_subset(samples: DataFrame, n: int, seed: int) -> DataFrame:
 def batches(samples: DataFrame, epochs: int, size: int, seed: int, shuffle: bool = True) -> DataFrame:
     """(epoch, batch, place, sample): batches of each epoch in its own seeded order.
 
-    Ids are range-partitioned by the order key; the place follows from the counts before each part,
-    so no task holds an epoch. The last batch may be short."""
-    rows = samples.select("sample").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    key = rank_key(F.lit(seed), "epoch", "sample") if shuffle else F.col("sample")
-    return numbered(rows.withColumn("key", key), ["epoch"], ["key", "sample"]).select("epoch", F.floor(F.col("place") / size).alias("batch"), "place", "sample")
+    Samples are numbered once by their ids, by the counts of ranges, so no task holds them all; their
+    place in each epoch follows from the number by arithmetic (functions/shuffle.py), without another
+    exchange. The last batch may be short."""
+    own = numbered(samples.select("sample"), [], ["sample"])
+    rows = own.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    if shuffle:
+        rows = rows.withColumn("place", Permutation.of(samples.count()).place(F.col("place"), seed, F.col("epoch")))
+    return rows.select("epoch", F.floor(F.col("place") / size).alias("batch"), "place", "sample")
+
+
+def sample_number(place: Column, count: int, seed: int, epoch: Column) -> Column:
+    """Number, in the order of ids, of the sample at a place of an epoch: batches() read the other way."""
+    return Permutation.of(count).number(place, seed, epoch)
 
 
 #: Rows of one range that are numbered by one task, about.
