@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from gridmill.functions import grids
-from gridmill.functions.blocks import listed, stacked
+from gridmill.functions.blocks import listed, packed, stacked
 from gridmill.functions.safe import div
 from gridmill.operators import transfer
 from gridmill.operators.normalize import moments
@@ -83,7 +83,7 @@ def fit_by(df: DataFrame, values: str, key: str, weights: dict[str, np.ndarray],
         raise ValueError("the complete decomposition is too large: say how many modes to keep")
     out: dict[str, Pod] = {}
     centre = {k: (base[k][1], np.sqrt(w)) for k, w in weights.items()}
-    factors = _factors(rows.where(F.col("key").isin(*small)), {k: centre[k] for k in small}) if small else {}
+    factors = _factors(rows.where(F.col("key").isin(*small)), {k: centre[k] for k in small}, any(base[k][0] > len(weights[k]) for k in small)) if small else {}
     for k, w in weights.items():
         n, mean, std = base[k]
         energy = float((w * std**2).sum() * (n - 1))
@@ -110,8 +110,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], mean: np.ndarray, root: np.ndarra
             yield (x - mean) * root
 
 
-def _factors(rows: DataFrame, centre: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
-    """A matrix for each key with the singular values and right vectors of its centred fields."""
+def _factors(rows: DataFrame, centre: dict[str, tuple[np.ndarray, np.ndarray]], many: bool = True) -> dict[str, np.ndarray]:
+    """A matrix for each key with the singular values and right vectors of its centred fields.
+
+    many: whether any key has more samples than points."""
 
     def reduced(held: list[np.ndarray], points: int) -> np.ndarray:
         a = np.concatenate(held)
@@ -127,7 +129,7 @@ def _factors(rows: DataFrame, centre: dict[str, tuple[np.ndarray, np.ndarray]])
         for k, mine in held.items():
             a = reduced(mine, mine[0].shape[1])
             for i in range(0, len(a), 256):
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(a[i : i + 256]), pa.string()), listed(a[i : i + 256])], ["key", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(a[i : i + 256]), pa.string()), packed(a[i : i + 256])], ["key", "row"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
         for b in batches:
@@ -141,17 +143,19 @@ def _factors(rows: DataFrame, centre: dict[str, tuple[np.ndarray, np.ndarray]])
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from reduce_rows((k, stacked(x, (len(centre[k][0]),))) for k, x in cut(batches))
 
-    kind = "key string, row array<double>"
+    kind = "key string, row binary"
     got = rows.select("key", "x").mapInArrow(first, kind)
-    # what a key's few samples are is not reduced further on the way
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # samples that are fewer than points are not reduced on the way
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if many else 1
     while parts > 8:
         parts //= 8
         got = got.repartition(parts).mapInArrow(again, kind)
     table = got.repartition("key").mapInArrow(again, kind).toArrow() if parts > 1 else got.toArrow()
-    keys, column = table.column("key").to_pylist(), table.column("row").combine_chunks()
-    names = np.array(keys, object)
-    return {k: reduced([stacked(column.filter(pa.array(names == k)), (len(centre[k][0]),))], len(centre[k][0])) for k in dict.fromkeys(keys)}
+    held: dict[str, list[np.ndarray]] = {}
+    for b in table.to_batches():
+        for k, x in cut([b]):
+            held.setdefault(k, []).append(stacked(x, (len(centre[k][0]),)))
+    return {k: reduced(mine, len(centre[k][0])) for k, mine in held.items()}
 
 
 def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
