@@ -29,3 +29,28 @@ def found(uri: str, end: str) -> list[str]:
     # of some stores the first part of the path is the host of the URI
     head = f"{url.scheme}://{url.netloc}" if path.startswith("/") else f"{url.scheme}://"
     return [head + quote(p) + (f"?{url.query}" if url.query else "") for p in paths]
+
+
+def read(uri: str) -> bytes | None:
+    """A small file's bytes; None if there is no such file."""
+    store, path = opened(uri)
+    if store.get_file_info(path).type != fs.FileType.File:
+        return None
+    with store.open_input_file(path) as f:
+        return f.read()
+
+
+def replace(uri: str, data: bytes) -> None:
+    """Writes a small file whole: a reader finds the old one or the new one."""
+    store, path = opened(uri)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(path + ".new") as f:
+        f.write(data)
+    store.move(path + ".new", path)
+
+
+def remove(uri: str) -> None:
+    """Removes a folder, if it is there."""
+    store, path = opened(uri)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)

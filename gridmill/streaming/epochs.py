@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridmill.operators import tracking
+from gridmill.streaming import segments
+from gridmill.streaming.segments import latest
+
+__all__ = ["SCHEMA", "KEYS", "epochs", "feed", "without_repeats", "new_runs", "totals", "latest", "keep_latest", "latest_table", "compact", "on_epoch"]
 
 SCHEMA = "run string, epoch int, train_mse double, train_l2 double, test_l2 double, current_lr double, epoch_time_s double, ts timestamp"
 KEYS = ("train_mse", "train_l2", "test_l2", "current_lr", "epoch_time_s")
@@ -43,32 +47,21 @@ def totals(rows: DataFrame) -> DataFrame:
     )
 
 
-def latest(rows: DataFrame) -> DataFrame:
-    """The later row of each (run, epoch); equal times go to the larger row."""
-    rest = [c for c in rows.columns if c not in ("run", "epoch", "ts")]
-    return rows.groupBy("run", "epoch").agg(F.max(F.struct("ts", *rest)).alias("r")).select("run", "epoch", *(f"r.{c}" for c in rest), "r.ts")
-
-
 def keep_latest(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the later row of every (run, epoch): each batch adds its own as a folder batch=<number>.
-
-    What was written before is neither read nor rewritten, and a batch that is run twice replaces its
-    own folder. latest_table() reads the table, compact() writes it anew in one part."""
-
-    def add(batch: DataFrame, number: int) -> None:
-        latest(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    """Keeps the later row of every (run, epoch) in a table of merged segments (streaming/segments.py).
 
-    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    path: a folder or URI that driver and tasks open alike. A batch that is run twice counts once."""
+    return rows.writeStream.foreachBatch(lambda batch, number: segments.add(batch, number, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table that keep_latest has written so far: of all batches' rows the later ones."""
-    return latest(spark.read.parquet(path).drop("batch"))
+def latest_table(spark: SparkSession, path: str, run: object = None) -> DataFrame:
+    """The table that keep_latest has written so far, or the rows of one run."""
+    return segments.table(spark, path, run)
 
 
 def compact(spark: SparkSession, path: str, into: str) -> DataFrame:
-    """The table in a new folder of its own, in which later batches can go on."""
-    latest_table(spark, path).write.parquet(f"{into}/batch=-1")
+    """The table in a new folder of its own as one segment, in which later batches go on."""
+    segments.add(latest_table(spark, path), segments.manifest(path)["batch"], into)
     return latest_table(spark, into)
 
 
