@@ -6,8 +6,8 @@ of its matches are followed by the next one with a penalty of one at most: such
 seed of the item and of the document. Of the n - 1 places where a seed of the item can begin, those
 whose seeds the fewest documents hold are kept, as many as leave every copy HITS of them. Where a
 document holds these, the stretch that could hold the item is cut out, joined to the item, and
-aligned with it (Smith-Waterman). So no copy is lost before it is scored. Short items are too easily
-met by chance to count edited: they match word for word, from the rarest of their pairs."""
+aligned with it (Smith-Waterman). So no copy is lost before it is scored. Short items are easily met
+by chance: from WHOLE_WORDS words on they count with one word edited, below that word for word."""
 
 from __future__ import annotations
 
@@ -24,16 +24,20 @@ from gridmill.llm.common import per_batch, saved
 
 #: Places of an item whose seeds a stretch must hold (fewer if a copy is sure of fewer).
 HITS = 2
-#: Items of fewer words match word for word only.
+#: Items of fewer words count with one word replaced, left out or put in.
 SHORT_WORDS = 8
+#: Items of fewer words count word for word.
+WHOLE_WORDS = 4
 #: Points of the alignment for a word that agrees, differs, or is left out or put in.
 MATCH, DIFFER, GAP = 2.0, -1.0, -1.0
 #: Least share of an item's full score that a copy has.
 SHARE = 0.5
 #: Seeds up to this number (16 bytes each) are sent to all tasks; more are joined by shuffle.
 LOCAL_SEEDS = 1 << 20
-#: Parts over which a seed's documents are spread in that join.
-SALTS = 16
+#: Seeds that more than one part in HOT of all hits go to are joined in parts; fewer than HOT can be.
+HOT = 10_000
+#: Bits of the filter of seeds at most (32 MB); beyond a 16th of them in seeds it lets more through.
+FILTER_BITS = 28
 
 
 def hashed(text: str | None) -> np.ndarray:
@@ -54,7 +58,9 @@ def _grams(h: np.ndarray, singles: bool = False) -> tuple[np.ndarray, np.ndarray
 
 def _need(size: int, share: float) -> float:
     """Share of the full score that a copy of an item of so many words needs."""
-    return share if size >= SHORT_WORDS else 1.0
+    if size >= SHORT_WORDS:
+        return share
+    return 1.0 if size < WHOLE_WORDS else max(share, 1 - (MATCH - DIFFER) / (MATCH * size))
 
 
 def _sure(size: int, share: float) -> int:
@@ -101,9 +107,9 @@ def _items(benchmark: DataFrame, share: float) -> tuple[DataFrame, DataFrame, Da
             for i, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = words.values.to_numpy()
                 n, sure = len(h), _sure(len(h), share)
-                about = i, n, max(0, int(2 * n * (1 - _need(n, share)))), max(1, min(HITS if n >= SHORT_WORDS else 1, sure)), sure
+                about = i, n, max(0, int(2 * n * (1 - _need(n, share)))), max(1, min(HITS if n >= WHOLE_WORDS else 1, sure)), sure
                 gram, at = _grams(h, n == 1)
-                if n < SHORT_WORDS:  # all neighbours are in a copy, words one apart need not be asked
+                if n < WHOLE_WORDS:  # all neighbours are in a copy, words one apart need not be asked
                     gram, at = gram[: max(1, n - 1)], at[: max(1, n - 1)]
                 rows += [(*about, *x) for x in zip(gram.tolist(), at.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(7)], ["text_id", "size", "slack", "least", "sure", "gram", "at"])
@@ -133,18 +139,44 @@ class _Table:
         return near[hit], where[hit]
 
 
-def _frequencies(docs: DataFrame, grams: DataFrame, local: bool, singles: bool) -> DataFrame:
+def _filter(grams: DataFrame, count: int) -> tuple[np.ndarray, np.uint64]:
+    """One bit a hash of the grams, of a size that follows their count up to 2 ** FILTER_BITS."""
+    bits = min(FILTER_BITS, max(12, (16 * count).bit_length()))
+    place = F.shiftrightunsigned("gram", 64 - bits)
+    words = grams.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - bits}) & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out, np.uint64(64 - bits)
+
+
+def _held(gram: np.ndarray, bits: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """The distinct ones of a text's grams that the filter lets through."""
+    place = gram.view(np.uint64) >> shift
+    return np.unique(gram[(bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)])
+
+
+def _hits(docs: DataFrame, grams: DataFrame, count: int, singles: bool) -> DataFrame:
+    """(doc_id, gram): a document's distinct grams, those that are none of the given ones mostly left out."""
+    bits, shift = _filter(grams, count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                g = _held(_grams(hashed(text.as_py()), singles)[0], bits, shift)
+                if len(g):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), doc_id)), pa.array(g)], ["doc_id", "gram"])
+
+    return per_batch(docs, run, "doc_id long, gram long")
+
+
+def _frequencies(docs: DataFrame, grams: DataFrame, count: int, local: bool, singles: bool) -> DataFrame:
     """(gram, docs): how many of the documents hold each of the grams that any holds."""
     if not local:
-        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for text in b.column(1):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(_grams(hashed(text.as_py()), singles)[0]))], ["gram"])
-
-        return per_batch(docs, every, "gram long").join(grams, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("docs"))
+        # counted in every task before they move, so that a pair of every document is no hot key
+        return _hits(docs, grams, count, singles).groupBy("gram").agg(F.count("*").alias("docs")).join(grams, "gram", "left_semi")
     known = np.sort(grams.toPandas()["gram"].to_numpy(np.int64))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = _Table(known), np.zeros(len(known), np.int64)
         for b in batches:
             for text in b.column(1):
@@ -152,7 +184,7 @@ def _frequencies(docs: DataFrame, grams: DataFrame, local: bool, singles: bool)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(n[some])], ["gram", "docs"])
 
-    return per_batch(docs, count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+    return per_batch(docs, tally, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
 
 
 def _seeds(places: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -162,7 +194,8 @@ def _seeds(places: DataFrame, frequencies: DataFrame) -> DataFrame:
     order = cost.select("text_id", "at", F.row_number().over(Window.partitionBy("text_id").orderBy("docs", "texts", "at")).alias("nth"))
     # a copy is sure of `sure` places: of all but that many it can miss every one
     kept = places.join(order, ["text_id", "at"]).where(F.col("nth") <= F.greatest(F.col("size") - 1, F.lit(1)) - F.least("sure", F.greatest(F.col("size") - 1, F.lit(1))) + F.col("least"))
-    return saved(kept.select("gram", "text_id", "at", "size", "slack", "least").distinct(), "seeds")
+    kept = kept.select("gram", "text_id", "at", "size", "slack", "least").distinct().join(frequencies, "gram", "left")
+    return saved(kept.withColumn("docs", F.coalesce("docs", F.lit(0))), "seeds")
 
 
 def _stretches(at: np.ndarray, end: int, text: np.ndarray, text_at: np.ndarray, size: np.ndarray, slack: np.ndarray, least: np.ndarray) -> list[tuple[int, int, int]]:
@@ -213,41 +246,43 @@ def _by_broadcast(docs: DataFrame, seeds: DataFrame, singles: bool) -> DataFrame
 
 
 def _by_join(docs: DataFrame, seeds: DataFrame, singles: bool) -> DataFrame:
-    """The same by joining the documents' pairs with the seeds; only documents with a hit are met again."""
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                g, at = _grams(hashed(text.as_py()), singles)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), doc_id)), pa.array(g), pa.array(at)], ["doc_id", "gram", "at"])
-
-    hits = per_batch(docs, grams, "doc_id long, gram long, at long")
-    # a seed that many documents hold is met in SALTS parts
-    salted = seeds.withColumnRenamed("at", "text_at").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
-    spans = hits.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("at", "text_at", "size", "slack", "least")).alias("spans"), F.countDistinct("text_at").alias("places"), F.max("least").alias("least"))
-    spans = spans.where(F.col("places") >= F.col("least")).select("doc_id", "text_id", "spans")
+    """The same by joining the documents' pairs with the seeds.
+
+    Only pairs of document and item with `least` places are met again; each takes the item's seeds
+    along, which its length bounds, and looks them up once more."""
+    each = seeds.select("gram", "docs").distinct()
+    share = each.agg(F.greatest(F.sum("docs"), F.lit(1)).alias("all"))
+    # a seed of many documents is met in as many parts as it has HOT-ths of all hits: below 2 * HOT rows
+    hot = each.crossJoin(F.broadcast(share)).where(F.col("docs") * HOT > F.col("all")).select("gram", F.ceil(F.col("docs") * HOT / F.col("all")).cast("int").alias("parts"))
+    hot = F.broadcast(saved(hot, "hot"))
+    hits = _hits(docs, each.select("gram"), each.count(), singles).join(hot, "gram", "left")
+    hits = hits.select("doc_id", "gram", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int").alias("part"))
+    dealt = seeds.join(hot, "gram", "left").select("gram", "text_id", "at", "least", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))).alias("part"))
+    met = hits.join(dealt, ["gram", "part"]).groupBy("doc_id", "text_id").agg(F.countDistinct("at").alias("places"), F.max("least").alias("least"))
+    met = met.where("places >= least").select("doc_id", "text_id")
+    of_text = seeds.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("gram", "at", "size", "slack", "least"))).alias("seeds"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for doc_id, text, item, spans_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for doc_id, text, item, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
                 h = hashed(text.as_py())
-                at, text_at, size, slack, least = (np.array([x[k] for x in spans_], np.int64) for k in ("at", "text_at", "size", "slack", "least"))
-                # rows may repeat an id with another text, whose hits can lie beyond this one's end
-                inside = np.flatnonzero(at < len(h))
-                found += [(doc_id, i, a, h[a:z]) for i, a, z in _stretches(at[inside], len(h), np.full(len(inside), item), *(x[inside] for x in (text_at, size, slack, least)))]
-            yield _rows(found)
+                g, at = _grams(h, singles)
+                gram, *seed = (own.values.field(k).to_numpy() for k in range(5))
+                low, high = np.searchsorted(gram, g, "left"), np.searchsorted(gram, g, "right")
+                n = high - low
+                s = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield _rows([(doc_id, i, a, h[a:z]) for i, a, z in _stretches(np.repeat(at, n), len(h), np.full(len(s), item), *(x[s] for x in seed))])
 
-    return per_batch(docs.join(spans, "doc_id").select("doc_id", "text", "text_id", "spans"), cut, _PASSAGES)
+    pairs = met.join(of_text, "text_id").join(docs, "doc_id").select("doc_id", "text", "text_id", "seeds")
+    return per_batch(pairs, cut, _PASSAGES)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, local_seeds: int = LOCAL_SEEDS) -> DataFrame:
     """Documents that hold a benchmark item or an edited copy of one.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Words are runs of
-    letters, digits and underscores, lower-cased. Items under SHORT_WORDS words are found where their
-    words stand in a row as they are. Null ids and texts without words match nothing; repeated rows
+    letters, digits and underscores, lower-cased. Items under SHORT_WORDS words are found with one word
+    replaced, left out or put in, those under WHOLE_WORDS only as they are. Null ids and texts without words match nothing; repeated rows
     or ids give one row with their best score; either table empty gives none. `share` has to be over
     1 / SHORT_WORDS.
     Returns doc_id, item_id, similarity (of the item's full score, at least `share`) and start (the
@@ -256,9 +291,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, lo
         raise ValueError("a copy of so small a share need not hold a pair of words")
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     items, texts, places = _items(benchmark, share)
-    grams = places.select("gram").distinct()
+    grams = saved(places.select("gram").distinct(), "grams")
+    count = grams.count()
     singles = bool(places.where("size = 1").limit(1).count())
-    seeds = _seeds(places, _frequencies(docs, grams, grams.count() <= local_seeds, singles))
+    seeds = _seeds(places, saved(_frequencies(docs, grams, count, count <= local_seeds, singles), "frequencies"))
     passages = (_by_broadcast if seeds.count() <= local_seeds else _by_join)(docs, seeds, singles)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
