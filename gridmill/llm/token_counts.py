@@ -5,14 +5,19 @@ packed index/frequency arrays, and its distinct pre-tokens in the order of their
 as many as keep the pre-tokens of one under RANGE bytes, bring equal pre-tokens of all chunks
 together: a task goes through one range after another and counts the pieces of each distinct
 pre-token once. The counts go back to their chunks and are multiplied with the frequencies. A
-pre-token of every document is met once a chunk, so no range is hot."""
+pre-token of every document is met once a chunk, so no range is hot.
+
+The number of ranges grows with the input, a chunk does not: cut into very many ranges it would fall
+into crumbs. Beyond FAN ranges chunks are therefore cut into the root of their number only; groups of
+chunks merge what they have in such a wide range, and what is distinct there is cut once more."""
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,10 @@ from gridmill.llm import common, pretoken
 CHUNK_CHARS = 24_000_000
 #: Bytes of the pre-tokens of one hash range, all chunks together.
 RANGE = 64 << 20
+#: Ranges that a chunk is cut into at once.
+FAN = 1024
+#: Bytes of pre-tokens, repeats counted, that a group of chunks merges in one wide range.
+CELL = 16 << 20
 #: Pre-tokens in one row.
 TOKENS_A_ROW = 1 << 18
 
@@ -121,6 +130,81 @@ def _unshuffled(raw: bytes) -> np.ndarray:
 _PARTS = "chunk long, first int, size long, blob binary, doc_ids array<bigint>, n_bytes array<bigint>, special array<bigint>"
 
 
+_COUNTS = "chunk long, first int, range long, counts binary"
+_CELLS = "chunk long, first int, range long, blob binary, cell long, wide int"
+
+
+def _by_range(raw: list[bytes], hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, list[bytes]]:
+    """The hash ranges of pre-tokens in the order of their hashes, and a pack for each."""
+    own = hashes.astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)
+    edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(raw)]
+    return own[edges[:-1]].astype(np.int64), [zstandard.compress(_pack(raw[i:k]), 3) for i, k in zip(edges, edges[1:], strict=False)]
+
+
+def _cuts(tokens: DataFrame, ranges: int) -> DataFrame:
+    """The chunks' pre-tokens in packs of one hash range."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, first, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                raw = _unpack(zstandard.decompress(blob.as_py()))
+                own, packs = _by_range(raw, _hashes(raw), ranges)
+                arrays = [pa.array([chunk] * len(packs), pa.int64()), pa.array([first] * len(packs), pa.int32()), pa.array(own), pa.array(packs)]
+                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "first", "range", "blob"])
+
+    return common.per_batch(tokens.select("chunk", "first", "blob"), cut, "chunk long, first int, range long, blob binary")
+
+
+def _merged(tokens: DataFrame, ranges: int, size: int, counts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The packs' counts, in wide ranges, by way of what groups of chunks have in each.
+
+    A cell is what one group has in one wide range, CELL bytes on average. Rows of the table of cells
+    are a chunk's places among the distinct pre-tokens of its cell, or these in packs of one range."""
+    wide = math.isqrt(ranges - 1) + 1
+    groups = max(1, -(-size // (wide * CELL)))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, index, packs = None, {}, []
+
+        def cell() -> Iterator[pa.RecordBatch]:
+            raw, hashes = [*index], _hashes([*index])
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(raw), np.uint32)
+            place[order] = np.arange(len(raw), dtype=np.uint32)
+            own, out = _by_range([raw[i] for i in order], hashes[order], wide * wide)
+            rows = [(chunk, first, None, zstandard.compress(_shuffled(place[at]), 3)) for chunk, first, at in packs]
+            rows += [(None, None, r, blob) for r, blob in zip(own.tolist(), out, strict=True)]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            arrays = [pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)]
+            arrays += [pa.array([now[0]] * len(rows), pa.int64()), pa.array([now[1]] * len(rows), pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["chunk", "first", "range", "blob", "cell", "wide"])
+
+        for b in batches:
+            for chunk, first, at, blob, group in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if (group, at) != now:
+                    if packs:
+                        yield from cell()
+                    now, index, packs = (group, at), {}, []
+                raw = _unpack(zstandard.decompress(blob))
+                packs.append((chunk, first, np.fromiter((index.setdefault(x, len(index)) for x in raw), np.uint32, len(raw))))
+        if packs:
+            yield from cell()
+
+    grouped = _cuts(tokens, wide).withColumn("cell", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+    dealt = grouped.repartition("cell", "range").sortWithinPartitions("cell", "range")
+    cells = common.saved(common.per_batch(dealt, merge, _CELLS), "cells")
+    distinct = cells.where("range is not null").select(F.col("cell").alias("chunk"), F.col("wide").alias("first"), "range", "blob")
+    counted = counts(distinct).toDF("cell", "wide", "range", "counts")
+
+    def back(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        pieces = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in right.sort_by("range").column("counts")), np.uint32)
+        own = [zstandard.compress(pieces[_unshuffled(zstandard.decompress(x.as_py()))].tobytes(), 1) for x in left.column("blob")]
+        return pa.table([left.column("chunk"), left.column("first"), left.column("wide").cast(pa.int64()), pa.array(own, pa.binary())], names=["chunk", "first", "range", "counts"])
+
+    places = cells.where("range is null").select("chunk", "first", "cell", "wide", "blob")
+    return places.groupBy("cell", "wide").cogroup(counted.groupBy("cell", "wide")).applyInArrow(back, _COUNTS)
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:
     """Tokens of every row's whole text, as the tokenizers library counts them.
 
@@ -146,18 +230,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
 
     tokens = parts.where("first is not null")
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(spread, -(-(tokens.agg(F.sum("size")).first()[0] or 0) // RANGE))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, first, blob in zip(*(b.column(i) for i in range(3)), strict=True):
-                raw = _unpack(zstandard.decompress(blob.as_py()))
-                own = _hashes(raw).astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)
-                edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(raw)]
-                packs = [zstandard.compress(_pack(raw[i:k]), 3) for i, k in zip(edges, edges[1:], strict=False)]
-                n = len(packs)
-                arrays = [pa.array([chunk.as_py()] * n, pa.int64()), pa.array([first.as_py()] * n, pa.int32()), pa.array(own[edges[:-1]].astype(np.int64)), pa.array(packs)]
-                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "first", "range", "blob"])
+    size = tokens.agg(F.sum("size")).first()[0] or 0
+    ranges = max(spread, -(-size // RANGE))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, now, known = _tokenizer(vocabulary), None, {}
@@ -172,8 +246,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
                 outs.append(zstandard.compress(np.fromiter(map(known.__getitem__, raw), np.uint32, len(raw)).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(outs, pa.binary())], ["chunk", "first", "range", "counts"])
 
-    cuts = common.per_batch(tokens.select("chunk", "first", "blob"), cut, "chunk long, first int, range long, blob binary")
-    counted = common.per_batch(cuts.repartition("range").sortWithinPartitions("range"), count, "chunk long, first int, range long, counts binary")
+    def counts(cuts: DataFrame) -> DataFrame:
+        return common.per_batch(cuts.repartition("range").sortWithinPartitions("range"), count, _COUNTS)
+
+    counted = counts(_cuts(tokens, ranges)) if ranges <= FAN else _merged(tokens, ranges, size, counts)
 
     def total(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]

@@ -39,6 +39,18 @@ def test_counts_over_small_chunks_and_the_given_table(spark, sf, monkeypatch):
     assert got == {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
 
 
+def test_counts_by_way_of_cells(spark, sf, monkeypatch):
+    """Many ranges: groups of chunks merge their pre-tokens first, in rows of several blocks a chunk."""
+    for name, value in (("CHUNK_CHARS", 20_000), ("TOKENS_A_ROW", 700), ("RANGE", 2_000), ("FAN", 3), ("CELL", 9_000)):
+        monkeypatch.setattr(token_counts, name, value)
+    t, path = library(entries.COUNT_VOCABULARY), public_tokenizers.path(entries.COUNT_VOCABULARY)
+    rows = [*enumerate(ODD), (None, "no id"), (3, "an id again")] + [(1000 + r.doc_id, r.text) for r in entries.table(spark, sf, "documents").collect()]
+    got = token_counts.token_counts(frame(spark, rows).repartition(5), path).collect()
+    want = sorted((-1 if i is None else i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == want
+    assert token_counts.token_counts(frame(spark, []), path).count() == 0
+
+
 @pytest.mark.parametrize("name", [entries.CODE_VOCABULARY, entries.COUNT_VOCABULARY])
 def test_codes_equal_the_library(spark, name):
     t = library(name)
