@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 import __spark_entry__ as entry
@@ -6,33 +8,42 @@ from gridmill.jobs import registry
 duckdb = pytest.importorskip("duckdb")
 
 
-def test_every_field_and_run_query_runs_and_has_the_columns_of_its_sql(spark, sf):
-    import os
-
+@pytest.fixture(scope="module")
+def con(sf):
     con = duckdb.connect()
     for f in os.listdir(sf):
         con.execute(f"create view {f.split('.')[0]} as select * from read_parquet('{sf}/{f}')")
-    sql = registry.oracle_sql()
-    for name in ("transfer_floor", "normalizer_moments", "run_assembly", "export_batches", "evaluation"):
-        rows = registry.queries()[name](spark, sf)
-        want = con.execute(sql[name])
-        assert sorted(rows.columns) == sorted(x[0] for x in want.description), name
-        assert rows.count() == len(want.fetchall()), name
+    return con
 
 
-@pytest.mark.parametrize("name", ["pod_by_grid", "resolution_errors", "subset_fingerprints", "shuffled_batches", "device_scaling", "stream_new_runs", "stream_followed"])
-def test_query_equals_its_sql(spark, sf, name):
-    import os
+def plain(v):
+    """A value in a form that both engines give alike: numbers to six digits, structs as lists."""
+    if isinstance(v, bool | None | str | bytes):
+        return str(v)
+    if isinstance(v, list | tuple):
+        return [*map(plain, v)]
+    if isinstance(v, dict):
+        return [*map(plain, v.values())]
+    try:
+        return f"{float(v):.6g}"
+    except (TypeError, ValueError):
+        return str(v)
 
-    con = duckdb.connect()
-    for f in os.listdir(sf):
-        con.execute(f"create view {f.split('.')[0]} as select * from read_parquet('{sf}/{f}')")
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_its_sql(spark, sf, con, name):
     rows, want = registry.queries()[name](spark, sf), con.execute(registry.oracle_sql()[name])
-    columns = sorted(x[0] for x in want.description)
-    assert sorted(rows.columns) == columns
-    theirs = [dict(zip([x[0] for x in want.description], r, strict=True)) for r in want.fetchall()]
-    plain = lambda r: tuple(round(v, 6) if isinstance(v := r[c], float) else v for c in columns)
-    assert sorted(map(repr, map(plain, rows.collect()))) == sorted(map(repr, map(plain, theirs))) != []
+    columns = sorted(rows.columns)
+    at = [x[0] for x in want.description]
+    assert columns == sorted(at)
+    theirs = sorted(repr([plain(r[at.index(c)]) for c in columns]) for r in want.fetchall())
+    assert sorted(repr([plain(r[c]) for c in columns]) for r in rows.collect()) == theirs
+    assert theirs
+
+
+@pytest.mark.parametrize("name", sorted({*registry.queries()} - {*registry.oracle_sql()}))
+def test_query_without_sql_gives_rows(spark, sf, name):
+    assert registry.queries()[name](spark, sf).count() > 0
 
 
 def test_entry(spark):
