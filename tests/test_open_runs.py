@@ -1,6 +1,8 @@
 import json
+from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 
 from gridmill.streaming import open_runs
 
@@ -69,3 +71,63 @@ def test_a_restart_changes_nothing(own, tmp_path):
         parts = many.put(*rows[i : i + 8])[0]
     last = lambda got: {r[0]: max(x for x in got if x[:2] == (r[0], "totals")) for r in got}
     assert last(whole) == last(parts)
+
+
+class Calls:
+    """A state and its handle in memory; every call is a message to the store in a real query."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            return self.does(name, *args)
+
+        return call
+
+    def does(self, name, *args):
+        match name:
+            case "exists":
+                return self.value is not None
+            case "get":
+                return self.value
+            case "update":
+                self.value = args[0]
+            case "registerTimer":
+                self.timers.add(args[0])
+            case "deleteTimer":
+                self.timers.remove(args[0])
+            case "getValueState":
+                return self
+
+
+def test_a_run_costs_few_messages_and_holds_few_rows():
+    store, held, most = Calls(), set(), 0
+    zero, hour = datetime(1970, 1, 1, tzinfo=timezone.utc), 3_600_000
+
+    class Live(Row):
+        def __del__(self):
+            held.discard(id(self))
+
+    def rows(lo, hi):
+        nonlocal most
+        for i in range(lo, hi):
+            r = Live("r", i, float(-i), 0.5 if i % 2 else None, zero + timedelta(hours=i // 1000))
+            held.add(id(r))
+            most = max(most, len(held))
+            yield r
+
+    runs = open_runs._Runs(6 * hour, 48 * hour)
+    runs.init(store)
+    store.calls.clear()
+    got = [*runs.handleInputRows(("r",), rows(0, 20_000), None)]
+    assert [(r.kind, r.epochs, r.best, r["last"], r.last_epoch, r.seconds) for r in got] == [("create", 0, None, None, None, None), ("totals", 20_000, -19_999.0, -19_999.0, 19_999, 5_000.0)]
+    assert len(store.calls) == 3 and store.timers == {25 * hour}
+    got = [*runs.handleInputRows(("r",), rows(20_000, 20_001), None)]
+    assert [(r.kind, r.epochs, r.seconds) for r in got] == [("totals", 20_001, 5_000.0)]
+    assert len(store.calls) == 8 and store.timers == {26 * hour}
+    # late rows leave the timer as it is
+    assert [r.last_epoch for r in runs.handleInputRows(("r",), rows(5, 6), None)] == [20_000]
+    assert len(store.calls) == 11 and store.timers == {26 * hour}
+    assert most <= 2 * open_runs.PART + 2
