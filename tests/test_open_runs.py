@@ -1,5 +1,6 @@
 import json
 from datetime import datetime, timedelta, timezone
+from math import isnan
 
 import pytest
 from pyspark.sql import Row
@@ -131,3 +132,24 @@ def test_a_run_costs_few_messages_and_holds_few_rows():
     assert [r.last_epoch for r in runs.handleInputRows(("r",), rows(5, 6), None)] == [20_000]
     assert len(store.calls) == 11 and store.timers == {26 * hour}
     assert most <= 2 * open_runs.PART + 2
+
+
+def test_losses_that_are_no_numbers_count_as_in_sql(own, tmp_path):
+    nan = float("nan")
+    f = Following(own, tmp_path)
+    got, _ = f.put(("a", 0, 3.0, 0), ("a", 1, nan, 1), ("b", 0, nan, 0), ("b", 1, None, 1), ("c", 0, None, 0))
+    last = {r[0]: r[2:] for r in got if r[1] == "totals"}
+    assert last["a"][:2] == (2, 3.0) and isnan(last["a"][2])
+    assert isnan(last["b"][1]) and last["b"][2] is None and last["c"] == (1, None, None)
+
+
+def test_times_are_instants_in_any_zone(own, tmp_path):
+    zone = own.conf.get("spark.sql.session.timeZone")
+    own.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        f = Following(own, tmp_path)
+        f.put(("a", 0, 3.0, 5))
+        path = f"{tmp_path}/out"
+        assert own.read.parquet(path).selectExpr("unix_seconds(seen)").distinct().collect() == own.read.parquet(f"{tmp_path}/in").selectExpr("unix_seconds(ts)").collect()
+    finally:
+        own.conf.set("spark.sql.session.timeZone", zone)
