@@ -1,7 +1,11 @@
 import json
+import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
+from functools import partial
 from math import isnan
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -153,3 +157,71 @@ def test_times_are_instants_in_any_zone(own, tmp_path):
         assert own.read.parquet(path).selectExpr("unix_seconds(seen)").distinct().collect() == own.read.parquet(f"{tmp_path}/in").selectExpr("unix_seconds(ts)").collect()
     finally:
         own.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_rows_that_time_cannot_part_come_to_the_state_as_one(own, tmp_path, monkeypatch):
+    class Counted(open_runs._Runs):
+        def handleInputRows(self, key, rows, timerValues):
+            for run, n in Counter(r["run"] for r in rows).items():
+                yield self._row("rows", (run, n, None, None, None, None, 0, True))
+
+    monkeypatch.setattr(open_runs, "_Runs", Counted)
+    f = Following(own, tmp_path)
+    # nothing can be late in the first batch; later, rows of a time are late together
+    got, _ = f.put(*(("r%d" % (i % 2), i, 1.0, i // 8) for i in range(96)))
+    assert [r[:3] for r in got] == [("r0", "rows", 1), ("r1", "rows", 1)]
+    got, _ = f.put(*(("s", i, 1.0, 20 + i // 8) for i in range(32)))
+    assert [r[:3] for r in got if r[0] == "s"] == [("s", "rows", 4)]
+
+
+def test_late_rows_are_dropped_beside_rows_in_time(own, tmp_path):
+    f = Following(own, tmp_path)
+    f.put(("a", 0, 3.0, 0), ("a", 1, 2.0, 20))
+    got, _ = f.put(("a", 2, 1.0, 5), ("a", 3, 4.0, 20), ("a", 4, 5.0, 21), ("b", 0, 9.0, 5))
+    assert max(r for r in got if r[1] == "totals") == ("a", "totals", 4, 2.0, 5.0) and not [r for r in got if r[0] == "b"]
+
+
+def test_joined_rows_have_the_totals_of_their_rows(monkeypatch):
+    nan, hour = float("nan"), 3_600_000_000
+    names = ["run", "epoch", "test_l2", "epoch_time_s", "ts"]
+    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.timestamp("us", "UTC")]
+    draw = random.Random(5)
+    rows = [(draw.randrange(9), draw.choice([None, 0, 1, 2, 3]), draw.choice([None, nan, draw.random()]), draw.choice([None, 0.5]), (i * 7 % 600 - 2) * hour) for i in range(600)]
+    rows += [(9, 0, nan, None, hour), (9, None, nan, None, 2 * hour), (10, None, None, None, hour)]
+
+    def state(parts):
+        out = {}
+        for run in sorted({p[0] for p in parts}):
+            runs = open_runs._Runs(1, 1)
+            runs.init(Calls())
+            out[run] = [*runs.handleInputRows((run,), iter([p for p in parts if p[0] == run]), None)][-1]
+        return repr(out)
+
+    zero = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    plain = [(*r[:4], zero + timedelta(microseconds=r[4])) for r in rows]
+    one = pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    one = one.append_column(pa.field("n", pa.int64(), nullable=False), pa.array([1] * len(rows))).append_column("least", one["test_l2"]).append_column("at", one["ts"])
+    monkeypatch.setattr(open_runs, "JOINED", 64)
+    for first in (False, True):
+        monkeypatch.setattr(open_runs, "TaskContext", type("Task", (), {"get": lambda: type("At", (), {"getLocalProperty": lambda name: "0" if first else "1"})}))
+        got = pa.Table.from_batches([*open_runs._in_parts(iter(one.to_batches(max_chunksize=10)))])
+        assert got.schema == one.schema and (got.num_rows < 40) == first
+        assert state([tuple(r.values()) for r in got.to_pylist()]) == state(plain)
+    early = sum(r[4] <= 0 for r in rows)
+    assert early == 3 and open_runs._joined(one, True).num_rows == len({r[0] for r in rows if r[4] > 0}) + early
+
+
+def test_runs_of_one_bucket_close_and_are_forgotten_each_in_its_time(own, tmp_path, monkeypatch):
+    monkeypatch.setattr(open_runs, "followed", partial(open_runs.followed, buckets=1))
+    f = Following(own, tmp_path)
+    f.put(("a", 0, 1.0, 0), ("b", 0, 2.0, 2), ("c", 0, 3.0, 2))
+    got, _ = f.put(("c", 1, 2.0, 8))
+    assert [r[0] for r in got if r[1] == "close"] == ["a"]
+    # the watermark is at the eighth hour, where b has been silent for six
+    got, _ = f.put(("c", 2, 1.0, 9))
+    assert [r[0] for r in got if r[1] == "close"] == ["a", "b"]
+    f.put(("c", 3, 1.0, 50))
+    # a is forgotten, b is not
+    got, _ = f.put(("a", 1, 1.0, 50), ("b", 1, 1.0, 50))
+    assert [r[:3] for r in got if r[1] in ("create", "continue")] == [("a", "create", 0), ("a", "create", 0), ("b", "continue", 1), ("b", "create", 0), ("c", "create", 0)]
+    assert sorted(r[:3] for r in got if r[1] == "totals" and r[0] in "ab") == [("a", "totals", 1), ("a", "totals", 1), ("b", "totals", 1), ("b", "totals", 2)]
