@@ -93,6 +93,28 @@ def test_reading_stops_on_clustered_vectors():
     assert found == {(j, int(row[c])) for c, j in zip(*np.nonzero(every >= kth), strict=True)}
 
 
+def test_queries_meet_blocks_without_a_broadcast(spark, monkeypatch):
+    """What a grid copies looks small to the planner; as a broadcast it fills the driver."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    monkeypatch.setattr(topk, "HELD", 16, raising=False)  # several parts of queries
+    got = topk.top_k(vectors(spark, rows), 5, 50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 5, 50)
+
+
+@pytest.mark.parametrize("number", [np.float32, np.float64])
+def test_equal_scores_of_a_block_are_cut_to_the_smallest_ids(number):
+    x = np.full((400, 8), 3, number)
+    x[::100] = 4
+    block = topk.Block(np.arange(400) * 7, x, topk.Block.ranks(x))
+    at, ids, score, _ = block.best(np.array([0, 7 * 150]), x[:2], 5, np.full(2, -np.inf))
+    got = {j: sorted((-s, int(i)) for a, i, s in zip(at, ids, score, strict=True) if a == j) for j in (0, 1)}
+    assert got[0] == [(-128.0, 700), (-128.0, 1400), (-128.0, 2100), (-96.0, 7), (-96.0, 14)]
+    assert got[1] == [(-96.0, 0), (-96.0, 700), (-96.0, 1400), (-96.0, 2100), (-72.0, 7)]
+
+
 def arc_frame(spark, rows):
     return spark.createDataFrame([(i, u, h, -1, "x") for i, u, h in rows], "page_id long, url string, html string, payload_bytes int, record_type string")
 
